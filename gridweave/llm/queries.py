@@ -47,3 +47,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
     docs = read_tokens(spark, path).select("shard", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return with_starts(docs, path)
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.substring_dedup import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.embedding_dedup import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
