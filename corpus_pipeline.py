@@ -1,13 +1,67 @@
-"""From raw documents to packed training sequences in five stages."""
+"""From raw documents to packed training sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but
+the last return the columns of ``documents``. ``run`` writes each result to the shared folder and reads it again.
+
+Rejected go documents whose language is unknown (no letter in them), toxic documents, all but one document of each
+group of near duplicates, and documents that repeated passages fill wholly; passages that repeat elsewhere are cut
+out, with the blanks of what stays of such a document made single.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridweave.llm import language_id, minhash_dedup, packing, substring_dedup, toxicity
+from gridweave.llm.common import materialise, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CAPACITY = 2048
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.train(docs)
+    return language_id.predict(docs.select(*COLUMNS), model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    index = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), index).where("predicted = 0").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(docs.select(*COLUMNS)).where("n_removed < n_words or n_words = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY), CAPACITY)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("toxicity", not_toxic),
+    ("minhash_dedup", one_of_each),
+    ("substring_dedup", without_repeats),
+    ("best_fit_packing", packed),
+]
+#: SQL can express neither the classifiers nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs

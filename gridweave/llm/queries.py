@@ -69,3 +69,47 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridweave.llm.embedding_dedup import link_vectors
 
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.quality_rules import clean
+
+    return clean(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "clean_text")
+
+
+@query
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.licences import scan
+
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "licence_digest", "licence")
+
+
+def _sql() -> None:
+    from gridweave.llm import licences, quality_rules
+
+    ORACLE_SQL["op4_quality_rules"] = quality_rules.ORACLE
+    ORACLE_SQL["op8_licences"] = licences.ORACLE
+
+
+_sql()
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm import toxicity
+    from gridweave.llm.common import held_out
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "neighbours")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm import language_id
+    from gridweave.llm.common import held_out
+
+    docs = documents(spark, sf_dir)
+    scored = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
