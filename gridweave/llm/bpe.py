@@ -143,7 +143,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            packed = bpe.chunks.encode(batch.column(text).to_pylist())
+            packed = bpe.chunks.encode(batch.column(text))
             keep = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(packed, pa.binary())], names=[*keep, ids])
 

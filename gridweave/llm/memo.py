@@ -2,65 +2,111 @@
 
 A token of either vocabulary never reaches from a visible character into the blanks after it, so a
 text may be cut there and its parts be encoded apart; results equal those for whole texts. Words
-repeat, so most are looked up and only new ones are encoded.
+repeat: each batch is cut and its distinct words are found by Arrow, most of those are looked up, only
+new ones are encoded, and the ids are laid out by numpy.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_BLANK = re.compile(r"\s")
 #: Cuts before a certain blank that follows what is certainly visible.
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 
 
 class ChunkEncoder:
-    """Encode texts to packed little-endian 32-bit ids.
+    """Encode texts to 32-bit ids.
 
-    encode_many: encodes a list of chunks, each with its leading blanks, to packed ids.
+    encode_many: encodes a list of chunks, each with its leading blanks, to packed little-endian ids.
     blank_matters: whether a word after a space encodes differently from the word alone.
-    limit: entries after which the memo starts anew; bounds memory, never results.
+    limit: words after which the memo starts anew; bounds memory, never results.
+    step: bytes of text that are laid out at a time.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 500_000):
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 900_000, step: int = 4 << 20):
+        self.encode_many, self.limit, self.step = encode_many, limit, step
         self.lead = " " if blank_matters else ""
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # without the space before it
         self.chunks: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def slices(self, texts: pa.Array, tail: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Ids of consecutive texts, about ``step`` bytes at a time: first row, ids, and where each text starts and the last ends.
+
+        ``tail``: an id to append to each text.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + self.step, "right")))
+            ids, offsets = self._encode(texts.slice(lo, hi - lo))
+            if tail is not None:
+                ids = np.insert(ids, offsets[1:], tail)
+                offsets = offsets + np.arange(len(offsets))
+            yield lo, ids, offsets
+            lo = hi
+
+    def encode(self, texts: list[str | None] | pa.Array, tail: int | None = None) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
+        out = []
+        for _, ids, at in self.slices(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), tail):
+            packed, at = ids.tobytes(), (4 * at).tolist()
+            out += [packed[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for memo in (self.words, self.chunks):
             if len(memo) > self.limit:
                 memo.clear()
-        known, lead = self.words, self.lead
-        rows: list[list] = []  # each of packed ids, or of a tuple of chunks
-        asked: dict[str, bytes | None] = {}
-        plain: set[str] = set()
-        for text in texts:
-            words = (text or "").split(" ")
-            row: list = list(map(known.get, words))
-            row[0] = None  # no space before it
-            for i in [i for i, x in enumerate(row) if x is None]:
-                w = words[i]
-                if i and not w or w and w[-1].isspace():  # a run of blanks belongs together
-                    row = [self._ask(text, asked)]
-                    break
-                row[i] = self._ask(lead + w if i else w, asked)
-                if i and len(row[i]) == 1 and not any(map(str.isspace, w)):
-                    plain.add(w)
-            rows.append(row)
-        new = [c for c, ids in asked.items() if ids is None]
-        for chunk, ids in zip(new, self.encode_many(new) if new else [], strict=True):
-            asked[chunk] = ids
-        for w in plain:
-            known[w] = asked[lead + w]
-        self.chunks |= {c: asked[c] for c in new if len(c) < 64 and c[len(lead) :] not in plain}
-        return [b"".join([p if type(p) is bytes else b"".join([asked[c] for c in p]) for p in row]) for row in rows]
-
-    def _ask(self, text: str, asked: dict) -> tuple[str, ...]:
-        chunks = tuple(_CUT.split(text)) if text else ()
-        for c in chunks:
-            if c not in asked:
-                asked[c] = self.chunks.get(c)
-        return chunks
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        known = [*map(self.words.get, words)]
+        fresh = [i for i, ids in enumerate(known) if ids is None]
+        odd = [i for i in fresh if not words[i] or _BLANK.search(words[i])]
+        first = offsets[:-1]
+        runs = [i for i in odd if not words[i] or words[i][-1].isspace()]  # a run of blanks belongs together
+        whole = np.zeros(len(texts), bool)
+        if runs:
+            hit = np.isin(index, runs)
+            if "" in words:
+                hit[first[index[first] == words.index("")]] = False  # a single space that opens a text
+            whole[np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1] = True
+        cuts = {i: _CUT.split(self.lead + words[i]) for i in set(odd).difference(runs)}
+        alone = {}  # what opens a text has no space before it
+        for row in range(len(texts)):
+            text = texts[row].as_py() if whole[row] else words[index[first[row]]]
+            alone[row] = _CUT.split(text) if text else []
+        wanted = {c for cs in (*cuts.values(), *alone.values()) for c in cs}.difference(self.chunks)
+        odd_set = set(odd)
+        plain = [i for i in fresh if i not in odd_set]
+        ask = [*(self.lead + words[i] for i in plain), *wanted]
+        found = self.encode_many(ask) if ask else []
+        for i, ids in zip(plain, found):
+            known[i] = self.words[words[i]] = ids
+        self.chunks.update(zip(wanted, found[len(plain) :]))
+        joined = lambda cs: b"".join([self.chunks[c] for c in cs])
+        for i in odd:
+            known[i] = joined(cuts[i]) if i in cuts else b""
+        known += [joined(alone[row]) for row in range(len(texts))]
+        index[first] = len(words) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(known), "<u4")
+        size = sizes[index]
+        if whole.any():
+            keep = ~np.repeat(whole, np.diff(offsets))
+            keep[first] = True
+            size = np.where(keep, size, 0)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(starts[index] - ends + size, size)
+        at += np.arange(total)
+        return flat[at], np.concatenate([[0], ends[offsets[1:] - 1]]).astype(np.int64)

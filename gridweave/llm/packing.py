@@ -194,15 +194,13 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, doc_id
     """
     import zlib
 
-    tail = int(end_id).to_bytes(4, "little")
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary, False)
         for batch in batches:
             names, pieces, ids = [], [], []
-            for name, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                packed += tail
+            for name, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1), end_id)):
                 for k, at in enumerate(range(0, len(packed), step)):
                     names.append(name)
                     pieces.append(k)

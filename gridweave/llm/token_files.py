@@ -114,31 +114,28 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
 
     One range shuffle of the texts; they are encoded after it, since ids take more room than text.
     """
-    tail = b"" if end_id is None else array("I", [end_id]).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, place = library_encoder(vocabulary, True), TaskContext.get().partitionId(), 0
         names: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ends = np.cumsum([len(p) for p in parts])
+            ids = np.concatenate(parts)
             row = [[shard], [place], [names], [[0, *ends[:-1].tolist()]], [len(ids)], [encode_levels(ids)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary()))], names=["shard", "place", "doc_ids", "starts", "n_ids", "codes"])
 
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            for lo in range(0, len(ids_of), 256):
-                for name, packed in zip(ids_of[lo : lo + 256], encoder.encode(texts.slice(lo, 256).to_pylist())):
-                    names.append(name)
-                    parts.append(packed + tail)
-                    size += len(packed) // 4 + 1
+            for first, ids, at in encoder.slices(batch.column(1), end_id):
+                for k, (a, b) in enumerate(zip(at, at[1:])):
+                    names.append(ids_of[first + k])
+                    parts.append(ids[a:b])
+                    size += b - a
                     if size >= BLOCK_IDS:
                         yield flush()
-                        names, parts, size, place = [], [], 0, place + size
+                        names, parts, size, place = [], [], 0, place + int(size)
         if names:
             yield flush()
 
