@@ -29,7 +29,7 @@ class ChunkEncoder:
     step: bytes of text that are laid out at a time.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 900_000, step: int = 4 << 20):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 600_000, step: int = 3 << 20):
         self.encode_many, self.limit, self.step = encode_many, limit, step
         self.lead = " " if blank_matters else ""
         self.words: dict[str, bytes] = {}  # without the space before it
@@ -61,8 +61,8 @@ class ChunkEncoder:
         return out
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        for memo in (self.words, self.chunks):
-            if len(memo) > self.limit:
+        for memo, most in ((self.words, self.limit), (self.chunks, self.limit // 4)):
+            if len(memo) > most:
                 memo.clear()
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()

@@ -159,6 +159,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
             seen += np.bincount(size, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part), pa.int32()), pa.array(rank)], names=[*batch.schema.names, "part_", "rank_"])
 
+    pieces = materialise(pieces)  # else each task holds one more Python worker, with the memos of what made the pieces
     ranked = materialise(pieces.mapInArrow(count, f"{fields}, part_ int, rank_ bigint"))
     by_part = ranked.groupBy("part_", length).agg(F.count("*").alias("n_"))
     histogram = by_part.groupBy(length).agg(F.sum("n_").alias("n_")).orderBy(length).collect()  # at most ``capacity`` rows
@@ -199,15 +200,18 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary, False)
         for batch in batches:
-            names, pieces, ids = [], [], []
-            for name, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1), end_id)):
-                for k, at in enumerate(range(0, len(packed), step)):
-                    names.append(name)
-                    pieces.append(k)
-                    ids.append(packed[at : at + step])
-            piece = np.array(pieces, np.int32)
-            columns = [pa.array(names, pa.int64()), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array([len(p) // 4 for p in ids], pa.int64()), pa.array([zlib.crc32(p) for p in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+            doc_ids = batch.column(0).to_pylist()
+            for first, flat, at in encoder.slices(batch.column(1), end_id):
+                names, pieces, ids = [], [], []
+                packed, bounds = flat.tobytes(), (4 * at).tolist()
+                for k, (lo, hi) in enumerate(zip(bounds, bounds[1:]), first):
+                    for n, at_ in enumerate(range(lo, hi, step)):
+                        names.append(doc_ids[k])
+                        pieces.append(n)
+                        ids.append(packed[at_ : min(hi, at_ + step)])
+                piece = np.array(pieces, np.int32)
+                columns = [pa.array(names, pa.int64()), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array([len(p) // 4 for p in ids], pa.int64()), pa.array([zlib.crc32(p) for p in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
