@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and the beginnings of words (``STEMS`` letters), lower-cased. Of these, the ``max_terms`` whose
-presence goes with the label most strongly (chi-square above ``MIN_CHI2``, counted by Spark over the
-examples) make up the space; the rest of a text says nothing about the label and would only blur the cosine.
+presence goes with the label most strongly (chi-square, counted by Spark over the examples, above
+``MIN_CHI2`` and above ``MIN_SHARE`` of the number of examples, which is what a perfect term has) make up the space; the rest of a text says nothing about the label and would only blur the cosine.
 Examples with a term are held in an inverted index in blocks of ``BLOCK``, with the greatest weight of each term
 in each block. A query adds up these to bound every block, takes blocks in falling order of their bounds,
 scores them exactly, and stops when no bound reaches its k-th best: the neighbours are the exact ones.
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import held_out
+from gridweave.llm.common import held_out, release
 
-STEMS, BLOCK, NEIGHBOURS, SOFT, MIN_CHI2 = (4, 5, 6), 64, 15, 0.05, 25.0
+STEMS, BLOCK, NEIGHBOURS, SOFT, MIN_CHI2, MIN_SHARE = (4, 5, 6), 64, 15, 0.05, 20.0, 0.01
 _WORD = re.compile(r"\w+")
 _MEMO_LIMIT = 400_000
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000, max_term
     seen = sample.mapInArrow(spread, "term string, toxic bigint").groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("p"))
     n, p, s, t = F.col("n"), F.col("p"), F.lit(float(size)), F.lit(float(positive))
     chi2 = s * F.pow(p * (s - t) - (n - p) * t, 2) / (n * (s - n) * t * (s - t))
-    best = seen.where((n > 2) & (n < s)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).select("term", "n").collect()
+    best = seen.where((n >= max(3, size // 500)) & (n < s)).withColumn("chi2", chi2).where(F.col("chi2") >= max(MIN_CHI2, MIN_SHARE * size)).orderBy(F.desc("chi2"), "term").limit(max_terms).select("term", "n").collect()
     terms = {r.term: k for k, r in enumerate(best)}
     idf = np.array([math.log((1 + size) / (1 + r.n)) + 1 for r in best])
     shared = sample.sparkSession.sparkContext.broadcast(terms)
@@ -164,7 +164,7 @@ class Finder:
     def __call__(self, text: str | None) -> Counter:
         words = Counter((text or "").split())
         memo, out = self.memo, Counter()
-        for w in words.keys() - memo.keys():
+        for w in [w for w in words if w not in memo]:
             memo[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
         for w, n in words.items():
             for k in memo[w]:
@@ -185,10 +185,18 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
-        find = Finder(own.terms)
+        find, scored = Finder(own.terms), {}
         for batch in batches:
-            found = [own.score(find(x)) for x in batch.column(text).to_pylist()]
+            found = []
+            for counts in map(find, batch.column(text).to_pylist()):
+                key = tuple(sorted(counts.items()))
+                if key not in scored:
+                    if len(scored) > _MEMO_LIMIT // 10:
+                        scored.clear()
+                    scored[key] = own.score(counts)
+                found.append(scored[key])
             values = [f[0] for f in found]
             columns = [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array([own.ids[f[1]].tolist() if len(f[1]) else [] for f in found], pa.list_(pa.int64())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
