@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gridweave.llm.common import HELD, release
 from gridweave.llm.memo import ChunkEncoder
 
 #: The published split pattern of the vocabulary.
@@ -125,6 +126,7 @@ class RankBPE:
 
 
 _LOADED: dict[str, RankBPE] = {}
+HELD.append(_LOADED)
 
 
 def load(path: str) -> RankBPE:
@@ -143,9 +145,11 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            packed = bpe.chunks.encode(batch.column(text))
             keep = [c for c in batch.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(packed, pa.binary())], names=[*keep, ids])
+            for first, flat, at in bpe.chunks.slices(batch.column(text)):
+                packed, bounds = flat.tobytes(), (4 * at).tolist()
+                part = batch.slice(first, len(at) - 1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([packed[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary())], names=[*keep, ids])
 
     return df.mapInArrow(run, f"{fields}{', ' if fields else ''}`{ids}` binary")
 
@@ -157,8 +161,9 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # a worker that encoded before holds a memo
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, len(whole), 512)):
             texts = [bpe.decode(memoryview(x or b"").cast("I")) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 

@@ -16,9 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Memos that a Python worker holds from one task to the next.
+HELD: list[dict] = []
 _OWN: list[str] = []
 
 
+def release() -> None:
+    """Forget what other operators hold in this worker, before one that needs the memory begins."""
+    for memo in HELD:
+        memo.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share; below a temporary one only where that is unset (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import held_out
+from gridweave.llm.common import held_out, release
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -176,6 +176,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         tagger = Tagger(own)
         for batch in batches:

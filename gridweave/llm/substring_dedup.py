@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import materialise, unused_name
+from gridweave.llm.common import materialise, release, unused_name
 
 #: A perfect difference set modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -105,6 +105,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)

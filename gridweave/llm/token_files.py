@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridweave.llm.common import HELD
 from gridweave.llm.memo import ChunkEncoder
 
 BLOCK_IDS = 1 << 18
@@ -94,6 +95,7 @@ class Levels:
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
+HELD.append(_LOADED)
 
 
 def library_encoder(vocabulary: str, blank_matters: bool) -> ChunkEncoder:
