@@ -6,7 +6,8 @@ maximising the conditional likelihood of the training words' languages (forward-
 A text's words are labelled by forward-backward as well, so a foreign passage inside a text is seen as such; the text's
 language is the one with the greatest expected number of words, and the score is its share.
 
-All texts of a batch run side by side, one step for each place, so the work is in numpy whatever the lengths.
+Texts of like length run side by side, one step for each place, so the work is in numpy whatever the lengths;
+at most ``_STEP`` characters are held as words at a time, or one text.
 Training takes at most ``max_docs`` rows, chosen by hash, and their first ``max_words`` words; prediction
 reads whole texts.
 
@@ -20,9 +21,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +34,22 @@ from gridweave.llm.common import held_out, release
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MEMO_LIMIT = 300_000
+_STEP = 2_000_000
+
+
+def core(word: str) -> str:
+    """The lower-case letters of a word; its own core is itself."""
+    low = word.lower()
+    return low if low.isalpha() else "".join(_LETTER.findall(low))
 
 
 def features(word: str) -> list[str]:
     """Of a run of visible characters; none without letters."""
-    w = "".join(_LETTER.findall(word)).lower()
+    w = core(word)
     if not w:
         return []
-    padded = f"^{w}$"
-    return [f"={w}", *(f"^{w[:n]}" for n in (1, 2, 3)), *(f"{w[-n:]}$" for n in (1, 2, 3)), *(padded[i : i + 3] for i in range(len(padded) - 2))]
+    head, tail, padded = f"^{w}", f"{w}$", f"^{w}$"
+    return [f"={w}", head[:2], head[:3], head[:4], tail[-2:], tail[-3:], tail[-4:], *[padded[i : i + 3] for i in range(len(padded) - 2)]]
 
 
 @dataclass
@@ -133,22 +143,25 @@ class Tagger:
     """Marginals for batches of texts; the evidence of each word is computed once."""
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, {}
+        self.model, self.memo = model, {"": 0}
         self.rows = [np.zeros((1, len(model.languages)))]
+        self.weights = np.concatenate([model.weights, self.rows[0]])  # the last is for features that weren't learned
         self.size = 1
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Row numbers into ``table`` for the words; 0 for those without evidence."""
-        fresh = list(set(words).difference(self.memo))
+        memo = self.memo
+        fresh = list(set(words).difference(memo))
         if fresh:
-            get = self.model.at.get
-            found = [[i for f in features(w) if (i := get(f)) is not None] if _LETTER.search(w) else [] for w in fresh]
-            flat = np.array([i for fs in found for i in fs], np.int64)
-            owner = np.repeat(np.arange(len(fresh)), [len(fs) for fs in found])
-            table = np.stack([np.bincount(owner, self.model.weights[flat, c], len(fresh)) for c in range(len(self.model.languages))], 1)
-            self.memo.update(zip(fresh, range(self.size, self.size + len(fresh))))
-            self.rows.append(table)
-            self.size += len(fresh)
+            cores = [*map(core, fresh)]
+            wanted = list(set(cores).difference(memo))
+            found = [*map(features, wanted)]
+            flat = np.fromiter(map(self.model.at.get, chain.from_iterable(found), repeat(len(self.weights) - 1)), np.int64)
+            owner = np.repeat(np.arange(len(wanted)), np.array([*map(len, found)], np.int64))
+            self.rows.append(np.stack([np.bincount(owner, self.weights[flat, c], len(wanted)) for c in range(len(self.model.languages))], 1))
+            memo.update(zip(wanted, range(self.size, self.size + len(wanted))))
+            memo.update(zip(fresh, map(memo.__getitem__, cores)))
+            self.size += len(wanted)
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def tag(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
@@ -165,6 +178,18 @@ class Tagger:
         return [(ws, gamma[e - len(ws) : e]) for ws, e in zip(split, ends)]
 
 
+def _by_length(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Places of all texts, shortest first, in runs of at most ``_STEP`` characters or one text."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    order = np.argsort(sizes, kind="stable")
+    ends = np.cumsum(sizes[order])
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _STEP, "right")))
+        yield order[lo:hi]
+        lo = hi
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred, score and shares (expected share of words by language) to each row of ``docs``. No shuffle."""
     added = ["lang_pred", "score", "shares"]
@@ -180,20 +205,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = shared.value
         tagger = Tagger(own)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            names, scores, shares = [], [], []
-            for lo in range(0, len(texts), 1024):
-                part = texts[lo : lo + 1024]
-                for body, (_, gamma) in zip(part, tagger.tag(part) if own.languages else [([], None)] * len(part)):
-                    if not own.languages or not body or not _LETTER.search(body):
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        shares.append([])
+            texts = batch.column(text)
+            names, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [[]] * len(texts)
+            for places in _by_length(texts) if own.languages else ():
+                part = texts.take(pa.array(places)).to_pylist()
+                for k, body, (_, gamma) in zip(places.tolist(), part, tagger.tag(part)):
+                    if not body or not _LETTER.search(body):
                         continue
                     mean = gamma.mean(0)
-                    names.append(own.languages[int(mean.argmax())])
-                    scores.append(min(1.0, float(mean.max())))
-                    shares.append([(lang, float(x)) for lang, x in zip(own.languages, mean)])
+                    names[k] = own.languages[int(mean.argmax())]
+                    scores[k] = min(1.0, float(mean.max()))
+                    shares[k] = [(lang, float(x)) for lang, x in zip(own.languages, mean)]
             columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
