@@ -119,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "anchors"])
 
     signed = materialise(own.mapInArrow(sign, "doc_id bigint, digest binary, anchors array<bigint>"))
-    first = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    first = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     chosen = signed.join(first.select("doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     rows = chosen.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
@@ -137,7 +137,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     low = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
     late = windows.join(low, ["a", "b"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
     late = late.select("doc_id", F.col("pairs.a").alias("a"), F.col("pairs.b").alias("b"))
-    copies = signed.join(first.where("doc_id < last").select("digest", F.col("doc_id").alias("low")), "digest").where("doc_id > low").select("doc_id", "digest").distinct()
+    copies = signed.select("doc_id", "digest").join(first.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").distinct()
     copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias(copy))
     marks = late.join(copies, "doc_id", "full").withColumn(hits, F.struct(F.coalesce("a", F.array().cast("array<bigint>")).alias("a"), F.coalesce("b", F.array().cast("array<bigint>")).alias("b"), F.coalesce(copy, F.array().cast("array<binary>")).alias("copies")))
     marked = docs.join(marks.select(F.col("doc_id").alias(digest), hits), F.col(doc_id).cast("bigint") == F.col(digest), "left").drop(digest)
