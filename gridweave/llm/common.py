@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,16 @@ _OWN: list[str] = []
 
 
 def release() -> None:
-    """Forget what other operators hold in this worker, before one that needs the memory begins."""
+    """Forget what other operators hold in this worker, and give the memory back, before one that needs it begins."""
+    held = any(HELD)
     for memo in HELD:
         memo.clear()
+    if held:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+        if trim:
+            trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
