@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.operators import accumulate as A
@@ -12,17 +9,8 @@ from gridweave.operators import neighbours as N
 from gridweave.operators import pixels as P
 from gridweave.operators import points as T
 from gridweave.operators import statistics as S
-from gridweave.plans.fixtures import duck, load
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def add(name: str, fixture: str, fn: Callable[..., DataFrame], sql: str) -> None:
-    """``fn`` gets the fixture; ``sql`` reads it as px."""
-    QUERIES[name] = lambda spark, sf_dir: fn(load(spark, sf_dir, fixture))
-    ORACLE_SQL[name] = f"WITH px AS ({duck(fixture)}) {sql}"
-
+from gridweave.plans import resampling  # noqa: F401 - registers its own
+from gridweave.plans.registry import ORACLE_SQL, QUERIES, add
 
 _CELL = "SELECT j, i, {} AS v FROM px GROUP BY 1, 2"
 _SORTED = "list_sort(list(v))[CAST({} AS BIGINT) + 1]"
