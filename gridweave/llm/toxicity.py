@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the beginnings of words (``STEMS`` letters), lower-cased. Of these, the ``max_terms`` whose
-presence goes with the label most strongly (chi-square, counted by Spark over the examples, above
-``MIN_CHI2`` and above ``MIN_SHARE`` of the number of examples, which is what a perfect term has) make up the space; the rest of a text says nothing about the label and would only blur the cosine.
-Examples with a term are held in an inverted index in blocks of ``BLOCK``, with the greatest weight of each term
-in each block. A query adds up these to bound every block, takes blocks in falling order of their bounds,
-scores them exactly, and stops when no bound reaches its k-th best: the neighbours are the exact ones.
+Terms are words and the beginnings of words (``STEMS`` letters), lower-cased. Every term counts, in examples and in
+queries; a query's terms that no example has count in its length. A term weighs (1 + log tf) * idf, times
+1 + sqrt(chi-square) of its presence with the label, so that what tells the classes apart isn't drowned by
+the rest; no term is left out for being rare or even.
+
+Examples are held in blocks of ``BLOCK``. The ``DENSE`` most common terms are kept as matrices by block, with the greatest
+weight of each term in each block, all others as postings. A query adds up its postings exactly; that and
+the common terms' greatest weights bound every block. The blocks of the highest bounds are scored first, then all
+whose bound reaches the k-th best of these: the neighbours are the exact ones.
 
 The neighbours vote with weight 1 / (distance + ``SOFT``); a logistic curve fitted to the votes that examples get
 when they are left out makes that a calibrated score. A text without any term gets the rate among examples
@@ -14,27 +17,30 @@ without any. Evidence is the ids and cosines of the nearest neighbours.
 Training takes at most ``max_examples`` labelled rows, chosen by hash; everything else sees every row.
 
 Edge cases: null text counts as empty; without labels, or with one class only, the score is the rate, or 0 with
-no labels at all; conflicting labels of one id all count; ties in cosine go to the smaller id.
+no labels at all; conflicting labels of one id all count; ties in cosine (to six digits) go to the smaller id.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import held_out, release
 
-STEMS, BLOCK, NEIGHBOURS, SOFT, MIN_CHI2, MIN_SHARE = (4, 5, 6), 64, 15, 0.05, 20.0, 0.01
+STEMS, BLOCK, NEIGHBOURS, SOFT, DENSE = (4, 5, 6), 64, 15, 0.05, 1024
 _WORD = re.compile(r"\w+")
-_MEMO_LIMIT = 400_000
+_MEMO_LIMIT = 150_000
+#: Texts that are scored at once, and the first id of terms that no example has; ids are below twice that.
+_GROUP, _UNSEEN = 128, 1 << 30
 
 
 def terms_of(chunk: str) -> tuple[str, ...]:
@@ -48,48 +54,94 @@ def terms_of(chunk: str) -> tuple[str, ...]:
 
 @dataclass
 class Index:
-    """The examples' postings in blocks, and what turns votes into scores."""
+    """The examples' weights in blocks, and what turns votes into scores."""
 
-    terms: dict[str, int]
+    terms: dict[str, int]  # by falling number of examples
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # blocks, terms, places: dense in blocks, as few terms are left
-    tops: np.ndarray  # blocks, terms
+    weights: np.ndarray  # blocks, common terms, places
+    tops: np.ndarray  # blocks, common terms
     without: float
+    unseen: float = 1.0
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of the other terms
+    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    values: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[k] for k in at.tolist()])) * self.idf[at]
-        return at, w / math.sqrt(float(w @ w))
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and their weights; all its terms count in the length."""
+        known = at < len(self.idf)
+        idf = np.full(len(at), self.unseen)
+        idf[known] = self.idf[at[known]]
+        w = (1 + np.log(n)) * idf
+        return at[known], (w / math.sqrt(float(w @ w)))[known]
+
+    def _postings(self, at: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+        """Sums over the terms that aren't held as matrices, by place."""
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.places[rows], self.values[rows] * np.repeat(w, n), size)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest, exactly; ``but`` is left out."""
-        bounds = self.tops[:, at] @ w
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1] - 1e-9:
-                break
-            cosines = w @ self.weights[block][at]
-            places = block * BLOCK + np.arange(len(cosines))
-            ok = (cosines > 0) & (places != but)
-            best_at, best = np.concatenate([best_at, places[ok]]), np.concatenate([best, cosines[ok]])
-            order = np.lexsort((self.ids[best_at], -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        return self.nearest_of([(at, w)], k, [but])[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        blocks, common, width = self.weights.shape
+        q = np.zeros((len(queries), common), self.weights.dtype)
+        scores = np.zeros((len(queries), blocks * width), self.weights.dtype)
+        for i, (at, w) in enumerate(queries):
+            split = int(np.searchsorted(at, common))
+            q[i, at[:split]] = w[:split]
+            if split < len(at):
+                scores[i] = self._postings(at[split:] - common, w[split:], blocks * width)
+        scores = scores.reshape(len(queries), blocks, width)
+        bounds = q @ self.tops.T + scores.max(2)
+        done = np.zeros(bounds.shape, bool)
+
+        def complete(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                own = np.flatnonzero(wanted[:, b])
+                scores[own, b] += q[own] @ self.weights[b]
+            done[wanted] = True
+
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argsort(-bounds, 1, "stable")[:, : 1 + -(-k // width)], True, 1)
+        complete(first & (bounds > 0))
+        if but is not None:
+            for i, place in enumerate(but):
+                if place >= 0:
+                    scores[i, place // width, place % width] = -np.inf
+        seen = np.where(done[:, :, None], scores, 0).reshape(len(queries), -1)
+        reached = np.partition(seen, -k, 1)[:, -k] if k < seen.shape[1] else np.zeros(len(queries))
+        complete(~done & (bounds > 0) & (bounds >= np.maximum(reached, 0)[:, None] - 1e-5))
+        out = []
+        seen = np.where(done[:, :, None], scores, 0).reshape(len(queries), -1)
+        reached = np.partition(seen, -k, 1)[:, -k] if k < seen.shape[1] else np.zeros(len(queries))
+        for row, least in zip(seen, reached):
+            found = np.flatnonzero((row > 0) & (row >= least - 1e-6))
+            cosines = row[found].astype(float)
+            order = np.lexsort((self.ids[found], -np.round(cosines, 6)))[:k]
+            out.append((found[order], cosines[order]))
+        return out
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         power = 1 / (1 - np.minimum(cosines, 1) + SOFT)
         return float((power @ self.labels[places] + 0.5 * self.without) / (power.sum() + 0.5)) if len(places) else self.without
 
-    def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        if not counts:
-            return self.without, np.empty(0, np.int64), np.empty(0)
-        places, cosines = self.nearest(*self.vector(counts))
-        v = min(max(self.vote(places, cosines), 1e-4), 1 - 1e-4)
-        return (1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))) if len(places) else self.without), places, cosines
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, places and cosines for each text's terms and their counts."""
+        out = [(self.without, np.empty(0, np.int64), np.empty(0))] * len(texts)
+        some = [i for i, (at, _) in enumerate(texts) if len(at) and len(self.ids)]
+        found = self.nearest_of([self.vector(*texts[i]) for i in some]) if some else []
+        for i, (places, cosines) in zip(some, found):
+            if len(places):
+                v = min(max(self.vote(places, cosines), 1e-4), 1 - 1e-4)
+                x = self.slope * math.log(v / (1 - v)) + self.shift
+                out[i] = 1 / (1 + math.exp(-min(max(x, -30.0), 30.0))), places, cosines
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -103,75 +155,117 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 0.05), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000, max_terms: int = 1024) -> Index:
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index:
     """Learn from rows of ``docs`` with a label whose id isn't held out; at most ``max_examples`` of them."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id", "toxic"), "id").limit(max_examples)
     # at most max_examples rows of 12 bytes
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "toxic", "text")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: list[str] = []
-            toxic: list[int] = []
-            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = {t for c in set((text or "").split()) for t in terms_of(c)}
-                seen += own
-                toxic += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(toxic, pa.int64())], names=["term", "toxic"])
-
-    size, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+            terms: dict[str, int] = {}
+            found = Finder(terms, grow=True)(batch.column(2))
+            names = np.array([*terms, ""], object)
+            at = pa.array([names[a].tolist() for a, _ in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, pa.array([n for _, n in found], pa.list_(pa.int32()))], names=["id", "toxic", "at", "n"])
+
+    # its size is bounded by max_examples, as is all that follows
+    rows = sample.mapInArrow(count, "id bigint, toxic int, at array<string>, n array<int>").toArrow().combine_chunks().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    size, toxic = rows.num_rows, rows["toxic"].to_numpy().astype(float)
+    positive = toxic.sum()
     rate = positive / size if size else 0.0
     if not 0 < positive < size:
         return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty((0, 0, BLOCK)), np.empty((0, 0)), float(rate))
-    seen = sample.mapInArrow(spread, "term string, toxic bigint").groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("p"))
-    n, p, s, t = F.col("n"), F.col("p"), F.lit(float(size)), F.lit(float(positive))
-    chi2 = s * F.pow(p * (s - t) - (n - p) * t, 2) / (n * (s - n) * t * (s - t))
-    best = seen.where((n >= max(3, size // 500)) & (n < s)).withColumn("chi2", chi2).where(F.col("chi2") >= max(MIN_CHI2, MIN_SHARE * size)).orderBy(F.desc("chi2"), "term").limit(max_terms).select("term", "n").collect()
-    terms = {r.term: k for k, r in enumerate(best)}
-    idf = np.array([math.log((1 + size) / (1 + r.n)) + 1 for r in best])
-    shared = sample.sparkSession.sparkContext.broadcast(terms)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(shared.value)
-        for batch in batches:
-            found = [find(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["id", "toxic", "at", "n"])
-
-    rows = sample.mapInArrow(count, "id bigint, toxic int, at array<int>, n array<int>")
-    bare = rows.where(F.size("at") == 0).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows = sorted((r for r in rows.where(F.size("at") > 0).collect()), key=lambda r: (r.at, r.id, r.toxic))
-    blocks = max(1, -(-len(rows) // BLOCK))
-    index = Index(terms, idf, np.array([r.id for r in rows], np.int64), np.array([r.toxic for r in rows], float), np.zeros((blocks, len(terms), BLOCK), np.float32), np.zeros((blocks, len(terms)), np.float32), (bare[1] + rate) / (bare[0] + 1))
-    vectors = [index.vector(Counter(dict(zip(r.at, r.n)))) for r in rows]
-    for k, (at, w) in enumerate(vectors):
-        index.weights[k // BLOCK, at, k % BLOCK] = w
-    index.tops = index.weights.max(2)
-    if rows:
-        some = np.random.default_rng(5).permutation(len(rows))[:2000]
-        votes = np.array([index.vote(*index.nearest(*vectors[k], but=k)) for k in some])
+    ids, per = rows["id"].to_numpy(), pc.list_value_length(rows["at"]).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(rows["at"]).combine_chunks().dictionary_encode()
+    n = pc.list_flatten(rows["n"]).to_numpy().astype(np.float32)
+    del rows
+    names, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(size, dtype=np.int32), per)
+    have, bad = np.bincount(at, minlength=len(names)).astype(float), np.bincount(at, toxic[row], len(names))
+    order = np.lexsort((names.to_numpy(zero_copy_only=False), -have))
+    have, bad, renamed = have[order], bad[order], np.empty(len(order), np.int32)
+    renamed[order] = np.arange(len(order))
+    at, terms = renamed[at], {t: k for k, t in enumerate(names.take(pa.array(order)).to_pylist())}
+    chi2 = size * (bad * (size - positive) - (have - bad) * positive) ** 2 / np.maximum(have * (size - have) * positive * (size - positive), 1)
+    idf = (np.log((1 + size) / (1 + have)) + 1) * (1 + np.sqrt(np.where(have < size, chi2, 0)))
+    w = (1 + np.log(n)) * idf[at].astype(np.float32)
+    w /= np.sqrt(np.bincount(row, w.astype(float) ** 2, size)).astype(np.float32)[row]
+    # examples whose heaviest terms are the same share blocks
+    some, ends = np.flatnonzero(per), np.cumsum(per)
+    heavy = {int(r): tuple(at[lo:hi][np.lexsort((at[lo:hi], -w[lo:hi]))[:3]].tolist()) for r, lo, hi in zip(some, (ends - per)[some], ends[some])}
+    some = np.array(sorted(heavy, key=lambda r: (heavy[r], r)), np.int64)
+    place = np.full(size, -1, np.int32)
+    place[some] = np.arange(len(some))
+    place, common, blocks = place[row], min(DENSE, len(terms)), max(1, -(-len(some) // BLOCK))
+    weights = np.zeros((blocks, common, BLOCK), np.float32)
+    often = at < common
+    weights[place[often] // BLOCK, at[often], place[often] % BLOCK] = w[often]
+    rest = np.flatnonzero(~often)
+    rest = rest[np.argsort(at[rest], kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at[rest] - common, minlength=len(terms) - common))]).astype(np.int64)
+    bare = per == 0
+    index = Index(terms, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + size) + 1, starts, place[rest], w[rest])
+    if len(some):
+        tried = np.random.default_rng(5).permutation(len(some))[:2000]
+        votes = []
+        for k in range(0, len(tried), _GROUP):
+            own = tried[k : k + _GROUP]
+            queries = []
+            for r in some[own]:
+                a, v = at[ends[r] - per[r] : ends[r]], w[ends[r] - per[r] : ends[r]]
+                by_term = np.argsort(a)
+                queries.append((a[by_term], v[by_term]))
+            votes += [index.vote(*f) for f in index.nearest_of(queries, but=own.tolist())]
         votes = np.clip(votes, 1e-4, 1 - 1e-4)
-        index.slope, index.shift = _logistic(np.log(votes / (1 - votes)), index.labels[some])
+        index.slope, index.shift = _logistic(np.log(votes / (1 - votes)), index.labels[tried])
     return index
 
 
 class Finder:
-    """Counts a text's terms; looks each word up once."""
-
-    def __init__(self, terms: dict[str, int]):
-        self.terms, self.memo = terms, {}
-
-    def __call__(self, text: str | None) -> Counter:
-        words = Counter((text or "").split())
-        memo, out = self.memo, Counter()
-        for w in [w for w in words if w not in memo]:
-            memo[w] = tuple(self.terms[t] for t in terms_of(w) if t in self.terms)
-        for w, n in words.items():
-            for k in memo[w]:
-                out[k] += n
+    """Counts texts' terms; looks each word up once. Terms that aren't known get an id of their own beyond all known ones, or on request the next known one."""
+
+    def __init__(self, terms: dict[str, int], grow: bool = False):
+        self.terms, self.grow, self.memo, self.unseen = terms, grow, {}, {}
+
+    def _look(self, term: str) -> int:
+        if self.grow:
+            return self.terms.setdefault(term, len(self.terms))
+        k = self.terms.get(term)
+        return self.unseen.setdefault(term, _UNSEEN + len(self.unseen)) if k is None else k
+
+    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        return list(chain.from_iterable(self.group(texts.slice(k, _GROUP)) for k in range(0, len(texts), _GROUP)))
+
+    def group(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term ids in rising order and their counts, for at most ``_GROUP`` texts."""
+        words = pc.utf8_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        memo, own = self.memo, coded.dictionary.to_pylist()
         if len(memo) > _MEMO_LIMIT:
             memo.clear()
-        return out
+            self.unseen.clear()
+        for w in own:
+            if w not in memo:
+                memo[w] = tuple(map(self._look, terms_of(w)))
+        lists = [memo[w] for w in own]
+        n = np.array([len(x) for x in lists], np.int64)
+        flat, first = np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), np.cumsum(n) - n
+        text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))
+        pair = np.sort(text * max(1, len(own)) + coded.indices.to_numpy(zero_copy_only=False))
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        times = np.minimum(np.diff(new, append=len(pair)), (1 << 24) - 1)
+        text, word = np.divmod(pair[new], max(1, len(own)))
+        per = n[word]
+        at = flat[np.repeat(first[word] - np.cumsum(per) + per, per) + np.arange(per.sum())]
+        # text, term and count in one number: a sort without an index is much faster
+        both = np.sort(np.repeat(text << 55 | times, per) | at << 24)
+        keys = both >> 24
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        counts = np.add.reduceat(both & ((1 << 24) - 1), new) if len(new) else new
+        cuts = np.searchsorted(keys[new], np.arange(1, len(texts)) << 31)
+        return list(zip(np.split(keys[new] & ((1 << 31) - 1), cuts), np.split(counts, cuts)))
 
 
 def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
@@ -180,23 +274,18 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     clash = set(added) & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    # its size is bounded by max_examples and max_terms
+    # its size is bounded by max_examples
     shared = docs.sparkSession.sparkContext.broadcast(index)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         own = shared.value
-        find, scored = Finder(own.terms), {}
+        find = Finder(own.terms)
         for batch in batches:
             found = []
-            for counts in map(find, batch.column(text).to_pylist()):
-                key = tuple(sorted(counts.items()))
-                if key not in scored:
-                    if len(scored) > _MEMO_LIMIT // 10:
-                        scored.clear()
-                    scored[key] = own.score(counts)
-                found.append(scored[key])
+            for k in range(0, batch.num_rows, _GROUP):
+                found += own.score(find.group(batch.column(text).slice(k, _GROUP)))
             values = [f[0] for f in found]
             columns = [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array([own.ids[f[1]].tolist() if len(f[1]) else [] for f in found], pa.list_(pa.int64())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])

@@ -105,3 +105,42 @@ def test_language(spark):
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in L.predict(docs.drop("lang"), L.train(docs)).collect()] == ["und"]
+
+
+def test_toxicity_keeps_every_term(spark):
+    rows = [(k, f"common words here only{k}", int(k % 3 == 0)) for k in range(300)]
+    rows = [r for r in rows if not held(r[0])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    index = T.train(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    d, text, _ = rows[7]
+    asked = spark.createDataFrame([(-1, f"only{d}"), (-2, text), (-3, f"only{d} neverseen")], "doc_id long, text string")
+    got = {r.doc_id: r for r in T.score(asked, index).collect()}
+    assert {t for _, text, _ in rows for t in T.terms_of(text.split()[-1])} <= set(index.terms)
+    assert got[-1].neighbours[0] == d and got[-2].neighbours[0] == d and np.isclose(got[-2].cosines[0], 1, atol=1e-5)
+    assert 0 < got[-3].cosines[0] < got[-1].cosines[0]
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(T, "DENSE", 7)
+    monkeypatch.setattr(T, "BLOCK", 8)
+    rows, labels = corpus(150)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    index = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    size, counts = len(index.ids), {d: {} for d, _, _ in rows}
+    for d, text, _ in rows:
+        for c in text.split():
+            for t in T.terms_of(c):
+                counts[d][t] = counts[d].get(t, 0) + 1
+
+    def vector(d):
+        v = {t: (1 + np.log(n)) * (index.idf[index.terms[t]] if t in index.terms else 1 + np.log(1 + size)) for t, n in counts[d].items()}
+        z = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / z for t, x in v.items()}
+
+    known = {int(d): vector(int(d)) for d in index.ids}
+    assert set().union(*(counts[d] for d in known)) == set(index.terms)
+    for r in T.score(docs, index).collect():
+        q = vector(r.doc_id)
+        want = sorted((sum(x * v.get(t, 0) for t, x in q.items()) for v in known.values()), reverse=True)[: T.NEIGHBOURS]
+        assert np.allclose(r.cosines, [c for c in want if c > 0], atol=1e-5)
+        assert np.allclose(r.cosines, [sum(x * known[n].get(t, 0) for t, x in q.items()) for n in r.neighbours], atol=1e-5)
