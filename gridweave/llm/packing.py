@@ -4,8 +4,10 @@ Only the histogram of lengths matters, which has at most ``capacity`` entries at
 configuration says how many pieces of each length share a sequence. The linear program (fewest
 sequences whose configurations cover the histogram) is solved by multiplicative weights: lengths that
 are behind get dearer, a knapsack by dynamic programming prices all configurations at once, the
-best one through each length takes a small step. The solution is rounded down, completed by
-configurations that still fit what is left, and the few pieces that remain are packed best-fit.
+best one through each length takes a small step. Every configuration of the solution, full or not, is
+rounded down; full ones that what is left still makes are added. Other remainders are packed best-fit, into the room
+of sequences that aren't full first, by counts of a length and of like sequences: the driver's work depends on
+the capacity, not on the pieces.
 
 Pieces are then matched with places by their rank among the pieces of their length. Ranks are counted
 by the tasks that make the pieces and joined with sums of earlier tasks' counts, so no length, however
@@ -50,7 +52,7 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations (pairs of length index and multiplicity) with weights that together cover all counts."""
+    """Configurations (pairs of length index and multiplicity) with weights that cover the counts but for remainders."""
     n = counts.astype(float)
     cover, behind = np.zeros(len(n)), np.zeros(len(n))
     weight: dict[tuple, float] = defaultdict(float)
@@ -74,9 +76,6 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
                     moved[j] += step * m
         cover += moved
         behind = (cover / n - (cover / n).min()) * 0.5
-    behind = np.flatnonzero(cover < n)
-    for i in behind:  # alone, until the best-fit step finds company for what is left
-        weight[((int(i), 1),)] += n[i] - cover[i]
     return weight
 
 
@@ -84,42 +83,57 @@ def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tupl
     """Configurations with whole multiplicities that use each piece exactly once."""
     left, out = counts.astype(np.int64).copy(), []
     full = lambda p: sum(int(lengths[j]) * m for j, m in p) / capacity
-    ranked = sorted(((p, x) for p, x in fractional(lengths, counts, capacity).items() if len(p) > 1 or p[0][1] > 1 or full(p) == 1), key=lambda a: (-full(a[0]), -a[1], a[0]))
+    ranked = sorted(fractional(lengths, counts, capacity).items(), key=lambda a: (-full(a[0]), -a[1], a[0]))
     for once in (False, True):
         for p, x in ranked:
             k = min(int(left[j]) // m for j, m in p)
-            k = 0 if full(p) < 1 else k if once else min(k, int(x))
+            k = min(k, int(x)) if not once else k if full(p) == 1 else 0
             if k > 0:
                 out.append((p, k))
                 for j, m in p:
                     left[j] -= k * m
-    return out + best_fit(lengths, left, capacity)
+    return best_fit(lengths, left, capacity, out)
 
 
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
-    """Best fit in descending order for what rounding leaves; equal sequences are counted together."""
-    room: list[list[Counter]] = [[] for _ in range(capacity + 1)]
-    open_, done = 0, Counter()
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, begun: list[tuple[tuple, int]] = ()) -> list[tuple[tuple, int]]:
+    """Best fit in descending order for what rounding leaves, into ``begun`` sequences and new ones; a step for each length and kind of sequence."""
+    room: list[Counter] = [Counter() for _ in range(capacity + 1)]
+    open_ = 0
+
+    def put(have: tuple, free: int, k: int) -> None:
+        nonlocal open_
+        if k:
+            room[free][have] += k
+            if free:
+                open_ |= 1 << free
+
+    for p, k in begun:
+        put(tuple(sorted(p)), capacity - sum(int(lengths[j]) * m for j, m in p), k)
     for i in np.argsort(-lengths, kind="stable"):
         size, k = int(lengths[i]), int(left[i])
-        for _ in range(k):
+        while k:
             fit = open_ >> size
             if fit:
                 free = size + (fit & -fit).bit_length() - 1
-                have = room[free].pop()
+                have, n = room[free].popitem()
                 if not room[free]:
                     open_ &= ~(1 << free)
             else:
-                have, free = Counter(), capacity
-            have[int(i)] += 1
-            free -= size
-            if free:
-                room[free].append(have)
-                open_ |= 1 << free
-            else:
-                done[tuple(sorted(have.items()))] += 1
-    for have in (h for r in room for h in r):
-        done[tuple(sorted(have.items()))] += 1
+                have, free, n = (), capacity, k
+            # the tightest sequence stays so until no more of this length fit
+            most = free // size
+            whole = min(n, k // most)
+            last = k - whole * most if whole < n else 0
+            for m, times in ((most, whole), (last, int(last > 0))):
+                held = Counter(dict(have))
+                held[int(i)] += m
+                put(tuple(sorted(held.items())), free - m * size, times)
+            if have:
+                put(have, free, n - whole - (last > 0))
+            k -= whole * most + last
+    done: Counter = Counter()
+    for r in room:
+        done.update(r)
     return sorted(done.items())
 
 
@@ -167,7 +181,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     counts = np.array([r[1] for r in histogram], np.int64)
     table = places(sizes, rounded(sizes, counts, capacity)) if len(sizes) else {}
     before = by_part.select("part_", length, (F.sum("n_").over(Window.partitionBy(length).orderBy("part_")) - F.col("n_")).alias("before_"))
-    # its size depends on the capacity alone: configurations are at most ROUNDS * capacity and what best fit opens for their remainders
+    # its size depends on the capacity alone: configurations are at most ROUNDS * capacity and a few for each length of their remainders
     shared = pieces.sparkSession.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

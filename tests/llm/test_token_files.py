@@ -103,3 +103,39 @@ def test_pack_refuses(spark):
     for n in (0, 65, None):
         with pytest.raises(Exception, match="length"):
             K.pack(spark.createDataFrame([(n,)], "length long"), 64).count()
+
+
+@pytest.mark.parametrize("many", [700, 1500])
+def test_solver_leaves_little(monkeypatch, many):
+    sizes = np.array([many, 1999])
+    counts = np.array([1_000_000, 1000])
+    left = []
+    fit = K.best_fit
+    monkeypatch.setattr(K, "best_fit", lambda lengths, rest, *more: left.append(int(rest.sum())) or fit(lengths, np.minimum(rest, 100), *more))
+    K.rounded(sizes, counts, 2048)
+    assert left[0] <= 2 * K.ROUNDS * len(sizes) * (2048 // many)
+    monkeypatch.setattr(K, "best_fit", fit)
+    if left[0] < 1000:
+        found = K.rounded(sizes, counts * 10**6, 2048)  # no step per piece
+        assert sum(k for _, k in found) <= 10**12 // (2048 // many) + 10**9 + 1
+
+
+def test_best_fit_by_counts():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = np.array(sorted(rng.sample(range(1, 65), rng.randrange(1, 8))))
+        counts = np.array([rng.randrange(0, 30) for _ in sizes])
+        found = K.best_fit(sizes, counts, 64)
+        used = np.zeros(len(sizes), int)
+        for p, k in found:
+            for j, m in p:
+                used[j] += m * k
+        assert (used == counts).all()
+        rooms = []
+        for size, n in sorted(zip(sizes.tolist(), counts.tolist()), reverse=True):
+            for _ in range(n):
+                fits = [r for r in rooms if r >= size]
+                if fits:
+                    rooms.remove(min(fits))
+                rooms.append((min(fits) if fits else 64) - size)
+        assert sorted(rooms) == sorted(64 - sum(int(sizes[j]) * m for j, m in p) for p, k in found for _ in range(k))
