@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
+import os
 import uuid
 
 import pyarrow as pa
@@ -21,7 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Memos that a Python worker holds from one task to the next.
 HELD: list[dict] = []
-_OWN: list[str] = []
 
 
 def release() -> None:
@@ -38,12 +37,12 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; below a temporary one only where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; without that setting there is none to be had on a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="gridweave-"))
-        top = _OWN[0]
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"{os.getcwd()}/spark-checkpoints"  # one machine: any folder is shared
     return f"{top.rstrip('/')}/gridweave-{uuid.uuid4().hex}"
 
 
@@ -54,6 +53,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/gridweave-" in path:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5: such rows never teach."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
