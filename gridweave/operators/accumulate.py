@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridweave.operators.pixels import log_average
+
 
 def _rank(place) -> Column:
     """The sorted sample at a 0-based place that is a function of their number; a cell has one sample for each image."""
@@ -20,14 +22,15 @@ def _half_up(x: Column) -> Column:
 
 
 def _iqd() -> Column:
+    """Upper less lower quartile by rounded places; of three samples the range."""
     s = F.sort_array(F.collect_list("v"))
     at = lambda q: F.get(s, _half_up((F.count("v") - 1) * q).cast("int"))
-    return at(0.75) - at(0.25)
+    return F.when(F.count("v") == 3, F.max("v") - F.min("v")).otherwise(at(0.75) - at(0.25))
 
 
 def _power_mean(p: float) -> Column:
     if p == 0:
-        return F.exp(F.avg(F.ln("v")))
+        return log_average()
     if math.isinf(p):
         return F.max("v") if p > 0 else F.min("v")
     return F.pow(F.avg(F.pow("v", F.lit(p))), F.lit(1 / p))
@@ -46,8 +49,8 @@ def aggregate(op: str, order: str = "image_id") -> Column:
     plain = {
         "sum": lambda: F.sum("v"), "mul": lambda: F.product("v"), "avg": lambda: F.avg("v"), "min": lambda: F.min("v"), "max": lambda: F.max("v"),
         "med": lambda: _rank(lambda n: F.floor((n - (n == 2).cast("int")) / 2)), "medv": lambda: F.median("v"), "cnt": lambda: F.count("v"),
-        "first": lambda: F.min_by("v", F.when(v.isNotNull(), F.col(order))), "euc": lambda: F.sqrt(F.avg(v * v)), "geo": lambda: F.exp(F.avg(F.ln("v"))),
-        "har": lambda: F.when(F.count_if(v == 0) > 0, 0.0).otherwise(F.count("v") / F.sum(F.try_divide(F.lit(1.0), v))), "lav": lambda: F.exp(F.avg(F.ln("v"))),
+        "first": lambda: F.min_by("v", F.when(v.isNotNull(), F.col(order))), "euc": lambda: F.sqrt(F.avg(v * v)), "geo": log_average,
+        "har": lambda: F.when(F.count_if(v == 0) > 0, 0.0).otherwise(F.count("v") / F.sum(F.try_divide(F.lit(1.0), v))), "lav": log_average,
         "lse": lambda: F.ln(F.avg(F.exp("v"))), "std": lambda: F.stddev_pop("v"), "iqd": _iqd,
     }
     if op in plain:
@@ -71,11 +74,9 @@ def accumulate(px: DataFrame, op: str, by: tuple[str, ...] = ("j", "i"), order:
         px = px.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
         return px.groupBy(*by).agg((F.min_by("k", F.struct("v", "k")) if op == "pmin" else F.max_by("k", F.struct(F.col("v"), -F.col("k")))).cast("double").alias("v"))
     if op == "mod":
-        return _mode(px, by)
+        return _mode(px, by, F.col("v"))
     if op[0] == "H":
-        p = float(op[1:])
-        bins = px.groupBy(*by, (F.floor(F.col("v") / p) * p).alias("bin")).agg(F.count("*").alias("n"))
-        return bins.groupBy(*by).agg(F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))).alias("v"))
+        return _mode(px, by, F.floor(F.col("v") / float(op[1:])) * float(op[1:]))
     return px.groupBy(*by).agg(aggregate(op, order).alias("v"))
 
 
@@ -84,8 +85,10 @@ def accumulate_many(px: DataFrame, ops: list[str], by: tuple[str, ...] = ("j", "
     return px.where(F.col("v").isNotNull()).groupBy(*by).agg(*(aggregate(op, order).alias(op) for op in ops))
 
 
-def _mode(px: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """256 integer bins smoothed 1-2-1; bin 128 wins ties, else the lowest."""
-    near = F.explode(F.array(*(F.struct((F.floor("v") + d).cast("int").alias("bin"), F.lit(w).alias("w")) for d, w in ((-1, 1), (0, 2), (1, 1)))))
-    bins = px.where((F.floor("v") >= 0) & (F.floor("v") < 256)).select(*by, near.alias("b")).where("b.bin between 0 and 255").groupBy(*by, F.col("b.bin").alias("bin")).agg(F.sum("b.w").alias("w"))
+def _mode(px: DataFrame, by: tuple[str, ...], level: Column) -> DataFrame:
+    """256 bins of whole levels (cut towards 0), smoothed 1-2-1; other levels don't count; bin 128 wins ties and where nothing counts, else the lowest."""
+    inside = (level > -1) & (level < 256)
+    at = F.when(inside, level.cast("int")).otherwise(128)
+    near = F.explode(F.array(*(F.struct((at + d).alias("bin"), F.when(inside, w).otherwise(0).alias("w")) for d, w in ((-1, 1), (0, 2), (1, 1)))))
+    bins = px.select(*by, near.alias("b")).where("b.bin between 0 and 255").groupBy(*by, F.col("b.bin").alias("bin")).agg(F.sum("b.w").alias("w"))
     return bins.groupBy(*by).agg(F.max_by("bin", F.struct(F.col("w"), F.col("bin") == 128, -F.col("bin"))).cast("double").alias("v"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridweave.operators.pixels import KEYS
+from gridweave.operators.pixels import KEYS, filled, with_dims
 
 
 def element(name: str) -> list[tuple[int, int]]:
@@ -88,26 +88,33 @@ def census(px: DataFrame) -> DataFrame:
     return gather(px, ring, *at).select(*KEYS, weight.cast("double").alias("v"))
 
 
+def _weight_of(kernel: dict[tuple[int, int], float]):
+    """The weight at dx, dy, where there is a neighbour: read from an array by place."""
+    xs, ys = [k[0] for k in kernel], [k[1] for k in kernel]
+    x0, y0, width = min(xs), min(ys), max(xs) - min(xs) + 1
+    table = F.array(*(F.lit(float(kernel.get((x0 + k % width, y0 + k // width), 0.0))) for k in range(width * (max(ys) - y0 + 1))))
+    return F.when(F.col("u").isNotNull(), F.get(table, (F.col("dy") - y0) * width + F.col("dx") - x0))
+
+
 def convolve(px: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
     """Weighted mean over the neighbours that exist; ``kernel`` maps (dx, dy) to weights."""
-    weights = F.create_map(*(x for (dx, dy), w in kernel.items() for x in (F.lit(f"{dx},{dy}"), F.lit(float(w)))))
-    w = F.when(F.col("u").isNotNull(), F.element_at(weights, F.concat_ws(",", F.col("dx").cast("string"), F.col("dy").cast("string"))))
+    w = _weight_of(kernel)
     return gather(px, list(kernel), (F.sum(w * F.col("u")) / F.sum(w)).alias("m")).select(*KEYS, F.col("m").alias("v"))
 
 
 def box_mean(px: DataFrame, r: int) -> DataFrame:
-    """Mean in the square of side 2r+1 by two sliding windows: along rows, then along columns."""
+    """Mean of the known pixels in the square of side 2r+1, by two sliding windows over the whole domain."""
     row = Window.partitionBy("image_id", "j", "c").orderBy("i").rangeBetween(-r, r)
     column = Window.partitionBy("image_id", "i", "c").orderBy("j").rangeBetween(-r, r)
-    d = px.withColumn("s", F.sum("v").over(row)).withColumn("n", F.count("v").over(row))
-    return d.select(*KEYS, (F.sum("s").over(column) / F.sum("n").over(column)).alias("v"))
+    d = filled(px).withColumn("s", F.sum("v").over(row)).withColumn("n", F.count("v").over(row))
+    return d.select(*KEYS, F.try_divide(F.sum("s").over(column), F.sum("n").over(column)).alias("v"), "here").where("here").drop("here")
 
 
 def integral(px: DataFrame) -> DataFrame:
-    """Sum over all pixels up and to the left, itself included."""
+    """Sum over all known pixels up and to the left, itself included."""
     row = Window.partitionBy("image_id", "j", "c").orderBy("i")
     column = Window.partitionBy("image_id", "i", "c").orderBy("j")
-    return px.withColumn("v", F.sum("v").over(row)).withColumn("v", F.sum("v").over(column)).select(*KEYS, "v")
+    return filled(px, 0.0).withColumn("v", F.sum("v").over(row)).withColumn("v", F.sum("v").over(column)).where("here").select(*KEYS, "v")
 
 
 def running_median(series: DataFrame, n: int, by: str, at: str) -> DataFrame:
@@ -120,13 +127,118 @@ def running_median(series: DataFrame, n: int, by: str, at: str) -> DataFrame:
 
 
 def structure_tensor(px: DataFrame, r: int) -> DataFrame:
-    """Box means of gx*gx, gx*gy and gy*gy, with forward differences that are 0 at the far borders."""
+    """Box means of gx*gx, gx*gy and gy*gy, with forward differences that are 0 where the next pixel is missing."""
     row = Window.partitionBy("image_id", "j", "c").orderBy("i")
     column = Window.partitionBy("image_id", "i", "c").orderBy("j")
-    d = px.withColumn("gx", F.coalesce(F.lead("v").over(row) - F.col("v"), F.lit(0.0))).withColumn("gy", F.coalesce(F.lead("v").over(column) - F.col("v"), F.lit(0.0)))
+    ahead = lambda w: F.coalesce(F.first("v").over(w.rangeBetween(1, 1)) - F.col("v"), F.when(F.col("v").isNotNull(), 0.0))
+    d = filled(px).withColumn("gx", ahead(row)).withColumn("gy", ahead(column))
     near_i, near_j = row.rangeBetween(-r, r), column.rangeBetween(-r, r)
     names = {"xx": ("gx", "gx"), "xy": ("gx", "gy"), "yy": ("gy", "gy")}
     for k, (a, b) in names.items():
         d = d.withColumn(k, F.sum(F.col(a) * F.col(b)).over(near_i))
     d = d.withColumn("n", F.count("v").over(near_i))
-    return d.select(*KEYS, *((F.sum(k).over(near_j) / F.sum("n").over(near_j)).alias(k) for k in names))
+    return d.select(*KEYS, "here", *(F.try_divide(F.sum(k).over(near_j), F.sum("n").over(near_j)).alias(k) for k in names)).where("here").drop("here")
+
+
+#: Weights of one-dimensional stencils by place.
+FORWARD, BACKWARD, CENTRED, SECOND = {1: 1.0, 0: -1.0}, {0: 1.0, -1: -1.0}, {1: 0.5, -1: -0.5}, {1: 1.0, 0: -2.0, -1: 1.0}
+SMOOTH = {"sobel": {-1: 0.25, 0: 0.5, 1: 0.25}, "prewitt": {-1: 1 / 3, 0: 1 / 3, 1: 1 / 3}}
+
+
+def stencil(px: DataFrame, weights: dict[int, float], axis: str) -> DataFrame:
+    """Weighted sum of neighbours along one axis; where there is none, or it is null, the pixel itself stands in."""
+    other = "j" if axis == "i" else "i"
+    line = Window.partitionBy("image_id", other, "c").orderBy(axis)
+    at = lambda k: F.col("v") if k == 0 else F.coalesce(F.first("v").over(line.rangeBetween(k, k)), F.col("v"))
+    return px.select(*KEYS, sum((at(k) * w for k, w in weights.items()), F.lit(0.0)).alias("v"))
+
+
+def derivative(px: DataFrame, op: str, scheme: str = "sobel") -> DataFrame:
+    """x, y, xx, yy, xy, l (Laplacian), n (gradient norm), g (gradient as channels 0 and 1), H (xx, xy, yy as channels 0 to 2).
+
+    Schemes of first derivatives: forward, backward, centred, sobel, prewitt. xx, yy and l take the plain second difference.
+    """
+    if op in ("x", "y"):
+        axis, across = ("i", "j") if op == "x" else ("j", "i")
+        base = stencil(px, {"forward": FORWARD, "backward": BACKWARD}.get(scheme, CENTRED), axis)
+        return stencil(base, SMOOTH[scheme], across) if scheme in SMOOTH else base
+    if op in ("xx", "yy"):
+        return stencil(px, SECOND, "i" if op == "xx" else "j")
+    if op == "xy":
+        return stencil(stencil(px, CENTRED, "i"), CENTRED, "j")
+    two = lambda a, b: a.join(b.withColumnRenamed("v", "u"), KEYS)
+    if op == "l":
+        return two(derivative(px, "xx"), derivative(px, "yy")).select(*KEYS, (F.col("v") + F.col("u")).alias("v"))
+    if op == "n":
+        return two(derivative(px, "x", scheme), derivative(px, "y", scheme)).select(*KEYS, F.hypot("v", "u").alias("v"))
+    parts = {"g": ("x", "y"), "H": ("xx", "xy", "yy")}[op]
+    out = None
+    for k, name in enumerate(parts):
+        own = derivative(px.where("c = 0"), name, scheme).withColumn("c", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def flow_derivative(field: DataFrame, op: str, scheme: str = "sobel") -> DataFrame:
+    """d (divergence) or r (curl) of a field in channels 0 and 1."""
+    first, second = (field.where(f"c = {k}").withColumn("c", F.lit(0)) for k in (0, 1))
+    a, b = (derivative(first, "x", scheme), derivative(second, "y", scheme)) if op == "d" else (derivative(second, "x", scheme), derivative(first, "y", scheme))
+    sign = 1.0 if op == "d" else -1.0
+    return a.join(b.withColumnRenamed("v", "u"), KEYS).select(*KEYS, (F.col("v") + sign * F.col("u")).alias("v"))
+
+
+#: Named kernels as functions of the squared distance and a width.
+KERNELS = {
+    "gauss": lambda r2, s: math.exp(-r2 / (2 * s * s)),
+    "laplace": lambda r2, s: math.exp(-math.sqrt(r2) / s),
+    "cauchy": lambda r2, s: 1 / (1 + r2 / (s * s)),
+    "square": lambda r2, s: 1.0,
+    "disk": lambda r2, s: float(r2 <= s * s),
+    "riesz": lambda r2, s: max(r2, 0.25) ** (-s / 2),
+}
+
+
+def kernel(name: str, width: float, radius: int | None = None) -> dict[tuple[int, int], float]:
+    """Weights by (dx, dy) of a named kernel, cut at ``radius`` (three widths for the smooth ones)."""
+    r = radius if radius is not None else math.ceil(width if name in ("square", "disk") else 3 * width)
+    found = {(x, y): KERNELS[name](x * x + y * y, width) for x in range(-r, r + 1) for y in range(-r, r + 1)}
+    return {k: w for k, w in found.items() if w > 0}
+
+
+def blur(px: DataFrame, name: str, width: float, boundary: str = "known", complement: bool = False, radius: int | None = None) -> DataFrame:
+    """Convolution with a named kernel of sum 1; ``complement`` gives the image less that.
+
+    Boundary: known (weights of the pixels that exist are brought to 1), zero (others count as 0), symmetric or
+    periodic (the image goes on beyond its border).
+    """
+    weights = kernel(name, width, radius)
+    total = sum(weights.values())
+    if boundary in ("symmetric", "periodic"):
+        return _minus(px, _beyond(px, {k: w / total for k, w in weights.items()}, boundary), complement)
+    out = convolve(px, weights)
+    if boundary == "zero":
+        w = _weight_of(weights)
+        out = gather(px, list(weights), (F.sum(w * F.col("u")) / total).alias("m")).select(*KEYS, F.col("m").alias("v"))
+    return _minus(px, out, complement)
+
+
+def _minus(px: DataFrame, out: DataFrame, complement: bool) -> DataFrame:
+    if not complement:
+        return out
+    return px.join(out.withColumnRenamed("v", "u"), KEYS).select(*KEYS, (F.col("v") - F.col("u")).alias("v"))
+
+
+def _beyond(px: DataFrame, weights: dict[tuple[int, int], float], boundary: str) -> DataFrame:
+    """Each pixel asks for its neighbours at places wrapped into the domain."""
+    moves = F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(float(w)).alias("wt")) for (x, y), w in weights.items())))
+
+    def wrap(k, n):
+        if boundary == "periodic":
+            return F.pmod(k, n)
+        m = F.pmod(k, 2 * n)
+        return F.when(m < n, m).otherwise(2 * n - 1 - m)
+
+    asked = with_dims(px).select(*KEYS, "w", "h", moves.alias("o"))
+    asked = asked.select(*KEYS, F.col("o.wt").alias("wt"), wrap(F.col("j") + F.col("o.dy"), F.col("h")).alias("sj"), wrap(F.col("i") + F.col("o.dx"), F.col("w")).alias("si"))
+    own = px.where("v is not null").select("image_id", F.col("j").alias("sj"), F.col("i").alias("si"), "c", F.col("v").alias("u"))
+    return asked.join(own, ["image_id", "sj", "si", "c"]).groupBy(*KEYS).agg((F.sum(F.col("wt") * F.col("u")) / F.sum("wt")).alias("v"))

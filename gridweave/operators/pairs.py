@@ -14,12 +14,14 @@ def point_raster(points: DataFrame, w: int, h: int) -> DataFrame:
 
 
 def segments_in_mask(segments: DataFrame, mask: DataFrame) -> DataFrame:
-    """Segments whose both ends, rounded, are at set pixels of the mask."""
+    """Segments of which an end, rounded, is at a set pixel of the mask."""
     set_ = mask.where("v is not null and v != 0").select("j", "i").distinct()
-    out = segments
-    for x, y in (("x1", "y1"), ("x2", "y2")):
-        out = out.join(set_, (F.floor(F.col(x) + 0.5) == F.col("i")) & (F.floor(F.col(y) + 0.5) == F.col("j")), "left_semi")
-    return out
+    out, hits = segments, []
+    for k in (1, 2):
+        own = set_.select(F.col("j").alias(f"mask_j{k}"), F.col("i").alias(f"mask_i{k}"))
+        out = out.join(own, (F.floor(F.col(f"x{k}") + 0.5) == F.col(f"mask_i{k}")) & (F.floor(F.col(f"y{k}") + 0.5) == F.col(f"mask_j{k}")), "left")
+        hits.append(F.col(f"mask_i{k}").isNotNull())
+    return out.where(hits[0] | hits[1]).select(*segments.columns)
 
 
 def pairs_to_image(pairs: DataFrame) -> DataFrame:

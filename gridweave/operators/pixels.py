@@ -57,6 +57,15 @@ def with_stats(px: DataFrame) -> DataFrame:
     return px.join(stats, "image_id")
 
 
+def filled(px: DataFrame, value: float | None = None) -> DataFrame:
+    """All pixels of the domain of each image and channel: those without a row get ``value``, and ``here`` tells which had one."""
+    size = px.groupBy("image_id").agg(F.max("i").alias("w"), F.max("j").alias("h"))
+    grid = px.select("image_id", "c").distinct().join(size, "image_id").withColumn("j", F.explode(F.sequence(F.lit(0), "h"))).withColumn("i", F.explode(F.sequence(F.lit(0), "w")))
+    own = px.select(*KEYS, F.col("v").cast("double").alias("v"), F.lit(True).alias("here"))
+    v = F.col("v") if value is None else F.coalesce("v", F.lit(float(value)))
+    return grid.select(*KEYS).join(own, KEYS, "left").select(*KEYS, v.alias("v"), F.coalesce("here", F.lit(False)).alias("here"))
+
+
 def shift(px: DataFrame, dx: int, dy: int, boundary: str = "nearest") -> DataFrame:
     """Pixel (i, j) takes the value at (i+dx, j+dy); outside by nearest, zero, periodic, symmetric or null."""
     full = with_dims(px)
@@ -150,10 +159,15 @@ def ntiply(px: DataFrame, n: int) -> DataFrame:
     return out.select("image_id", (F.col("j") * n + F.col("dj")).alias("j"), (F.col("i") * n + F.col("di")).alias("i"), "c", "v")
 
 
+def log_average() -> Column:
+    """Exponential of the mean logarithm: 0 if a sample is 0, null if one is negative."""
+    return F.when(F.min("v") == 0, 0.0).when(F.min("v") > 0, F.exp(F.avg(F.ln("v"))))
+
+
 def downsa(px: DataFrame, n: int, rule: str = "v") -> DataFrame:
     """Combine n x n blocks; incomplete ones at the far borders go. Rules: i min, a max, v average, s root of summed squared deviations, n count, e median, l log average."""
     d = with_dims(px).where((F.floor(F.col("i") / n) + 1) * n <= F.col("w")).where((F.floor(F.col("j") / n) + 1) * n <= F.col("h"))
-    agg = {"i": F.min("v"), "a": F.max("v"), "v": F.avg("v"), "s": F.sqrt(F.var_pop("v") * F.count("v")), "n": F.count("v").cast("double"), "e": F.median("v"), "l": F.exp(F.avg(F.ln("v")))}[rule]
+    agg = {"i": F.min("v"), "a": F.max("v"), "v": F.avg("v"), "s": F.sqrt(F.var_pop("v") * F.count("v")), "n": F.count("v").cast("double"), "e": F.median("v"), "l": log_average()}[rule]
     return d.groupBy("image_id", F.floor(F.col("j") / n).cast("int").alias("j"), F.floor(F.col("i") / n).cast("int").alias("i"), "c").agg(agg.alias("v")).select(*KEYS, "v")
 
 

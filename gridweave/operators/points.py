@@ -58,7 +58,8 @@ def track_points(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:
 def gradient_edges(px: DataFrame) -> DataFrame:
     """Absolute differences along grid edges by gray level: the lower end adds, the upper one ends it; cum is the sum at each level."""
     row, column = Window.partitionBy("image_id", "j", "c").orderBy("i"), Window.partitionBy("image_id", "i", "c").orderBy("j")
-    d = px.select("image_id", "v", F.lead("v").over(row).alias("right"), F.lead("v").over(column).alias("below"))
+    after = lambda w: F.first("v").over(w.rangeBetween(1, 1))
+    d = px.select("image_id", "v", after(row).alias("right"), after(column).alias("below"))
     d = d.select("image_id", "v", F.explode(F.array("right", "below")).alias("u")).where("u is not null and v is not null")
     jump = F.abs(F.col("u") - F.col("v"))
     ends = d.select("image_id", F.explode(F.array(F.struct(F.least("u", "v").alias("level"), jump.alias("w")), F.struct(F.greatest("u", "v").alias("level"), (-jump).alias("w")))).alias("e"))

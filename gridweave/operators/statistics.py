@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridweave.operators.pixels import KEYS
+from gridweave.storage import running
 
 
 def histogram(px: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Exact histogram: v, n, and cum, the number up to v."""
+    """Exact histogram: v, n, and cum, the number up to v. Ranges of values are cumulated apart, so one large image is many tasks."""
     counts = px.where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
-    return counts.withColumn("cum", F.sum("n").over(Window.partitionBy(*by).orderBy("v")))
+    return running(counts, list(by), ["v"], "n", "cum")
+
+
+def sort_samples(px: DataFrame, width: int) -> DataFrame:
+    """All samples of each image in rising order, laid out in rows of ``width``."""
+    d = running(px.where("v is not null").withColumn("one", F.lit(1)), ["image_id"], ["v", "c", "j", "i"], "one", "rank")
+    place = F.col("rank") - 1
+    return d.select("image_id", F.floor(place / width).cast("int").alias("j"), (place % width).cast("int").alias("i"), F.lit(0).alias("c"), "v")
 
 
 def percentile_nr(px: DataFrame, percents: list[float], by: tuple[str, ...] = ("image_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from gridweave.operators import neighbours as N
 from gridweave.operators import pixels as P
 from gridweave.operators import points as T
 from gridweave.operators import statistics as S
-from gridweave.plans import resampling  # noqa: F401 - registers its own
+from gridweave.plans import more, resampling  # noqa: F401 - register their own
 from gridweave.plans.registry import ORACLE_SQL, QUERIES, add
 
 _CELL = "SELECT j, i, {} AS v FROM px GROUP BY 1, 2"
@@ -17,18 +17,20 @@ _SORTED = "list_sort(list(v))[CAST({} AS BIGINT) + 1]"
 _SCALAR = {
     "sum": "sum(v)", "mul": "product(v)", "avg": "avg(v)", "min": "min(v)", "max": "max(v)", "medv": "median(v)", "cnt": "count(v)",
     "med": _SORTED.format("CASE WHEN count(v) = 2 THEN 0 ELSE count(v) // 2 END"), "first": "arg_min(v, image_id)", "euc": "sqrt(avg(v * v))", "lse": "ln(avg(exp(v)))", "std": "stddev_pop(v)",
-    "iqd": f"{_SORTED.format('floor((count(v) - 1) * 0.75 + 0.5)')} - {_SORTED.format('floor((count(v) - 1) * 0.25 + 0.5)')}", "q10": _SORTED.format("floor((count(v) - 1) * 0.1 + 0.5)"),
+    "iqd": f"CASE WHEN count(v) = 3 THEN max(v) - min(v) ELSE {_SORTED.format('floor((count(v) - 1) * 0.75 + 0.5)')} - {_SORTED.format('floor((count(v) - 1) * 0.25 + 0.5)')} END", "q10": _SORTED.format("floor((count(v) - 1) * 0.1 + 0.5)"),
 }
 for _op, _sql in _SCALAR.items():
     add(f"accumulate_{_op}", "PS", lambda px, op=_op: A.accumulate(px, op), _CELL.format(_sql))
-_POSITIVE = {
-    "geo": "exp(avg(ln(v)))", "har": "CASE WHEN count(*) FILTER (WHERE v = 0) > 0 THEN 0 ELSE count(v) / sum(1 / nullif(v, 0)) END", "lav": "exp(avg(ln(v)))", "M3": "pow(avg(pow(v, 3)), 1 / 3.0)", "L2": "sum(pow(v, 2)) / sum(v)", "G3,1": "pow(sum(pow(v, 3)) / sum(v), 1 / 2.0)",
+_LOG_AVERAGE = "CASE WHEN min(v) = 0 THEN 0 WHEN min(v) > 0 THEN exp(avg(ln(CASE WHEN v > 0 THEN v END))) END"
+_MEANS = {
+    "geo": _LOG_AVERAGE, "har": "CASE WHEN count(*) FILTER (WHERE v = 0) > 0 THEN 0 ELSE count(v) / sum(1 / nullif(v, 0)) END", "lav": _LOG_AVERAGE, "M3": "pow(avg(pow(v, 3)), 1 / 3.0)", "L2": "sum(pow(v, 2)) / sum(v)", "G3,1": "pow(sum(pow(v, 3)) / sum(v), 1 / 2.0)",
 }
-for _op, _sql in _POSITIVE.items():
-    add("accumulate_" + _op.replace(",", "_"), "PE", lambda px, op=_op: A.accumulate(px.where("v > 0"), op), "SELECT j, i, " + _sql + " AS v FROM px WHERE v > 0 GROUP BY 1, 2")
+for _op, _sql in _MEANS.items():
+    add("accumulate_" + _op.replace(",", "_"), "PE", lambda px, op=_op: A.accumulate(px, op), "SELECT j, i, " + _sql + " AS v FROM px GROUP BY 1, 2")
 add("accumulate_pmax", "PS", lambda px: A.accumulate(px, "pmax"), "SELECT j, i, CAST(arg_max(k, struct_pack(v := v, k := -k)) AS DOUBLE) AS v FROM (SELECT *, row_number() OVER (PARTITION BY j, i ORDER BY image_id) - 1 AS k FROM px) GROUP BY 1, 2")
-add("accumulate_H5", "PU", lambda px: A.accumulate(px, "H5"), "SELECT j, i, arg_max(b, struct_pack(n := n, b := -b)) AS v FROM (SELECT j, i, floor(v / 5) * 5 AS b, count(*) AS n FROM px GROUP BY 1, 2, 3) GROUP BY 1, 2")
-add("accumulate_mod", "PU", lambda px: A.accumulate(px, "mod"), "SELECT j, i, CAST(arg_max(b, struct_pack(w := w, m := b = 128, b := -b)) AS DOUBLE) AS v FROM (SELECT j, i, b, sum(w) AS w FROM (SELECT j, i, floor(v) + d AS b, 2 - abs(d) AS w FROM px, (VALUES (-1), (0), (1)) t(d)) WHERE b BETWEEN 0 AND 255 GROUP BY 1, 2, 3) GROUP BY 1, 2")
+_MODE = "SELECT j, i, CAST(arg_max(b, struct_pack(w := w, m := b = 128, b := -b)) AS DOUBLE) AS v FROM (SELECT j, i, b, sum(w) AS w FROM (SELECT j, i, trunc({}) + d AS b, 2 - abs(d) AS w FROM px, (VALUES (-1), (0), (1)) t(d)) WHERE b BETWEEN 0 AND 255 GROUP BY 1, 2, 3) GROUP BY 1, 2"
+add("accumulate_H5", "PU", lambda px: A.accumulate(px, "H5"), _MODE.format("floor(v / 5) * 5"))
+add("accumulate_mod", "PU", lambda px: A.accumulate(px, "mod"), _MODE.format("v"))
 add("accumulate_stack", "PS", lambda px: A.accumulate_many(px, ["sum", "avg", "min", "max", "std", "medv"]), "SELECT j, i, sum(v) AS sum, avg(v) AS avg, min(v) AS min, max(v) AS max, stddev_pop(v) AS std, median(v) AS medv FROM px GROUP BY 1, 2")
 
 add("affine", "PV", lambda px: P.affine(px, 2.0, 1.0), "SELECT image_id, j, i, c, v * 2 + 1 AS v FROM px")

@@ -10,8 +10,10 @@ from gridweave.operators.pixels import tileize, untile
 
 def write_matrix_text(px: DataFrame, path: str, sep: str = " ") -> None:
     """One line per raster row: image, row, then the samples; a missing one is ``nan``."""
-    line = F.sort_array(F.collect_list(F.struct("i", F.coalesce(F.col("v").cast("string"), F.lit("nan")).alias("s"))))
-    rows = px.groupBy("image_id", "j").agg(F.concat_ws(sep, F.transform(line, lambda x: x["s"])).alias("body"))
+    width = px.groupBy("image_id").agg(F.max("i").alias("last"))
+    line = F.map_from_entries(F.collect_list(F.struct("i", F.col("v").cast("string"))))  # as many as columns
+    rows = px.groupBy("image_id", "j").agg(line.alias("line")).join(width, "image_id")
+    rows = rows.withColumn("body", F.concat_ws(sep, F.transform(F.sequence(F.lit(0), "last"), lambda i: F.coalesce(F.element_at("line", i), F.lit("nan")))))
     rows.select(F.concat_ws("\t", F.col("image_id").cast("string"), F.col("j").cast("string"), "body").alias("value")).write.text(path)
 
 
@@ -23,12 +25,13 @@ def read_matrix_text(spark: SparkSession, path: str, sep: str = " ") -> DataFram
 
 def write_raster(px: DataFrame, path: str, side: int = 64) -> None:
     """Tiles partitioned by image and sorted by place, so a rectangle reads only its row groups."""
-    tileize(px, side, side).repartition("image_id", "tj").sortWithinPartitions("tj", "ti").write.partitionBy("image_id").mode("append").parquet(path)
+    tileize(px, side, side).withColumn("side", F.lit(side)).repartition("image_id", "tj").sortWithinPartitions("tj", "ti").write.partitionBy("image_id").mode("append").parquet(path)
 
 
-def read_raster(spark: SparkSession, path: str, rect: tuple[int, int, int, int] | None = None, side: int = 64) -> DataFrame:
-    """``rect``: x0, y0, xf, yf, the far corner excluded; pushed down to the tiles."""
+def read_raster(spark: SparkSession, path: str, rect: tuple[int, int, int, int] | None = None, side: int | None = None) -> DataFrame:
+    """``rect``: x0, y0, xf, yf, the far corner excluded; pushed down to the tiles, whose side the store tells."""
     tiles = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    side = side or (tiles.select("side").first() or [64])[0]
     if rect:
         x0, y0, xf, yf = rect
         tiles = tiles.where(f"ti between {x0 // side} and {(xf - 1) // side} and tj between {y0 // side} and {(yf - 1) // side}")

@@ -79,7 +79,7 @@ def test_pairs(spark):
     segments = spark.createDataFrame([(0.2, 0.0, 1.0, 1.0), (5.0, 5.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
     heights = image(spark, [[7.0, 0.0], [0.0, 9.0]])
     assert [(r.z1, r.z2) for r in R.elevate(segments, heights, heights).collect()] == [(7.0, 9.0)]
-    assert R.segments_in_mask(segments, heights).count() == 1
+    assert R.segments_in_mask(segments, heights).count() == 2  # one end is enough
     matches = spark.createDataFrame([(1, 10, 1.0), (1, 11, 4.0), (2, 10, 3.0), (2, 12, 3.1), (3, 9, 2.0)], "`from` int, `to` int, d double")
     assert sorted((r["from"], r.to) for r in R.second_best(matches, 0.8).collect()) == [(1, 10), (3, 9)]
     assert R.match_triplets(matches.where("`from` = 3"), matches).count() == 1
