@@ -3,7 +3,10 @@
 A token of either vocabulary never reaches from a visible character into the blanks after it, so a
 text may be cut there and its parts be encoded apart; results equal those for whole texts. Words
 repeat: each batch is cut and its distinct words are found by Arrow, most of those are looked up, only
-new ones are encoded, and the ids are laid out by numpy.
+new ones are encoded, and the ids are laid out by numpy. A new word of common letters with signs behind it is put together
+from both, which other words share.
+
+Edge cases: null counts as empty; a text above ``step`` bytes is laid out by itself, in memory that grows with it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,27 @@ import pyarrow.compute as pc
 _BLANK = re.compile(r"\s")
 #: Cuts before a certain blank that follows what is certainly visible.
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
+#: At most one blank, letters that both vocabularies' patterns keep together, and signs, which they keep apart from these.
+_SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-į]+)([!-/:-@\[-`{-~]*)")
+
+
+class Memo:
+    """A mapping of bounded size: when the newer half is full, the older one is dropped; what is asked for moves to the newer."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def get_all(self, keys: list[str]) -> list[bytes | None]:
+        found = [*map(self.new.get, keys)]
+        if self.old:
+            for i, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[i])) is not None:
+                    found[i] = self.new[keys[i]] = value
+        return found
+
+    def trim(self) -> None:
+        if len(self.new) > self.limit // 2:
+            self.old, self.new = self.new, {}
 
 
 class ChunkEncoder:
@@ -25,15 +49,15 @@ class ChunkEncoder:
 
     encode_many: encodes a list of chunks, each with its leading blanks, to packed little-endian ids.
     blank_matters: whether a word after a space encodes differently from the word alone.
-    limit: words after which the memo starts anew; bounds memory, never results.
+    limit: words that are remembered; bounds memory, never results.
     step: bytes of text that are laid out at a time.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 600_000, step: int = 3 << 20):
-        self.encode_many, self.limit, self.step = encode_many, limit, step
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 500_000, step: int = 4 << 20):
+        self.encode_many, self.step = encode_many, step
         self.lead = " " if blank_matters else ""
-        self.words: dict[str, bytes] = {}  # without the space before it
-        self.chunks: dict[str, bytes] = {}
+        self.words = Memo(limit)  # without the space before it
+        self.pieces = Memo(limit)
 
     def slices(self, texts: pa.Array, tail: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Ids of consecutive texts, about ``step`` bytes at a time: first row, ids, and where each text starts and the last ends.
@@ -60,15 +84,38 @@ class ChunkEncoder:
             out += [packed[a:b] for a, b in zip(at, at[1:])]
         return out
 
+    def _pieces(self, chunk: str) -> tuple[str, ...]:
+        """Parts that encode one by one to what the chunk does."""
+        m = _SIMPLE.fullmatch(chunk)
+        if not m:
+            return (chunk,)
+        blank, letters, signs = m.groups()
+        if not self.lead:
+            letters, blank = letters.lower(), ""
+        elif blank == " ":
+            letters, blank = chunk[: m.end(2)], ""
+        return tuple(x for x in (blank, letters, signs) if x)
+
+    def _resolve(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks with their leading blanks."""
+        split = [*map(self._pieces, chunks)]
+        asked = list(dict.fromkeys(p for ps in split for p in ps))
+        found = dict(zip(asked, self.pieces.get_all(asked)))
+        fresh = [p for p, ids in found.items() if ids is None]
+        if fresh:
+            new = dict(zip(fresh, self.encode_many(fresh)))
+            found |= new
+            self.pieces.new |= new
+        return [found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        for memo, most in ((self.words, self.limit), (self.chunks, self.limit // 4)):
-            if len(memo) > most:
-                memo.clear()
+        self.words.trim()
+        self.pieces.trim()
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        known = [*map(self.words.get, words)]
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.words.get_all(words)
         fresh = [i for i, ids in enumerate(known) if ids is None]
         odd = [i for i in fresh if not words[i] or _BLANK.search(words[i])]
         first = offsets[:-1]
@@ -80,22 +127,21 @@ class ChunkEncoder:
                 hit[first[index[first] == words.index("")]] = False  # a single space that opens a text
             whole[np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1] = True
         cuts = {i: _CUT.split(self.lead + words[i]) for i in set(odd).difference(runs)}
-        alone = {}  # what opens a text has no space before it
+        alone = []  # what opens a text has no space before it
         for row in range(len(texts)):
             text = texts[row].as_py() if whole[row] else words[index[first[row]]]
-            alone[row] = _CUT.split(text) if text else []
-        wanted = {c for cs in (*cuts.values(), *alone.values()) for c in cs}.difference(self.chunks)
+            alone.append(_CUT.split(text) if text else [])
         odd_set = set(odd)
         plain = [i for i in fresh if i not in odd_set]
-        ask = [*(self.lead + words[i] for i in plain), *wanted]
-        found = self.encode_many(ask) if ask else []
+        rest = list({c for cs in (*cuts.values(), *alone) for c in cs})
+        found = self._resolve([*(self.lead + words[i] for i in plain), *rest])
         for i, ids in zip(plain, found):
-            known[i] = self.words[words[i]] = ids
-        self.chunks.update(zip(wanted, found[len(plain) :]))
-        joined = lambda cs: b"".join([self.chunks[c] for c in cs])
+            known[i] = self.words.new[words[i]] = ids
+        chunks = dict(zip(rest, found[len(plain) :]))
+        joined = lambda cs: b"".join([chunks[c] for c in cs])
         for i in odd:
             known[i] = joined(cuts[i]) if i in cuts else b""
-        known += [joined(alone[row]) for row in range(len(texts))]
+        known += map(joined, alone)
         index[first] = len(words) + np.arange(len(texts))
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts = np.cumsum(sizes) - sizes
