@@ -1,17 +1,22 @@
 """Finding documents that are a known licence, by digests of their canonical texts.
 
-A text is put into canonical form by built-in functions: lower case, lines that state a copyright or
-the licence's own title dropped, equivalent spellings made equal, everything but letters and digits turned
-into single spaces. The SHA-256 of that is joined with the digests of the known licences, which are made
-from ``KNOWN`` by the same expression; the table is fixed and small, so it is broadcast.
-
-Edge cases: null and empty texts and those with nothing left have the digest of the empty string and
-match nothing; a licence inside a longer text doesn't match, since whole texts are compared; repeated rows
-each get their answer.
+A text is put into canonical form by built-in functions: lower case, copyright statements (a word or sign for it with
+a year or a second sign) and the licence's own title dropped, equivalent spellings made equal, everything but letters and
+digits turned into single spaces; so line breaks don't matter. The SHA-256 of that is joined with the digests of the known
+licences, which are made by the same expression from the whole texts in ``licence_texts``, one file each, named by its
+SPDX identifier; there are as many rows as files, so they are broadcast.
+
+Edge cases: null and empty texts and those with nothing left have the digest of the empty string and match nothing; a
+licence inside a longer text doesn't match, since whole texts are compared; repeated rows each get their answer; texts
+of any length are read whole; an empty table gives an empty one; columns that have an added name raise ValueError. A
+holder's name of more than 80 signs on one line with the licence, or on lines of its own without a year, stays, so
+such a copy doesn't match.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,75 +24,23 @@ from gridweave.llm.common import unused_name
 
 #: Spellings that count as the same, after lower-casing.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("whilst", "while"), ("organisation", "organization"), ("authorisation", "authorization"), ("favour", "favor"), ("copyright owner", "copyright holder"), ("©", "(c)"), ("https:", "http:"))
-#: Lines that never count.
-TITLE_LINES = r"(?m)^[ \t]*(copyright\b.*|\(c\).*|©.*|all rights reserved\.?|the [a-z0-9 -]{1,20} licen[sc]e( \([a-z0-9 -]+\))?|[a-z0-9 -]{1,20} licen[sc]e)[ \t]*$"
-
-_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
-SOFTWARE."""
-_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
-REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
-AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
-LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
-OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
-PERFORMANCE OF THIS SOFTWARE."""
-_BSD_START = """Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-1. Redistributions of source code must retain the above copyright notice, this
-list of conditions and the following disclaimer.
-2. Redistributions in binary form must reproduce the above copyright notice,
-this list of conditions and the following disclaimer in the documentation
-and/or other materials provided with the distribution."""
-_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its
-contributors may be used to endorse or promote products derived from
-this software without specific prior written permission."""
-_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
-AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
-IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
-DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
-FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
-DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
-SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
-CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
-OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
-OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-#: Texts of public licences and the one-line notices that stand for longer ones.
-KNOWN = {
-    "MIT": f"""Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-{_AS_IS}""",
-    "ISC": f"""Permission to use, copy, modify, and/or distribute this software for any
-purpose with or without fee is hereby granted, provided that the above
-copyright notice and this permission notice appear in all copies.
-{_ISC_END}""",
-    "0BSD": f"""Permission to use, copy, modify, and/or distribute this software for any
-purpose with or without fee is hereby granted.
-{_ISC_END}""",
-    "BSD-2-Clause": f"{_BSD_START}\n{_BSD_END}",
-    "BSD-3-Clause": f"{_BSD_START}\n{_BSD_THIRD}\n{_BSD_END}",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT notice": "Licensed under the MIT License.",
-}
+#: Lines that never count: copyright statements and reservations.
+STATEMENT_LINES = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*((19|20)[0-9][0-9]|\(c\)|©|<year>|\[year\]|\[yyyy\])[^\n]*$"
+RESERVED_LINES = r"(?m)^[ \t]*all rights reserved\.?[ \t]*$"
+#: In canonical text: a statement before the first words of a licence, and a title at its start.
+STATEMENT = r"copyright (c )?((19|20)[0-9][0-9] ){1,6}[a-z0-9 ]{0,80}?(permission is hereby|permission to use|redistribution and use|all rights reserved|licensed under)"
+TITLE = r"^(the )?[a-z0-9 ]{1,30} license ((mit|isc|bsd|0bsd) )?"
+KNOWN = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), TITLE_LINES, " ")
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for lines in (STATEMENT_LINES, RESERVED_LINES):
+        out = F.regexp_replace(out, lines, " ")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’–— ]+", " "))
+    out = F.trim(F.regexp_replace(out, r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’–—\u00a0]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, STATEMENT, "$4"), TITLE, ""))
 
 
 def digest(text: Column) -> Column:
@@ -107,10 +60,13 @@ def scan(docs: DataFrame, known: dict[str, str] = KNOWN, text: str = "text") ->
 
 
 def _sql(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{TITLE_LINES}', ' ', 'g')"
+    out = f"lower(coalesce({text}, ''))"
+    for lines in (STATEMENT_LINES, RESERVED_LINES):
+        out = f"regexp_replace({out}, '{lines}', ' ', 'g')"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
-    return f"sha256(trim(regexp_replace({out}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f“”‘’–—\\x{{a0}}]+', ' ', 'g')))"
+    out = f"trim(regexp_replace({out}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f“”‘’–—\\x{{a0}}]+', ' ', 'g'))"
+    return f"sha256(trim(regexp_replace(regexp_replace({out}, '{STATEMENT}', '\\4', 'g'), '{TITLE}', '')))"
 
 
 _values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())

@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave.llm import licences, quality_rules
 
@@ -51,3 +52,20 @@ def test_licences(spark):
     texts = [mit, "The MIT License (MIT)\n\nCopyright (c) 2001 X\n\n" + mit.replace("\n", "  \n ").replace("sublicense", "sub-licence"), mit + " and more", None, "", "Copyright X"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, known_digest string")
     assert [r.licence for r in licences.scan(df).orderBy("doc_id").collect()] == ["MIT", "MIT", None, None, None, None]
+
+
+def test_licences_rewrapped(spark):
+    """Line breaks, a statement on the licence's own line and a title don't matter."""
+    rows = []
+    for name in ("MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3", "MPL-2.0", "Unlicense"):
+        words = licences.KNOWN[name].split()
+        wrapped = licences.KNOWN[name] if name in ("GPL-3", "Apache-2.0") else "\n".join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5))
+        rows += [(name, wrapped), (name, licences.KNOWN[name].replace("license", "licence").upper())]
+    one = " ".join(licences.KNOWN["MIT"].split())
+    rows += [("MIT", "MIT License Copyright (c) 2020 Some Person " + one), ("MIT", f"Copyright 2019, 2021 A. Person\n{one}"), (None, one[:-40]), (None, "Copyright (c) 2020 X"), (None, licences.KNOWN["GPL-3"] + " and so on")]
+    df = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(rows)], "doc_id int, wanted string, text string")
+    assert [(r.doc_id, r.licence) for r in licences.scan(df.union(df)).orderBy("doc_id").collect()] == [(k, name) for k, (name, _) in enumerate(rows) for _ in range(2)]
+    assert licences.scan(df.limit(0)).count() == 0
+    assert licences.scan(df.select("doc_id", F.repeat("text", 300).alias("text"))).where("licence is not null").count() == 0
+    with pytest.raises(ValueError):
+        licences.scan(df.withColumn("Licence", F.lit(1)))
