@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and the beginnings of words (``STEMS`` letters), lower-cased. Every term counts, in examples and in
-queries; a query's terms that no example has count in its length. A term weighs (1 + log tf) * idf, times
-1 + sqrt(chi-square) of its presence with the label, so that what tells the classes apart isn't drowned by
-the rest; no term is left out for being rare or even.
+queries; a query's terms that no example has count in its length. A term weighs (1 + log tf) * idf, where idf is
+counted over all documents, times 1 + sqrt(chi-square) of its presence with the label among the examples, so that what
+tells the classes apart isn't drowned by the rest; no term is left out for being rare or even.
 
 Examples are held in blocks of ``BLOCK``. The ``DENSE`` most common terms are kept as matrices by block, with the greatest
 weight of each term in each block, all others as postings. A query adds up its postings exactly; that and
@@ -16,7 +16,9 @@ without any. Evidence is the ids and cosines of the nearest neighbours.
 
 Training takes at most ``max_examples`` labelled rows, chosen by hash; everything else sees every row.
 
-Edge cases: null text counts as empty; without labels, or with one class only, the score is the rate, or 0 with
+Edge cases: null text counts as empty; texts of any length are read whole; repeated rows each get their score, and each
+counts as a document; where ids of examples repeat, equal texts teach once, and at most ``MOST_ROWS`` times ``max_examples`` different ones, chosen by
+hash, so that the sample stays bounded; without labels, or with one class only, the score is the rate, or 0 with
 no labels at all; conflicting labels of one id all count; ties in cosine (to six digits) go to the smaller id.
 """
 
@@ -26,7 +28,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +40,73 @@ from gridweave.llm.common import held_out, release
 
 STEMS, BLOCK, NEIGHBOURS, SOFT, DENSE = (4, 5, 6), 64, 15, 0.05, 1024
 _WORD = re.compile(r"\w+")
-_MEMO_LIMIT = 150_000
-#: Texts that are scored at once, and the first id of terms that no example has; ids are below twice that.
-_GROUP, _UNSEEN = 128, 1 << 30
+#: Different texts that teach, at most, for each labelled id.
+MOST_ROWS = 4
+#: Texts, and bytes of text, whose terms are counted at once, and texts whose scores are held at once.
+_GROUP, _STEP, _AT_ONCE = 512, 4 << 20, 256
 
 
-def terms_of(chunk: str) -> tuple[str, ...]:
-    """Terms of a run of visible characters."""
+def terms_of(text: str) -> tuple[str, ...]:
+    """Terms of a text, as often as they stand; ``tally`` counts the same for many texts at once."""
     out = []
-    for w in _WORD.findall(chunk.lower()):
+    for w in _WORD.findall(text.lower()):
         out.append(w)
         out += [f"{w[:n]}-" for n in STEMS if len(w) > n]
     return tuple(out)
 
 
+@dataclass
+class Counts:
+    """Terms of consecutive texts: by text and term, rising; ``term`` is a place in ``names``."""
+
+    size: int
+    names: list[str]
+    text: np.ndarray
+    term: np.ndarray
+    times: np.ndarray
+
+
+def tally(texts: pa.Array) -> Counts:
+    """How often each term stands in each text."""
+    words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), r"[^\pL\pN_]+", " "))
+    flat = words.flatten()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))[real]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    own = coded.dictionary
+    pair = np.sort(text * max(1, len(own)) + coded.indices.to_numpy(zero_copy_only=False))
+    new = np.flatnonzero(np.diff(pair, prepend=-1))
+    times = np.diff(new, append=len(pair))
+    text, word = np.divmod(pair[new], max(1, len(own)))
+    letters = pc.utf8_length(own).to_numpy(zero_copy_only=False)
+    dash, none = pa.scalar("-", pa.large_string()), pa.scalar("", pa.large_string())
+    stems = [pc.binary_join_element_wise(pc.utf8_slice_codeunits(own.filter(pa.array(letters > n)), 0, n), dash, none) for n in STEMS]
+    terms = pa.concat_arrays([own, *stems]).dictionary_encode()
+    names = terms.dictionary.to_numpy(zero_copy_only=False).tolist()
+    owner = np.concatenate([np.arange(len(own)), *(np.flatnonzero(letters > n) for n in STEMS)])
+    by_word = np.argsort(owner, kind="stable")
+    of_word, per_word = terms.indices.to_numpy(zero_copy_only=False)[by_word], np.bincount(owner, minlength=len(own))
+    first, per = (np.cumsum(per_word) - per_word)[word], per_word[word]
+    at = of_word[np.repeat(first - np.cumsum(per) + per, per) + np.arange(per.sum())]
+    key = np.repeat(text, per) * max(1, len(names)) + at
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    total = np.add.reduceat(np.repeat(times, per)[order], new) if len(new) else new
+    text, term = np.divmod(key[new], max(1, len(names)))
+    return Counts(len(texts), names, text, term, total)
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of at most ``_GROUP`` texts and ``_STEP`` bytes, or one text, and the place of the first."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, min(lo + _GROUP, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _STEP, "right"))))
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
+
+
 @dataclass
 class Index:
     """The examples' weights in blocks, and what turns votes into scores."""
@@ -65,39 +120,37 @@ class Index:
     without: float
     unseen: float = 1.0
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of the other terms
-    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    values: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.empty(0))
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text and their weights; all its terms count in the length."""
-        known = at < len(self.idf)
-        idf = np.full(len(at), self.unseen)
-        idf[known] = self.idf[at[known]]
-        w = (1 + np.log(n)) * idf
-        return at[known], (w / math.sqrt(float(w @ w)))[known]
-
-    def _postings(self, at: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
-        """Sums over the terms that aren't held as matrices, by place."""
-        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.places[rows], self.values[rows] * np.repeat(w, n), size)
-
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest, exactly; ``but`` is left out."""
-        return self.nearest_of([(at, w)], k, [but])[0]
-
-    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the k nearest of a text with terms ``at`` and weights ``w``, exactly; ``but`` is left out."""
+        return self.nearest_of(1, np.zeros(len(at), np.int64), at, w, k, [but])[0]
+
+    def _postings(self, size: int, text: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Sums over the terms that aren't held as matrices: a row for each text, a column for each place."""
+        width = self.weights.shape[0] * self.weights.shape[2]
+        scores = np.zeros((size, width), self.weights.dtype)
+        starts, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        cuts = np.searchsorted(text, np.arange(size + 1))
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):  # one text's rows stay in the processor's cache
+            if lo < hi:
+                own, per = starts[lo:hi], n[lo:hi]
+                ends = np.cumsum(per)
+                rows = np.repeat(own - ends + per, per)
+                rows += np.arange(len(rows))
+                scores[k] = np.bincount(self.places[rows], self.values[rows] * np.repeat(w[lo:hi], per), width)
+        return scores
+
+    def nearest_of(self, size: int, text: np.ndarray, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for ``size`` texts; all three arrays have a place for each term of a text, by text."""
         blocks, common, width = self.weights.shape
-        q = np.zeros((len(queries), common), self.weights.dtype)
-        scores = np.zeros((len(queries), blocks * width), self.weights.dtype)
-        for i, (at, w) in enumerate(queries):
-            split = int(np.searchsorted(at, common))
-            q[i, at[:split]] = w[:split]
-            if split < len(at):
-                scores[i] = self._postings(at[split:] - common, w[split:], blocks * width)
-        scores = scores.reshape(len(queries), blocks, width)
+        q = np.zeros((size, common), self.weights.dtype)
+        often = at < common
+        q[text[often], at[often]] = w[often]
+        scores = self._postings(size, text[~often], at[~often] - common, w[~often]).reshape(size, blocks, width)
         bounds = q @ self.tops.T + scores.max(2)
         done = np.zeros(bounds.shape, bool)
 
@@ -107,19 +160,20 @@ class Index:
                 scores[own, b] += q[own] @ self.weights[b]
             done[wanted] = True
 
+        best = np.argsort(-bounds, 1, "stable")[:, : 1 + -(-k // width)]
         first = np.zeros(bounds.shape, bool)
-        np.put_along_axis(first, np.argsort(-bounds, 1, "stable")[:, : 1 + -(-k // width)], True, 1)
+        np.put_along_axis(first, best, True, 1)
         complete(first & (bounds > 0))
         if but is not None:
             for i, place in enumerate(but):
                 if place >= 0:
                     scores[i, place // width, place % width] = -np.inf
-        seen = np.where(done[:, :, None], scores, 0).reshape(len(queries), -1)
-        reached = np.partition(seen, -k, 1)[:, -k] if k < seen.shape[1] else np.zeros(len(queries))
+        seen = np.where(np.take_along_axis(done, best, 1)[:, :, None], np.take_along_axis(scores, best[:, :, None], 1), 0).reshape(size, -1)
+        reached = np.partition(seen, -k, 1)[:, -k] if k < seen.shape[1] else np.zeros(size)
         complete(~done & (bounds > 0) & (bounds >= np.maximum(reached, 0)[:, None] - 1e-5))
         out = []
-        seen = np.where(done[:, :, None], scores, 0).reshape(len(queries), -1)
-        reached = np.partition(seen, -k, 1)[:, -k] if k < seen.shape[1] else np.zeros(len(queries))
+        seen = np.where(done[:, :, None], scores, 0).reshape(size, -1)
+        reached = np.partition(seen, -k, 1)[:, -k] if k < seen.shape[1] else np.zeros(size)
         for row, least in zip(seen, reached):
             found = np.flatnonzero((row > 0) & (row >= least - 1e-6))
             cosines = row[found].astype(float)
@@ -131,16 +185,26 @@ class Index:
         power = 1 / (1 - np.minimum(cosines, 1) + SOFT)
         return float((power @ self.labels[places] + 0.5 * self.without) / (power.sum() + 0.5)) if len(places) else self.without
 
-    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Score, places and cosines for each text's terms and their counts."""
-        out = [(self.without, np.empty(0, np.int64), np.empty(0))] * len(texts)
-        some = [i for i, (at, _) in enumerate(texts) if len(at) and len(self.ids)]
-        found = self.nearest_of([self.vector(*texts[i]) for i in some]) if some else []
-        for i, (places, cosines) in zip(some, found):
-            if len(places):
-                v = min(max(self.vote(places, cosines), 1e-4), 1 - 1e-4)
-                x = self.slope * math.log(v / (1 - v)) + self.shift
-                out[i] = 1 / (1 + math.exp(-min(max(x, -30.0), 30.0))), places, cosines
+    def score(self, counts: Counts) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, places and cosines for each text. A term that no example has counts in the length."""
+        out = [(self.without, np.empty(0, np.int64), np.empty(0))] * counts.size
+        if not len(self.ids):
+            return out
+        known = np.fromiter(map(self.terms.get, counts.names, repeat(-1)), np.int64, len(counts.names))
+        idf = np.where(known >= 0, self.idf[known], self.unseen)
+        w = (1 + np.log(counts.times)) * idf[counts.term]
+        w /= np.sqrt(np.bincount(counts.text, w * w, counts.size))[counts.text]
+        at = known[counts.term]
+        some = at >= 0
+        text, at, w = counts.text[some], at[some], w[some]
+        for lo in range(0, counts.size, _AT_ONCE):
+            own = slice(*np.searchsorted(text, [lo, lo + _AT_ONCE]))
+            part = min(_AT_ONCE, counts.size - lo)
+            for i, (places, cosines) in enumerate(self.nearest_of(part, text[own] - lo, at[own], w[own]), lo):
+                if len(places):
+                    v = min(max(self.vote(places, cosines), 1e-4), 1 - 1e-4)
+                    x = self.slope * math.log(v / (1 - v)) + self.shift
+                    out[i] = 1 / (1 + math.exp(-min(max(x, -30.0), 30.0))), places, cosines
         return out
 
 
@@ -160,15 +224,18 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id", "toxic"), "id").limit(max_examples)
     # at most max_examples rows of 12 bytes
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "toxic", "text")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "toxic", F.xxhash64("text").alias("h"), "text")
+    # ids may repeat: a bounded number of different texts, equal ones once; again short rows
+    picked = labelled.select("id", "toxic", "h").distinct().orderBy(F.xxhash64("id", "toxic", "h"), "id", "toxic", "h").limit(MOST_ROWS * max_examples)
+    sample = labelled.join(F.broadcast(picked), ["id", "toxic", "h"]).groupBy("id", "toxic", "h").agg(F.first("text").alias("text")).select("id", "toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms: dict[str, int] = {}
-            found = Finder(terms, grow=True)(batch.column(2))
-            names = np.array([*terms, ""], object)
-            at = pa.array([names[a].tolist() for a, _ in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, pa.array([n for _, n in found], pa.list_(pa.int32()))], names=["id", "toxic", "at", "n"])
+            for lo, texts in _groups(batch.column(2)):
+                c = tally(texts)
+                ends = np.searchsorted(c.text, np.arange(len(texts) + 1)).astype(np.int32)
+                at = pa.ListArray.from_arrays(ends, pa.array(c.names, pa.string()).take(pa.array(c.term)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), at, pa.ListArray.from_arrays(ends, pa.array(c.times.astype(np.int32)))], names=["id", "toxic", "at", "n"])
 
     # its size is bounded by max_examples, as is all that follows
     rows = sample.mapInArrow(count, "id bigint, toxic int, at array<string>, n array<int>").toArrow().combine_chunks().sort_by([("id", "ascending"), ("toxic", "ascending")])
@@ -182,14 +249,15 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
     n = pc.list_flatten(rows["n"]).to_numpy().astype(np.float32)
     del rows
     names, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    every, common_to = _document_counts(docs, names)
     row = np.repeat(np.arange(size, dtype=np.int32), per)
     have, bad = np.bincount(at, minlength=len(names)).astype(float), np.bincount(at, toxic[row], len(names))
     order = np.lexsort((names.to_numpy(zero_copy_only=False), -have))
     have, bad, renamed = have[order], bad[order], np.empty(len(order), np.int32)
     renamed[order] = np.arange(len(order))
-    at, terms = renamed[at], {t: k for k, t in enumerate(names.take(pa.array(order)).to_pylist())}
+    at, terms = renamed[at], {t: k for k, t in enumerate(names.take(pa.array(order)).to_numpy(zero_copy_only=False).tolist())}
     chi2 = size * (bad * (size - positive) - (have - bad) * positive) ** 2 / np.maximum(have * (size - have) * positive * (size - positive), 1)
-    idf = (np.log((1 + size) / (1 + have)) + 1) * (1 + np.sqrt(np.where(have < size, chi2, 0)))
+    idf = (np.log((1 + every) / (1 + common_to[order])) + 1) * (1 + np.sqrt(np.where(have < size, chi2, 0)))
     w = (1 + np.log(n)) * idf[at].astype(np.float32)
     w /= np.sqrt(np.bincount(row, w.astype(float) ** 2, size)).astype(np.float32)[row]
     # examples whose heaviest terms are the same share blocks
@@ -206,66 +274,41 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
     rest = rest[np.argsort(at[rest], kind="stable")]
     starts = np.concatenate([[0], np.cumsum(np.bincount(at[rest] - common, minlength=len(terms) - common))]).astype(np.int64)
     bare = per == 0
-    index = Index(terms, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + size) + 1, starts, place[rest], w[rest])
+    index = Index(terms, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + every) + 1, starts, place[rest].astype(np.int64), w[rest].astype(float))
     if len(some):
         tried = np.random.default_rng(5).permutation(len(some))[:2000]
         votes = []
-        for k in range(0, len(tried), _GROUP):
-            own = tried[k : k + _GROUP]
-            queries = []
-            for r in some[own]:
-                a, v = at[ends[r] - per[r] : ends[r]], w[ends[r] - per[r] : ends[r]]
-                by_term = np.argsort(a)
-                queries.append((a[by_term], v[by_term]))
-            votes += [index.vote(*f) for f in index.nearest_of(queries, but=own.tolist())]
+        for k in range(0, len(tried), _AT_ONCE):
+            own = tried[k : k + _AT_ONCE]
+            n = per[some[own]]
+            held = np.repeat((ends - per)[some[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            votes += [index.vote(*f) for f in index.nearest_of(len(own), np.repeat(np.arange(len(own)), n), at[held], w[held].astype(float), but=own.tolist())]
         votes = np.clip(votes, 1e-4, 1 - 1e-4)
         index.slope, index.shift = _logistic(np.log(votes / (1 - votes)), index.labels[tried])
     return index
 
 
-class Finder:
-    """Counts texts' terms; looks each word up once. Terms that aren't known get an id of their own beyond all known ones, or on request the next known one."""
-
-    def __init__(self, terms: dict[str, int], grow: bool = False):
-        self.terms, self.grow, self.memo, self.unseen = terms, grow, {}, {}
-
-    def _look(self, term: str) -> int:
-        if self.grow:
-            return self.terms.setdefault(term, len(self.terms))
-        k = self.terms.get(term)
-        return self.unseen.setdefault(term, _UNSEEN + len(self.unseen)) if k is None else k
-
-    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        return list(chain.from_iterable(self.group(texts.slice(k, _GROUP)) for k in range(0, len(texts), _GROUP)))
-
-    def group(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Term ids in rising order and their counts, for at most ``_GROUP`` texts."""
-        words = pc.utf8_split_whitespace(texts.fill_null(""))
-        coded = words.flatten().dictionary_encode()
-        memo, own = self.memo, coded.dictionary.to_pylist()
-        if len(memo) > _MEMO_LIMIT:
-            memo.clear()
-            self.unseen.clear()
-        for w in own:
-            if w not in memo:
-                memo[w] = tuple(map(self._look, terms_of(w)))
-        lists = [memo[w] for w in own]
-        n = np.array([len(x) for x in lists], np.int64)
-        flat, first = np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), np.cumsum(n) - n
-        text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))
-        pair = np.sort(text * max(1, len(own)) + coded.indices.to_numpy(zero_copy_only=False))
-        new = np.flatnonzero(np.diff(pair, prepend=-1))
-        times = np.minimum(np.diff(new, append=len(pair)), (1 << 24) - 1)
-        text, word = np.divmod(pair[new], max(1, len(own)))
-        per = n[word]
-        at = flat[np.repeat(first[word] - np.cumsum(per) + per, per) + np.arange(per.sum())]
-        # text, term and count in one number: a sort without an index is much faster
-        both = np.sort(np.repeat(text << 55 | times, per) | at << 24)
-        keys = both >> 24
-        new = np.flatnonzero(np.diff(keys, prepend=-1))
-        counts = np.add.reduceat(both & ((1 << 24) - 1), new) if len(new) else new
-        cuts = np.searchsorted(keys[new], np.arange(1, len(texts)) << 31)
-        return list(zip(np.split(keys[new] & ((1 << 31) - 1), cuts), np.split(counts, cuts)))
+def _document_counts(docs: DataFrame, names: pa.Array) -> tuple[int, np.ndarray]:
+    """Number of all documents, and in how many of them each of the terms stands. As many rows as terms reach the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(names)  # bounded by max_examples
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {t: k for k, t in enumerate(shared.value.to_numpy(zero_copy_only=False).tolist())}
+        found, size = np.zeros(len(place) + 1, np.int64), 0
+        for batch in batches:
+            for _, texts in _groups(batch.column(0)):
+                c = tally(texts)
+                n = np.bincount(c.term, minlength=len(c.names))
+                found += np.bincount(np.fromiter(map(place.get, c.names, repeat(len(place))), np.int64, len(c.names)), n, len(found)).astype(np.int64)
+                size += len(texts)
+        found[-1] = size
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["term", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(names) + 1)
+    out[sums["term"].to_numpy()] = sums["n"].to_numpy()
+    return int(out[-1]), out[:-1]
 
 
 def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
@@ -281,13 +324,12 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         own = shared.value
-        find = Finder(own.terms)
         for batch in batches:
-            found = []
-            for k in range(0, batch.num_rows, _GROUP):
-                found += own.score(find.group(batch.column(text).slice(k, _GROUP)))
-            values = [f[0] for f in found]
-            columns = [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array([own.ids[f[1]].tolist() if len(f[1]) else [] for f in found], pa.list_(pa.int64())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
+            for lo, texts in _groups(batch.column(text)):
+                found = own.score(tally(texts))
+                values = [f[0] for f in found]
+                columns = [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array([own.ids[f[1]].tolist() if len(f[1]) else [] for f in found], pa.list_(pa.int64())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))]
+                part = batch.slice(lo, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
     return docs.mapInArrow(run, f"{fields}, score double, predicted int, neighbours array<bigint>, cosines array<double>")

@@ -133,12 +133,19 @@ def test_toxicity_against_brute_force(spark, monkeypatch):
                 counts[d][t] = counts[d].get(t, 0) + 1
 
     def vector(d):
-        v = {t: (1 + np.log(n)) * (index.idf[index.terms[t]] if t in index.terms else 1 + np.log(1 + size)) for t, n in counts[d].items()}
+        v = {t: (1 + np.log(n)) * (index.idf[index.terms[t]] if t in index.terms else index.unseen) for t, n in counts[d].items()}
         z = np.sqrt(sum(x * x for x in v.values()))
         return {t: x / z for t, x in v.items()}
 
     known = {int(d): vector(int(d)) for d in index.ids}
     assert set().union(*(counts[d] for d in known)) == set(index.terms)
+    y = dict(labels)
+    for t, k in index.terms.items():  # idf over all documents, chi-square over the examples
+        a, b = sum(t in counts[d] for d in known), sum(t in counts[d] and y[d] for d in known)
+        p = sum(y[d] for d in known)
+        chi2 = size * (b * (size - p) - (a - b) * p) ** 2 / max(a * (size - a) * p * (size - p), 1) if a < size else 0
+        assert np.isclose(index.idf[k], (np.log((1 + len(rows)) / (1 + sum(t in c for c in counts.values()))) + 1) * (1 + np.sqrt(chi2)))
+    assert np.isclose(index.unseen, 1 + np.log(1 + len(rows)))
     for r in T.score(docs, index).collect():
         q = vector(r.doc_id)
         want = sorted((sum(x * v.get(t, 0) for t, x in q.items()) for v in known.values()), reverse=True)[: T.NEIGHBOURS]
