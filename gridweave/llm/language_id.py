@@ -1,6 +1,6 @@
 """Language of each word, and from them of each text, by a linear-chain conditional random field.
 
-A word's features are its beginning and end (1 to 3 letters), its trigrams and, for frequent words, itself.
+A word's features are its beginning and end (1 to 3 letters), its trigrams and, if it stands twice or more, itself.
 Weights of features and of transitions between the languages of neighbouring words are learned together by
 maximising the conditional likelihood of the training words' languages (forward-backward gives the gradient).
 A text's words are labelled by forward-backward as well, so a foreign passage inside a text is seen as such; the text's
@@ -8,16 +8,17 @@ language is the one with the greatest expected number of words, and the score is
 
 Texts of like length run side by side, one step for each place, so the work is in numpy whatever the lengths;
 at most ``_STEP`` characters are held as words at a time, or one text.
-Training takes at most ``max_docs`` rows, chosen by hash, and their first ``max_words`` words; prediction
-reads whole texts.
+Training takes at most ``max_docs`` rows, chosen by hash so that rare languages get more than their share, and a run of
+``max_words`` words from a place in each text that a hash names; prediction reads whole texts. The rows' languages are those of
+whole texts, so no change of language is seen in training: what a change costs comes from the pull of its weight to 0.
 
-Edge cases: text that is null or has no letter, or nothing to learn from, gives ``und`` and score 0; words without a
-letter carry no evidence; ties go to the language that is first in order.
+Edge cases: text that is null or has no letter (Unicode category L), or nothing to learn from, gives ``und`` and score 0; words
+without a letter carry no evidence; ties go to the language that is first in order; of rows with one id and language one
+teaches, that of the least hash; repeated rows each get their answer, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,15 +27,16 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import held_out, release
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MEMO_LIMIT = 300_000
-_STEP = 2_000_000
+_STEP = 1_000_000
 
 
 def core(word: str) -> str:
@@ -100,19 +102,27 @@ def _forward_backward(emit: np.ndarray, lengths: np.ndarray, model_moves: np.nda
 def train(docs: DataFrame, max_docs: int = 1500, max_words: int = 250, steps: int = 40) -> Model:
     """Learn from texts and languages of rows whose id isn't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_docs).select(F.col("doc_id").alias("id"), F.col("lang").alias("tongue")).distinct()
-    # at most max_docs short rows; texts come cut to their first words
-    head = F.slice(F.split(F.translate("text", "\t\n\r\x0b\x0c", "     "), " "), 1, max_words)
-    rows = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("tongue"))).select("lang", head.alias("words")).limit(2 * max_docs).collect()
+    often = known.groupBy("lang").agg(F.count("*").alias("often"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = known.select("doc_id", "lang").distinct().join(often, "lang").orderBy(place * F.sqrt("often"), "doc_id", "lang").limit(max_docs)
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("tongue"))
+    # at most max_docs short rows; of each text a run of words comes
+    words = F.filter(F.split(F.translate("text", "\t\n\r\x0b\x0c", "     "), " "), lambda w: w != "")
+    rows = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("tongue"))).withColumn("words", words)
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.size("words") - max_words + 1)).cast("int") + 1
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by(F.slice("words", start, F.lit(max_words)), F.xxhash64("text")).alias("words")).select("lang", "words").collect()
     rows = sorted(((r.lang, [w for w in r.words if _LETTER.search(w)]) for r in rows), key=lambda r: (r[0], r[1]))
     rows = [r for r in rows if r[1]]
     languages = sorted({lang for lang, _ in rows})
     k = len(languages)
     words = sorted({w for _, ws in rows for w in ws})
     number = {w: i for i, w in enumerate(words)}
-    found = [features(w) for w in words]
-    often = Counter(f for fs in found for f in fs)
-    at = {f: i for i, f in enumerate(sorted(f for f, n in often.items() if n > 1))}
+    found, times = [features(w) for w in words], Counter(w for _, ws in rows for w in ws)
+    seen: Counter = Counter()
+    for w, fs in zip(words, found):
+        for f in fs:
+            seen[f] += times[w]
+    at = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
     model = Model(languages, at, np.zeros((len(at), k)), np.zeros((k, k)), np.zeros(k))
     if k < 2 or not at:
         return model
@@ -165,7 +175,7 @@ class Tagger:
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def tag(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """Words with a letter of each text and their marginals."""
+        """All words of each text and their marginals; those of words without a letter follow from the words beside them."""
         if len(self.memo) > _MEMO_LIMIT:
             self.__init__(self.model)
         split = [(t or "").split() for t in texts]
