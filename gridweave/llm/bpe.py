@@ -7,7 +7,8 @@ beat any heap; a word above ``LONG`` bytes takes a heap with links instead, whic
 runs near linear.
 
 Edge cases: null text counts as empty and gives no ids; ids outside the vocabulary raise ValueError
-in decoding; invalid UTF-8 decodes to U+FFFD. Columns other than the text pass through unchanged.
+in decoding; invalid UTF-8 decodes to U+FFFD; repeated rows each get their ids, and an empty table gives an empty one.
+Columns other than the text pass through unchanged; one that has an added name in any case raises ValueError.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def load(path: str) -> RankBPE:
 
 def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace the column ``text`` by ``ids``: binary, little-endian unsigned 32-bit ids. No shuffle."""
-    if ids in df.columns and ids != text:
+    if ids.lower() in {c.lower() for c in df.columns if c != text}:
         raise ValueError(f"column {ids} exists")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
 
@@ -156,7 +157,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
 
 def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the column ``text`` decoded from packed ``ids`` (null: empty). No shuffle."""
-    if text in df.columns:
+    if text.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column {text} exists")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
