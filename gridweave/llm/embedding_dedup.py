@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import materialise, unused_name
 from gridweave.llm.components import components
 
-WIDTH, CHUNK, COUNTED = 2.0, 400, 48
+WIDTH, CHUNK, COUNTED = 2.0, 2000, 48
 #: Half of the query-centred window, in units of the projections' spread over unit vectors.
 WINDOW = 0.8
 PAIRS_AT_ONCE = 1 << 19
