@@ -3,9 +3,9 @@
 Each line with a word is judged first; a line fails if it
 
 - repeats an earlier line of its text (boilerplate),
-- has ``NAV_BARS`` or more bars or arrows between short items (navigation),
+- has ``NAV_BARS`` or more bars or arrows between short items, or at most three words without closing punctuation (navigation),
 - says one of ``PHRASES`` (boilerplate),
-- has more than ``MAX_SYMBOLS`` percent symbols, or shouts: ``MIN_SHOUTS`` or more ``!!`` (punctuation).
+- has more than ``MAX_SYMBOLS`` percent symbols, shouts (``MIN_SHOUTS`` or more ``!!``), or breaks off in an ellipsis (punctuation).
 
 Failing lines are removed; a text that keeps less than ``MIN_KEPT`` percent of its word characters is
 rejected. A text that fails the base counts (under ``MIN_WORDS`` words, or above ``MAX_REPEAT`` percent of
@@ -15,7 +15,8 @@ Windows are compared by 64-bit hashes within one text, and only texts where some
 looked at place by place. There is no shuffle: all is one projection over the scan.
 
 Edge cases: null text has no words or lines, fails the base counts and cleans to an empty text; lines
-without a word neither fail nor count; a text without a line break is one line.
+without a word neither fail nor count; a text without a line break is one line; texts of any length are read whole; repeated
+rows each get their answer, and an empty table gives an empty one; columns that have an added name raise ValueError.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ NAV_BARS, MAX_SYMBOLS, MIN_SHOUTS, MIN_KEPT = 4, 8, 3, 50
 #: Phrases of page furniture, in lower case.
 PHRASES = ("javascript is disabled", "enable javascript", "accept cookies", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "lorem ipsum", "sign up for our newsletter", "skip to content")
 
+#: A line of at most three words that ends without closing punctuation, and one that breaks off.
+SHORT_LINE = r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,2}[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?:;)»”…\x22\x27][\x20\x09-\x0D]*\z"
+BROKEN_LINE = r"(\.\.\.|…)[\x20\x09-\x0D]*\z"
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, BLANKS[1:], " " * 5), " "), lambda w: w != "")
@@ -68,15 +73,22 @@ def _covered(hashes: Column) -> Column:
     return F.aggregate(found, zero, step, lambda acc: acc["total"])
 
 
-def line_fails(line: Column, place: Column, lines: Column) -> Column:
-    """The rules for one line, given all lines that have a word."""
+def line_fails(line: Column) -> Column:
+    """The rules for one line but that for repeated ones."""
     low = F.lower(line)
     bars = F.length(line) - F.length(F.translate(line, "|»›", ""))
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     phrase = F.lit(False)
     for p in PHRASES:
         phrase = phrase | F.contains(low, F.lit(p))
-    return (F.array_position(lines, line) <= place) | (bars >= NAV_BARS) | (_symbols(line) * 100 > MAX_SYMBOLS * _letters(line)) | (shouts >= MIN_SHOUTS) | phrase
+    return (bars >= NAV_BARS) | (_symbols(line) * 100 > MAX_SYMBOLS * _letters(line)) | (shouts >= MIN_SHOUTS) | phrase | F.rlike(line, F.lit(SHORT_LINE)) | F.rlike(line, F.lit(BROKEN_LINE))
+
+
+def _once(lines: Column) -> Column:
+    """The lines without later copies: sorted by line, marked, and sorted back by place."""
+    ranked = F.sort_array(F.transform(lines, lambda x, k: F.struct(x.alias("line"), k.alias("k"))))
+    marked = _let(ranked, lambda r: F.filter(r, lambda x, i: F.coalesce(F.get(r, i - 1)["line"] != x["line"], F.lit(True))))
+    return F.transform(F.sort_array(F.transform(marked, lambda x: F.struct(x["k"].alias("k"), x["line"].alias("line")))), lambda x: x["line"])
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -91,7 +103,8 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("hashes_", _let(F.col("words_"), _repeated)).withColumn("n_words", long(F.size("words_")))
     df = df.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("hashes_")) == F.size("hashes_"), F.lit(0).cast("bigint")).otherwise(_let(F.col("hashes_"), _covered)))
     df = df.withColumn("lines_", F.filter(F.split("body_", "\n"), lambda x: _letters(x) > 0))
-    df = df.withColumn("good_", _let(F.col("lines_"), lambda lines: F.filter(lines, lambda x, k: ~line_fails(x, k, lines))))
+    once = F.when(F.size(F.array_distinct("lines_")) == F.size("lines_"), F.col("lines_")).otherwise(_once(F.col("lines_")))
+    df = df.withColumn("good_", F.filter(once, lambda x: ~line_fails(x)))
     df = df.withColumn("word_chars", long(_letters(F.col("body_")))).withColumn("n_symbols", long(_symbols(F.col("body_"))))
     df = df.withColumn("n_lines", long(F.size("lines_"))).withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("lines_")))
     df = df.withColumn("n_lines_removed", F.col("n_lines") - F.size("good_")).withColumn("clean_text", F.array_join("good_", "\n"))
@@ -115,7 +128,7 @@ f AS (SELECT *, nth > 1
         OR length(line) - length(translate(line, '|»›', '')) >= {NAV_BARS}
         OR (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) * 100 > {MAX_SYMBOLS} * chars
         OR (length(line) - length(replace(line, '!!', ''))) / 2 >= {MIN_SHOUTS}
-        OR {_phrases} AS fails FROM l),
+        OR regexp_matches(line, '{SHORT_LINE}') OR regexp_matches(line, '{BROKEN_LINE}') OR {_phrases} AS fails FROM l),
 c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE nth > 1) AS n_dup_lines, count(*) FILTER (WHERE fails) AS n_lines_removed, coalesce(sum(chars) FILTER (WHERE NOT fails), 0) AS left_chars FROM f GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(left_chars, 0) AS left_chars

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm import licences, quality_rules
 
-TEXTS = [None, "", " \n\t", "a b c d e f g h i j k l", "x y z w v " * 3, "one " * 30, "Home | About | News | Shop | Login\n" + "good words here and there in a fine long line. " * 3, "same line of several words\nsame line of several words\nother", "a\x0bb\x0cc\rd　e\x1cf", "##% $$ &&& *** <> | |", "BUY!! NOW!! GO!! YES!!\nplain words follow on this line of text today, ok", "Accept cookies to go on\n" + " ".join(f"w{i}" for i in range(50)), "w " * 3 + " ".join(f"q{i}" for i in range(4000))]
+TEXTS = ["Main page\nsame\nsame line here again\nsame\nAnd so it went on for a long while, as told.\nsame line here again\nIt breaks off there...\r\nIt breaks off …\n\"Well?\"\none two\rthree", None, "", " \n\t", "a b c d e f g h i j k l", "x y z w v " * 3, "one " * 30, "Home | About | News | Shop | Login\n" + "good words here and there in a fine long line. " * 3, "same line of several words\nsame line of several words\nother", "a\x0bb\x0cc\rd　e\x1cf", "##% $$ &&& *** <> | |", "BUY!! NOW!! GO!! YES!!\nplain words follow on this line of text today, ok", "Accept cookies to go on\n" + " ".join(f"w{i}" for i in range(50)), "w " * 3 + " ".join(f"q{i}" for i in range(4000))]
 
 
 def base(text):
