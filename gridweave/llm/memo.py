@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 _BLANK = re.compile(r"\s")
 #: Cuts before a certain blank that follows what is certainly visible.
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
-#: At most one blank, letters that both vocabularies' patterns keep together, and signs, which they keep apart from these.
-_SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-į]+)([!-/:-@\[-`{-~]*)")
+#: At most one break, letters that both vocabularies' patterns keep together, with a space before them or not, and signs, which they keep apart from these.
+_SIMPLE = r"^(?P<blank>\n?)(?P<letters> ?[A-Za-zÀ-ÖØ-öø-į]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
 
 
 class Memo:
@@ -84,29 +84,35 @@ class ChunkEncoder:
             out += [packed[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _pieces(self, chunk: str) -> tuple[str, ...]:
-        """Parts that encode one by one to what the chunk does."""
-        m = _SIMPLE.fullmatch(chunk)
-        if not m:
-            return (chunk,)
-        blank, letters, signs = m.groups()
-        if not self.lead:
-            letters, blank = letters.lower(), ""
-        elif blank == " ":
-            letters, blank = chunk[: m.end(2)], ""
-        return tuple(x for x in (blank, letters, signs) if x)
+    def _look(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of different pieces."""
+        found = self.pieces.get_all(pieces)
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        if fresh:
+            for i, ids in zip(fresh, self.encode_many([pieces[i] for i in fresh])):
+                found[i] = self.pieces.new[pieces[i]] = ids
+        return found
 
     def _resolve(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of chunks with their leading blanks."""
-        split = [*map(self._pieces, chunks)]
-        asked = list(dict.fromkeys(p for ps in split for p in ps))
-        found = dict(zip(asked, self.pieces.get_all(asked)))
-        fresh = [p for p, ids in found.items() if ids is None]
-        if fresh:
-            new = dict(zip(fresh, self.encode_many(fresh)))
-            found |= new
-            self.pieces.new |= new
-        return [found[ps[0]] if len(ps) == 1 else b"".join([found[p] for p in ps]) for ps in split]
+        """Packed ids of chunks with their leading blanks; a simple chunk is its parts one by one."""
+        found = pc.extract_regex(pa.array(chunks, pa.large_string()), _SIMPLE)
+        simple = found.is_valid().to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(chunks)
+        odd = np.flatnonzero(~simple).tolist()
+        for i, ids in zip(odd, self._look([chunks[i] for i in odd])):
+            out[i] = ids
+        found = found.filter(pa.array(simple)).flatten()
+        if not self.lead:  # blanks have no ids, and capitals none of their own
+            found = [found[0], pc.utf8_ltrim(pc.utf8_lower(found[1]), " "), found[2]]
+        parts = []
+        for part in found if self.lead else found[1:]:
+            coded = part.dictionary_encode()
+            names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            ids = dict(zip(some := [n for n in names if n], self._look(some)))
+            parts.append(np.array([ids.get(n, b"") for n in names], object)[coded.indices.to_numpy(zero_copy_only=False)].tolist())
+        for i, ids in zip(np.flatnonzero(simple).tolist(), map(b"".join, zip(*parts))):
+            out[i] = ids
+        return out
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         self.words.trim()

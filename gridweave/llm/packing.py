@@ -14,7 +14,8 @@ by the tasks that make the pieces and joined with sums of earlier tasks' counts,
 common, meets in one task.
 
 Edge cases: a piece of null, zero or negative length, or longer than the capacity, raises ValueError
-(``cut`` makes none); no pieces give no sequences; ties are broken by length.
+(``cut`` makes none); no pieces give no sequences; ties are broken by length; repeated rows are packed each; columns that
+have a name of this operator raise ValueError. For ``cut``: null text counts as empty and gives one piece, the end id.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def places(lengths: np.ndarray, configurations: list[tuple[tuple, int]]) -> dict
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """Add sequence_id and offset to each row of ``pieces``; other columns pass through."""
-    clash = {"sequence_id", "offset", "part_", "rank_"} & {c.lower() for c in pieces.columns}
+    clash = {"sequence_id", "offset", "part_", "rank_", "before_"} & {c.lower() for c in pieces.columns}
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)

@@ -5,20 +5,21 @@ has one, a bitmap with one bit for each of them says whether the id goes on in l
 directory counts the bits before each 512th. So the chunk of token i is at i in level 0, and at the
 rank of i in the next level: any token is read without decoding its block.
 
-A file is a Parquet table of blocks ``shard, place, doc_ids, starts, n_ids, codes``: a shard is what one
-task wrote, ``place`` counts the ids before the block in its shard, both ascend by document, ``starts``
-has each document's first place in its block and ``codes`` the levels. A block ends with the document that takes it past
-``BLOCK_IDS`` ids, so memory is bounded by that and the longest document.
+A file is a Parquet table of blocks ``shard, place, first_doc, last_doc, doc_ids, starts, n_ids, codes``: a shard is what
+one task wrote, ``place`` counts the ids before the block in its shard, both ascend by document, ``starts``
+has each document's first place in its block and ``codes`` the levels. Pages aren't compressed, so the levels stand in the file
+as they are read; ``token_at`` finds a block by its first and last document and reads one token in it. A block ends with the
+document that takes it past ``BLOCK_IDS`` ids, so memory is bounded by that and the longest document.
 
 Edge cases: null text counts as empty and has the end id alone; a null doc_id sorts first; rows with
-one doc_id stay apart; an empty table gives an empty file.
+one doc_id stay apart, in the order of a hash of their texts; an empty table gives an empty file; other columns aren't written.
 """
 
 from __future__ import annotations
 
 import struct
-from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ BLOCK_IDS = 1 << 18
 #: Bits from one rank directory entry to the next.
 RANK_BITS = 512
 _LENGTH = struct.Struct("<I")
-FILE_SCHEMA = "shard int, place bigint, doc_ids array<bigint>, starts array<int>, n_ids int, codes binary"
+FILE_SCHEMA = "shard int, place bigint, first_doc bigint, last_doc bigint, doc_ids array<bigint>, starts array<int>, n_ids int, codes binary"
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -106,7 +107,13 @@ def library_encoder(vocabulary: str, blank_matters: bool) -> ChunkEncoder:
         lib = Tokenizer.from_file(vocabulary)
         lib.no_truncation()
         lib.no_padding()
-        many = lambda chunks: [array("I", e.ids).tobytes() for e in lib.encode_batch_fast(chunks, add_special_tokens=False)]
+
+        def many(chunks: list[str]) -> list[bytes]:
+            ids = [e.ids for e in lib.encode_batch_fast(chunks, add_special_tokens=False)]
+            ends = np.cumsum([0, *map(len, ids)]) * 4
+            packed = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+            return [packed[a:b] for a, b in pairwise(ends.tolist())]
+
         _LOADED[vocabulary] = ChunkEncoder(many, blank_matters=blank_matters)
     return _LOADED[vocabulary]
 
@@ -125,8 +132,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
         def flush() -> pa.RecordBatch:
             ends = np.cumsum([len(p) for p in parts])
             ids = np.concatenate(parts)
-            row = [[shard], [place], [names], [[0, *ends[:-1].tolist()]], [len(ids)], [encode_levels(ids)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary()))], names=["shard", "place", "doc_ids", "starts", "n_ids", "codes"])
+            row = [[shard], [place], [names[0]], [names[-1]], [names], [[0, *ends[:-1].tolist()]], [len(ids)], [encode_levels(ids)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary()))], names=["shard", "place", "first_doc", "last_doc", "doc_ids", "starts", "n_ids", "codes"])
 
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
@@ -141,8 +148,22 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
         if names:
             yield flush()
 
-    ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("nth", F.xxhash64("text"))
+    ordered = own.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth").select("doc_id", "text")
+    ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+
+
+def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int:
+    """The id at a position of a document, read from its block without decoding it; of several rows with the id, from the first. IndexError beyond its end."""
+    blocks = spark.read.schema(FILE_SCHEMA).parquet(path).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id) & F.array_contains("doc_ids", doc_id))
+    row = blocks.orderBy("shard", "place").select("doc_ids", "starts", "n_ids", "codes").first()  # one block
+    if row is None:
+        raise KeyError(doc_id)
+    k = row.doc_ids.index(doc_id)
+    start, end = row.starts[k], row.starts[k + 1] if k + 1 < len(row.starts) else row.n_ids
+    if not 0 <= position < end - start:
+        raise IndexError(position)
+    return Levels(bytes(row.codes)).token(start + position)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

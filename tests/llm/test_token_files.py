@@ -30,6 +30,35 @@ def test_memo_equals_library(name):
         assert [list(array("I", x)) for x in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_equal_library(name):
+    """Letters, signs and breaks in all orders, with capitals and accents, again after the memo was halved."""
+    rng = random.Random(11)
+    bits = ["Word", "ÀÉîß", "ıİĮ", "don't", "'s", "'LL", "...", "--", "_", "###", "%)", "7", "²", "<|endoftext|>", "x<|", "\n", "\n\n", " ", "  ", "\t", "\u00a0", "e\u0301", "ΟΔΟΣ", "ﬁ", "\x1c", "Ķi"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    lib = Tokenizer.from_file(P.path(name))
+    enc = T.library_encoder(P.path(name), name[0] == "b")
+    small = T.ChunkEncoder(enc.encode_many, blank_matters=name[0] == "b", limit=200, step=2000)
+    want = [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    for e in (enc, small, small):
+        assert [list(array("I", x)) for x in e.encode(texts)] == want
+
+
+def test_token_at(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_IDS", 64)
+    path = shared_dir(spark)
+    rows = [(d, " ".join(f"w{d * k}" for k in range(d % 37))) for d in range(90)]
+    T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, P.path("byte_bpe_50k.json"))
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for d in (0, 1, 36, 50, 89):
+        ids = [*lib.encode(rows[d][1], add_special_tokens=False).ids, 2]
+        assert [T.token_at(spark, path, d, i) for i in (0, len(ids) // 2, len(ids) - 1)] == [ids[i] for i in (0, len(ids) // 2, len(ids) - 1)]
+        with pytest.raises(IndexError):
+            T.token_at(spark, path, d, len(ids))
+    with pytest.raises(KeyError):
+        T.token_at(spark, path, 900, 0)
+
+
 def test_write_read(spark, monkeypatch):
     rows = [(5, "b b"), (None, "null id"), (1, None), (3, "w " * 5000), (3, "again"), (9, ""), (2, "é\n\nx")] + [(100 + i, f"t{i} " * i) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "body")
