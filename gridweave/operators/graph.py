@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.storage import materialise
+from gridweave.storage import discard, materialise
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,18 @@ def connected(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.col("a").alias("node"), rank("b").alias("r")).union(edges.select(F.col("b").alias("node"), rank("a").alias("r")))
         to = materialise(ends.groupBy("node").agg(F.min("r").alias("r")).select("node", F.least("r", rank("node"))["v"].alias("to")))
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = materialise(_ordered(moved.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        labels = to if labels is None else materialise(labels.join(to.select(F.col("node").alias("label"), F.col("to").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        after = materialise(_ordered(moved.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        discard(edges)
+        edges = after
+        if labels is None:
+            labels = to
+        else:
+            now = materialise(labels.join(to.select(F.col("node").alias("label"), F.col("to").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+            discard(labels, to)
+            labels = now
         labels = labels.toDF("node", "label")
         k += 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    least = labels.groupBy("label").agg(F.min("node").alias("root"))
+    least = materialise(labels.groupBy("label").agg(F.min("node").alias("root")))
     return labels.join(least, "label").select("node", "root")
