@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.storage import discard, materialise, shared_dir
+
+__all__ = ["BLANKS", "HELD", "discard", "held_out", "materialise", "release", "shared_dir", "table", "unused_name"]
+
 #: What separates words: the ASCII blanks 0x20 and 0x09 to 0x0D, as bytes.split() has them.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -36,33 +38,6 @@ def release() -> None:
             trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; without that setting there is none to be had on a cluster."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = f"{os.getcwd()}/spark-checkpoints"  # one machine: any folder is shared
-    return f"{top.rstrip('/')}/gridweave-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables of ``materialise`` that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/gridweave-" in path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5: such rows never teach."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import materialise, unused_name
-from gridweave.llm.components import components
+from gridweave.operators.graph import connected
 
 WIDTH, CHUNK, COUNTED = 2.0, 2000, 48
 #: Half of the query-centred window, in units of the projections' spread over unit vectors.
@@ -194,7 +194,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.96,
 
     found = materialise(dealt.mapInArrow(count, "node binary, links bigint, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "n2")
+    roots = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "n2")
     known = nodes.join(links, "node", "left").join(roots, F.col("node") == F.col("n2"), "left").withColumn("root", F.coalesce("root", "node"))
     known = known.select("packed", "least", "root", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
     least = known.groupBy("root").agg(F.min("least").alias("component"))
