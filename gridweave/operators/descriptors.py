@@ -120,6 +120,41 @@ def ransac_line(points: DataFrame, trials: int, error: float, seed: int = 1) ->
     return held.groupBy("trial", "a", "b", "c").agg(F.count("*").alias("inliers")).orderBy(F.desc("inliers"), "trial").limit(1).select("a", "b", "c", "inliers")
 
 
+def ransac(points: DataFrame, columns: list[str], fit: Callable[[np.ndarray], np.ndarray | None], residual: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, trials: int, error: float, seed: int = 1) -> tuple[np.ndarray | None, int]:
+    """The model of ``trials`` minimal samples that most points are within ``error`` of, and their number.
+
+    ``fit`` makes a model of ``size`` rows of ``columns``, or None; ``residual`` gives each row's distance from a model. The
+    samples, size * trials rows drawn by hash, and the models reach the driver; points are only counted where they lie.
+    """
+    drawn = points.select(*columns).orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(size * trials).collect()  # a sampling operator
+    rows = np.array([tuple(r) for r in drawn], float).reshape(-1, len(columns))
+    rows = rows[np.random.default_rng(seed).permutation(len(rows))]
+    models = [m for k in range(0, len(rows) - size + 1, size) if (m := fit(rows[k : k + size])) is not None]
+    if not models:
+        return None, 0
+
+    def count(frames):
+        held = np.zeros(len(models), np.int64)
+        for frame in frames:
+            x = frame.to_numpy(float)
+            held += [int((residual(m, x) <= error).sum()) for m in models]
+        yield pd.DataFrame({"model": np.arange(len(models)), "n": held})
+
+    counts = points.select(*columns).mapInPandas(count, "model int, n bigint").groupBy("model").agg(F.sum("n").alias("n"))
+    best = counts.orderBy(F.desc("n"), "model").first()
+    return models[best.model], best.n
+
+
+def affine_fit(rows: np.ndarray) -> np.ndarray | None:
+    """The 2x3 matrix that takes x1, y1 to x2, y2, from three rows x1, y1, x2, y2."""
+    a = np.column_stack([rows[:, :2], np.ones(len(rows))])
+    return np.linalg.solve(a, rows[:, 2:]).T if abs(np.linalg.det(a)) > 1e-9 else None
+
+
+def affine_residual(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.hypot(*(rows[:, :2] @ model[:, :2].T + model[:, 2] - rows[:, 2:]).T)
+
+
 def map_tiles(px: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], side: int, halo: int) -> DataFrame:
     """``fn`` gets each tile of ``side`` pixels with ``halo`` more around it (rows image_id, j, i, c, v) and returns rows alike; those of the tile itself are kept."""
     kind = px.schema["image_id"].dataType.simpleString()

@@ -13,6 +13,7 @@ from gridweave.operators import accumulate as A
 from gridweave.operators import colours as C
 from gridweave.operators import descriptors as M
 from gridweave.operators import fields as D
+from gridweave.operators import motion as O
 from gridweave.operators import neighbours as N
 from gridweave.operators import pairs as R
 from gridweave.operators import pixels as P
@@ -152,3 +153,17 @@ def map_tiles(px: DataFrame) -> DataFrame:
 
 
 add("map_tiles", "PL", map_tiles, f"SELECT p.image_id, p.j, p.i, p.c, max(q.v) AS v {_BOX.format(r=1)} GROUP BY 1, 2, 3, 4")
+
+# motion: b is the image itself, moved, brightened or with its count as samples
+_CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+_MOVES = "(VALUES " + ", ".join(f"({x}, {y})" for x, y in _CROSS) + ") m(dx, dy)"
+_moved = lambda px: P.affine(P.shift(px, 1, 0, "periodic"), 1.0, 0.5)
+_MOVED = f", {_DIMS}, b AS (SELECT p.image_id, p.j, p.i, p.c, q.v + 0.5 AS v FROM px p JOIN d USING (image_id) LEFT JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND q.j = p.j AND q.i = (p.i + 1) % d.w)"
+add("channel_costs", "PL", lambda px: O.channel_costs(px, _moved(px), _CROSS), f"{_MOVED} SELECT px.image_id, dx, dy, avg(coalesce((px.v - b.v) * (px.v - b.v), 1000)) AS cost FROM px CROSS JOIN {_MOVES} LEFT JOIN b ON b.image_id = px.image_id AND b.c = px.c AND b.i = px.i + dx AND b.j = px.j + dy AND b.v IS NOT NULL GROUP BY 1, 2, 3")
+_COSTS = f"s AS (SELECT px.image_id, px.j, px.i, px.c, dx, dy, (px.v - b.v) * (px.v - b.v) AS e FROM px, {_MOVES}, b WHERE b.image_id = px.image_id AND b.c = px.c AND b.i = px.i + dx AND b.j = px.j + dy AND b.v IS NOT NULL), t AS (SELECT p.image_id, p.j, p.i, p.c, p.dx, p.dy, avg(q.e) AS cost FROM s p JOIN s q ON q.image_id = p.image_id AND q.c = p.c AND q.dx = p.dx AND q.dy = p.dy AND abs(q.i - p.i) <= 1 AND abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4, 5, 6)"
+add("block_match", "PL", lambda px: O.block_match(px, _moved(px), 1, _CROSS).select(*P.KEYS, F.round("cost", 4).alias("cost")), f"{_MOVED}, {_COSTS} SELECT image_id, j, i, c, round(min(cost), 4) AS cost FROM t GROUP BY 1, 2, 3, 4")
+_FLOW = ", b AS (SELECT image_id, j, i, c, v * 1.5 + 1 AS v FROM px)"
+add("least_squares_flow", "PL", lambda px: O.least_squares_flow(px, P.affine(px, 1.5, 1.0), 1), f"{_FLOW}, x AS ({_stencil('px', N.CENTRED, 'i')}), y AS ({_stencil('px', N.CENTRED, 'j')}), g AS (SELECT image_id, j, i, c, x.v AS gx, y.v AS gy, b.v - px.v AS gt FROM px JOIN b USING (image_id, j, i, c) JOIN x USING (image_id, j, i, c) JOIN y USING (image_id, j, i, c)), z AS (SELECT p.image_id, p.j, p.i, p.c, avg(q.gx * q.gx) AS xx, avg(q.gx * q.gy) AS xy, avg(q.gy * q.gy) AS yy, avg(q.gx * q.gt) AS xt, avg(q.gy * q.gt) AS yt {_BOX.format(r=1).replace('px', 'g')} GROUP BY 1, 2, 3, 4) SELECT image_id, j, i, c, CASE WHEN xx * yy - xy * xy > 1e-9 THEN (xy * yt - yy * xt) / (xx * yy - xy * xy) END AS u, CASE WHEN xx * yy - xy * xy > 1e-9 THEN (xy * xt - xx * yt) / (xx * yy - xy * xy) END AS w FROM z")
+add("lucky_rank", "PL", lambda px: O.lucky_rank(px, 1, 2), ", m AS (SELECT j, i, c, avg(v) AS m FROM px GROUP BY 1, 2, 3), g AS (SELECT px.*, (v - m) * (v - m) AS e FROM px JOIN m USING (j, i, c)), z AS (SELECT p.image_id, p.j, p.i, p.c, any_value(p.v) AS v, avg(q.e) AS d FROM g p JOIN g q ON q.image_id = p.image_id AND q.c = p.c AND abs(q.i - p.i) <= 1 AND abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4) SELECT j, i, c, v, image_id AS frame FROM z QUALIFY row_number() OVER (PARTITION BY j, i, c ORDER BY round(d, 6), image_id) = 2")
+add("local_gaussian", "PE", lambda px: O.local_gaussian(px, px.select("image_id", "j", "i", (F.col("n") / 4.0).alias("v"))), "SELECT p.image_id, p.j, p.i, p.c, sum(wt * q.v) / sum(wt) AS v FROM (SELECT a.image_id, a.j, a.i, a.c, b.v, CASE WHEN a.n / 4.0 < 0.1 THEN 1 ELSE exp(-((b.i - a.i) * (b.i - a.i) + (b.j - a.j) * (b.j - a.j)) / (2 * (a.n / 4.0) * (a.n / 4.0))) END AS wt FROM px a JOIN px b ON b.image_id = a.image_id AND b.c = a.c AND greatest(abs(b.i - a.i), abs(b.j - a.j)) <= CASE WHEN a.n / 4.0 < 0.1 THEN 0 ELSE least(19, ceil(3 * a.n / 4.0)) END) p, (SELECT 1) q GROUP BY 1, 2, 3, 4".replace("q.v", "v"))
+add("windowed_spectrum", "TS", lambda s: O.windowed_spectrum(s, "event_type", "t", 8).select("event_type", "start", "k", *((F.round(x, 6) + 0.0).alias(x) for x in ("re", "im"))), 'SELECT a.event_type, a.t AS start, k, round(sum(b.v * cos(2 * pi() / 8 * k * (b.t - a.t))), 6) + 0.0 AS re, round(-sum(b.v * sin(2 * pi() / 8 * k * (b.t - a.t))), 6) + 0.0 AS im FROM px a JOIN px b ON b.event_type = a.event_type AND b.t >= a.t AND b.t < a.t + 8, (SELECT CAST(unnest(generate_series(0, 4)) AS INT) AS k) GROUP BY 1, 2, 3')

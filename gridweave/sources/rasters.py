@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.operators.pixels import tileize, untile
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files that Spark can decode, as samples: image_id is the file's name; channels in the file's order, red before green before blue."""
+    def samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, w, h, n, data in zip(*(frame[c] for c in ("name", "width", "height", "n", "data"))):
+                x = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                x = np.concatenate([x[:, :, 2::-1], x[:, :, 3:]], 2) if n >= 3 else x  # Spark has blue first
+                j, i, c = np.indices(x.shape)
+                yield pd.DataFrame({"image_id": name, "j": j.ravel(), "i": i.ravel(), "c": c.ravel(), "v": x.ravel().astype(float)})
+
+    image = spark.read.format("image").option("dropInvalid", True).load(path)
+    rows = image.select(F.element_at(F.split("image.origin", "/"), -1).alias("name"), "image.width", "image.height", F.col("image.nChannels").alias("n"), "image.data")
+    return rows.mapInPandas(samples, "image_id string, j int, i int, c int, v double")
+
+
+def list_images(spark: SparkSession, path: str) -> DataFrame:
+    """Width, height, channels and samples of each image of a store."""
+    return read_raster(spark, path).groupBy("image_id").agg((F.max("i") + 1).alias("w"), (F.max("j") + 1).alias("h"), (F.max("c") + 1).alias("pd"), F.count("v").alias("n"))
+
+
 def write_matrix_text(px: DataFrame, path: str, sep: str = " ") -> None:
     """One line per raster row: image, row, then the samples; a missing one is ``nan``."""
     width = px.groupBy("image_id").agg(F.max("i").alias("last"))

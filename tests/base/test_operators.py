@@ -1,11 +1,18 @@
+import math
+import struct
+import zlib
+
+import numpy as np
 import pytest
 
 from gridweave.operators import accumulate as A
+from gridweave.operators import descriptors
 from gridweave.operators import neighbours as N
 from gridweave.operators import pixels as P
 from gridweave.operators import points as T
 from gridweave.operators import statistics as S
 from gridweave.sources import rasters
+from gridweave.storage import running
 from gridweave.streaming.rasterize import latest_cells, rasterize_stream
 
 
@@ -100,3 +107,58 @@ def test_stream(spark, tmp_path):
     rasterize_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", **box).awaitTermination(120)
     want = T.rasterize(spark.read.parquet(f"{tmp_path}/in"), **box)
     assert sorted(latest_cells(spark, f"{tmp_path}/out").collect()) == sorted(want.collect())
+
+
+def test_ransac(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-10, 10, (300, 2))
+    matrix = np.array([[1.5, -0.2, 3.0], [0.4, 0.9, -2.0]])
+    y = x @ matrix[:, :2].T + matrix[:, 2]
+    y[:100] = rng.uniform(-50, 50, (100, 2))
+    points = spark.createDataFrame(np.column_stack([x, y]).tolist(), "x1 double, y1 double, x2 double, y2 double").repartition(3)
+    model, n = descriptors.ransac(points, points.columns, descriptors.affine_fit, descriptors.affine_residual, 3, 60, 1e-6)
+    assert n == 200 and np.allclose(model, matrix)
+    assert descriptors.ransac(points.limit(0), points.columns, descriptors.affine_fit, descriptors.affine_residual, 3, 60, 1e-6) == (None, 0)
+    line = spark.createDataFrame([(k, float(k), 2.0 * k + 1 if k % 3 else 90.0 - k) for k in range(60)], "id long, x double, y double")
+    best = descriptors.ransac_line(line, 30, 1e-6).first()
+    assert best.inliers == 40 and math.isclose(-best.a / best.b, 2.0)
+
+
+def test_clusters_and_positions(spark):
+    rows = [(str(k), 0, 0, 0, v) for k, v in enumerate([1.0, 1.1, 0.9, 9.0, 9.2, 8.8])] + [("0", 0, 1, 0, 4.0)]
+    px = spark.createDataFrame(rows, "image_id string, j int, i int, c int, v double")
+    got = {r.i: r for r in descriptors.clusters(px, 0.5).collect()}
+    assert got[0].n == 2 and np.allclose(got[0].centres, [1, 9]) and got[1].n == 1 and got[1].centres == [4.0]
+    mean = {r.i: r.v for r in descriptors.frechet(px, 2.0, 3).collect()}
+    assert math.isclose(mean[0], 5.0) and mean[1] == 4.0
+
+
+def test_images(spark, tmp_path):
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    pixels = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    body = b"".join(b"\0" + row.tobytes() for row in pixels)
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(png)
+    px = rasters.read_images(spark, f"{tmp_path}/in")
+    assert {(r.j, r.i, r.c): r.v for r in px.collect()} == {(j, i, c): float(pixels[j, i, c]) for j in range(2) for i in range(3) for c in range(3)}
+    rasters.write_raster(px, f"{tmp_path}/store", side=2)
+    assert [tuple(r) for r in rasters.list_images(spark, f"{tmp_path}/store").collect()] == [("a.png", 3, 2, 3, 18)]
+
+
+def test_matrix_text_keeps_holes(spark, tmp_path):
+    px = spark.createDataFrame([("a", 0, 0, 0, 1.0), ("a", 0, 2, 0, 3.0), ("a", 1, 1, 0, None)], "image_id string, j int, i int, c int, v double")
+    rasters.write_matrix_text(px, f"{tmp_path}/t")
+    got = {(r.j, r.i): r.v for r in rasters.read_matrix_text(spark, f"{tmp_path}/t").where("v is not null").collect()}
+    assert got == {(0, 0): 1.0, (0, 2): 3.0}
+
+
+def test_running_sums_are_whole(spark):
+    rows = [("a" if k % 3 else "b", k * 7919 % 101, 1) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, one int").repartition(5)
+    got = running(df, ["g"], ["v"], "one", "cum").collect()
+    assert len(got) == 3000
+    for r in got[::97]:
+        assert r.cum == sum(g == r.g and v <= r.v for g, v, _ in rows)
