@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridweave.storage import discard, materialise, shared_dir
 
-__all__ = ["BLANKS", "HELD", "discard", "held_out", "materialise", "release", "shared_dir", "table", "unused_name"]
+__all__ = ["BLANKS", "HELD", "discard", "halved", "held_out", "materialise", "release", "shared_dir", "table", "tidy", "unused_name"]
 
 #: What separates words: the ASCII blanks 0x20 and 0x09 to 0x0D, as bytes.split() has them.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,19 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Memos that a Python worker holds from one task to the next.
 HELD: list[dict] = []
+Batches = Iterator[pa.RecordBatch]
+
+
+def _give_back() -> None:
+    """All freed memory back to the system, so that a worker that waits is small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
+    if trim:
+        trim(0)
 
 
 def release() -> None:
-    """Forget what other operators hold in this worker, and give the memory back, before one that needs it begins."""
-    held = any(HELD)
+    """Forget what other operators hold in this worker, before one that needs the memory begins."""
     for memo in HELD:
         memo.clear()
-    if held:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed pages otherwise
-        if trim:
-            trim(0)
+    _give_back()
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function of batches that starts without other operators' memos and leaves no freed memory with its worker."""
+
+    def inner(batches: Batches) -> Batches:
+        release()
+        yield from run(batches)
+        _give_back()
+
+    return inner
+
+
+def halved(run: Callable[[Batches], Batches], memos: Callable[[], list]) -> Callable[[Batches], Batches]:
+    """The same for one that goes on with its memos: at the end their older halves go."""
+
+    def inner(batches: Batches) -> Batches:
+        yield from run(batches)
+        for memo in memos():
+            memo.old = {}
+        _give_back()
+
+    return inner
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,6 +1,6 @@
 """Language of each word, and from them of each text, by a linear-chain conditional random field.
 
-A word's features are its beginning and end (1 to 3 letters), its trigrams and, if it stands twice or more, itself.
+A word's features are its beginning and end (1 to 3 letters), its trigrams and, if it stands ``OFTEN`` times in the sample, itself.
 Weights of features and of transitions between the languages of neighbouring words are learned together by
 maximising the conditional likelihood of the training words' languages (forward-backward gives the gradient).
 A text's words are labelled by forward-backward as well, so a foreign passage inside a text is seen as such; the text's
@@ -31,12 +31,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import held_out, release
+from gridweave.llm.common import held_out, tidy
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_MEMO_LIMIT = 300_000
-_STEP = 1_000_000
+OFTEN = 3
+_MEMO_LIMIT = 150_000
+_STEP = 500_000
 
 
 def core(word: str) -> str:
@@ -117,12 +118,9 @@ def train(docs: DataFrame, max_docs: int = 1500, max_words: int = 250, steps: in
     k = len(languages)
     words = sorted({w for _, ws in rows for w in ws})
     number = {w: i for i, w in enumerate(words)}
-    found, times = [features(w) for w in words], Counter(w for _, ws in rows for w in ws)
-    seen: Counter = Counter()
-    for w, fs in zip(words, found):
-        for f in fs:
-            seen[f] += times[w]
-    at = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 1))}
+    found, times = [features(w) for w in words], Counter(f"={core(w)}" for _, ws in rows for w in ws)
+    shared = Counter(f for fs in found for f in fs)  # parts that different words have, and words that stand often
+    at = {f: i for i, f in enumerate(sorted(f for f, n in shared.items() if (times[f] >= OFTEN if f[0] == "=" else n > 1)))}
     model = Model(languages, at, np.zeros((len(at), k)), np.zeros((k, k)), np.zeros(k))
     if k < 2 or not at:
         return model
@@ -211,7 +209,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         own = shared.value
         tagger = Tagger(own)
         for batch in batches:
@@ -229,4 +226,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, shares map<string,double>")
+    return docs.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, shares map<string,double>")

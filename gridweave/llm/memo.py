@@ -53,11 +53,12 @@ class ChunkEncoder:
     step: bytes of text that are laid out at a time.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 500_000, step: int = 4 << 20):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 400_000, step: int = 3 << 20):
         self.encode_many, self.step = encode_many, step
         self.lead = " " if blank_matters else ""
         self.words = Memo(limit)  # without the space before it
         self.pieces = Memo(limit)
+        self.memos = [self.words, self.pieces]
 
     def slices(self, texts: pa.Array, tail: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Ids of consecutive texts, about ``step`` bytes at a time: first row, ids, and where each text starts and the last ends.

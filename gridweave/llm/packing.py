@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridweave.llm.common import materialise
+from gridweave.llm.common import halved, materialise
 from gridweave.llm.token_files import library_encoder
 
 ROUNDS = 48
@@ -229,4 +229,4 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, doc_id
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(halved(run, lambda: library_encoder(vocabulary, False).memos), schema)

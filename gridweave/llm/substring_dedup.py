@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import materialise, release, unused_name
+from gridweave.llm.common import materialise, tidy, unused_name
 
 #: A perfect difference set modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -105,7 +105,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
@@ -118,7 +117,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
                     found.append(np.unique(anchors(word_hashes(words), size)[1].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "anchors"])
 
-    signed = materialise(own.mapInArrow(sign, "doc_id bigint, digest binary, anchors array<bigint>"))
+    signed = materialise(own.mapInArrow(tidy(sign), "doc_id bigint, digest binary, anchors array<bigint>"))
     first = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     chosen = signed.join(first.select("doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     rows = chosen.select("doc_id", F.explode("anchors").alias("anchor"))
@@ -132,7 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
                 both = np.unique(np.stack([a, b], 1).view(np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), name)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "a", "b"])
 
-    windows = own.join(near, "doc_id").mapInArrow(extend, "doc_id bigint, a bigint, b bigint")
+    windows = own.join(near, "doc_id").mapInArrow(tidy(extend), "doc_id bigint, a bigint, b bigint")
     windows = materialise(windows)
     low = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
     late = windows.join(low, ["a", "b"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
@@ -168,4 +167,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
             rest = [c for c in batch.schema.names if c != hits]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*rest, "n_words", "n_removed", "kept_text"])
 
-    return marked.mapInArrow(keep, f"{fields}, n_words bigint, n_removed bigint, kept_text string")
+    return marked.mapInArrow(tidy(keep), f"{fields}, n_words bigint, n_removed bigint, kept_text string")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import held_out, release
+from gridweave.llm.common import held_out, tidy
 
 STEMS, BLOCK, NEIGHBOURS, SOFT, DENSE = (4, 5, 6), 64, 15, 0.05, 1024
 _WORD = re.compile(r"\w+")
@@ -120,8 +120,8 @@ class Index:
     without: float
     unseen: float = 1.0
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of the other terms
-    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    values: np.ndarray = field(default_factory=lambda: np.empty(0))
+    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    values: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
     slope: float = 1.0
     shift: float = 0.0
 
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), at, pa.ListArray.from_arrays(ends, pa.array(c.times.astype(np.int32)))], names=["id", "toxic", "at", "n"])
 
     # its size is bounded by max_examples, as is all that follows
-    rows = sample.mapInArrow(count, "id bigint, toxic int, at array<string>, n array<int>").toArrow().combine_chunks().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    rows = sample.mapInArrow(tidy(count), "id bigint, toxic int, at array<string>, n array<int>").toArrow().combine_chunks().sort_by([("id", "ascending"), ("toxic", "ascending")])
     size, toxic = rows.num_rows, rows["toxic"].to_numpy().astype(float)
     positive = toxic.sum()
     rate = positive / size if size else 0.0
@@ -274,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
     rest = rest[np.argsort(at[rest], kind="stable")]
     starts = np.concatenate([[0], np.cumsum(np.bincount(at[rest] - common, minlength=len(terms) - common))]).astype(np.int64)
     bare = per == 0
-    index = Index(terms, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + every) + 1, starts, place[rest].astype(np.int64), w[rest].astype(float))
+    index = Index(terms, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + every) + 1, starts, place[rest], w[rest])
     if len(some):
         tried = np.random.default_rng(5).permutation(len(some))[:2000]
         votes = []
@@ -305,7 +305,7 @@ def _document_counts(docs: DataFrame, names: pa.Array) -> tuple[int, np.ndarray]
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["term", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("text").mapInArrow(tidy(count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(names) + 1)
     out[sums["term"].to_numpy()] = sums["n"].to_numpy()
     return int(out[-1]), out[:-1]
@@ -322,7 +322,6 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         own = shared.value
         for batch in batches:
             for lo, texts in _groups(batch.column(text)):
@@ -332,4 +331,4 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                 part = batch.slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
 
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int, neighbours array<bigint>, cosines array<double>")
+    return docs.mapInArrow(tidy(run), f"{fields}, score double, predicted int, neighbours array<bigint>, cosines array<double>")
