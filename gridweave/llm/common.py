@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridweave.storage import discard, materialise, shared_dir
 
-__all__ = ["BLANKS", "HELD", "discard", "halved", "held_out", "materialise", "release", "shared_dir", "table", "tidy", "unused_name"]
+__all__ = ["BLANKS", "HELD", "discard", "give_back", "halved", "held_out", "materialise", "release", "shared_dir", "table", "tidy", "unused_name"]
 
 #: What separates words: the ASCII blanks 0x20 and 0x09 to 0x0D, as bytes.split() has them.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,7 +27,7 @@ HELD: list[dict] = []
 Batches = Iterator[pa.RecordBatch]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """All freed memory back to the system, so that a worker that waits is small."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -40,7 +40,7 @@ def release() -> None:
     """Forget what other operators hold in this worker, before one that needs the memory begins."""
     for memo in HELD:
         memo.clear()
-    _give_back()
+    give_back()
 
 
 def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
@@ -49,7 +49,7 @@ def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     def inner(batches: Batches) -> Batches:
         release()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return inner
 
@@ -61,7 +61,7 @@ def halved(run: Callable[[Batches], Batches], memos: Callable[[], list]) -> Call
         yield from run(batches)
         for memo in memos():
             memo.old = {}
-        _give_back()
+        give_back()
 
     return inner
 

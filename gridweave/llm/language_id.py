@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import held_out, tidy
+from gridweave.llm.common import give_back, held_out, tidy
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -144,6 +144,8 @@ def train(docs: DataFrame, max_docs: int = 1500, max_words: int = 250, steps: in
             square += grad * grad
             value += 0.5 * grad / np.sqrt(square)
     model.prior = np.log((rare + 1) / (rare + 1).sum())
+    del rows, found, flat, owner, index
+    give_back()
     return model
 
 

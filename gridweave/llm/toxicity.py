@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import held_out, tidy
+from gridweave.llm.common import give_back, held_out, tidy
 
 STEMS, BLOCK, NEIGHBOURS, SOFT, DENSE = (4, 5, 6), 64, 15, 0.05, 1024
 _WORD = re.compile(r"\w+")
@@ -247,8 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
     ids, per = rows["id"].to_numpy(), pc.list_value_length(rows["at"]).to_numpy().astype(np.int64)
     coded = pc.list_flatten(rows["at"]).combine_chunks().dictionary_encode()
     n = pc.list_flatten(rows["n"]).to_numpy().astype(np.float32)
-    del rows
-    names, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    names, at = pa.concat_arrays([coded.dictionary]), np.array(coded.indices.to_numpy(zero_copy_only=False), np.int32)
+    del rows, coded
+    give_back()  # the driver's memory is small, and the next step runs on all documents
     every, common_to = _document_counts(docs, names)
     row = np.repeat(np.arange(size, dtype=np.int32), per)
     have, bad = np.bincount(at, minlength=len(names)).astype(float), np.bincount(at, toxic[row], len(names))
@@ -285,6 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
             votes += [index.vote(*f) for f in index.nearest_of(len(own), np.repeat(np.arange(len(own)), n), at[held], w[held].astype(float), but=own.tolist())]
         votes = np.clip(votes, 1e-4, 1 - 1e-4)
         index.slope, index.shift = _logistic(np.log(votes / (1 - votes)), index.labels[tried])
+    del at, n, row, w, place, rest
+    give_back()
     return index
 
 
@@ -306,6 +309,7 @@ def _document_counts(docs: DataFrame, names: pa.Array) -> tuple[int, np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["term", "n"])
 
     sums = docs.select("text").mapInArrow(tidy(count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(len(names) + 1)
     out[sums["term"].to_numpy()] = sums["n"].to_numpy()
     return int(out[-1]), out[:-1]
