@@ -238,17 +238,21 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), batch.column(1).slice(lo, len(texts)), at, pa.ListArray.from_arrays(ends, pa.array(c.times.astype(np.int32)))], names=["id", "toxic", "at", "n"])
 
     # its size is bounded by max_examples, as is all that follows
-    rows = sample.mapInArrow(tidy(count), "id bigint, toxic int, at array<string>, n array<int>").toArrow().combine_chunks().sort_by([("id", "ascending"), ("toxic", "ascending")])
-    size, toxic = rows.num_rows, rows["toxic"].to_numpy().astype(float)
+    rows = sample.mapInArrow(tidy(count), "id bigint, toxic int, at array<string>, n array<int>").toArrow()
+    order = np.lexsort((rows["toxic"].to_numpy(), rows["id"].to_numpy()))
+    size, toxic = rows.num_rows, rows["toxic"].to_numpy()[order].astype(float)
     positive = toxic.sum()
     rate = positive / size if size else 0.0
     if not 0 < positive < size:
         return Index({}, np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty((0, 0, BLOCK)), np.empty((0, 0)), float(rate))
-    ids, per = rows["id"].to_numpy(), pc.list_value_length(rows["at"]).to_numpy().astype(np.int64)
-    coded = pc.list_flatten(rows["at"]).combine_chunks().dictionary_encode()
-    n = pc.list_flatten(rows["n"]).to_numpy().astype(np.float32)
-    names, at = pa.concat_arrays([coded.dictionary]), np.array(coded.indices.to_numpy(zero_copy_only=False), np.int32)
-    del rows, coded
+    ids, per = rows["id"].to_numpy()[order], pc.list_value_length(rows["at"]).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(rows["at"]).dictionary_encode().unify_dictionaries().combine_chunks()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    first, per = (np.cumsum(per) - per)[order], per[order]
+    in_order = np.repeat(first - np.cumsum(per) + per, per) + np.arange(per.sum())  # the strings stay where they are
+    n = pc.list_flatten(rows["n"]).to_numpy().astype(np.float32)[in_order]
+    names, at = pa.concat_arrays([coded.dictionary]), coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)[in_order]
+    del rows, coded, in_order, first
     give_back()  # the driver's memory is small, and the next step runs on all documents
     every, common_to = _document_counts(docs, names)
     row = np.repeat(np.arange(size, dtype=np.int32), per)
