@@ -86,10 +86,12 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> None:
-    from gridweave.llm import licences, quality_rules
+    from gridweave.llm import hard_negatives, licences, quality_rules, spelling
 
     ORACLE_SQL["op4_quality_rules"] = quality_rules.ORACLE
     ORACLE_SQL["op8_licences"] = licences.ORACLE
+    ORACLE_SQL["op11_spelling_variants"] = spelling.ORACLE
+    ORACLE_SQL["op12_hard_negatives"] = hard_negatives.ORACLE
 
 
 _sql()
@@ -113,3 +115,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.spelling import count_words, group_variants
+
+    return group_variants(count_words(documents(spark, sf_dir)).where("n >= 3"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.hard_negatives import mine, quantised
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine(quantised(moved), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.llm.sharding import shard_documents
+
+    put = shard_documents(documents(spark, sf_dir), 16)
+    return put.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
