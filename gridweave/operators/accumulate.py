@@ -1,4 +1,7 @@
-"""Accumulators: the samples of each cell over a stack of images become one value. Nulls are left out; no samples give null."""
+"""Accumulators: the samples of each cell over a stack of images become one value. Nulls are left out; no samples give null.
+
+Accumulators of order (med, medv, iqd, q) count equal values and rank them by ranges, so that no cell has to be in one task.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +9,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from gridweave.operators.order_statistics import accumulated, places_of
 from gridweave.operators.pixels import log_average
 
 
-def _rank(place) -> Column:
-    """The sorted sample at a 0-based place that is a function of their number; a cell has one sample for each image."""
-    s = F.sort_array(F.collect_list("v"))
-    return F.get(s, place(F.count("v")).cast("int"))
-
-
-def _half_up(x: Column) -> Column:
-    return F.floor(x + 0.5)
-
-
-def _iqd() -> Column:
-    """Upper less lower quartile by rounded places; of three samples the range."""
-    s = F.sort_array(F.collect_list("v"))
-    at = lambda q: F.get(s, _half_up((F.count("v") - 1) * q).cast("int"))
-    return F.when(F.count("v") == 3, F.max("v") - F.min("v")).otherwise(at(0.75) - at(0.25))
-
-
 def _power_mean(p: float) -> Column:
     if p == 0:
         return log_average()
@@ -44,20 +30,18 @@ def _gini(p: float, q: float) -> Column:
 
 
 def aggregate(op: str, order: str = "image_id") -> Column:
-    """The aggregate of an operator's name: sum mul avg min max med medv cnt pmin pmax first euc geo har lav lse std iqd, q{percent}, M{p}, L{p}, G{p,q}."""
+    """The aggregate of an operator's name: sum mul avg min max cnt first euc geo har lav std, M{p}, L{p}, G{p,q}."""
     v = F.col("v")
     plain = {
         "sum": lambda: F.sum("v"), "mul": lambda: F.product("v"), "avg": lambda: F.avg("v"), "min": lambda: F.min("v"), "max": lambda: F.max("v"),
-        "med": lambda: _rank(lambda n: F.floor((n - (n == 2).cast("int")) / 2)), "medv": lambda: F.median("v"), "cnt": lambda: F.count("v"),
+        "cnt": lambda: F.count("v"),
         "first": lambda: F.min_by("v", F.when(v.isNotNull(), F.col(order))), "euc": lambda: F.sqrt(F.avg(v * v)), "geo": log_average,
         "har": lambda: F.when(F.count_if(v == 0) > 0, 0.0).otherwise(F.count("v") / F.sum(F.try_divide(F.lit(1.0), v))), "lav": log_average,
-        "lse": lambda: F.ln(F.avg(F.exp("v"))), "std": lambda: F.stddev_pop("v"), "iqd": _iqd,
+        "std": lambda: F.stddev_pop("v"),
     }
     if op in plain:
         return plain[op]()
     kind, arg = op[0], op[1:]
-    if kind == "q":
-        return _rank(lambda n: _half_up((n - 1) * float(arg) / 100))
     if kind == "M":
         return _power_mean(float(arg))
     if kind == "L":
@@ -68,11 +52,15 @@ def aggregate(op: str, order: str = "image_id") -> Column:
 
 
 def accumulate(px: DataFrame, op: str, by: tuple[str, ...] = ("j", "i"), order: str = "image_id") -> DataFrame:
-    """One value per cell. Sums, counts and extrema combine before the shuffle."""
+    """One value per cell, by one of the names of ``aggregate`` or med medv iqd q{percent} lse pmin pmax mod H{width}. Sums, counts and extrema combine before the shuffle."""
     px = px.where(F.col("v").isNotNull())
+    if places_of(op):
+        return accumulated(px, [op], by).withColumnRenamed(op, "v")
     if op in ("pmin", "pmax"):
-        px = px.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-        return px.groupBy(*by).agg((F.min_by("k", F.struct("v", "k")) if op == "pmin" else F.max_by("k", F.struct(F.col("v"), -F.col("k")))).cast("double").alias("v"))
+        return _place_of_extremum(px, op, by, order)
+    if op == "lse":  # less the greatest, so that no exponential overflows
+        shifted = px.join(px.groupBy(*by).agg(F.max("v").alias("top")), list(by))
+        return shifted.groupBy(*by).agg((F.first("top") + F.ln(F.avg(F.exp(F.col("v") - F.col("top"))))).alias("v"))
     if op == "mod":
         return _mode(px, by, F.col("v"))
     if op[0] == "H":
@@ -81,8 +69,20 @@ def accumulate(px: DataFrame, op: str, by: tuple[str, ...] = ("j", "i"), order:
 
 
 def accumulate_many(px: DataFrame, ops: list[str], by: tuple[str, ...] = ("j", "i"), order: str = "image_id") -> DataFrame:
-    """Several accumulators in one shuffle, a column for each."""
-    return px.where(F.col("v").isNotNull()).groupBy(*by).agg(*(aggregate(op, order).alias(op) for op in ops))
+    """Several accumulators, a column for each: those of order by one ranking, the others in one shuffle."""
+    px = px.where(F.col("v").isNotNull())
+    ranked = [op for op in ops if places_of(op)]
+    plain = [op for op in ops if op not in ranked]
+    parts = [px.groupBy(*by).agg(*(aggregate(op, order).alias(op) for op in plain))] if plain else []
+    parts += [accumulated(px, ranked, by)] if ranked else []
+    return (parts[0].join(parts[1], list(by)) if len(parts) == 2 else parts[0]).select(*by, *ops)
+
+
+def _place_of_extremum(px: DataFrame, op: str, by: tuple[str, ...], order: str) -> DataFrame:
+    """How many samples of the cell go before its first extreme one in ``order``: counted, never sorted."""
+    ends = px.groupBy(*by).agg((F.min if op == "pmin" else F.max)("v").alias("end"))
+    firsts = px.join(ends, list(by)).groupBy(*by).agg(F.min(F.when(F.col("v") == F.col("end"), F.col(order))).alias("first"))
+    return px.join(firsts, list(by)).groupBy(*by).agg(F.count_if(F.col(order) < F.col("first")).cast("double").alias("v"))
 
 
 def _mode(px: DataFrame, by: tuple[str, ...], level: Column) -> DataFrame:

@@ -175,25 +175,6 @@ def accumulate_with(px: DataFrame, fn: Callable[[np.ndarray], float], by: tuple[
     return own.groupBy(*by).applyInPandas(lambda key, rows: pd.DataFrame([[*key, float(fn(rows["v"].to_numpy()))]], columns=[*by, "v"]), f"{fields}, v double")
 
 
-def clusters(px: DataFrame, precision: float, most: int = 8) -> DataFrame:
-    """k-means of the samples of each cell, with the least k whose mean variance is below precision^2: j, i, n, centres."""
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(rows["v"].to_numpy())
-        for k in range(1, min(most, len(v)) + 1):
-            centres = np.quantile(v, (np.arange(k) + 0.5) / k)
-            for _ in range(50):
-                to = np.abs(v[:, None] - centres).argmin(1)
-                new = np.array([v[to == c].mean() if (to == c).any() else centres[c] for c in range(k)])
-                if (new == centres).all():
-                    break
-                centres = new
-            if np.mean((v - centres[to]) ** 2) < precision**2:
-                break
-        return pd.DataFrame([[*key, k, sorted(centres.tolist())]], columns=["j", "i", "n", "centres"])
-
-    return px.where("v is not null").select("j", "i", F.col("v").cast("double").alias("v")).groupBy("j", "i").applyInPandas(run, "j int, i int, n int, centres array<double>")
-
-
 def frechet(px: DataFrame, p: float, rounds: int = 25) -> DataFrame:
     """Position m of each cell that minimises the sum of |v - m|^p, p at least 1, by reweighted means from the mean; a sample at m is left out of a round."""
     own = materialise(px.where("v is not null").select("j", "i", F.col("v").cast("double").alias("v")))

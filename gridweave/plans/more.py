@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators import accumulate as A
+from gridweave.operators import clusters as K
 from gridweave.operators import colours as C
 from gridweave.operators import descriptors as M
 from gridweave.operators import fields as D
@@ -21,7 +22,8 @@ from gridweave.operators import regions as G
 from gridweave.operators import shapes as H
 from gridweave.operators import statistics as S
 from gridweave.operators import vectors as V
-from gridweave.plans.registry import add
+from gridweave.plans.fixtures import load
+from gridweave.plans.registry import QUERIES, add
 
 _DIMS = "d AS (SELECT image_id, max(i) + 1 AS w, max(j) + 1 AS h FROM px GROUP BY 1)"
 _SAME = "{b}.image_id = {a}.image_id AND {b}.c = {a}.c"
@@ -117,7 +119,15 @@ add("locate", "PL", lambda px: H.locate(P.crop(px.where("image_id = 'A'"), 4, 3,
 add("zip_parts", "PL", lambda px: H.zip_parts(V.stack_channels(px, P.affine(px, 2.0, 0.0), P.affine(px, 3.0, 0.0)), px), "SELECT image_id, i AS x, j AS y, v AS z, v AS red, 2 * v AS green, 3 * v AS blue FROM px")
 add("segment_raster", "SEG", lambda s: H.segment_raster(s, 24, 100), "SELECT j, i, count(*) AS n FROM (SELECT CAST(floor(b + CASE WHEN n > 0 THEN (z - b) * k / n ELSE 0 END + 0.5) AS INT) AS j, CAST(floor(a + CASE WHEN n > 0 THEN (y - a) * k / n ELSE 0 END + 0.5) AS INT) AS i FROM (SELECT *, unnest(generate_series(0, CAST(n AS BIGINT))) AS k FROM (SELECT *, greatest(abs(y - a), abs(z - b)) AS n FROM (SELECT floor(x1 + 0.5) AS a, floor(y1 + 0.5) AS b, floor(x2 + 0.5) AS y, floor(y2 + 0.5) AS z FROM px)))) WHERE i BETWEEN 0 AND 23 AND j BETWEEN 0 AND 99 GROUP BY 1, 2")
 add("spread", "PL", H.spread, f", {_DIMS}, z AS (SELECT image_id, v, CASE WHEN 2 * i >= w THEN i - w ELSE i END AS x, CASE WHEN 2 * j >= h THEN j - h ELSE j END AS y FROM px JOIN d USING (image_id)) SELECT image_id, sqrt(sum(v * (x * x + y * y)) / sum(v)) / 1.4 AS spread FROM z GROUP BY 1")
-add("continuous_histogram", "PV", lambda px: H.continuous_histogram(px, 20, -0.5, 0.5), ", e AS (SELECT p.image_id, least(p.v, b.v, d.v, e.v) AS a, greatest(p.v, b.v, d.v, e.v) AS z FROM px p JOIN px b ON b.image_id = p.image_id AND b.c = p.c AND b.j = p.j AND b.i = p.i + 1 JOIN px d ON d.image_id = p.image_id AND d.c = p.c AND d.j = p.j + 1 AND d.i = p.i JOIN px e ON e.image_id = p.image_id AND e.c = p.c AND e.j = p.j + 1 AND e.i = p.i + 1), k AS (SELECT CAST(unnest(generate_series(0, 19)) AS INT) AS bin) SELECT image_id, bin, sum(CASE WHEN a = z THEN CASE WHEN floor((a + 0.5) / 0.05) = bin THEN 1.0 ELSE 0.0 END ELSE greatest(0, least(-0.5 + (bin + 1) * 0.05, z) - greatest(-0.5 + bin * 0.05, a)) / (z - a) END) AS mass FROM e, k GROUP BY 1, 2 HAVING mass > 0")
+_CORNERS = ", q AS (SELECT p.image_id, list_sort([p.v, b.v, d.v, e.v]) AS q FROM px p JOIN px b ON b.image_id = p.image_id AND b.c = p.c AND b.j = p.j AND b.i = p.i + 1 JOIN px d ON d.image_id = p.image_id AND d.c = p.c AND d.j = p.j + 1 AND d.i = p.i JOIN px e ON e.image_id = p.image_id AND e.c = p.c AND e.j = p.j + 1 AND e.i = p.i + 1)"
+_TRAPEZOID = "((CASE WHEN {x} <= a THEN 0 WHEN {x} >= b THEN 2 * {x} - a - b ELSE ({x} - a) * ({x} - a) / (b - a) END) - (CASE WHEN {x} <= c THEN 0 WHEN {x} >= d THEN 2 * {x} - c - d ELSE ({x} - c) * ({x} - c) / (d - c) END)) / (c + d - a - b)"
+add("continuous_histogram", "PV", lambda px: H.continuous_histogram(px, 20, -0.5, 0.5), f"{_CORNERS}, e AS (SELECT image_id, q[1] AS a, q[2] AS b, q[3] AS c, q[4] AS d FROM q), k AS (SELECT CAST(unnest(generate_series(0, 19)) AS INT) AS bin) SELECT image_id, bin, sum(CASE WHEN a = d THEN CASE WHEN floor((a + 0.5) / 0.05) = bin THEN 1.0 ELSE 0.0 END ELSE {_TRAPEZOID.format(x='(-0.5 + (bin + 1) * 0.05)')} - {_TRAPEZOID.format(x='(-0.5 + bin * 0.05)')} END) AS mass FROM e, k GROUP BY 1, 2 HAVING mass > 1e-12")
+add("density_by_jumps", "PV", lambda px: H.density_by_jumps(px, 40, -0.5, 0.5).withColumn("density", F.round("density", 6) + 0.0), f"""{_CORNERS}, t AS (SELECT image_id, [CAST(round_even(39 * (x - -0.5) / (0.5 - -0.5), 0) AS INT) FOR x IN q] AS p FROM q WHERE q[1] >= -0.5 AND q[4] <= 0.5 AND q[1] < q[2] AND q[2] < q[3] AND q[3] < q[4]),
+    o AS (SELECT image_id, p, 2 / (p[3] + p[4] - p[1] - p[2]) AS m FROM t WHERE p[1] < p[2] AND p[2] < p[3] AND p[3] < p[4]),
+    u AS (SELECT image_id, p[1] AS bin, m / (p[2] - p[1]) AS z FROM o UNION ALL SELECT image_id, p[2], -m / (p[2] - p[1]) FROM o UNION ALL SELECT image_id, p[3], -m / (p[4] - p[3]) FROM o UNION ALL SELECT image_id, p[4], m / (p[4] - p[3]) FROM o),
+    n AS (SELECT image_id, bin FROM (SELECT DISTINCT image_id FROM px), (SELECT CAST(unnest(generate_series(0, 39)) AS INT) AS bin)),
+    g AS (SELECT n.image_id, n.bin, coalesce(sum(z), 0) AS z FROM n LEFT JOIN u ON u.image_id = n.image_id AND u.bin = n.bin GROUP BY 1, 2)
+    SELECT image_id, bin, -0.5 + bin * ((0.5 - -0.5) / 40) AS value, round(sum(s) OVER (PARTITION BY image_id ORDER BY bin), 6) + 0.0 AS density FROM (SELECT image_id, bin, sum(z) OVER (PARTITION BY image_id ORDER BY bin) AS s FROM g)""")
 add("fit_curves", "PU", lambda px: H.fit_curves(S.histogram(px)), ", t AS (SELECT image_id, v, count(*) AS n FROM px GROUP BY 1, 2), m AS (SELECT image_id, sum(n) AS mass, sum(v * n) / sum(n) AS mean, sqrt(greatest(0, sum(v * v * n) / sum(n) - sum(v * n) / sum(n) * (sum(v * n) / sum(n)))) AS sigma FROM t GROUP BY 1) SELECT image_id, v, n, CAST(mass AS BIGINT) AS mass, mean, sigma, exp(-(v - mean) * (v - mean) / (2 * sigma * sigma)) / (sigma * sqrt(2 * pi())) AS gauss, exp(-abs(v - mean) * sqrt(2) / sigma) / (sigma * sqrt(2)) AS laplace FROM t JOIN m USING (image_id)")
 add("line_profile", "PL", lambda px: H.line_profile(px, 0.3, 21), f", {_DIMS}, k AS (SELECT *, CAST(unnest(generate_series(0, 20)) AS INT) AS k FROM d), t AS (SELECT *, (w - 1) / 2.0 + (k / 20.0 - 0.5) * (least(w, h) - 1) * {math.cos(0.3)!r} AS x, (h - 1) / 2.0 + (k / 20.0 - 0.5) * (least(w, h) - 1) * {math.sin(0.3)!r} AS y FROM k), o AS (SELECT *, floor(x) + a AS si, floor(y) + b AS sj, (CASE a WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE b WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS wt FROM t, (VALUES (0), (1)) m(a), (VALUES (0), (1)) n(b)) SELECT o.image_id, px.c, o.k, sum(wt * v) / sum(wt) AS v FROM o JOIN px ON px.image_id = o.image_id AND px.i = si AND px.j = sj WHERE wt > 1e-12 GROUP BY 1, 2, 3")
 add("disparity_to_pairs", "PL", lambda px: H.disparity_to_pairs(px, [1, 0.5, 3, 0, 2, -1, 0, 0.001, 1], [1, 0, 0, 0, 1, 0, 0, 0, 2]), "SELECT image_id, (i + 0.5 * j + 3) / (0.001 * j + 1) AS x1, (2 * j - 1) / (0.001 * j + 1) AS y1, (i + v) / 2.0 AS x2, j / 2.0 AS y2 FROM px")
@@ -167,3 +177,22 @@ add("least_squares_flow", "PL", lambda px: O.least_squares_flow(px, P.affine(px,
 add("lucky_rank", "PL", lambda px: O.lucky_rank(px, 1, 2), ", m AS (SELECT j, i, c, avg(v) AS m FROM px GROUP BY 1, 2, 3), g AS (SELECT px.*, (v - m) * (v - m) AS e FROM px JOIN m USING (j, i, c)), z AS (SELECT p.image_id, p.j, p.i, p.c, any_value(p.v) AS v, avg(q.e) AS d FROM g p JOIN g q ON q.image_id = p.image_id AND q.c = p.c AND abs(q.i - p.i) <= 1 AND abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4) SELECT j, i, c, v, image_id AS frame FROM z QUALIFY row_number() OVER (PARTITION BY j, i, c ORDER BY round(d, 6), image_id) = 2")
 add("local_gaussian", "PE", lambda px: O.local_gaussian(px, px.select("image_id", "j", "i", (F.col("n") / 4.0).alias("v"))), "SELECT p.image_id, p.j, p.i, p.c, sum(wt * q.v) / sum(wt) AS v FROM (SELECT a.image_id, a.j, a.i, a.c, b.v, CASE WHEN a.n / 4.0 < 0.1 THEN 1 ELSE exp(-((b.i - a.i) * (b.i - a.i) + (b.j - a.j) * (b.j - a.j)) / (2 * (a.n / 4.0) * (a.n / 4.0))) END AS wt FROM px a JOIN px b ON b.image_id = a.image_id AND b.c = a.c AND greatest(abs(b.i - a.i), abs(b.j - a.j)) <= CASE WHEN a.n / 4.0 < 0.1 THEN 0 ELSE least(19, ceil(3 * a.n / 4.0)) END) p, (SELECT 1) q GROUP BY 1, 2, 3, 4".replace("q.v", "v"))
 add("windowed_spectrum", "TS", lambda s: O.windowed_spectrum(s, "event_type", "t", 8).select("event_type", "start", "k", *((F.round(x, 6) + 0.0).alias(x) for x in ("re", "im"))), 'SELECT a.event_type, a.t AS start, k, round(sum(b.v * cos(2 * pi() / 8 * k * (b.t - a.t))), 6) + 0.0 AS re, round(-sum(b.v * sin(2 * pi() / 8 * k * (b.t - a.t))), 6) + 0.0 AS im FROM px a JOIN px b ON b.event_type = a.event_type AND b.t >= a.t AND b.t < a.t + 8, (SELECT CAST(unnest(generate_series(0, 4)) AS INT) AS k) GROUP BY 1, 2, 3')
+
+
+# clusters of cells
+_cents = lambda px: px.withColumn("v", F.col("v") * 100)
+add("cluster_counts", "PS", lambda px: K.counted(_cents(px), 2.0), "SELECT j, i, floor(v * 100 / 2 + 0.5) * 2 AS v, count(*) AS n FROM px GROUP BY 1, 2, 3")
+add("cluster_contrario", "PS", lambda px: K.cluster(_cents(px), "contrario", 1.0), """, s AS (SELECT j, i, v * 100 AS v FROM px), d AS (SELECT j, i, min(v) AS lo, CAST(floor((max(v) - min(v)) / 5) AS INT) + 1 AS size, count(*) AS n FROM s GROUP BY 1, 2),
+    h AS (SELECT j, i, CAST(floor((v - lo) / 5) AS INT) AS bin, count(*) AS k FROM s JOIN d USING (j, i) GROUP BY 1, 2, 3),
+    x AS (SELECT d.*, a, b FROM d, (SELECT CAST(unnest(generate_series(0, 60)) AS INT) AS a), (SELECT CAST(unnest(generate_series(0, 60)) AS INT) AS b) WHERE a <= b AND b < size),
+    y AS (SELECT x.j, x.i, lo, size, n, a, b, coalesce(sum(k), 0) AS k FROM x LEFT JOIN h ON h.j = x.j AND h.i = x.i AND bin BETWEEN a AND b GROUP BY 1, 2, 3, 4, 5, 6, 7),
+    r AS (SELECT *, k / n AS r, (b - a + 1) / size AS p FROM y),
+    e AS (SELECT *, CASE WHEN p >= 1 THEN 0 ELSE (CASE WHEN r > 0 THEN r * ln(r / p) ELSE 0 END) + (CASE WHEN r < 1 THEN (1 - r) * ln((1 - r) / (1 - p)) ELSE 0 END) END AS e FROM r),
+    m AS (SELECT * FROM e WHERE e >= ln(size * (size + 1) / 2.0) / n),
+    g AS (SELECT * FROM m WHERE r >= p AND NOT EXISTS (SELECT 1 FROM m y WHERE y.j = m.j AND y.i = m.i AND y.r < y.p AND y.a >= m.a AND y.b <= m.b)),
+    k AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.j = g.j AND y.i = g.i AND y.a >= g.a AND y.b <= g.b AND y.e > g.e) AND NOT EXISTS (SELECT 1 FROM g y WHERE y.j = g.j AND y.i = g.i AND y.a <= g.a AND y.b >= g.b AND y.b - y.a > g.b - g.a AND y.e >= g.e)),
+    z AS (SELECT k.j, k.i, a, row_number() OVER (PARTITION BY k.j, k.i ORDER BY a) AS c, avg(v) AS v FROM k JOIN s ON s.j = k.j AND s.i = k.i AND v BETWEEN lo + 5 * a AND lo + 5 * (b + 1) GROUP BY k.j, k.i, a),
+    t AS (SELECT j, i, CAST(least(7, count(*)) AS DOUBLE) AS k FROM z GROUP BY 1, 2)
+    SELECT d.j, d.i, CAST(w.c AS INT) AS c, CASE WHEN w.c = 0 THEN coalesce(t.k, 0) ELSE z.v END AS v FROM d CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS c) w LEFT JOIN z ON z.j = d.j AND z.i = d.i AND z.c = w.c LEFT JOIN t ON t.j = d.j AND t.i = d.i""")
+QUERIES["cluster_kmeans"] = lambda spark, sf_dir: K.cluster(_cents(load(spark, sf_dir, "PS")), "kmeans", 5.0, step=1.0)
+QUERIES["cluster_kmedians"] = lambda spark, sf_dir: K.cluster(_cents(load(spark, sf_dir, "PS")), "kmedians", 8.0, step=1.0)

@@ -37,14 +37,15 @@ def discard(*tables: DataFrame) -> None:
                 at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows of the group ``by`` up to each row in ``order``, itself and ties included.
+def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str, total: str | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the group ``by`` up to each row in ``order``, itself and ties included; and ``total``: that of the whole group.
 
     Rows are dealt by ranges of group and order, so a large group is spread over many tasks; what goes before a
     part comes from one row for each part and group. Rows that tie are in one part.
     """
     parts = materialise(df.repartitionByRange(*by, *order).withColumn("part_", F.spark_partition_id()))
     sums = parts.groupBy(*by, "part_").agg(F.sum(value).alias("sum_"))
-    before = sums.select(*by, "part_", (F.sum("sum_").over(Window.partitionBy(*by).orderBy("part_")) - F.col("sum_")).alias("before_"))
+    whole = [F.sum("sum_").over(Window.partitionBy(*by)).alias(total)] if total else []
+    before = sums.select(*by, "part_", (F.sum("sum_").over(Window.partitionBy(*by).orderBy("part_")) - F.col("sum_")).alias("before_"), *whole)
     local = F.sum(value).over(Window.partitionBy(*by, "part_").orderBy(*order))
     return parts.withColumn("local_", local).join(before, [*by, "part_"]).withColumn(name, F.col("local_") + F.col("before_")).drop("part_", "local_", "before_")

@@ -124,11 +124,9 @@ def test_ransac(spark):
     assert best.inliers == 40 and math.isclose(-best.a / best.b, 2.0)
 
 
-def test_clusters_and_positions(spark):
+def test_positions(spark):
     rows = [(str(k), 0, 0, 0, v) for k, v in enumerate([1.0, 1.1, 0.9, 9.0, 9.2, 8.8])] + [("0", 0, 1, 0, 4.0)]
     px = spark.createDataFrame(rows, "image_id string, j int, i int, c int, v double")
-    got = {r.i: r for r in descriptors.clusters(px, 0.5).collect()}
-    assert got[0].n == 2 and np.allclose(got[0].centres, [1, 9]) and got[1].n == 1 and got[1].centres == [4.0]
     mean = {r.i: r.v for r in descriptors.frechet(px, 2.0, 3).collect()}
     assert math.isclose(mean[0], 5.0) and mean[1] == 4.0
 
