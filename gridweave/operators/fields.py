@@ -8,33 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridweave.operators.neighbours import element, gather
+from gridweave.operators import tiles
+from gridweave.operators.neighbours import element
 from gridweave.operators.pixels import KEYS
 
 _CROSS = [o for o in element("cross") if o != (0, 0)]
 
 
-def rank_filter(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Number of neighbours below the centre; a cell's list is bounded by the element."""
-    d = gather(px, offsets, F.collect_list("u").alias("us"))
-    return d.select(*KEYS, F.when(F.col("v").isNotNull(), F.size(F.filter("us", lambda u: u < F.col("v"))).cast("double")).alias("v"))
+def diffuse(px: DataFrame, step: float, n: int) -> DataFrame:
+    """n explicit steps of linear diffusion over the known neighbours. A tile with a halo of n pixels does all of them, so there is one exchange whatever n."""
 
+    def run(v: dict, known: dict) -> list:
+        x, k = np.where(known["v"], v["v"], 0.0), known["v"]
+        for _ in range(n):
+            at = lambda a, o: tiles.moved(a, 1, *o)
+            gain = sum(np.where(at(k, o), at(x, o) - at(x, (0, 0)), 0.0) for o in _CROSS)
+            x, k = np.where(at(k, (0, 0)), at(x, (0, 0)) + step * gain, 0.0), at(k, (0, 0))
+        return [(x, k)]
 
-def diffuse(px: DataFrame, step: float, n: int) -> DataFrame:
-    """n explicit steps of linear diffusion over the neighbours that exist. Lineage grows by one aggregate a step: checkpoint long runs."""
-    for _ in range(n):
-        d = gather(px, _CROSS, F.sum("u").alias("s"), F.count("u").alias("k"))
-        px = d.select(*KEYS, (F.col("v") + step * (F.coalesce("s", F.lit(0.0)) - F.col("k") * F.col("v"))).alias("v"))
-    return px
+    return tiles.on_tiles(px, n, run)
 
 
 def sphere_count(px: DataFrame, r: float, vex: float = 1.0) -> DataFrame:
     """Neighbours of a height raster within a sphere of radius r, the centre included."""
     k = int(np.ceil(r))
     disk = [(x, y) for x in range(-k, k + 1) for y in range(-k, k + 1) if x * x + y * y < r * r]
-    d = gather(px, disk, F.collect_list(F.when(F.col("u").isNotNull(), F.struct("dx", "dy", "u"))).alias("us"))
-    inside = lambda s: s["dx"] * s["dx"] + s["dy"] * s["dy"] + F.pow((s["u"] - F.col("v")) / vex, F.lit(2.0)) < r * r
-    return d.select(*KEYS, F.when(F.col("v").isNotNull(), F.size(F.filter("us", inside)).cast("double")).alias("v"))
+
+    def run(v: dict, known: dict) -> list:
+        own, there = tiles.moved(v["v"], k, 0, 0), tiles.moved(known["v"], k, 0, 0)
+        inside = lambda x, y: tiles.moved(known["v"], k, x, y) & (x * x + y * y + ((tiles.moved(v["v"], k, x, y) - own) / vex) ** 2 < r * r)
+        return [(sum(inside(*o) for o in disk).astype(float), there)]
+
+    return tiles.on_tiles(px, k, run)
 
 
 def _centred(v: str, along: str, across: str) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridweave.operators import tiles
 from gridweave.operators.neighbours import CENTRED, box_mean, stencil
 from gridweave.operators.pixels import KEYS
 
@@ -62,14 +64,27 @@ def lucky_rank(frames: DataFrame, r: int, k: int) -> DataFrame:
 
 
 def local_gaussian(px: DataFrame, sigma: DataFrame, most: int = 19) -> DataFrame:
-    """Gaussian mean of the known pixels with the width that ``sigma`` has at the pixel; below 0.1 it stays. Kernels reach ceil(3 sigma), at most ``most``."""
-    asked = px.select(*KEYS, F.col("v").alias("own")).join(sigma.select("image_id", "j", "i", F.col("v").alias("s")), ["image_id", "j", "i"])
-    reach = F.when(F.col("s") < 0.1, 0).otherwise(F.least(F.lit(most), F.ceil(3 * F.col("s")))).cast("int")
-    asked = asked.withColumn("reach", reach).withColumn("dx", F.explode(F.sequence(-F.col("reach"), F.col("reach")))).withColumn("dy", F.explode(F.sequence(-F.col("reach"), F.col("reach"))))
-    asked = asked.withColumn("wt", F.when(F.col("reach") == 0, 1.0).otherwise(F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2 * F.col("s") * F.col("s")))))
-    asked = asked.select("image_id", "c", F.col("j").alias("tj"), F.col("i").alias("ti"), (F.col("j") + F.col("dy")).alias("j"), (F.col("i") + F.col("dx")).alias("i"), "wt")
-    met = asked.join(px.where("v is not null").select(*KEYS, "v"), KEYS)
-    return met.groupBy("image_id", F.col("tj").alias("j"), F.col("ti").alias("i"), "c").agg((F.sum(F.col("wt") * F.col("v")) / F.sum("wt")).alias("v"))
+    """Gaussian mean of the known pixels with the width that ``sigma`` has at the pixel; below 0.1 it stays. Kernels reach ceil(3 sigma), at most ``most``.
+
+    Pixels without a row in ``sigma`` are left out, a null width gives null; both still count for others.
+    """
+    asked = px.select(*KEYS, "v").join(sigma.select("image_id", "j", "i", F.col("v").alias("s"), F.lit(True).alias("here")), ["image_id", "j", "i"], "left")
+
+    def run(v: dict, known: dict) -> list:
+        s, ok = tiles.moved(v["s"], most, 0, 0), tiles.moved(known["s"], most, 0, 0)
+        reach = np.where(s < 0.1, 0, np.minimum(most, np.ceil(3 * s)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = np.where(s < 0.1, 0.0, 1 / (2 * s * s))
+        top, below, far = np.zeros(s.shape), np.zeros(s.shape), int(reach[ok].max(initial=0))
+        for dy in range(-far, far + 1):
+            for dx in range(-far, far + 1):
+                w = np.where(tiles.moved(known["v"], most, dx, dy) & (reach >= max(abs(dx), abs(dy))), np.exp(-(dx * dx + dy * dy) * rate), 0.0)
+                top += w * tiles.moved(v["v"], most, dx, dy)
+                below += w
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [(top / below, ok & (below > 0))]
+
+    return tiles.on_tiles(asked.withColumn("here", F.coalesce("here", F.lit(False))), most, run, columns=("v", "s"))
 
 
 def windowed_spectrum(series: DataFrame, by: str, at: str, length: int) -> DataFrame:

@@ -1,18 +1,20 @@
 """Neighbourhood operators: structuring elements, morphology, ranks, convolution and box sums.
 
-A small element is exploded to (offset) rows and aggregated at its targets; rectangles run as two sliding windows.
-Neighbours outside the image, or null, don't count.
+Morphology, ranks and kernels of any size run on tiles with a halo; stencils of fixed size and sums along an axis are
+exploded to offsets or run as sliding windows. Neighbours outside the image, or null, don't count.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridweave.operators.pixels import KEYS, filled, with_dims
+from gridweave.operators import tiles
+from gridweave.operators.pixels import KEYS, filled
 
 
 def element(name: str) -> list[tuple[int, int]]:
@@ -40,11 +42,15 @@ def gather(px: DataFrame, offsets: list[tuple[int, int]], *aggregates) -> DataFr
 
 
 def erode(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    return gather(px, offsets, F.min("u").alias("m")).select(*KEYS, F.col("m").alias("v"))
+    """Least known neighbour of each pixel."""
+    r = tiles.reach_of(offsets)
+    return tiles.on_tiles(px, r, lambda v, known: [tiles.least(v["v"], known["v"], r, offsets)])
 
 
 def dilate(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    return gather(px, [(-x, -y) for x, y in offsets], F.max("u").alias("m")).select(*KEYS, F.col("m").alias("v"))
+    """Greatest known neighbour of each pixel, by the mirrored element."""
+    r, back = tiles.reach_of(offsets), [(-x, -y) for x, y in offsets]
+    return tiles.on_tiles(px, r, lambda v, known: [tiles.greatest(v["v"], known["v"], r, back)])
 
 
 def opening(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
@@ -56,18 +62,57 @@ def closing(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
 
 
 def median_filter(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    return gather(px, offsets, F.median("u").alias("m")).select(*KEYS, F.col("m").alias("v"))
+    r = tiles.reach_of(offsets)
+    return tiles.on_tiles(px, r, lambda v, known: [tiles.middle(v["v"], known["v"], r, offsets)])
+
+
+def rank_filter(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Number of known neighbours below the centre."""
+    r = tiles.reach_of(offsets)
+
+    def run(v: dict, known: dict) -> list:
+        own, x, k = (tiles.moved(v["v"], r, 0, 0), v["v"], known["v"])
+        return [(sum(tiles.moved(k, r, *o) & (tiles.moved(x, r, *o) < own) for o in offsets).astype(float), tiles.moved(k, r, 0, 0))]
+
+    return tiles.on_tiles(px, r, run)
 
 
 def morph(px: DataFrame, offsets: list[tuple[int, int]], op: str) -> DataFrame:
-    """gradient, igradient, egradient, laplacian, enhance, blur: one pass yields both extrema (symmetric elements)."""
-    lo, hi, v = F.col("lo"), F.col("hi"), F.col("v")
-    out = {"gradient": hi - lo, "igradient": v - lo, "egradient": hi - v, "laplacian": (hi + lo - 2 * v) / 2, "enhance": v - (hi + lo - 2 * v) / 2, "blur": v + (hi + lo - 2 * v) / 2}[op]
-    return gather(px, offsets, F.min("u").alias("lo"), F.max("u").alias("hi")).select(*KEYS, out.alias("v"))
+    """gradient, igradient, egradient, laplacian, enhance, blur, iblur, eblur, cblur: one pass yields both extrema (symmetric elements)."""
+    r = tiles.reach_of(offsets)
+    out = {
+        "gradient": lambda v, lo, hi: hi - lo, "igradient": lambda v, lo, hi: v - lo, "egradient": lambda v, lo, hi: hi - v,
+        "laplacian": lambda v, lo, hi: (hi + lo - 2 * v) / 2, "enhance": lambda v, lo, hi: v - (hi + lo - 2 * v) / 2, "blur": lambda v, lo, hi: v + (hi + lo - 2 * v) / 2,
+        "iblur": lambda v, lo, hi: (v + lo) / 2, "eblur": lambda v, lo, hi: (v + hi) / 2, "cblur": lambda v, lo, hi: v / 2 + lo / 4 + hi / 4,
+    }[op]
+
+    def run(v: dict, known: dict) -> list:
+        own, there = tiles.moved(v["v"], r, 0, 0), tiles.moved(known["v"], r, 0, 0)
+        (lo, any_), (hi, _) = (f(v["v"], known["v"], r, offsets) for f in (tiles.least, tiles.greatest))
+        there = any_ if op == "gradient" else there & any_
+        with np.errstate(invalid="ignore"):
+            return [(out(own, lo, hi), there)]
+
+    return tiles.on_tiles(px, r, run)
+
+
+def _less(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b.withColumnRenamed("v", "u"), KEYS).select(*KEYS, (F.col("v") - F.col("u")).alias("v"))
 
 
 def tophat(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    return px.join(opening(px, offsets).withColumnRenamed("v", "o"), KEYS).select(*KEYS, (F.col("v") - F.col("o")).alias("v"))
+    """The image less its opening."""
+    return _less(px.select(*KEYS, "v"), opening(px, offsets))
+
+
+def bottomhat(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """The closing less the image."""
+    return _less(closing(px, offsets), px.select(*KEYS, "v"))
+
+
+def oscillation(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """The closing less the opening."""
+    return _less(closing(px, offsets), opening(px, offsets))
 
 
 def local_extrema(px: DataFrame) -> DataFrame:
@@ -88,18 +133,22 @@ def census(px: DataFrame) -> DataFrame:
     return gather(px, ring, *at).select(*KEYS, weight.cast("double").alias("v"))
 
 
-def _weight_of(kernel: dict[tuple[int, int], float]):
-    """The weight at dx, dy, where there is a neighbour: read from an array by place."""
-    xs, ys = [k[0] for k in kernel], [k[1] for k in kernel]
-    x0, y0, width = min(xs), min(ys), max(xs) - min(xs) + 1
-    table = F.array(*(F.lit(float(kernel.get((x0 + k % width, y0 + k // width), 0.0))) for k in range(width * (max(ys) - y0 + 1))))
-    return F.when(F.col("u").isNotNull(), F.get(table, (F.col("dy") - y0) * width + F.col("dx") - x0))
+def convolve(px: DataFrame, kernel: dict[tuple[int, int], float], normal: str = "known") -> DataFrame:
+    """Weighted mean over the known neighbours; ``kernel`` maps (dx, dy) to weights. ``normal`` all: their weighted sum over the sum of all weights."""
+    r, total = tiles.reach_of(kernel), sum(kernel.values())
 
+    def run(v: dict, known: dict) -> list:
+        k = known["v"]
+        top = tiles.weighted(np.where(k, v["v"], 0.0), kernel, r)
+        any_ = tiles.over(k, r, list(kernel), np.logical_or)
+        if normal == "all":
+            return [(top / total, any_)]
+        whole = k.all()
+        below = total if whole else tiles.weighted(k.astype(float), kernel, r)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [(top / below, any_ & (np.asarray(below) != 0))]
 
-def convolve(px: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
-    """Weighted mean over the neighbours that exist; ``kernel`` maps (dx, dy) to weights."""
-    w = _weight_of(kernel)
-    return gather(px, list(kernel), (F.sum(w * F.col("u")) / F.sum(w)).alias("m")).select(*KEYS, F.col("m").alias("v"))
+    return tiles.on_tiles(px, r, run)
 
 
 def box_mean(px: DataFrame, r: int) -> DataFrame:
@@ -126,6 +175,23 @@ def running_median(series: DataFrame, n: int, by: str, at: str) -> DataFrame:
     return series.withColumn("m", (low + high) / 2.0)
 
 
+def smooth_structure_tensor(px: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian means, cut at three sigma, of gx*gx, gx*gy and gy*gy, with forward differences that are 0 where the next pixel isn't known."""
+    weights = kernel("gauss", sigma)
+    r = tiles.reach_of(weights)
+
+    def run(v: dict, known: dict) -> list:
+        x, k = v["v"], known["v"]
+        ahead = lambda dx, dy: np.where(tiles.moved(k, 1, 0, 0) & tiles.moved(k, 1, dx, dy), tiles.moved(x, 1, dx, dy) - tiles.moved(x, 1, 0, 0), 0.0)
+        gx, gy, there = ahead(1, 0), ahead(0, 1), tiles.moved(k, 1, 0, 0)
+        below = tiles.weighted(there.astype(float), weights, r)
+        any_ = tiles.over(there, r, list(weights), np.logical_or)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [(tiles.weighted(p, weights, r) / below, any_) for p in (gx * gx, gx * gy, gy * gy)]
+
+    return tiles.on_tiles(px, r + 1, run, outputs=("xx", "xy", "yy"))
+
+
 def structure_tensor(px: DataFrame, r: int) -> DataFrame:
     """Box means of gx*gx, gx*gy and gy*gy, with forward differences that are 0 where the next pixel is missing."""
     row = Window.partitionBy("image_id", "j", "c").orderBy("i")
@@ -187,22 +253,43 @@ def flow_derivative(field: DataFrame, op: str, scheme: str = "sobel") -> DataFra
     return a.join(b.withColumnRenamed("v", "u"), KEYS).select(*KEYS, (F.col("v") + sign * F.col("u")).alias("v"))
 
 
-#: Named kernels as functions of the squared distance and a width.
+def _beyond_centre(f):
+    """A kernel that has no value at the centre is 1 there."""
+    return lambda r, s: f(r, s) if r else 1.0
+
+
+#: Named kernels as functions of the distance and a parameter.
 KERNELS = {
-    "gauss": lambda r2, s: math.exp(-r2 / (2 * s * s)),
-    "laplace": lambda r2, s: math.exp(-math.sqrt(r2) / s),
-    "cauchy": lambda r2, s: 1 / (1 + r2 / (s * s)),
-    "square": lambda r2, s: 1.0,
-    "disk": lambda r2, s: float(r2 <= s * s),
-    "riesz": lambda r2, s: max(r2, 0.25) ** (-s / 2),
+    "gauss": lambda r, s: math.exp(-r * r / (2 * s * s)),
+    "laplace": lambda r, s: math.exp(-math.sqrt(2) * r / s),
+    "cauchy": lambda r, s: 1 / (1 + (r / s) ** 2),
+    "goodcauchy": lambda r, s: (1 + (r / s) ** 2) ** -1.5,
+    "logcauchy": _beyond_centre(lambda r, s: 1 / (1 + math.log(r / s) ** 2)),
+    "powerlaw": lambda r, s: 1 / (1 + (r / s) ** 4),
+    "pareto": _beyond_centre(lambda r, s: r**s),
+    "inverse": _beyond_centre(lambda r, s: s / r),
+    "inverse_plain": lambda r, s: 1 / r if r else 1 / s,
+    "land": _beyond_centre(lambda r, s: (s / r) ** 3),
+    "riesz": _beyond_centre(lambda r, s: r ** (s - 2)),
+    "inverse_log": _beyond_centre(lambda r, s: 1 / math.log(1.1 + r / s)),
+    "log": lambda r, s: -math.log(r) if r else s,
+    "r2logr": _beyond_centre(lambda r, s: (r / s) ** 2 * math.log(r / s)),
+    "disk": lambda r, s: float(r < s),
 }
 
 
 def kernel(name: str, width: float, radius: int | None = None) -> dict[tuple[int, int], float]:
-    """Weights by (dx, dy) of a named kernel, cut at ``radius`` (three widths for the smooth ones)."""
-    r = radius if radius is not None else math.ceil(width if name in ("square", "disk") else 3 * width)
-    found = {(x, y): KERNELS[name](x * x + y * y, width) for x in range(-r, r + 1) for y in range(-r, r + 1)}
-    return {k: w for k, w in found.items() if w > 0}
+    """Weights by (dx, dy) of a named kernel, cut at ``radius``: by default where a square or disk ends, else at three widths.
+
+    Kernels with heavy tails (all but gauss, laplace, square and disk) have no natural end; name a radius for them. A
+    square has ``width`` pixels a side, rounded down to an odd number.
+    """
+    if name == "square":
+        r = max(0, math.ceil(width / 2) - 1)
+        return {(x, y): 1.0 for x in range(-r, r + 1) for y in range(-r, r + 1)}
+    r = radius if radius is not None else math.ceil(width if name == "disk" else 3 * width)
+    found = {(x, y): KERNELS[name](math.hypot(x, y), width) for x in range(-r, r + 1) for y in range(-r, r + 1)}
+    return {k: w for k, w in found.items() if w != 0}
 
 
 def blur(px: DataFrame, name: str, width: float, boundary: str = "known", complement: bool = False, radius: int | None = None) -> DataFrame:
@@ -212,33 +299,12 @@ def blur(px: DataFrame, name: str, width: float, boundary: str = "known", comple
     periodic (the image goes on beyond its border).
     """
     weights = kernel(name, width, radius)
-    total = sum(weights.values())
     if boundary in ("symmetric", "periodic"):
-        return _minus(px, _beyond(px, {k: w / total for k, w in weights.items()}, boundary), complement)
-    out = convolve(px, weights)
-    if boundary == "zero":
-        w = _weight_of(weights)
-        out = gather(px, list(weights), (F.sum(w * F.col("u")) / total).alias("m")).select(*KEYS, F.col("m").alias("v"))
-    return _minus(px, out, complement)
+        return _minus(px, convolve(tiles.extended(px, tiles.reach_of(weights), boundary), weights), complement)
+    return _minus(px, convolve(px, weights, "all" if boundary == "zero" else "known"), complement)
 
 
 def _minus(px: DataFrame, out: DataFrame, complement: bool) -> DataFrame:
     if not complement:
         return out
     return px.join(out.withColumnRenamed("v", "u"), KEYS).select(*KEYS, (F.col("v") - F.col("u")).alias("v"))
-
-
-def _beyond(px: DataFrame, weights: dict[tuple[int, int], float], boundary: str) -> DataFrame:
-    """Each pixel asks for its neighbours at places wrapped into the domain."""
-    moves = F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(float(w)).alias("wt")) for (x, y), w in weights.items())))
-
-    def wrap(k, n):
-        if boundary == "periodic":
-            return F.pmod(k, n)
-        m = F.pmod(k, 2 * n)
-        return F.when(m < n, m).otherwise(2 * n - 1 - m)
-
-    asked = with_dims(px).select(*KEYS, "w", "h", moves.alias("o"))
-    asked = asked.select(*KEYS, F.col("o.wt").alias("wt"), wrap(F.col("j") + F.col("o.dy"), F.col("h")).alias("sj"), wrap(F.col("i") + F.col("o.dx"), F.col("w")).alias("si"))
-    own = px.where("v is not null").select("image_id", F.col("j").alias("sj"), F.col("i").alias("si"), "c", F.col("v").alias("u"))
-    return asked.join(own, ["image_id", "sj", "si", "c"]).groupBy(*KEYS).agg((F.sum(F.col("wt") * F.col("u")) / F.sum("wt")).alias("v"))

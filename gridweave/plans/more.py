@@ -88,13 +88,24 @@ for _op, _a, _b, _sign in (("d", "i", "j", "+"), ("r", "j", "i", "-")):
     add(f"field_{'divergence' if _op == 'd' else 'curl'}", "PE", lambda px, op=_op: N.flow_derivative(px.select("image_id", "j", "i", F.lit(0).alias("c"), "v").unionByName(px.select("image_id", "j", "i", F.lit(1).alias("c"), F.col("n").cast("double").alias("v"))), op, "centred"), f", f AS {_first}, g AS {_second}, a AS ({_stencil(_x, N.CENTRED, 'i')}), b AS ({_stencil(_y, N.CENTRED, 'j')}) SELECT image_id, j, i, c, a.v {_sign} b.v AS v FROM a JOIN b USING (image_id, j, i, c)")
 
 
-def _kernel(name: str, width: float) -> str:
-    return "k AS (SELECT * FROM (VALUES " + ", ".join(f"({x}, {y}, CAST({w!r} AS DOUBLE))" for (x, y), w in N.kernel(name, width).items()) + ") t(dx, dy, wt))"
+def _kernel(name: str, width: float, radius: int | None = None) -> str:
+    return "k AS (SELECT * FROM (VALUES " + ", ".join(f"({x}, {y}, CAST({w!r} AS DOUBLE))" for (x, y), w in N.kernel(name, width, radius).items()) + ") t(dx, dy, wt))"
 
 
 add("blur_gauss", "PE", lambda px: N.blur(px, "gauss", 1.0), f", {_kernel('gauss', 1.0)} SELECT p.image_id, p.j, p.i, p.c, sum(wt * q.v) / sum(wt) AS v FROM px p, k JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND q.i = p.i + dx AND q.j = p.j + dy GROUP BY 1, 2, 3, 4")
 add("blur_laplace_zero", "PE", lambda px: N.blur(px, "laplace", 0.7, "zero", complement=True), f", {_kernel('laplace', 0.7)} SELECT p.image_id, p.j, p.i, p.c, any_value(p.v) - sum(wt * q.v) / (SELECT sum(wt) FROM k) AS v FROM px p, k JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND q.i = p.i + dx AND q.j = p.j + dy GROUP BY 1, 2, 3, 4")
 add("blur_cauchy_periodic", "PL", lambda px: N.blur(px, "cauchy", 0.6, "periodic"), f", {_DIMS}, {_kernel('cauchy', 0.6)} SELECT p.image_id, p.j, p.i, p.c, sum(wt * q.v) / sum(wt) AS v FROM px p JOIN d USING (image_id), k JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND q.i = (p.i + dx + 2 * w) % w AND q.j = (p.j + dy + 2 * h) % h GROUP BY 1, 2, 3, 4")
+_SYMMETRIC = "CASE WHEN ((p.{k} + {d}) % (2 * {n}) + 2 * {n}) % (2 * {n}) < {n} THEN ((p.{k} + {d}) % (2 * {n}) + 2 * {n}) % (2 * {n}) ELSE 2 * {n} - 1 - ((p.{k} + {d}) % (2 * {n}) + 2 * {n}) % (2 * {n}) END"
+for _name, _width in (("goodcauchy", 0.7), ("riesz", 0.5), ("log", 1.0)):
+    add(f"blur_{_name}_symmetric", "PL", lambda px, name=_name, width=_width: N.blur(px, name, width, "symmetric", radius=3), f", {_DIMS}, {_kernel(_name, _width, 3)} SELECT p.image_id, p.j, p.i, p.c, sum(wt * q.v) / sum(wt) AS v FROM px p JOIN d USING (image_id), k JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND q.i = {_SYMMETRIC.format(k='i', d='dx', n='w')} AND q.j = {_SYMMETRIC.format(k='j', d='dy', n='h')} GROUP BY 1, 2, 3, 4")
+add("smooth_structure_tensor", "PE", lambda px: N.smooth_structure_tensor(px, 1.0), f", {_GRAD}, {_kernel('gauss', 1.0)} SELECT p.image_id, p.j, p.i, p.c, " + ", ".join(f"sum(wt * q.g{a} * q.g{b}) / sum(wt) AS {a}{b}" for a, b in ("xx", "xy", "yy")) + " FROM e p, k JOIN e q ON q.image_id = p.image_id AND q.c = p.c AND q.i = p.i + dx AND q.j = p.j + dy GROUP BY 1, 2, 3, 4")
+_DISK = f"FROM px p JOIN px q ON {_SAME.format(a='p', b='q')} AND (q.i - p.i) * (q.i - p.i) + (q.j - p.j) * (q.j - p.j) < 20.25"
+for _op, _sql in (("erode", "min(q.v)"), ("dilate", "max(q.v)"), ("median_filter", "median(q.v)")):
+    add(f"{_op}_disk", "PE", lambda px, op=_op: getattr(N, op)(px, N.element("disk4.5")), f"SELECT p.image_id, p.j, p.i, p.c, {_sql} AS v {_DISK} GROUP BY 1, 2, 3, 4")
+add("morph_cblur", "PE", lambda px: N.morph(px, N.element("disk4.5"), "cblur"), f"SELECT p.image_id, p.j, p.i, p.c, any_value(p.v) / 2 + (min(q.v) + max(q.v)) / 4 AS v {_DISK} GROUP BY 1, 2, 3, 4")
+_EXTREMES = f", lo AS (SELECT p.image_id, p.j, p.i, p.c, min(q.v) AS v {_DISK} GROUP BY 1, 2, 3, 4), hi AS (SELECT p.image_id, p.j, p.i, p.c, max(q.v) AS v {_DISK} GROUP BY 1, 2, 3, 4), op AS (SELECT p.image_id, p.j, p.i, p.c, max(q.v) AS v {_DISK.replace('px', 'lo')} GROUP BY 1, 2, 3, 4), cl AS (SELECT p.image_id, p.j, p.i, p.c, min(q.v) AS v {_DISK.replace('px', 'hi')} GROUP BY 1, 2, 3, 4)"
+add("oscillation", "PE", lambda px: N.oscillation(px, N.element("disk4.5")), f"{_EXTREMES} SELECT image_id, j, i, c, cl.v - op.v AS v FROM cl JOIN op USING (image_id, j, i, c)")
+add("bottomhat", "PE", lambda px: N.bottomhat(px, N.element("disk4.5")), f"{_EXTREMES} SELECT image_id, j, i, c, cl.v - px.v AS v FROM cl JOIN px USING (image_id, j, i, c)")
 add("corner_measure", "PE", H.corner_measure, ", z AS (SELECT p.image_id, p.j, p.i, p.v, " + ", ".join(f"coalesce({n}.v, 0) AS {n}" for n in "rlba") + " FROM px p " + " ".join(f"LEFT JOIN px {n} ON {n}.image_id = p.image_id AND {n}.c = p.c AND {n}.i = p.i + {x} AND {n}.j = p.j + {y}" for n, x, y in (("r", 1, 0), ("l", -1, 0), ("b", 0, 1), ("a", 0, -1))) + ") SELECT image_id, j, i, 0 AS c, sum(4 * v - r - l - b - a - 0.04 * sqrt((r - l) * (r - l) + (b - a) * (b - a))) AS v FROM z GROUP BY 1, 2, 3")
 add("nonmaximum_along", "PE", lambda px: H.nonmaximum_along(px, D.gradient(px)), ", g AS (SELECT p.*, (coalesce(r.v, p.v) - coalesce(l.v, p.v)) / 2 AS gx, (coalesce(b.v, p.v) - coalesce(a.v, p.v)) / 2 AS gy FROM px p " + " ".join(f"LEFT JOIN px {n} ON {n}.image_id = p.image_id AND {n}.c = p.c AND {n}.i = p.i + {x} AND {n}.j = p.j + {y}" for n, x, y in (("r", 1, 0), ("l", -1, 0), ("b", 0, 1), ("a", 0, -1))) + "), s AS (SELECT *, round_even(gx / nullif(sqrt(gx * gx + gy * gy), 0), 0) AS sx, round_even(gy / nullif(sqrt(gx * gx + gy * gy), 0), 0) AS sy FROM g) SELECT s.image_id, s.j, s.i, s.c, CASE WHEN sx IS NOT NULL AND s.v > coalesce(u.v, '-inf'::DOUBLE) AND s.v > coalesce(o.v, '-inf'::DOUBLE) THEN s.v ELSE 0 END AS v FROM s LEFT JOIN px u ON u.image_id = s.image_id AND u.c = s.c AND u.i = s.i + sx AND u.j = s.j + sy LEFT JOIN px o ON o.image_id = s.image_id AND o.c = s.c AND o.i = s.i - sx AND o.j = s.j - sy")
 

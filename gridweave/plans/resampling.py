@@ -8,6 +8,7 @@ from gridweave.operators import fields as D
 from gridweave.operators import pairs as R
 from gridweave.operators import transforms as X
 from gridweave.operators import warps as W
+from gridweave.operators import neighbours as N
 from gridweave.operators.neighbours import element
 from gridweave.plans.registry import add
 
@@ -28,8 +29,9 @@ add("redim", "PL", lambda px: W.redim(px, 20), f", {_DIMS} SELECT image_id, (j *
 add("imhalve", "PV", W.imhalve, f", {_DIMS} SELECT image_id, j, i, c, v FROM px JOIN d USING (image_id) WHERE i < w // 2 AND j < h // 2")
 add("tbcat", "PL", lambda px: W.tbcat(px.where("image_id = 'A'"), px.where("image_id = 'R'")), "SELECT 'tbcat' AS image_id, j, i, c, v FROM px WHERE image_id = 'A' UNION ALL SELECT 'tbcat', j + (SELECT max(j) + 1 FROM px WHERE image_id = 'A'), i, c, v FROM px WHERE image_id = 'R'")
 
-add("rank_filter", "PL", lambda px: D.rank_filter(px, element("square")), f"SELECT p.image_id, p.j, p.i, p.c, CAST(count(*) FILTER (WHERE q.v < p.v) AS DOUBLE) AS v {_NEAR} GROUP BY 1, 2, 3, 4")
-add("diffuse", "PE", lambda px: D.diffuse(px, 0.2, 1), f"SELECT p.image_id, p.j, p.i, p.c, any_value(p.v) + 0.2 * sum(q.v - p.v) AS v {_NEAR} AND abs(q.i - p.i) + abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4")
+add("rank_filter", "PL", lambda px: N.rank_filter(px, element("square")), f"SELECT p.image_id, p.j, p.i, p.c, CAST(count(*) FILTER (WHERE q.v < p.v) AS DOUBLE) AS v {_NEAR} GROUP BY 1, 2, 3, 4")
+_FLOW = "{b} AS (SELECT p.image_id, p.j, p.i, p.c, any_value(p.v) + 0.2 * sum(q.v - p.v) AS v " + _NEAR.replace("px", "{a}") + " AND abs(q.i - p.i) + abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4)"
+add("diffuse", "PE", lambda px: D.diffuse(px, 0.2, 4), ", " + ", ".join(_FLOW.format(a=a, b=b) for a, b in zip(("px", "d1", "d2", "d3"), ("d1", "d2", "d3", "d4"))) + " SELECT * FROM d4")
 add("sphere_count", "PE", lambda px: D.sphere_count(px, 2.5, 10.0), "SELECT p.image_id, p.j, p.i, p.c, CAST(count(*) FILTER (WHERE (q.i - p.i) * (q.i - p.i) + (q.j - p.j) * (q.j - p.j) + pow((q.v - p.v) / 10, 2) < 6.25) AS DOUBLE) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND abs(q.i - p.i) <= 2 AND abs(q.j - p.j) <= 2 GROUP BY 1, 2, 3, 4")
 _SIDES = ", e AS (SELECT p.image_id, p.j, p.i, p.c, p.v, (coalesce(r.v, p.v) - coalesce(l.v, p.v)) / 2 AS gx, (coalesce(b.v, p.v) - coalesce(a.v, p.v)) / 2 AS gy FROM px p " + " ".join(f"LEFT JOIN px {n} ON {n}.image_id = p.image_id AND {n}.c = p.c AND {n}.i = p.i + {x} AND {n}.j = p.j + {y}" for n, x, y in (("r", 1, 0), ("l", -1, 0), ("b", 0, 1), ("a", 0, -1))) + ")"
 add("gradient", "PE", D.gradient, f"{_SIDES} SELECT * FROM e")
