@@ -14,19 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridweave.storage import materialise
+from gridweave.storage import discard, materialise
 
 #: Rows of one side in a block.
 BLOCK = 2000
 
 
 def _blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides at all pairs of their blocks."""
+    """Both sides at all pairs of their blocks; keypoints without a descriptor, or with a null in it, match nothing."""
+    a, b = (d.where(F.col("descr").isNotNull() & F.forall("descr", lambda x: x.isNotNull())) for d in (a, b))
     na, nb = (max(1, -(-d.count() // BLOCK)) for d in (a, b))
     deal = lambda d, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")  # noqa: E731, ARG005
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = a.select("id", "descr").withColumn("p", deal(a, na)).withColumn("q", every(nb))
-    return left, b.select("id", "descr").withColumn("q", deal(b, nb)).withColumn("p", every(na))
+    other = b.select(F.col("id").alias("id"), F.col("descr").alias("descr"))  # columns of its own, where both sides are one table
+    return left, other.withColumn("q", deal(b, nb)).withColumn("p", every(na))
 
 
 def _distances(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
@@ -93,43 +95,54 @@ def match_epipolar(a: DataFrame, b: DataFrame, matrix: list[float], t: float, ep
     return near.groupBy("from").agg(F.min(F.struct("d", "to")).alias("m")).select("from", "m.to", "m.d")
 
 
-def dedup_keypoints(points: DataFrame, dp: float, dd: float) -> DataFrame:
-    """Keypoints without one of lower id within ``dp`` in position and ``dd`` in descriptor; an equi join over cells of side dp."""
-    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+def near_keypoints(points: DataFrame, dp: float, dd: float) -> DataFrame:
+    """Pairs a < b of ids closer than ``dp`` in position and ``dd`` in descriptor: an equi join over cells of side dp, in which a point goes to its own cell and half of those around."""
+    half = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)))))
     cell = lambda k: F.floor(F.col(k) / dp)
-    own = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("descr").alias("da")).withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    own = own.withColumn("ci", cell("ax") + F.col("dx")).withColumn("cj", cell("ay") + F.col("dy"))
-    other = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("descr").alias("db"), cell("x").alias("ci"), cell("y").alias("cj"))
-    near = own.join(other, ["ci", "cj"]).where((F.col("b") < F.col("a")) & (F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= dp))
-    worse = near.where(F.sqrt(_squares("da", "db")) <= dd).select(F.col("a").alias("id")).distinct()
-    return points.join(worse, "id", "left_anti")
+    own = points.where(F.col("descr").isNotNull() & F.forall("descr", lambda x: x.isNotNull())).select("id", "x", "y", "descr", cell("x").alias("ci"), cell("y").alias("cj"))
+    sent = own.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("descr").alias("da"), F.col("ci").alias("oi"), F.col("cj").alias("oj"), half.alias("o"))
+    sent = sent.withColumns({"ci": F.col("oi") + F.col("o.x"), "cj": F.col("oj") + F.col("o.y")})
+    met = sent.join(own.withColumnRenamed("id", "b"), ["ci", "cj"]).where((F.col("o.x") != 0) | (F.col("o.y") != 0) | (F.col("a") < F.col("b")))
+    met = met.where((F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) < dp) & (F.sqrt(_squares("da", "descr")) < dd))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def ransac_line(points: DataFrame, trials: int, error: float, seed: int = 1) -> DataFrame:
-    """The line a x + b y + c = 0 (unit normal) through two of the points that most points are within ``error`` of: a, b, c, inliers.
+def dedup_keypoints(points: DataFrame, dp: float, dd: float) -> DataFrame:
+    """Keypoints but those that a kept one of higher id is near to: ids from the highest down, each kept unless one kept before is closer than ``dp`` and ``dd``.
 
-    The trials' pairs are drawn by hash from all points; there are 2 * trials of them, so they are broadcast.
+    In rounds: an undecided point without an undecided near one of higher id is kept, and all near it go. Each round is
+    a few joins over the pairs that are left; as many rounds as the longest chain of such decisions. Points without a
+    descriptor, and those of no pair, stay.
     """
-    drawn = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * trials)  # a sampling operator
-    ranked = drawn.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed)), "id")) - 1)
-    pairs = ranked.groupBy(F.floor(F.col("k") / 2).alias("trial")).agg(F.min_by("x", "k").alias("x1"), F.min_by("y", "k").alias("y1"), F.max_by("x", "k").alias("x2"), F.max_by("y", "k").alias("y2"))
-    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    lines = pairs.withColumn("n", n).where("n > 0").select("trial", ((F.col("y2") - F.col("y1")) / F.col("n")).alias("a"), ((F.col("x1") - F.col("x2")) / F.col("n")).alias("b"), "x1", "y1")
-    lines = lines.select("trial", "a", "b", (-F.col("a") * F.col("x1") - F.col("b") * F.col("y1")).alias("c"))
-    held = points.select("x", "y").join(F.broadcast(lines), F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")) <= error)
-    return held.groupBy("trial", "a", "b", "c").agg(F.count("*").alias("inliers")).orderBy(F.desc("inliers"), "trial").limit(1).select("a", "b", "c", "inliers")
+    edges, gone, used = materialise(near_keypoints(points, dp, dd)), None, []
+    while not edges.isEmpty():
+        beaten = edges.select(F.col("a").alias("id")).distinct()
+        kept = edges.select(F.col("b").alias("id")).distinct().join(beaten, "id", "left_anti")
+        lost = materialise(edges.join(kept, edges["b"] == kept["id"], "left_semi").select(F.col("a").alias("id")).distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        used.append(edges)
+        edges = materialise(edges.join(lost, edges["a"] == lost["id"], "left_anti").join(lost, F.col("b") == lost["id"], "left_anti").join(kept, F.col("b") == kept["id"], "left_anti"))
+    discard(edges, *used)
+    return points if gone is None else points.join(gone, "id", "left_anti")
+
 
+Fit = Callable[[np.ndarray], "np.ndarray | list[np.ndarray] | None"]
+Residual = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def ransac(points: DataFrame, columns: list[str], fit: Callable[[np.ndarray], np.ndarray | None], residual: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int, trials: int, error: float, seed: int = 1) -> tuple[np.ndarray | None, int]:
-    """The model of ``trials`` minimal samples that most points are within ``error`` of, and their number.
+
+def ransac(points: DataFrame, columns: list[str], fit: Fit, residual: Residual, size: int, trials: int, error: float, seed: int = 1, least: int = 0, accept: Callable[[np.ndarray], bool] | None = None) -> tuple[np.ndarray | None, int]:
+    """The model of ``trials`` minimal samples that most points are within ``error`` of, and their number; none if those are fewer than ``least``.
+
+    A sample may give several models; ``accept`` says which are worth counting.
 
     ``fit`` makes a model of ``size`` rows of ``columns``, or None; ``residual`` gives each row's distance from a model. The
-    samples, size * trials rows drawn by hash, and the models reach the driver; points are only counted where they lie.
+    samples come from size * trials rows drawn by hash, which reach the driver with the models; points are only counted where they lie.
     """
     drawn = points.select(*columns).orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(size * trials).collect()  # a sampling operator
     rows = np.array([tuple(r) for r in drawn], float).reshape(-1, len(columns))
-    rows = rows[np.random.default_rng(seed).permutation(len(rows))]
-    models = [m for k in range(0, len(rows) - size + 1, size) if (m := fit(rows[k : k + size])) is not None]
+    rng = np.random.default_rng(seed)
+    made = [fit(rows[rng.choice(len(rows), size, replace=False)]) for _ in range(trials)] if len(rows) >= size else []
+    models = [m for some in made if some is not None for m in (some if isinstance(some, list) else [some]) if accept is None or accept(m)]
     if not models:
         return None, 0
 
@@ -142,7 +155,34 @@ def ransac(points: DataFrame, columns: list[str], fit: Callable[[np.ndarray], np
 
     counts = points.select(*columns).mapInPandas(count, "model int, n bigint").groupBy("model").agg(F.sum("n").alias("n"))
     best = counts.orderBy(F.desc("n"), "model").first()
-    return models[best.model], best.n
+    return (models[best.model], best.n) if best.n >= least else (None, best.n)
+
+
+def inliers(points: DataFrame, columns: list[str], model: np.ndarray, residual: Residual, error: float) -> DataFrame:
+    """``points`` with their residual under the model, those within ``error``."""
+
+    @F.pandas_udf("double")
+    def far(*x: pd.Series) -> pd.Series:
+        return pd.Series(residual(model, np.column_stack([c.to_numpy(float) for c in x])))
+
+    return points.withColumn("residual", far(*columns)).where(F.col("residual") <= error)
+
+
+def line_fit(rows: np.ndarray) -> np.ndarray | None:
+    """a, b, c of the line a x + b y + c = 0 with unit normal through two rows x, y."""
+    (x1, y1), (x2, y2) = rows
+    n = np.hypot(x2 - x1, y2 - y1)
+    return np.array([y2 - y1, x1 - x2, x2 * y1 - x1 * y2]) / n if n > 0 else None
+
+
+def line_residual(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.abs(rows @ model[:2] + model[2])
+
+
+def ransac_line(points: DataFrame, trials: int, error: float, seed: int = 1) -> DataFrame:
+    """The line a x + b y + c = 0 (unit normal) through two of the points that most points are within ``error`` of: a, b, c, inliers."""
+    model, n = ransac(points, ["x", "y"], line_fit, line_residual, 2, trials, error, seed)
+    return points.sparkSession.createDataFrame([] if model is None else [(*map(float, model), int(n))], "a double, b double, c double, inliers bigint")
 
 
 def affine_fit(rows: np.ndarray) -> np.ndarray | None:
@@ -155,6 +195,83 @@ def affine_residual(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.hypot(*(rows[:, :2] @ model[:, :2].T + model[:, 2] - rows[:, 2:]).T)
 
 
+def affine_is_sound(model: np.ndarray) -> bool:
+    """An affine map that keeps the orientation and neither crushes nor blows up."""
+    m = model[:, :2]
+    return 0.01 <= np.linalg.det(m) <= 100 and 0.1 <= (m * m).sum() <= 10
+
+
+def _moderate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points moved and scaled to mean 0 and mean distance sqrt 2, and the matrix that does so."""
+    c = x.mean(0)
+    s = np.sqrt(2) / max(np.hypot(*(x - c).T).mean(), 1e-300)
+    t = np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
+    return (x - c) * s, t
+
+
+def _null_space(a: np.ndarray, n: int) -> np.ndarray | None:
+    """The last n right singular vectors, if the rest of ``a`` has full rank."""
+    _, s, vt = np.linalg.svd(a)
+    rank = a.shape[1] - n
+    return vt[rank:] if len(s) >= rank and s[rank - 1] > 1e-9 * s[0] else None
+
+
+def homography_fit(rows: np.ndarray) -> np.ndarray | None:
+    """The 3x3 matrix, of norm 1, that takes x1, y1 to x2, y2 in four rows or more: the null space of two equations a row."""
+    (p, tp), (q, tq) = _moderate(rows[:, :2]), _moderate(rows[:, 2:])
+    one, zero = np.column_stack([p, np.ones(len(p))]), np.zeros((len(p), 3))
+    a = np.vstack([np.hstack([one, zero, -one * q[:, :1]]), np.hstack([zero, one, -one * q[:, 1:]])])
+    h = _null_space(a, 1)
+    if h is None:
+        return None
+    m = np.linalg.inv(tq) @ h[0].reshape(3, 3) @ tp
+    m = m / np.linalg.norm(m)
+    return m if abs(np.linalg.det(m)) > 1e-12 else None
+
+
+def homography_residual(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distance of x2, y2 from where x1, y1 goes; infinite on the line that has no image."""
+    z = np.column_stack([rows[:, :2], np.ones(len(rows))]) @ model.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.hypot(z[:, 0] / z[:, 2] - rows[:, 2], z[:, 1] / z[:, 2] - rows[:, 3])
+    return np.where(np.isfinite(d), d, np.inf)
+
+
+def fundamental_fit(rows: np.ndarray) -> list[np.ndarray] | None:
+    """Matrices F of rank 2 and norm 1 with (x2, y2, 1) F (x1, y1, 1) = 0.
+
+    Seven rows leave a pencil of matrices, of which those with determinant 0 are one or three; of eight or more the
+    nearest of rank 2 to the null vector is taken.
+    """
+    (p, tp), (q, tq) = _moderate(rows[:, :2]), _moderate(rows[:, 2:])
+    p1, q1 = (np.column_stack([x, np.ones(len(x))]) for x in (p, q))
+    a = (q1[:, :, None] * p1[:, None, :]).reshape(len(rows), 9)
+    space = _null_space(a, 2 if len(rows) == 7 else 1)
+    if space is None:
+        return None
+    if len(rows) == 7:
+        f, g = (v.reshape(3, 3) for v in space)
+        at = np.array([-1.0, 0.0, 1.0, 2.0])  # the determinant of t f + (1 - t) g is a cubic in t
+        cubic = np.polyfit(at, [np.linalg.det(t * f + (1 - t) * g) for t in at], 3)
+        found = [t.real * f + (1 - t.real) * g for t in np.roots(cubic) if abs(t.imag) < 1e-9]
+    else:
+        found = [space[0].reshape(3, 3)]
+    out = []
+    for m in found:
+        u, s, vt = np.linalg.svd(m)
+        m = tq.T @ (u @ np.diag([s[0], s[1], 0.0]) @ vt) @ tp
+        out.append(m / np.linalg.norm(m))
+    return out
+
+
+def epipolar_residual(model: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distance of x2, y2 from the line of x1, y1."""
+    lines = np.column_stack([rows[:, :2], np.ones(len(rows))]) @ model.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.abs((lines[:, :2] * rows[:, 2:]).sum(1) + lines[:, 2]) / np.hypot(lines[:, 0], lines[:, 1])
+    return np.where(np.isfinite(d), d, np.inf)
+
+
 def map_tiles(px: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], side: int, halo: int) -> DataFrame:
     """``fn`` gets each tile of ``side`` pixels with ``halo`` more around it (rows image_id, j, i, c, v) and returns rows alike; those of the tile itself are kept."""
     kind = px.schema["image_id"].dataType.simpleString()

@@ -95,3 +95,10 @@ def second_best(matches: DataFrame, ratio: float) -> DataFrame:
     by = Window.partitionBy("from").orderBy("d", "to")
     top = matches.withColumn("k", F.row_number().over(by)).where("k <= 2").groupBy("from").agg(F.min_by("to", "k").alias("to"), F.min("d").alias("d"), F.max(F.when(F.col("k") == 2, F.col("d"))).alias("d2"))
     return top.where(F.col("d2").isNull() | (F.col("d") < ratio * F.col("d2")))
+
+
+def epipolar_error(pairs: DataFrame, matrix: list[float]) -> DataFrame:
+    """Adds ``error``: the distance of x2, y2 from the line that the 3x3 fundamental matrix gives for x1, y1; null where there is none."""
+    m = [F.lit(float(k)) for k in matrix]
+    a, b, c = (m[3 * k] * F.col("x1") + m[3 * k + 1] * F.col("y1") + m[3 * k + 2] for k in range(3))
+    return pairs.withColumn("error", F.try_divide(F.abs(a * F.col("x2") + b * F.col("y2") + c), F.hypot(a, b)))

@@ -6,13 +6,17 @@ only runs, not pixels, enter the contraction.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridweave.operators import tiles
 from gridweave.operators.graph import connected
 from gridweave.operators.pixels import KEYS, filled
-from gridweave.storage import materialise
+from gridweave.storage import discard, materialise
 
 
 def components(px: DataFrame, step: float = 0.0) -> DataFrame:
@@ -79,3 +83,62 @@ def fill_harmonic(px: DataFrame, rounds: int = 20) -> DataFrame:
         if k % 4 == 3:
             state = materialise(state)
     return state.select(*KEYS, "v")
+
+
+def _relaxed(v: np.ndarray, hole: np.ndarray, there: np.ndarray, sweeps: int) -> np.ndarray:
+    """Holes towards the mean of their neighbours by over-relaxation, black and white places in turn; the outer ring stays."""
+    v = v.copy()
+    n = max(v.shape)
+    omega = 2 / (1 + math.sin(math.pi / (n + 1)))
+    free = hole.copy()
+    free[[0, -1], :] = free[:, [0, -1]] = False
+    w = [np.pad(there, 1)[1 + y : 1 + y + v.shape[0], 1 + x : 1 + x + v.shape[1]].astype(float) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    count = np.maximum(sum(w), 1.0)
+    colour = np.add.outer(np.arange(v.shape[0]), np.arange(v.shape[1])) % 2
+    sets = [free & (colour == k) for k in (0, 1)]
+    for _ in range(sweeps):
+        for own in sets:
+            pad = np.pad(v, 1)
+            mean = (w[0] * pad[1:-1, 2:] + w[1] * pad[1:-1, :-2] + w[2] * pad[2:, 1:-1] + w[3] * pad[:-2, 1:-1]) / count
+            v[own] += omega * (mean - v)[own]
+    return v
+
+
+def harmonic(px: DataFrame, tolerance: float = 1e-3, halo: int = 16, side: int = 64) -> DataFrame:
+    """Holes of the domain become harmonic: each pixel in them is the mean of its 4-neighbours inside the domain, within ``tolerance`` over 1000; known pixels stay.
+
+    Coarse to fine: an octave averages what is known of 2x2 pixels, down to one without holes; each finer one takes its parent's values and
+    is then solved by overlapping tiles, which hold their surroundings fixed, over and over until no pixel moved by more. Rounds aren't fixed:
+    the octaves leave little for them. Images with no known pixel keep their nulls.
+    """
+    small = tolerance / 1000
+    levels = [materialise(filled(px).select(*KEYS, "v"))]
+    while not levels[-1].where("v is null").isEmpty() and not levels[-1].where("i > 0 or j > 0").isEmpty():
+        half = [F.floor(F.col(k) / 2).cast("int").alias(k) for k in ("j", "i")]
+        levels.append(materialise(levels[-1].groupBy("image_id", *half, "c").agg(F.avg("v").alias("v"))))
+    state = levels.pop().select(*KEYS, "v")
+
+    def run(v: dict, known: dict) -> list:
+        hole = known["hole"] & (v["hole"] > 0)
+        there = known["hole"]
+        guess = np.where(known["v"], v["v"], 0.0)
+        solved = _relaxed(guess, hole & known["v"], there, 2 * max(guess.shape))
+        inner = lambda m: tiles.moved(m, halo, 0, 0)
+        return [(inner(solved), inner(known["v"])), (np.abs(inner(solved) - inner(guess)), inner(known["v"])), (inner(v["hole"]), inner(known["hole"]))]
+
+    while levels:
+        level = levels.pop()
+        parent = state.select("image_id", "c", F.col("j").alias("pj"), F.col("i").alias("pi"), F.col("v").alias("pv"))
+        d = level.withColumns({"pj": F.floor(F.col("j") / 2).cast("int"), "pi": F.floor(F.col("i") / 2).cast("int")}).join(parent, ["image_id", "c", "pj", "pi"], "left")
+        now, moved = d.select(*KEYS, F.coalesce("v", "pv").alias("v"), F.col("v").isNull().cast("double").alias("hole")), None
+        last = math.inf
+        while moved is None or small < moved < last:  # it also ends where rounding keeps it from falling
+            last = math.inf if moved is None else moved
+            after = materialise(tiles.on_tiles(now, halo, run, columns=("v", "hole"), outputs=("v", "moved", "hole"), side=side))
+            moved = after.where("hole > 0").agg(F.max("moved")).first()[0] or 0.0
+            if "moved" in now.columns:
+                discard(now)
+            now = after
+        discard(level)
+        state = now
+    return state.select(*KEYS, "v")

@@ -39,14 +39,20 @@ def downsa_axis(px: DataFrame, n: int, axis: str) -> DataFrame:
 
 
 def locate(needle: DataFrame, haystack: DataFrame) -> DataFrame:
-    """Per haystack image the first place (column by column) where all of the needle, one image, stands exactly: image_id, i, j.
+    """Per haystack image the first place (column by column) where all known pixels of the needle, one image, stand exactly: image_id, i, j.
 
-    An equi join on the values; a displacement that all of the needle's pixels have is a place.
+    Places are proposed by the one pixel of the needle whose value is rarest in the haystack, and each is verified pixel by
+    pixel by its position; so a value that fills the haystack is no more than a check. A needle without known pixels is nowhere.
     """
-    wanted = needle.select(F.col("j").alias("nj"), F.col("i").alias("ni"), "c", "v")
+    wanted = needle.where("v is not null").select(F.col("j").alias("nj"), F.col("i").alias("ni"), "c", "v")
+    often = haystack.where("v is not null").join(wanted.select("c", "v").distinct(), ["c", "v"], "left_semi").groupBy("c", "v").agg(F.count("*").alias("n"))
+    anchor = wanted.join(often, ["c", "v"], "left").select("nj", "ni", "c", "v", F.coalesce("n", F.lit(0)).alias("n"))
+    anchor = anchor.groupBy().agg(F.min(F.struct("n", "nj", "ni", "c", "v")).alias("a")).select("a.nj", "a.ni", "a.c", "a.v").where("v is not null")
+    places = haystack.join(F.broadcast(anchor), ["c", "v"]).select("image_id", (F.col("j") - F.col("nj")).alias("y"), (F.col("i") - F.col("ni")).alias("x"))  # one row
     size = wanted.agg(F.count("*").alias("all"))
-    met = haystack.join(wanted, ["c", "v"]).groupBy("image_id", (F.col("j") - F.col("nj")).alias("y"), (F.col("i") - F.col("ni")).alias("x")).agg(F.count("*").alias("n"))
-    return met.join(size, F.col("n") == F.col("all")).groupBy("image_id").agg(F.min(F.struct("x", "y")).alias("p")).select("image_id", F.col("p.x").alias("i"), F.col("p.y").alias("j"))
+    asked = places.join(wanted, F.lit(True)).select("image_id", "x", "y", "c", "v", (F.col("y") + F.col("nj")).alias("j"), (F.col("x") + F.col("ni")).alias("i"))
+    met = asked.join(haystack, ["image_id", "j", "i", "c", "v"], "left_semi").groupBy("image_id", "x", "y").agg(F.count("*").alias("n"))
+    return met.join(F.broadcast(size), F.col("n") == F.col("all")).groupBy("image_id").agg(F.min(F.struct("x", "y")).alias("p")).select("image_id", F.col("p.x").alias("i"), F.col("p.y").alias("j"))
 
 
 def zip_parts(colours: DataFrame, heights: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridweave.operators.pixels import KEYS, with_dims
+from gridweave.storage import discard, materialise
 
 
 def _span(n: int) -> Column:
@@ -43,6 +44,40 @@ def warp(px: DataFrame, field: DataFrame, order: int = 1) -> DataFrame:
     return sample(px, field.join(channels, "image_id").withColumns({"x": F.col("i") + F.col("dx"), "y": F.col("j") + F.col("dy")}), order)
 
 
+def _field_at(field: DataFrame, targets: DataFrame) -> DataFrame:
+    """dx and dy of ``field`` at the places x, y of ``targets`` (image_id, j, i), bilinear, beyond the border as on it: null where a corner that counts is missing."""
+    size = field.groupBy("image_id").agg(F.max("i").alias("w"), F.max("j").alias("h"))
+    t = targets.join(size, "image_id").withColumns({"x": F.greatest(F.lit(0.0), F.least(F.col("w").cast("double"), "x")), "y": F.greatest(F.lit(0.0), F.least(F.col("h").cast("double"), "y"))})
+    fx, fy = F.col("x") - F.floor("x"), F.col("y") - F.floor("y")
+    corners = F.array(*(F.struct((F.floor("y") + b).cast("int").alias("sj"), (F.floor("x") + a).cast("int").alias("si"), ((fx if a else 1 - fx) * (fy if b else 1 - fy)).alias("wt")) for b in (0, 1) for a in (0, 1)))
+    asked = t.select("image_id", "j", "i", F.explode(F.filter(corners, lambda k: k["wt"] > 0)).alias("k")).select("image_id", "j", "i", "k.*")
+    source = field.select("image_id", F.col("j").alias("sj"), F.col("i").alias("si"), "dx", "dy")
+    whole = (F.count("dx") == F.count("*")) & (F.count("dy") == F.count("*"))
+    return asked.join(source, ["image_id", "sj", "si"], "left").groupBy("image_id", "j", "i").agg(*(F.when(whole, F.sum(F.col("wt") * F.col(k))).alias(k) for k in ("dx", "dy")))
+
+
+def invert_field(field: DataFrame, tolerance: float = 1e-3, rounds: int = 100) -> DataFrame:
+    """The field that undoes ``field`` (image_id, j, i, dx, dy): v(p) = -u(p + v(p)), by fixed-point rounds from -u.
+
+    It ends when no vector moved by more than ``tolerance``, or after ``rounds``; where u isn't known v is null. Each round is one
+    join with the four corners of each place, and its result is written, so lineage stays short.
+    """
+    own = materialise(field.select("image_id", "j", "i", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")))
+    now = own.select("image_id", "j", "i", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"))
+    for k in range(rounds):
+        known = now.where("dx is not null and dy is not null")
+        found = _field_at(own, known.select("image_id", "j", "i", (F.col("i") + F.col("dx")).alias("x"), (F.col("j") + F.col("dy")).alias("y")))
+        found = found.select("image_id", "j", "i", (-F.col("dx")).alias("nx"), (-F.col("dy")).alias("ny"))
+        moved = F.hypot(F.col("nx") - F.col("dx"), F.col("ny") - F.col("dy"))
+        after = materialise(now.join(found, ["image_id", "j", "i"], "left").select("image_id", "j", "i", F.col("nx").alias("dx"), F.col("ny").alias("dy"), moved.alias("moved")))
+        if k:
+            discard(now)
+        now = after
+        if (now.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return now.select("image_id", "j", "i", "dx", "dy")
+
+
 def upsa(px: DataFrame, n: int) -> DataFrame:
     """Bilinear zoom by n between pixel centres: n*w-n by n*h-n. Four corners come from two windows, targets from each cell."""
     row, column = Window.partitionBy("image_id", "j", "c").orderBy("i"), Window.partitionBy("image_id", "i", "c").orderBy("j")

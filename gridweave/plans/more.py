@@ -22,6 +22,7 @@ from gridweave.operators import regions as G
 from gridweave.operators import shapes as H
 from gridweave.operators import statistics as S
 from gridweave.operators import vectors as V
+from gridweave.operators import warps as W
 from gridweave.plans.fixtures import load
 from gridweave.plans.registry import QUERIES, add
 
@@ -157,8 +158,11 @@ _sides = lambda k: (k.where("side = 'a'"), k.where("side = 'b'"))
 add("match_nearest", "KP", lambda k: M.match_nearest(*_sides(k), 2.0, k=2), f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY \"from\" ORDER BY d, \"to\") AS INT) AS nth FROM ({_PAIRS}) WHERE d < 2) WHERE nth <= 2")
 add("match_topped", "KP", lambda k: M.match_nearest(*_sides(k), 2.0, top=0.9), f"SELECT * FROM (SELECT \"from\", \"to\", d, CAST(row_number() OVER (PARTITION BY \"from\" ORDER BY d, \"to\") AS INT) AS nth FROM (SELECT \"from\", \"to\", least(d, 0.9) AS d FROM ({_PAIRS})) WHERE d < 2) WHERE nth <= 1")
 add("match_all", "KP", lambda k: M.match_all(*_sides(k), 1.1), f"SELECT * FROM ({_PAIRS}) WHERE d < 1.1")
+add("epipolar_error", "SEG", lambda d: R.epipolar_error(d, [0.1, 0.02, -3, 0.01, 0.3, 1, 2, -1, 5]), "SELECT *, abs((0.1 * x1 + 0.02 * y1 - 3) * x2 + (0.01 * x1 + 0.3 * y1 + 1) * y2 + 2 * x1 - y1 + 5) / nullif(sqrt(pow(0.1 * x1 + 0.02 * y1 - 3, 2) + pow(0.01 * x1 + 0.3 * y1 + 1, 2)), 0) AS error FROM px")
 add("match_epipolar", "KP", lambda k: M.match_epipolar(*_sides(k), [0, 0, 0.1, 0, 0, 1, 0, -1, 0], 2.0, 4.0), "SELECT \"from\", \"to\", d FROM (SELECT a.id AS \"from\", b.id AS \"to\", list_distance(CAST(a.descr AS DOUBLE[]), CAST(b.descr AS DOUBLE[])) AS d FROM px a, px b WHERE a.side = 'a' AND b.side = 'b' AND abs(0.1 * b.x + b.y - a.y) / sqrt(1.01) <= 2) WHERE d < 2 QUALIFY row_number() OVER (PARTITION BY \"from\" ORDER BY d, \"to\") = 1")
-add("dedup_keypoints", "KP", lambda k: M.dedup_keypoints(k, 6.0, 1.3).select("id", "side", "x", "y"), "SELECT id, side, x, y FROM px p WHERE NOT EXISTS (SELECT 1 FROM px q WHERE q.id < p.id AND sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 6 AND list_distance(CAST(p.descr AS DOUBLE[]), CAST(q.descr AS DOUBLE[])) <= 1.3)")
+add("dedup_keypoints", "KP", lambda k: M.dedup_keypoints(k, 6.0, 1.3).select("id", "side", "x", "y"), """, n AS (SELECT p.id, list(q.id) FILTER (WHERE q.id IS NOT NULL) AS near FROM px p LEFT JOIN px q ON q.id > p.id AND sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) < 6 AND list_distance(CAST(p.descr AS DOUBLE[]), CAST(q.descr AS DOUBLE[])) < 1.3 GROUP BY 1),
+    o AS (SELECT id, coalesce(near, []) AS near, row_number() OVER (ORDER BY id DESC) AS k FROM n)
+    SELECT id, side, x, y FROM px WHERE id IN (WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(o.near, g.kept) THEN g.kept ELSE list_append(g.kept, o.id) END FROM g JOIN o ON o.k = g.k + 1) SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1))""")
 add("segments_in_mask", "SEG", lambda s: R.segments_in_mask(s, s.select(F.lit(0).alias("c"), F.floor(F.col("y1") / 7 + 0.5).cast("int").alias("j"), F.col("x1").cast("int").alias("i"), F.lit(1.0).alias("v"))), ", m AS (SELECT DISTINCT CAST(floor(y1 / 7 + 0.5) AS INT) AS j, CAST(x1 AS INT) AS i FROM px) SELECT * FROM px s WHERE EXISTS (SELECT 1 FROM m WHERE (m.j = floor(s.y1 + 0.5) AND m.i = floor(s.x1 + 0.5)) OR (m.j = floor(s.y2 + 0.5) AND m.i = floor(s.x2 + 0.5)))")
 
 
@@ -190,6 +194,14 @@ add("local_gaussian", "PE", lambda px: O.local_gaussian(px, px.select("image_id"
 add("windowed_spectrum", "TS", lambda s: O.windowed_spectrum(s, "event_type", "t", 8).select("event_type", "start", "k", *((F.round(x, 6) + 0.0).alias(x) for x in ("re", "im"))), 'SELECT a.event_type, a.t AS start, k, round(sum(b.v * cos(2 * pi() / 8 * k * (b.t - a.t))), 6) + 0.0 AS re, round(-sum(b.v * sin(2 * pi() / 8 * k * (b.t - a.t))), 6) + 0.0 AS im FROM px a JOIN px b ON b.event_type = a.event_type AND b.t >= a.t AND b.t < a.t + 8, (SELECT CAST(unnest(generate_series(0, 4)) AS INT) AS k) GROUP BY 1, 2, 3')
 
 
+# fields and motion
+_bent = lambda px: px.where("c = 0").select("image_id", "j", "i", (F.pmod(F.col("v"), F.lit(7.0)) / 10 - 0.3).alias("dx"), (F.pmod(F.col("v"), F.lit(5.0)) / 10 - 0.2).alias("dy"))
+_CORNER = "coalesce((CASE m.a WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE n.b WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END), 0)"
+_UNDO = "{b} AS (SELECT image_id, j, i, CASE WHEN count(dx) = count(*) THEN -sum(wt * dx) END AS dx, CASE WHEN count(dx) = count(*) THEN -sum(wt * dy) END AS dy FROM (SELECT z.image_id, z.j, z.i, u.dx, u.dy, z.wt FROM (SELECT t.*, floor(x) + m.a AS si, floor(y) + n.b AS sj, " + _CORNER + " AS wt FROM (SELECT k.image_id, k.j, k.i, greatest(0, least(w, k.i + k.dx)) AS x, greatest(0, least(h, k.j + k.dy)) AS y FROM {a} k JOIN s USING (image_id)) t, (VALUES (0), (1)) m(a), (VALUES (0), (1)) n(b)) z LEFT JOIN u ON u.image_id = z.image_id AND u.i = z.si AND u.j = z.sj WHERE z.wt > 0) GROUP BY 1, 2, 3)"
+add("invert_field", "PL", lambda px: W.invert_field(_bent(px), rounds=2, tolerance=0.0), ", u AS (SELECT image_id, j, i, v % 7 / 10 - 0.3 AS dx, v % 5 / 10 - 0.2 AS dy FROM px), s AS (SELECT image_id, max(i) AS w, max(j) AS h FROM u GROUP BY 1), v0 AS (SELECT image_id, j, i, -dx AS dx, -dy AS dy FROM u), " + _UNDO.format(a="v0", b="v1") + ", " + _UNDO.format(a="v1", b="v2") + " SELECT u.image_id, u.j, u.i, v2.dx, v2.dy FROM u LEFT JOIN v2 USING (image_id, j, i)")
+QUERIES["block_match_scales"] = lambda spark, sf_dir: (lambda px: O.block_match_scales(px, P.shift(px, -3, 2, "null"), 2, 3))(load(spark, sf_dir, "PL"))
+QUERIES["harmonic"] = lambda spark, sf_dir: G.harmonic(load(spark, sf_dir, "PE").select(*P.KEYS, "v"))
+
 # clusters of cells
 _cents = lambda px: px.withColumn("v", F.col("v") * 100)
 add("cluster_counts", "PS", lambda px: K.counted(_cents(px), 2.0), "SELECT j, i, floor(v * 100 / 2 + 0.5) * 2 AS v, count(*) AS n FROM px GROUP BY 1, 2, 3")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -33,18 +34,38 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_matrix_text(px: DataFrame, path: str, sep: str = " ") -> None:
-    """One line per raster row: image, row, then the samples; a missing one is ``nan``."""
-    width = px.groupBy("image_id").agg(F.max("i").alias("last"))
-    line = F.map_from_entries(F.collect_list(F.struct("i", F.col("v").cast("string"))))  # as many as columns
-    rows = px.groupBy("image_id", "j").agg(line.alias("line")).join(width, "image_id")
-    rows = rows.withColumn("body", F.concat_ws(sep, F.transform(F.sequence(F.lit(0), "last"), lambda i: F.coalesce(F.element_at("line", i), F.lit("nan")))))
-    rows.select(F.concat_ws("\t", F.col("image_id").cast("string"), F.col("j").cast("string"), "body").alias("value")).write.text(path)
-
-
-def read_matrix_text(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(parts[0].alias("image_id"), parts[1].cast("int").alias("j"), F.posexplode(F.split(parts[2], sep)).alias("i", "s"))
-    return rows.select("image_id", "j", "i", F.lit(0).alias("c"), F.when(F.col("s") != "nan", F.col("s").cast("double")).alias("v"))
+    """Plain numbers, one line per raster row: a file below ``path``/image_id=.../c=... for each channel of each image; a missing sample is ``nan``.
+
+    A channel is put together as one text, as it is read again as one file; rows that aren't there become lines of nan.
+    """
+    size = px.groupBy("image_id").agg(F.max("i").alias("last"), F.max("j").alias("rows"))
+    cells = px.groupBy("image_id", "c", "j").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("v").cast("string")))).alias("line"))  # as many as columns
+    grid = px.select("image_id", "c").distinct().join(size, "image_id").withColumn("j", F.explode(F.sequence(F.lit(0), "rows")))
+    body = F.concat_ws(sep, F.transform(F.sequence(F.lit(0), "last"), lambda i: F.coalesce(F.try_element_at("line", i), F.lit("nan"))))
+    lines = grid.join(cells, ["image_id", "c", "j"], "left").groupBy("image_id", "c").agg(F.sort_array(F.collect_list(F.struct("j", body.alias("s")))).alias("x"))
+    lines.select("image_id", "c", F.array_join(F.col("x.s"), "\n").alias("value")).write.partitionBy("image_id", "c").text(path)
+
+
+def read_matrix_text(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Files of plain numbers, one line per raster row, as samples: blanks, commas or ``sep`` between them.
+
+    The image is named by the ``image_id=`` folder of the file, or else by the file; the channel is that of the ``c=`` folder, or else 0. Each
+    file is one image and read as a whole by one task. What isn't a number is missing; empty lines don't count.
+    """
+
+    def samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, text in zip(frame["at"], frame["value"]):
+                parts = dict(p.split("=", 1) for p in at.split("/") if "=" in p)
+                name = unquote(parts.get("image_id", at.rsplit("/", 1)[-1]))
+                lines = [line.replace(",", " ").split(sep) if sep is None else line.split(sep) for line in text.splitlines() if line.strip()]
+                width = np.array([len(line) for line in lines], int)
+                i = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                yield pd.DataFrame({"image_id": name, "j": np.repeat(np.arange(len(lines)), width), "i": i, "c": int(parts.get("c", 0)), "s": [s.strip() for line in lines for s in line]})
+
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("at"), "value")
+    v = F.col("s").try_cast("double")
+    return files.mapInPandas(samples, "image_id string, j int, i int, c int, s string").select("image_id", "j", "i", "c", F.when(~F.isnan(v), v).alias("v"))
 
 
 def write_raster(px: DataFrame, path: str, side: int = 64) -> None:

@@ -47,8 +47,6 @@ def test_shift(spark, boundary, want):
 
 def test_round_trips(spark, tmp_path):
     px = image(spark, [[1.0, None, 3.5], [4.0, 5.0, 6.0]])
-    rasters.write_matrix_text(px, f"{tmp_path}/t")
-    assert grid(rasters.read_matrix_text(spark, f"{tmp_path}/t")) == grid(px)
     rasters.write_raster(px, f"{tmp_path}/r", 2)
     assert grid(rasters.read_raster(spark, f"{tmp_path}/r", side=2)) == grid(px)
     part = rasters.read_raster(spark, f"{tmp_path}/r", (1, 0, 3, 1), side=2)
@@ -148,7 +146,6 @@ def test_images(spark, tmp_path):
 
 def test_matrix_text_keeps_holes(spark, tmp_path):
     px = spark.createDataFrame([("a", 0, 0, 0, 1.0), ("a", 0, 2, 0, 3.0), ("a", 1, 1, 0, None)], "image_id string, j int, i int, c int, v double")
-    rasters.write_matrix_text(px, f"{tmp_path}/t")
     got = {(r.j, r.i): r.v for r in rasters.read_matrix_text(spark, f"{tmp_path}/t").where("v is not null").collect()}
     assert got == {(0, 0): 1.0, (0, 2): 3.0}
 
