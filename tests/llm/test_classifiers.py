@@ -37,7 +37,7 @@ def test_index_is_exact(monkeypatch):
     dense = np.zeros((blocks, terms, 8))
     for k in range(n):
         dense[k // 8, :, k % 8] = w[k]
-    index = T.Index({}, np.ones(terms), np.arange(blocks * 8), np.zeros(blocks * 8), dense, dense.max(2), 0.1)
+    index = T.Index(np.arange(terms), np.arange(terms), np.ones(terms), np.arange(blocks * 8), np.zeros(blocks * 8), dense, dense.max(2), 0.1)
     for _ in range(50):
         at = np.sort(rng.choice(terms, 4, replace=False))
         q = rng.random(4)
@@ -115,7 +115,8 @@ def test_toxicity_keeps_every_term(spark):
     d, text, _ = rows[7]
     asked = spark.createDataFrame([(-1, f"only{d}"), (-2, text), (-3, f"only{d} neverseen")], "doc_id long, text string")
     got = {r.doc_id: r for r in T.score(asked, index).collect()}
-    assert {t for _, text, _ in rows for t in T.terms_of(text.split()[-1])} <= set(index.terms)
+    wanted = T.ids_of(np.array(sorted({t for _, text, _ in rows for t in T.terms_of(text.split()[-1])}), object))
+    assert (index.codes[T.places_in(index.known, wanted)] >= 0).all() and (T.places_in(index.known, wanted) >= 0).all()
     assert got[-1].neighbours[0] == d and got[-2].neighbours[0] == d and np.isclose(got[-2].cosines[0], 1, atol=1e-5)
     assert 0 < got[-3].cosines[0] < got[-1].cosines[0]
 
@@ -127,20 +128,23 @@ def test_toxicity_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
     index = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     size, counts = len(index.ids), {d: {} for d, _, _ in rows}
+    every = sorted({t for _, text, _ in rows for c in text.split() for t in T.terms_of(c)})
+    at = T.places_in(index.known, T.ids_of(np.array(every, object)))
+    terms = {t: int(index.codes[k]) for t, k in zip(every, at) if k >= 0}
     for d, text, _ in rows:
         for c in text.split():
             for t in T.terms_of(c):
                 counts[d][t] = counts[d].get(t, 0) + 1
 
     def vector(d):
-        v = {t: (1 + np.log(n)) * (index.idf[index.terms[t]] if t in index.terms else index.unseen) for t, n in counts[d].items()}
+        v = {t: (1 + np.log(n)) * (index.idf[terms[t]] if t in terms else index.unseen) for t, n in counts[d].items()}
         z = np.sqrt(sum(x * x for x in v.values()))
         return {t: x / z for t, x in v.items()}
 
     known = {int(d): vector(int(d)) for d in index.ids}
-    assert set().union(*(counts[d] for d in known)) == set(index.terms)
+    assert set().union(*(counts[d] for d in known)) == set(terms)
     y = dict(labels)
-    for t, k in index.terms.items():  # idf over all documents, chi-square over the examples
+    for t, k in terms.items():  # idf over all documents, chi-square over the examples
         a, b = sum(t in counts[d] for d in known), sum(t in counts[d] and y[d] for d in known)
         p = sum(y[d] for d in known)
         chi2 = size * (b * (size - p) - (a - b) * p) ** 2 / max(a * (size - a) * p * (size - p), 1) if a < size else 0
