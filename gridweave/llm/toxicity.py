@@ -34,9 +34,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +74,7 @@ class Counts:
 
 def ids_of(names: np.ndarray) -> np.ndarray:
     """64-bit hashes of the texts of terms."""
-    return pd.util.hash_array(names, categorize=False).view(np.int64) if len(names) else np.empty(0, np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
 
 
 def places_in(known: np.ndarray, ids: np.ndarray) -> np.ndarray:
