@@ -12,13 +12,24 @@ KEYS = ["image_id", "j", "i", "c"]
 CELL = ["image_id", "c"]
 
 
-def pixel_expr(images: dict[str, DataFrame], fn: Callable[..., Column], image_id: str = "expr") -> DataFrame:
-    """One image from an expression over several of one domain: ``fn`` gets a column for each name. Joined on (j, i, c)."""
-    out = None
+def pixel_expr(images: dict[str, DataFrame], fn: Callable[..., Column], image_id: str | None = "expr") -> DataFrame:
+    """One image from an expression over several of one domain: ``fn`` gets a column for each name. Joined on (j, i, c).
+
+    With ``image_id`` None each table may hold many images, and those of one id are put together.
+    """
+    out, by = None, ["j", "i", "c"] if image_id else KEYS
     for name, px in images.items():
-        own = px.select("j", "i", "c", F.col("v").alias(name))
-        out = own if out is None else out.join(own, ["j", "i", "c"])
-    return out.select(F.lit(image_id).alias("image_id"), "j", "i", "c", fn(**{n: F.col(n) for n in images}).alias("v"))
+        own = px.select(*by, F.col("v").alias(name))
+        out = own if out is None else out.join(own, by)
+    name = F.lit(image_id).alias("image_id") if image_id else "image_id"
+    return out.select(name, "j", "i", "c", fn(**{n: F.col(n) for n in images}).alias("v"))
+
+
+def successors(px: DataFrame) -> DataFrame:
+    """Each image but the first under the id of the one before it, in the order of ids. The ids, a row for each image, are numbered in one task."""
+    ids = px.select("image_id").distinct()
+    before = ids.withColumn("before_", F.lag("image_id").over(Window.orderBy("image_id"))).where("before_ is not null")
+    return px.join(before, "image_id").withColumn("image_id", F.col("before_")).select(*px.columns)
 
 
 def affine(px: DataFrame, a: float, b: float) -> DataFrame:

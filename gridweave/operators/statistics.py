@@ -101,8 +101,9 @@ def histeq(px: DataFrame) -> DataFrame:
     return d.join(cdf, ["image_id", "bin"]).select(*KEYS, F.col("cdf").alias("v"))
 
 
-def colormatch(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each channel of a moved and scaled to the mean and deviation of b, both over the pixels that both have."""
-    d = a.select(*KEYS, "v").join(b.select("j", "i", "c", F.col("v").alias("w")), ["j", "i", "c"]).where("v is not null and w is not null")
-    s = d.groupBy("c").agg(F.avg("v").alias("ma"), F.avg("w").alias("mb"), F.stddev_pop("v").alias("sa"), F.stddev_pop("w").alias("sb"))
-    return a.join(s, "c").select(*KEYS, ((F.col("v") - F.col("ma")) * F.coalesce(F.try_divide("sb", "sa"), F.lit(1.0)) + F.col("mb")).alias("v"))
+def colormatch(a: DataFrame, b: DataFrame, each: bool = False) -> DataFrame:
+    """Each channel of a moved and scaled to the mean and deviation of b, both over the pixels that both have; ``each``: images of one id by themselves."""
+    by = ["image_id"] if each else []
+    d = a.select(*KEYS, "v").join(b.select(*by, "j", "i", "c", F.col("v").alias("w")), [*by, "j", "i", "c"]).where("v is not null and w is not null")
+    s = d.groupBy(*by, "c").agg(F.avg("v").alias("ma"), F.avg("w").alias("mb"), F.stddev_pop("v").alias("sa"), F.stddev_pop("w").alias("sb"))
+    return a.join(s, [*by, "c"]).select(*KEYS, ((F.col("v") - F.col("ma")) * F.coalesce(F.try_divide("sb", "sa"), F.lit(1.0)) + F.col("mb")).alias("v"))

@@ -60,12 +60,13 @@ def hough_gradient(grad: DataFrame, nt: int, nr: int, radius: float) -> DataFram
     return d.where(f"r between 0 and {nr - 1}").groupBy("image_id", "t", "r").agg(F.sum(F.hypot("gx", "gy")).alias("v"))
 
 
-def displacement_costs(a: DataFrame, b: DataFrame, moves: list[tuple[int, int]]) -> DataFrame:
-    """Mean squared difference a(i, j) - b(i+dx, j+dy) for each move; ``a`` is sent to each place it is compared with."""
+def displacement_costs(a: DataFrame, b: DataFrame, moves: list[tuple[int, int]], each: bool = False) -> DataFrame:
+    """Mean squared difference a(i, j) - b(i+dx, j+dy) for each move; ``a`` is sent to each place it is compared with. ``each``: images of one id by themselves."""
+    by = ["image_id"] if each else []
     tried = F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in moves)))
-    sent = a.where("v is not null").select(tried.alias("m"), "j", "i", "c", "v").select("m.dx", "m.dy", (F.col("j") + F.col("m.dy")).alias("j"), (F.col("i") + F.col("m.dx")).alias("i"), "c", "v")
+    sent = a.where("v is not null").select(*by, tried.alias("m"), "j", "i", "c", "v").select(*by, "m.dx", "m.dy", (F.col("j") + F.col("m.dy")).alias("j"), (F.col("i") + F.col("m.dx")).alias("i"), "c", "v")
     e = F.col("v") - F.col("w")
-    return sent.join(b.where("v is not null").select("j", "i", "c", F.col("v").alias("w")), ["j", "i", "c"]).groupBy("dx", "dy").agg(F.avg(e * e).alias("cost"), F.count("*").alias("n"))
+    return sent.join(b.where("v is not null").select(*by, "j", "i", "c", F.col("v").alias("w")), [*by, "j", "i", "c"]).groupBy(*by, "dx", "dy").agg(F.avg(e * e).alias("cost"), F.count("*").alias("n"))
 
 
 def register_translation(a: DataFrame, b: DataFrame, scales: int = 3) -> tuple[int, int]:

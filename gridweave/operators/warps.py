@@ -89,8 +89,12 @@ def upsa(px: DataFrame, n: int) -> DataFrame:
     return d.select("image_id", (F.col("j") * n + F.col("s")).alias("j"), (F.col("i") * n + F.col("t")).alias("i"), "c", v.alias("v"))
 
 
-def tbcat(a: DataFrame, b: DataFrame, image_id: str = "tbcat") -> DataFrame:
-    """b below a."""
+def tbcat(a: DataFrame, b: DataFrame, image_id: str | None = "tbcat") -> DataFrame:
+    """b below a; with ``image_id`` None images of one id by themselves, those that only one side has as they are."""
+    if image_id is None:
+        height = a.groupBy("image_id").agg((F.max("j") + 1).alias("h"))
+        below = b.join(height, "image_id", "left").select("image_id", (F.col("j") + F.coalesce("h", F.lit(0))).alias("j"), "i", "c", "v")
+        return a.select(*KEYS, "v").unionByName(below)
     height = a.agg(F.coalesce(F.max("j") + 1, F.lit(0)).alias("h"))  # one row
     below = b.join(height, F.lit(True)).select((F.col("j") + F.col("h")).alias("j"), "i", "c", "v")
     return a.select("j", "i", "c", "v").unionByName(below).select(F.lit(image_id).alias("image_id"), "j", "i", "c", "v")

@@ -219,3 +219,14 @@ add("cluster_contrario", "PS", lambda px: K.cluster(_cents(px), "contrario", 1.0
     SELECT d.j, d.i, CAST(w.c AS INT) AS c, CASE WHEN w.c = 0 THEN coalesce(t.k, 0) ELSE z.v END AS v FROM d CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS c) w LEFT JOIN z ON z.j = d.j AND z.i = d.i AND z.c = w.c LEFT JOIN t ON t.j = d.j AND t.i = d.i""")
 QUERIES["cluster_kmeans"] = lambda spark, sf_dir: K.cluster(_cents(load(spark, sf_dir, "PS")), "kmeans", 5.0, step=1.0)
 QUERIES["cluster_kmedians"] = lambda spark, sf_dir: K.cluster(_cents(load(spark, sf_dir, "PS")), "kmedians", 8.0, step=1.0)
+
+# parts, coordinates and lookups
+add("band_slice", "PS", lambda px: P.band_slice(_VEC(px).where("c = 0").withColumn("v", F.pmod("image_id", F.lit(70)).cast("double")), _VEC(px)), "SELECT a.image_id, a.j, 0 AS i, 0 AS c, b.v FROM (SELECT * FROM px WHERE i = 0) a LEFT JOIN px b ON b.image_id = a.image_id AND b.j = a.j AND b.i = a.image_id % 70")
+add("component", "PS", lambda px: P.component(_VEC(px), 7), "SELECT image_id, j, 0 AS i, 0 AS c, v FROM px WHERE i = 7")
+add("with_coords", "PE", lambda px: P.with_coords(px).select(*P.KEYS, "x", "y", "r", "t", "place"), f", {_DIMS} SELECT image_id, j, i, c, 2.0 * i / w - 1 AS x, 2.0 * j / h - 1 AS y, sqrt(pow(2.0 * i / w - 1, 2) + pow(2.0 * j / h - 1, 2)) AS r, atan2(2.0 * j / h - 1, 2.0 * i / w - 1) AS t, j * w + i AS place FROM px JOIN d USING (image_id)")
+add("with_stats", "PE", lambda px: P.with_stats(px).select(*P.KEYS, "lo", "hi", "mean", "total", "sigma"), "SELECT p.image_id, j, i, c, lo, hi, mean, total, sigma FROM px p JOIN (SELECT image_id, min(v) AS lo, max(v) AS hi, avg(v) AS mean, sum(v) AS total, stddev_pop(v) AS sigma FROM px GROUP BY 1) USING (image_id)")
+add("lookup", "PE", lambda px: P.lookup(px, px.select("image_id", (F.col("j") + 2).alias("j"), (F.col("i") + 1).alias("i")), "null").select("image_id", "j", "i", "v"), "SELECT a.image_id, a.j + 2 AS j, a.i + 1 AS i, b.v FROM px a LEFT JOIN px b ON b.image_id = a.image_id AND b.j = a.j + 2 AND b.i = a.i + 1")
+add("shortest_vector", "PS", lambda px: R.extreme_vector(_VEC(px), longest=False), "SELECT j, 0 AS i, i AS c, v FROM px JOIN (SELECT j, arg_min(image_id, struct_pack(s := s, k := image_id)) AS image_id FROM (SELECT image_id, j, sum(v * v) AS s FROM px GROUP BY 1, 2) GROUP BY 1) USING (j, image_id)")
+add("channel_histograms", "PU", lambda px: S.histogram(px, ("image_id", "c")), "SELECT *, CAST(sum(n) OVER (PARTITION BY image_id, c ORDER BY v) AS BIGINT) AS cum FROM (SELECT image_id, c, v, count(*) AS n FROM px GROUP BY 1, 2, 3)")
+_BITS = " + ".join(f"{1 << k} * CAST(coalesce(n{k}.v > p.v, FALSE) AS INT)" for k in range(8))
+add("census", "PE", N.census, f"SELECT p.image_id, p.j, p.i, p.c, CAST({_BITS} AS DOUBLE) AS v FROM px p " + " ".join(f"LEFT JOIN px n{k} ON {_SAME.format(a='p', b=f'n{k}')} AND n{k}.i = p.i + {x} AND n{k}.j = p.j + {y}" for k, (x, y) in enumerate([(x, y) for y in (-1, 0, 1) for x in (-1, 0, 1) if x or y])))

@@ -10,7 +10,7 @@ from gridweave.operators import pixels as P
 from gridweave.operators import points as T
 from gridweave.operators import statistics as S
 from gridweave.plans import more, resampling  # noqa: F401 - register their own
-from gridweave.plans.registry import ORACLE_SQL, QUERIES, add
+from gridweave.plans.registry import NEXT, ORACLE_SQL, QUERIES, add
 
 _CELL = "SELECT j, i, {} AS v FROM px GROUP BY 1, 2"
 _SORTED = "list_sort(list(v))[CAST({} AS BIGINT) + 1]"
@@ -34,7 +34,7 @@ add("accumulate_mod", "PU", lambda px: A.accumulate(px, "mod"), _MODE.format("v"
 add("accumulate_stack", "PS", lambda px: A.accumulate_many(px, ["sum", "avg", "min", "max", "std", "medv"]), "SELECT j, i, sum(v) AS sum, avg(v) AS avg, min(v) AS min, max(v) AS max, stddev_pop(v) AS std, median(v) AS medv FROM px GROUP BY 1, 2")
 
 add("affine", "PV", lambda px: P.affine(px, 2.0, 1.0), "SELECT image_id, j, i, c, v * 2 + 1 AS v FROM px")
-add("pixel_expr", "PV", lambda px: P.pixel_expr({"x": px.where("image_id = '0'"), "y": px.where("image_id = '1'")}, lambda x, y: x * y + F.abs(x - y)), "SELECT 'expr' AS image_id, a.j, a.i, a.c, a.v * b.v + abs(a.v - b.v) AS v FROM px a JOIN px b ON a.j = b.j AND a.i = b.i AND a.c = b.c WHERE a.image_id = '0' AND b.image_id = '1'")
+add("pixel_expr", "PV", lambda px: P.pixel_expr({"x": px, "y": P.successors(px)}, lambda x, y: x * y + F.abs(x - y), None), f", {NEXT} SELECT a.image_id, a.j, a.i, a.c, a.v * b.v + abs(a.v - b.v) AS v FROM px a JOIN n b ON a.image_id = b.image_id AND a.j = b.j AND a.i = b.i AND a.c = b.c")
 _DIMS = "d AS (SELECT image_id, max(i) + 1 AS w, max(j) + 1 AS h FROM px GROUP BY 1)"
 add("dims", "PV", P.dims, "SELECT image_id, max(i) + 1 AS w, max(j) + 1 AS h, max(c) + 1 AS pd, count(v) AS n FROM px GROUP BY 1")
 add("shift_periodic", "PV", lambda px: P.shift(px, 3, -2, "periodic"), f", {_DIMS} SELECT p.image_id, p.j, p.i, p.c, q.v FROM px p JOIN d USING (image_id) LEFT JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND q.i = (p.i + 3) % d.w AND q.j = (p.j - 2 + d.h) % d.h")
@@ -63,7 +63,7 @@ add("hist2d", "PTS", lambda p: S.hist2d(p.withColumn("x", F.col("x") - 25).withC
 add("qeasy", "PV", lambda px: S.qeasy(px, -0.3, 0.3), "SELECT image_id, j, i, c, floor(greatest(0, least(255, 255 * (v - -0.3) / (0.3 - -0.3)))) AS v FROM px")
 add("qauto", "PU", S.qauto, ", e AS (SELECT image_id, list_sort(list(v))[CAST(floor((count(v) - 1) * 0.05) AS BIGINT) + 1] AS lo, list_sort(list(v))[CAST(floor((count(v) - 1) * 0.95) AS BIGINT) + 1] AS hi FROM px GROUP BY 1) SELECT image_id, j, i, c, floor(greatest(0, least(255, CASE WHEN hi > lo THEN 255 * (v - lo) / (hi - lo) ELSE 127 END))) AS v FROM px JOIN e USING (image_id)")
 add("histeq", "PU", S.histeq, ", e AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1), b AS (SELECT px.*, CAST(least(255, floor((v - lo) * 256 / (hi - lo))) AS INT) AS bin FROM px JOIN e USING (image_id)) SELECT image_id, j, i, c, (count(*) OVER (PARTITION BY image_id ORDER BY bin)) / (count(*) OVER (PARTITION BY image_id)) AS v FROM b")
-add("colormatch", "PE", lambda px: S.colormatch(px.where("image_id = 'click'"), px.where("image_id = 'view'")), ", a AS (SELECT * FROM px WHERE image_id = 'click'), b AS (SELECT * FROM px WHERE image_id = 'view'), s AS (SELECT a.c, avg(a.v) AS ma, avg(b.v) AS mb, stddev_pop(a.v) AS sa, stddev_pop(b.v) AS sb FROM a JOIN b USING (j, i, c) GROUP BY 1) SELECT image_id, j, i, c, (v - ma) * (sb / sa) + mb AS v FROM a JOIN s USING (c)")
+add("colormatch", "PE", lambda px: S.colormatch(px, P.successors(px), each=True), f", {NEXT}, s AS (SELECT a.image_id, a.c, avg(a.v) AS ma, avg(b.v) AS mb, stddev_pop(a.v) AS sa, stddev_pop(b.v) AS sb FROM px a JOIN n b ON a.image_id = b.image_id AND a.j = b.j AND a.i = b.i AND a.c = b.c GROUP BY 1, 2) SELECT image_id, j, i, c, (v - ma) * (sb / sa) + mb AS v FROM px JOIN s USING (image_id, c)")
 
 _NEAR = "FROM px p JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND abs(q.i - p.i) <= 1 AND abs(q.j - p.j) <= 1"
 for _name, _fn, _agg in (("erode", N.erode, "min"), ("dilate", N.dilate, "max"), ("median_filter", N.median_filter, "median")):

@@ -10,7 +10,8 @@ from gridweave.operators import transforms as X
 from gridweave.operators import warps as W
 from gridweave.operators import neighbours as N
 from gridweave.operators.neighbours import element
-from gridweave.plans.registry import add
+from gridweave.operators import pixels as P
+from gridweave.plans.registry import NEXT, add
 
 _DIMS = "d AS (SELECT image_id, max(i) + 1 AS w, max(j) + 1 AS h FROM px GROUP BY 1)"
 _GRID = "g AS (SELECT image_id, c, j, i FROM (SELECT DISTINCT image_id, c FROM px), (SELECT CAST(unnest(generate_series(0, {h})) AS INT) AS j), (SELECT CAST(unnest(generate_series(0, {w})) AS INT) AS i))"
@@ -27,7 +28,7 @@ add("periodize", "PL", W.periodize, f", {_DIMS} SELECT image_id, CASE s WHEN 0 T
 add("replicate", "PL", W.replicate, f", {_DIMS} SELECT image_id, j + s * h AS j, i + t * w AS i, c, v FROM px JOIN d USING (image_id), (VALUES (0), (1)) m(s), (VALUES (0), (1)) n(t)")
 add("redim", "PL", lambda px: W.redim(px, 20), f", {_DIMS} SELECT image_id, (j * w + i) // 20 AS j, (j * w + i) % 20 AS i, c, v FROM px JOIN d USING (image_id)")
 add("imhalve", "PV", W.imhalve, f", {_DIMS} SELECT image_id, j, i, c, v FROM px JOIN d USING (image_id) WHERE i < w // 2 AND j < h // 2")
-add("tbcat", "PL", lambda px: W.tbcat(px.where("image_id = 'A'"), px.where("image_id = 'R'")), "SELECT 'tbcat' AS image_id, j, i, c, v FROM px WHERE image_id = 'A' UNION ALL SELECT 'tbcat', j + (SELECT max(j) + 1 FROM px WHERE image_id = 'A'), i, c, v FROM px WHERE image_id = 'R'")
+add("tbcat", "PL", lambda px: W.tbcat(px, P.successors(px), None), f", {NEXT} SELECT image_id, j, i, c, v FROM px UNION ALL SELECT image_id, j + (SELECT max(q.j) + 1 FROM px q WHERE q.image_id = n.image_id), i, c, v FROM n")
 
 add("rank_filter", "PL", lambda px: N.rank_filter(px, element("square")), f"SELECT p.image_id, p.j, p.i, p.c, CAST(count(*) FILTER (WHERE q.v < p.v) AS DOUBLE) AS v {_NEAR} GROUP BY 1, 2, 3, 4")
 _FLOW = "{b} AS (SELECT p.image_id, p.j, p.i, p.c, any_value(p.v) + 0.2 * sum(q.v - p.v) AS v " + _NEAR.replace("px", "{a}") + " AND abs(q.i - p.i) + abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4)"
@@ -41,7 +42,7 @@ add("distance", "PE", lambda px: D.distance(px.where("n > 5"), 24, 30), f", m AS
 
 add("dft2", "PL", X.dft2, f", {_DIMS}, r AS (SELECT image_id, w, h, j, k, sum(v * cos(2 * pi() * k * i / w)) AS re, -sum(v * sin(2 * pi() * k * i / w)) AS im FROM px JOIN d USING (image_id), (SELECT CAST(unnest(generate_series(0, 15)) AS INT) AS k) WHERE k < w GROUP BY 1, 2, 3, 4, 5), z AS (SELECT image_id, l AS j, k AS i, sum(re * cos(2 * pi() * l * j / h) + im * sin(2 * pi() * l * j / h)) AS re, sum(im * cos(2 * pi() * l * j / h) - re * sin(2 * pi() * l * j / h)) AS im FROM r, (SELECT CAST(unnest(generate_series(0, 31)) AS INT) AS l) WHERE l < h GROUP BY 1, 2, 3) SELECT image_id, j, i, 0 AS c, re AS v FROM z UNION ALL SELECT image_id, j, i, 1, im FROM z")
 add("hough", "PE", lambda px: X.hough(px, 36, 40, 40.0, 50.0), "SELECT image_id, t, r, sum(v) AS v FROM (SELECT image_id, t, CAST(floor((i * cos(t * (pi() / 36)) + j * sin(t * (pi() / 36)) + 40) * 40 / 80) AS INT) AS r, v FROM px, (SELECT CAST(unnest(generate_series(0, 35)) AS INT) AS t) WHERE v > 50) WHERE r BETWEEN 0 AND 39 GROUP BY 1, 2, 3")
-add("displacement_costs", "PL", lambda px: X.displacement_costs(px.where("image_id = 'A'"), px.where("image_id = 'N'"), [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]), "SELECT dx, dy, avg((a.v - b.v) * (a.v - b.v)) AS cost, count(*) AS n FROM px a, px b, (VALUES (-1), (0), (1)) m(dx), (VALUES (-1), (0), (1)) n(dy) WHERE a.image_id = 'A' AND b.image_id = 'N' AND b.i = a.i + dx AND b.j = a.j + dy AND a.c = b.c GROUP BY 1, 2")
+add("displacement_costs", "PL", lambda px: X.displacement_costs(px, P.successors(px), [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)], each=True), f", {NEXT} SELECT a.image_id, dx, dy, avg((a.v - b.v) * (a.v - b.v)) AS cost, count(*) AS n FROM px a JOIN n b USING (image_id, c), (VALUES (-1), (0), (1)) m(dx), (VALUES (-1), (0), (1)) o(dy) WHERE b.i = a.i + dx AND b.j = a.j + dy GROUP BY 1, 2, 3")
 
 add("point_raster", "PTS", lambda p: R.point_raster(p.withColumn("y", F.col("y") / 50), 40, 40), "SELECT CAST(floor(y / 50 + 0.5) AS INT) AS j, CAST(floor(x + 0.5) AS INT) AS i, count(*) AS n FROM px WHERE floor(y / 50 + 0.5) BETWEEN 0 AND 39 AND floor(x + 0.5) BETWEEN 0 AND 39 GROUP BY 1, 2")
 add("pairs_to_image", "SEG", R.pairs_to_image, "SELECT CAST(floor(y1 + 0.5) AS INT) AS j, CAST(floor(x1 + 0.5) AS INT) AS i, avg(x2 - x1) AS dx, avg(y2 - y1) AS dy FROM px GROUP BY 1, 2")
