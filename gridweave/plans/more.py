@@ -197,7 +197,7 @@ add("windowed_spectrum", "TS", lambda s: O.windowed_spectrum(s, "event_type", "t
 # fields and motion
 _bent = lambda px: px.where("c = 0").select("image_id", "j", "i", (F.pmod(F.col("v"), F.lit(7.0)) / 10 - 0.3).alias("dx"), (F.pmod(F.col("v"), F.lit(5.0)) / 10 - 0.2).alias("dy"))
 _CORNER = "coalesce((CASE m.a WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE n.b WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END), 0)"
-_UNDO = "{b} AS (SELECT image_id, j, i, CASE WHEN count(dx) = count(*) THEN -sum(wt * dx) END AS dx, CASE WHEN count(dx) = count(*) THEN -sum(wt * dy) END AS dy FROM (SELECT z.image_id, z.j, z.i, u.dx, u.dy, z.wt FROM (SELECT t.*, floor(x) + m.a AS si, floor(y) + n.b AS sj, " + _CORNER + " AS wt FROM (SELECT k.image_id, k.j, k.i, greatest(0, least(w, k.i + k.dx)) AS x, greatest(0, least(h, k.j + k.dy)) AS y FROM {a} k JOIN s USING (image_id)) t, (VALUES (0), (1)) m(a), (VALUES (0), (1)) n(b)) z LEFT JOIN u ON u.image_id = z.image_id AND u.i = z.si AND u.j = z.sj WHERE z.wt > 0) GROUP BY 1, 2, 3)"
+_UNDO = "{b} AS (SELECT image_id, j, i, CASE WHEN count(dx) = count(*) THEN -sum(wt * dx) END AS dx, CASE WHEN count(dx) = count(*) THEN -sum(wt * dy) END AS dy FROM (SELECT z.image_id, z.j, z.i, u.dx, u.dy, z.wt FROM (SELECT t.*, floor(x) + m.a AS si, floor(y) + n.b AS sj, " + _CORNER + " AS wt FROM (SELECT k.image_id, k.j, k.i, greatest(0, least(w, k.i + k.dx)) AS x, greatest(0, least(h, k.j + k.dy)) AS y FROM {a} k JOIN s USING (image_id) WHERE k.dx IS NOT NULL AND k.dy IS NOT NULL) t, (VALUES (0), (1)) m(a), (VALUES (0), (1)) n(b)) z LEFT JOIN u ON u.image_id = z.image_id AND u.i = z.si AND u.j = z.sj WHERE z.wt > 0) GROUP BY 1, 2, 3)"
 add("invert_field", "PL", lambda px: W.invert_field(_bent(px), rounds=2, tolerance=0.0), ", u AS (SELECT image_id, j, i, v % 7 / 10 - 0.3 AS dx, v % 5 / 10 - 0.2 AS dy FROM px), s AS (SELECT image_id, max(i) AS w, max(j) AS h FROM u GROUP BY 1), v0 AS (SELECT image_id, j, i, -dx AS dx, -dy AS dy FROM u), " + _UNDO.format(a="v0", b="v1") + ", " + _UNDO.format(a="v1", b="v2") + " SELECT u.image_id, u.j, u.i, v2.dx, v2.dy FROM u LEFT JOIN v2 USING (image_id, j, i)")
 QUERIES["block_match_scales"] = lambda spark, sf_dir: (lambda px: O.block_match_scales(px, P.shift(px, -3, 2, "null"), 2, 3))(load(spark, sf_dir, "PL"))
 QUERIES["harmonic"] = lambda spark, sf_dir: G.harmonic(load(spark, sf_dir, "PE").select(*P.KEYS, "v"))
