@@ -49,7 +49,7 @@ FOLDS, TRIED, SLICES = 4, 2000, 16
 #: Different texts that teach, at most, for each labelled id.
 MOST_ROWS = 4
 #: Texts, and bytes of text, whose terms are counted at once, and texts whose scores are held at once.
-_GROUP, _STEP, _AT_ONCE = 256, 3 << 19, 128
+_GROUP, _STEP, _AT_ONCE = 256, 3 << 18, 64
 
 
 def terms_of(text: str) -> tuple[str, ...]:
