@@ -5,13 +5,15 @@ So if two documents share ``window`` words, some run of ``window - P + 1`` words
 cover in both. Hashing only such anchors (six of 31 places) finds every shared window; an anchor that
 two documents have is then extended: the windows that contain it are hashed whole, and the smallest
 document of each window is looked up. All groups are aggregated to one row, never listed, so a passage
-that a third of all documents share costs no more than any other.
+that a third of all documents share costs no more than any other; what it is looked up in is written
+first, so that its rows are split over tasks where they are many.
 
 Documents with equal words are joined into one first: all words of the later copies go, which is what
 their windows would say. Hashes have 64 bits for anchors, where an error only costs time, and 128 for
 windows.
 
-Edge cases: null text has no words; fewer words than a window are never removed; a repeated doc_id is
+Edge cases: null text has no words; texts of any length are read whole, one at a time; an empty table gives an
+empty one; columns named like the added ones raise ValueError; fewer words than a window are never removed; a repeated doc_id is
 no smaller than itself, so equal rows of one id stay; rows with a null doc_id are left as they are and
 remove nothing; other columns pass through.
 """
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import materialise, tidy, unused_name
+from gridweave.llm.common import discard, materialise, tidy, unused_name
 
 #: A perfect difference set modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -122,6 +124,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     chosen = signed.join(first.select("doc_id", "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     rows = chosen.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = materialise(shared)  # a table, not an aggregate: only then can the rows of a hot passage be split over tasks
     near = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("near"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +136,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
 
     windows = own.join(near, "doc_id").mapInArrow(tidy(extend), "doc_id bigint, a bigint, b bigint")
     windows = materialise(windows)
+    discard(shared)
     low = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
+    low = materialise(low)
     late = windows.join(low, ["a", "b"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
     late = late.select("doc_id", F.col("pairs.a").alias("a"), F.col("pairs.b").alias("b"))
+    late = materialise(late)
+    discard(windows, low)
     copies = signed.select("doc_id", "digest").join(first.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").distinct()
     copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias(copy))
     marks = late.join(copies, "doc_id", "full").withColumn(hits, F.struct(F.coalesce("a", F.array().cast("array<bigint>")).alias("a"), F.coalesce("b", F.array().cast("array<bigint>")).alias("b"), F.coalesce(copy, F.array().cast("array<binary>")).alias("copies")))
+    marks = materialise(marks)
+    discard(signed, late)
     marked = docs.join(marks.select(F.col("doc_id").alias(digest), hits), F.col(doc_id).cast("bigint") == F.col(digest), "left").drop(digest)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
