@@ -5,15 +5,17 @@ configuration says how many pieces of each length share a sequence. The linear p
 sequences whose configurations cover the histogram) is solved by multiplicative weights: lengths that
 are behind get dearer, a knapsack by dynamic programming prices all configurations at once, the
 best one through each length takes a small step. Every configuration of the solution, full or not, is
-rounded down; full ones that what is left still makes are added. Other remainders are packed best-fit, into the room
-of sequences that aren't full first, by counts of a length and of like sequences: the driver's work depends on
-the capacity, not on the pieces.
+rounded down. Remainders are packed best-fit, into the room of sequences that aren't full first, by counts of a length
+and of like sequences: the driver's work depends on the capacity, not on the pieces. The solution is rounded in several
+ways (``ROUNDINGS``): a share of it is kept, full configurations that what is left still makes are added or not, small
+pieces are taken out of it and left to the remainders or not. The way with the fewest sequences counts, the one that
+keeps most of the solution if several have.
 
 Pieces are then matched with places by their rank among the pieces of their length. Ranks are counted
 by the tasks that make the pieces and joined with sums of earlier tasks' counts, so no length, however
 common, meets in one task.
 
-Edge cases: a piece of null, zero or negative length, or longer than the capacity, raises ValueError
+Edge cases: texts of any length are cut whole; a piece of null, zero or negative length, or longer than the capacity, raises ValueError
 (``cut`` makes none); no pieces give no sequences; ties are broken by length; repeated rows are packed each; columns that
 have a name of this operator raise ValueError. For ``cut``: null text counts as empty and gives one piece, the end id.
 """
@@ -35,6 +37,8 @@ from gridweave.llm.common import halved, materialise
 from gridweave.llm.token_files import library_encoder
 
 ROUNDS = 48
+#: Share of the solution that is kept, least piece in it as a share of the capacity, whether full configurations are added.
+ROUNDINGS = [(1, 0, True), (1, 0, False), (1, 1 / 4, True), (1, 1 / 3, True), (1, 1 / 3, False), *((1 / n, least, False) for n in (2, 4, 8, 16) for least in (0, 1 / 3))]
 EPSILON = 0.08
 
 
@@ -82,18 +86,28 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
 
 def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
     """Configurations with whole multiplicities that use each piece exactly once."""
-    left, out = counts.astype(np.int64).copy(), []
     full = lambda p: sum(int(lengths[j]) * m for j, m in p) / capacity
-    ranked = sorted(fractional(lengths, counts, capacity).items(), key=lambda a: (-full(a[0]), -a[1], a[0]))
-    for once in (False, True):
-        for p, x in ranked:
-            k = min(int(left[j]) // m for j, m in p)
-            k = min(k, int(x)) if not once else k if full(p) == 1 else 0
-            if k > 0:
-                out.append((p, k))
-                for j, m in p:
-                    left[j] -= k * m
-    return best_fit(lengths, left, capacity, out)
+    solved, best, fewest = fractional(lengths, counts, capacity), [], None
+    for share, least, add in ROUNDINGS:
+        large: dict[tuple, float] = defaultdict(float)
+        for p, x in solved.items():
+            large[tuple((j, m) for j, m in p if lengths[j] >= least * capacity)] += x * share
+        large.pop((), None)
+        ranked = sorted(large.items(), key=lambda a: (-full(a[0]), -a[1], a[0]))
+        left, out = counts.astype(np.int64).copy(), []
+        for once in (False, True) if add else (False,):
+            for p, x in ranked:
+                k = min(int(left[j]) // m for j, m in p)
+                k = min(k, int(x)) if not once else k if full(p) == 1 else 0
+                if k > 0:
+                    out.append((p, k))
+                    for j, m in p:
+                        left[j] -= k * m
+        found = best_fit(lengths, left, capacity, out)
+        size = sum(k for _, k in found)
+        if fewest is None or size < fewest:
+            best, fewest = found, size
+    return best
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int, begun: list[tuple[tuple, int]] = ()) -> list[tuple[tuple, int]]:

@@ -168,3 +168,19 @@ def test_best_fit_by_counts():
                     rooms.remove(min(fits))
                 rooms.append((min(fits) if fits else 64) - size)
         assert sorted(rooms) == sorted(64 - sum(int(sizes[j]) * m for j, m in p) for p, k in found for _ in range(k))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_solver_never_behind_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(40, 200))
+    least, most = sorted(rng.integers(1, capacity + 1, 2))
+    sizes, counts = np.unique(rng.integers(least, most + 1, int(rng.integers(50, 5000))), return_counts=True)
+    found = K.rounded(sizes, counts, capacity)
+    used = np.zeros(len(sizes), np.int64)
+    for p, k in found:
+        assert sum(int(sizes[j]) * m for j, m in p) <= capacity
+        for j, m in p:
+            used[j] += k * m
+    assert used.tolist() == counts.tolist()
+    assert sum(k for _, k in found) <= sum(k for _, k in K.best_fit(sizes, counts.copy(), capacity))
