@@ -8,13 +8,19 @@ language is the one with the greatest expected number of words, and the score is
 
 Texts of like length run side by side, one step for each place, so the work is in numpy whatever the lengths;
 at most ``_STEP`` characters are held as words at a time, or one text.
-Training takes at most ``max_docs`` rows, chosen by hash so that rare languages get more than their share, and a run of
-``max_words`` words from a place in each text that a hash names; prediction reads whole texts. The rows' languages are those of
+Training takes at most ``max_runs`` runs of words, chosen by hash so that rare languages get more than their share. Every
+text of a known language is cut into runs of about ``RUN`` bytes (one for each ``RUN`` bytes begun, equal in words), and all
+runs of all texts stand to be chosen; prediction reads whole texts. The languages are those of
 whole texts, so no change of language is seen in training: what a change costs comes from the pull of its weight to 0.
 
+What part of a word's features was learned tells whether the model knows such words at all; ``known`` is the mean of it over
+a text's words with letters. ``model.least`` is half of the least that a training run has: below it, the languages that were
+learned say nothing about a text, and a filter may reject it.
+
 Edge cases: text that is null or has no letter (Unicode category L), or nothing to learn from, gives ``und`` and score 0; words
-without a letter carry no evidence; ties go to the language that is first in order; of rows with one id and language one
-teaches, that of the least hash; repeated rows each get their answer, and an empty table gives an empty one.
+without a letter carry no evidence; ties go to the language that is first in order; equal rows teach once, different
+rows of one id each; texts of any length are read whole; columns named like the added ones raise ValueError; repeated rows
+each get their answer, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ from gridweave.llm.common import give_back, held_out, tidy
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 OFTEN = 3
+#: Bytes of text for each run of words that may teach.
+RUN = 1500
 _MEMO_LIMIT = 150_000
 _STEP = 500_000
 
@@ -62,6 +70,7 @@ class Model:
     weights: np.ndarray  # features, languages
     moves: np.ndarray  # languages, languages
     prior: np.ndarray
+    least: float = 0.0  # half of the least part of known features in a training run
 
 
 def _forward_backward(emit: np.ndarray, lengths: np.ndarray, model_moves: np.ndarray, prior: np.ndarray, pairs: bool = False):
@@ -100,19 +109,22 @@ def _forward_backward(emit: np.ndarray, lengths: np.ndarray, model_moves: np.nda
     return (gamma, counts, float(np.log(scale).sum() + top.sum())) if pairs else gamma
 
 
-def train(docs: DataFrame, max_docs: int = 1500, max_words: int = 250, steps: int = 40) -> Model:
+def train(docs: DataFrame, max_runs: int = 1500, steps: int = 40) -> Model:
     """Learn from texts and languages of rows whose id isn't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    often = known.groupBy("lang").agg(F.count("*").alias("often"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = known.select("doc_id", "lang").distinct().join(often, "lang").orderBy(place * F.sqrt("often"), "doc_id", "lang").limit(max_docs)
-    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("tongue"))
-    # at most max_docs short rows; of each text a run of words comes
+    each = known.select("doc_id", "lang", F.xxhash64("text").alias("same"), F.expr(f"1 + octet_length(text) div {RUN}").alias("runs")).distinct()
+    often = each.groupBy("lang").agg(F.sum("runs").alias("often"))
+    place = F.pmod(F.xxhash64("doc_id", "same", "run"), F.lit(1 << 40)) / float(1 << 40)
+    cut = each.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)).alias("run"))
+    chosen = cut.join(often, "lang").orderBy(place * F.sqrt("often"), "doc_id", "lang", "same", "run").limit(max_runs)
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("tongue"), F.col("same").alias("code"), "runs", "run")
+    # at most max_runs short rows; of each text its chosen runs come
     words = F.filter(F.split(F.translate("text", "\t\n\r\x0b\x0c", "     "), " "), lambda w: w != "")
-    rows = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("tongue"))).withColumn("words", words)
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.size("words") - max_words + 1)).cast("int") + 1
-    rows = rows.groupBy("doc_id", "lang").agg(F.min_by(F.slice("words", start, F.lit(max_words)), F.xxhash64("text")).alias("words")).select("lang", "words").collect()
-    rows = sorted(((r.lang, [w for w in r.words if _LETTER.search(w)]) for r in rows), key=lambda r: (r[0], r[1]))
+    rows = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("tongue")) & (F.xxhash64("text") == F.col("code"))).withColumn("words", words)
+    bound = lambda n: F.expr(f"cast(size(words) * {n} div runs as int)")
+    rows = rows.select("id", "tongue", "code", "run", F.slice("words", bound("run") + 1, bound("(run + 1)") - bound("run")).alias("words"))
+    rows = rows.dropDuplicates(["id", "tongue", "code", "run"]).select("tongue", "words").collect()
+    rows = sorted(((r.tongue, [w for w in r.words if _LETTER.search(w)]) for r in rows), key=lambda r: (r[0], r[1]))
     rows = [r for r in rows if r[1]]
     languages = sorted({lang for lang, _ in rows})
     k = len(languages)
@@ -143,6 +155,8 @@ def train(docs: DataFrame, max_docs: int = 1500, max_words: int = 250, steps: in
         for value, grad, square in zip((model.weights, model.moves), grads, squares):
             square += grad * grad
             value += 0.5 * grad / np.sqrt(square)
+    share = np.array([len([f for f in fs if f in at]) / max(1, len(fs)) for fs in found])[index]
+    model.least = float((np.add.reduceat(share, np.cumsum(lengths) - lengths) / lengths).min()) / 2
     model.prior = np.log((rare + 1) / (rare + 1).sum())
     del rows, found, flat, owner, index
     give_back()
@@ -155,6 +169,7 @@ class Tagger:
     def __init__(self, model: Model):
         self.model, self.memo = model, {"": 0}
         self.rows = [np.zeros((1, len(model.languages)))]
+        self.parts = [np.full(1, np.nan)]  # what part of the features of each row was learned
         self.weights = np.concatenate([model.weights, self.rows[0]])  # the last is for features that weren't learned
         self.size = 1
 
@@ -168,24 +183,29 @@ class Tagger:
             found = [*map(features, wanted)]
             flat = np.fromiter(map(self.model.at.get, chain.from_iterable(found), repeat(len(self.weights) - 1)), np.int64)
             owner = np.repeat(np.arange(len(wanted)), np.array([*map(len, found)], np.int64))
+            learned = np.bincount(owner, flat < len(self.weights) - 1, len(wanted))
+            self.parts.append(learned / np.bincount(owner, minlength=len(wanted)))
             self.rows.append(np.stack([np.bincount(owner, self.weights[flat, c], len(wanted)) for c in range(len(self.model.languages))], 1))
             memo.update(zip(wanted, range(self.size, self.size + len(wanted))))
             memo.update(zip(fresh, map(memo.__getitem__, cores)))
             self.size += len(wanted)
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
-    def tag(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """All words of each text and their marginals; those of words without a letter follow from the words beside them."""
+    def tag(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray, float]]:
+        """All words of each text, their marginals, and what part of their features is known; marginals of words without a letter follow from the words beside them."""
         if len(self.memo) > _MEMO_LIMIT:
             self.__init__(self.model)
         split = [(t or "").split() for t in texts]
         numbers = self.evidence([w for ws in split for w in ws])
         if len(self.rows) > 1:
-            self.rows = [np.concatenate(self.rows)]
+            self.rows, self.parts = [np.concatenate(self.rows)], [np.concatenate(self.parts)]
         lengths = np.array([len(ws) for ws in split], np.int64)
         gamma = _forward_backward(self.rows[0][numbers], lengths, self.model.moves, self.model.prior)
         ends = np.cumsum(lengths)
-        return [(ws, gamma[e - len(ws) : e]) for ws, e in zip(split, ends)]
+        parts = self.parts[0][numbers]
+        worded, owner = ~np.isnan(parts), np.repeat(np.arange(len(split)), lengths)
+        have = np.bincount(owner, np.where(worded, parts, 0), len(split)) / np.maximum(np.bincount(owner, worded, len(split)), 1)
+        return [(ws, gamma[e - len(ws) : e], part) for ws, e, part in zip(split, ends, have.tolist())]
 
 
 def _by_length(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -201,12 +221,12 @@ def _by_length(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add lang_pred, score and shares (expected share of words by language) to each row of ``docs``. No shuffle."""
-    added = ["lang_pred", "score", "shares"]
+    """Add lang_pred, score, shares (expected share of words by language) and known (part of the features that was learned) to each row of ``docs``. No shuffle."""
+    added = ["lang_pred", "score", "shares", "known"]
     clash = set(added) & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    # bounded by max_docs * max_words words and their features
+    # bounded by max_runs * RUN bytes of words on average and their features
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -215,17 +235,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         tagger = Tagger(own)
         for batch in batches:
             texts = batch.column(text)
-            names, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [[]] * len(texts)
+            names, scores, shares, parts = [UNKNOWN] * len(texts), [0.0] * len(texts), [[]] * len(texts), [0.0] * len(texts)
             for places in _by_length(texts) if own.languages else ():
                 part = texts.take(pa.array(places)).to_pylist()
-                for k, body, (_, gamma) in zip(places.tolist(), part, tagger.tag(part)):
+                for k, body, (_, gamma, have) in zip(places.tolist(), part, tagger.tag(part)):
                     if not body or not _LETTER.search(body):
                         continue
                     mean = gamma.mean(0)
                     names[k] = own.languages[int(mean.argmax())]
                     scores[k] = min(1.0, float(mean.max()))
+                    parts[k] = have
                     shares[k] = [(lang, float(x)) for lang, x in zip(own.languages, mean)]
-            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
+            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64())), pa.array(parts, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, shares map<string,double>")
+    return docs.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, shares map<string,double>, known double")

@@ -98,6 +98,11 @@ def test_language(spark):
     assert len(got) == len(rows) + len(odd)
     assert np.mean([got[d].lang_pred == y for d, _, y in rows if held(d)]) > 0.97
     assert [got[10**6 + k].lang_pred for k in range(4)] == ["und", "und", "und", "aa"]
+    model = L.train(docs)
+    assert 0 < model.least < 0.5 and all(got[d].known >= model.least for d, _, _ in rows)
+    strange = spark.createDataFrame([(1, "привет мир 77"), (2, "ka lo 77 mi"), (3, "77")], "doc_id long, text string")
+    known = {r.doc_id: r.known for r in L.predict(strange, model).collect()}
+    assert known[1] == 0 and known[2] > 0.8 and known[3] == 0
     mixed = L.Tagger(L.train(docs)).tag(["ka lo mi ru kalo schü ztng ngzt üng"])[0][1]
     assert mixed[:5].argmax(1).tolist() == [0] * 5 and mixed[5:].argmax(1).tolist() == [1] * 4
 
@@ -155,3 +160,13 @@ def test_toxicity_against_brute_force(spark, monkeypatch):
         want = sorted((sum(x * v.get(t, 0) for t, x in q.items()) for v in known.values()), reverse=True)[: T.NEIGHBOURS]
         assert np.allclose(r.cosines, [c for c in want if c > 0], atol=1e-5)
         assert np.allclose(r.cosines, [sum(x * known[n].get(t, 0) for t, x in q.items()) for n in r.neighbours], atol=1e-5)
+
+
+def test_language_learns_from_any_run(spark):
+    """Words that stand at the end of a long text alone teach as well as the first ones, and all its runs stand to be chosen."""
+    body = "ka lo mi ru " * 2000 + "vexulo " * 300
+    docs = spark.createDataFrame([(1, body, "aa"), (1, body, "aa"), (2, "schü zot ing " * 700, "bb")], "doc_id long, text string, lang string")
+    model = L.train(docs)
+    assert {"=vexulo", "=ka", "=schü"} <= set(model.at)
+    few = L.train(docs, max_runs=2)
+    assert len(few.at) < len(model.at)
