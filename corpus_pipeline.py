@@ -3,9 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but
 the last return the columns of ``documents``. ``run`` writes each result to the shared folder and reads it again.
 
-Rejected go documents whose language is unknown (no letter in them), toxic documents, all but one document of each
+Rejected go documents whose language is unknown (no letter in them, or hardly a part of words that the language model
+learned: less than half of what any text that taught it has), toxic documents, all but one document of each
 group of near duplicates, and documents that repeated passages fill wholly; passages that repeat elsewhere are cut
 out, with the blanks of what stays of such a document made single.
+
+Null texts and texts without letters go with the language stage, and so do all if no language could be learned; ties and
+repeated rows are decided by each stage as its operator states (of equal rows one stays); texts of any length are read whole;
+an empty table gives an empty one; columns beside those of ``documents`` are dropped first, so that none can clash.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ CAPACITY = 2048
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
-    return language_id.predict(docs.select(*COLUMNS), model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    found = language_id.predict(docs.select(*COLUMNS), model)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("known") >= model.least)).select(*COLUMNS)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
