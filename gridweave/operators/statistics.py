@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridweave.operators.neighbours import box_mean
 from gridweave.operators.pixels import KEYS
 from gridweave.storage import running
 
@@ -45,6 +46,35 @@ def image_error(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.withColumn("rmse", F.sqrt("mse")).withColumn("psnr", F.when(F.col("mse") > 0, 10 * F.log10(255 * 255 / F.col("mse"))))
 
 
+def error_norm(a: DataFrame, p: float, b: DataFrame | None = None) -> DataFrame:
+    """Mean p-norm (mean |e|^p)^(1/p) of a - b over the common known pixels of each image, or of a alone; the greatest error if p is infinite."""
+    d = a.select(*KEYS, F.col("v").alias("e")) if b is None else a.select(*KEYS, "v").join(b.select(*KEYS, F.col("v").alias("w")), KEYS).select(*KEYS, (F.col("v") - F.col("w")).alias("e"))
+    size = F.abs("e")
+    return d.where("e is not null").groupBy("image_id").agg((F.max(size) if p == float("inf") else F.pow(F.avg(F.pow(size, F.lit(p))), F.lit(1 / p))).alias("error"))
+
+
+def similarity(a: DataFrame, b: DataFrame, r: int, peak: float = 255.0) -> DataFrame:
+    """ssim and uiqi between images of one id: means over the common known pixels of what the squares of side 2r+1 give.
+
+    The five windowed moments come from one pass of sliding windows. ssim has the constants (0.01 peak)^2 and
+    (0.03 peak)^2; uiqi has none, and leaves out squares where it is 0/0.
+    """
+    d = a.select(*KEYS, "v").join(b.select(*KEYS, F.col("v").alias("w")), KEYS).where("v is not null and w is not null")
+    moments = {"x": F.col("v"), "y": F.col("w"), "xx": F.col("v") * F.col("v"), "yy": F.col("w") * F.col("w"), "xy": F.col("v") * F.col("w")}
+    parts = d.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), e.alias("v")) for n, e in moments.items()))).alias("s"))
+    means = box_mean(parts.select(F.struct("image_id", "s.name").alias("image_id"), "j", "i", "c", "s.v"), r)
+    at = lambda n: F.max(F.when(F.col("image_id.name") == n, F.col("v"))).alias(n)
+    m = means.groupBy(F.col("image_id.image_id").alias("image_id"), "j", "i", "c").agg(*(at(n) for n in moments))
+    m = m.select(*KEYS, "x", "y", (F.col("xx") - F.col("x") * F.col("x")).alias("vx"), (F.col("yy") - F.col("y") * F.col("y")).alias("vy"), (F.col("xy") - F.col("x") * F.col("y")).alias("vxy"))
+
+    def index(one: float, two: float):
+        under = (F.col("x") * F.col("x") + F.col("y") * F.col("y") + one) * (F.col("vx") + F.col("vy") + two)
+        return F.try_divide((2 * F.col("x") * F.col("y") + one) * (2 * F.col("vxy") + two), under)
+
+    flat = (F.col("vx") + F.col("vy")) <= 1e-12 * (F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    return m.groupBy("image_id").agg(F.avg(index((0.01 * peak) ** 2, (0.03 * peak) ** 2)).alias("ssim"), F.avg(F.when(~flat, index(0.0, 0.0))).alias("uiqi"))
+
+
 def histo_mode(px: DataFrame, size: float, phase: float = 0.0, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Centre of the fullest bin; ties to the lower."""
     bins = px.where("v is not null").groupBy(*by, F.floor((F.col("v") - phase) / size + 0.5).alias("bin")).agg(F.count("*").alias("n"))

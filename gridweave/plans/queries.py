@@ -72,6 +72,10 @@ for _op, _sql in (("gradient", "max(q.v) - min(q.v)"), ("laplacian", "(max(q.v)
     add(f"morph_{_op}", "PL", lambda px, op=_op: N.morph(px, N.element("cross"), op), f"SELECT p.image_id, p.j, p.i, p.c, {_sql} AS v {_NEAR} AND abs(q.i - p.i) + abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4")
 add("opening_cross", "PL", lambda px: N.opening(px, N.element("cross")), f", e AS (SELECT p.image_id, p.j, p.i, p.c, min(q.v) AS v {_NEAR} AND abs(q.i - p.i) + abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4) SELECT p.image_id, p.j, p.i, p.c, max(q.v) AS v {_NEAR.replace('px', 'e')} AND abs(q.i - p.i) + abs(q.j - p.j) <= 1 GROUP BY 1, 2, 3, 4")
 add("convolve", "PE", lambda px: N.convolve(px, {(x, y): (2 - abs(x)) * (2 - abs(y)) for x in (-1, 0, 1) for y in (-1, 0, 1)}), f"SELECT p.image_id, p.j, p.i, p.c, sum(q.v * w) / sum(w) AS v FROM (SELECT p.image_id, p.j, p.i, p.c, q.v, (2 - abs(q.i - p.i)) * (2 - abs(q.j - p.j)) AS w {_NEAR}) p, (SELECT 1) q GROUP BY 1, 2, 3, 4".replace("sum(q.v * w)", "sum(v * w)"))
+add("error_norm_3", "PV", lambda px: S.error_norm(px, 3, P.affine(px, 0.9, 0.01)), "SELECT image_id, pow(avg(pow(abs(v - (v * 0.9 + 0.01)), 3)), 1.0 / 3) AS error FROM px GROUP BY 1")
+add("error_norm_alone", "PV", lambda px: S.error_norm(px, 1), "SELECT image_id, avg(abs(v)) AS error FROM px GROUP BY 1")
+_PAIR = "o AS (SELECT p.image_id, p.j, p.i, p.c, p.v AS x, n.v AS y FROM px p JOIN n USING (image_id, j, i, c) WHERE p.v IS NOT NULL AND n.v IS NOT NULL)"
+add("similarity", "PV", lambda px: S.similarity(px, P.successors(px), 2, 1.0), f", {NEXT}, {_PAIR}, m AS (SELECT p.image_id, p.j, p.i, p.c, avg(q.x) AS mx, avg(q.y) AS my, var_pop(q.x) AS vx, var_pop(q.y) AS vy, covar_pop(q.x, q.y) AS vxy FROM o p JOIN o q ON q.image_id = p.image_id AND q.c = p.c AND abs(q.i - p.i) <= 2 AND abs(q.j - p.j) <= 2 GROUP BY 1, 2, 3, 4) SELECT image_id, avg((2 * mx * my + 0.0001) * (2 * vxy + 0.0009) / ((mx * mx + my * my + 0.0001) * (vx + vy + 0.0009))) AS ssim, avg(CASE WHEN vx + vy > 1e-12 * (mx * mx + my * my) THEN 4 * mx * my * vxy / ((mx * mx + my * my) * (vx + vy)) END) AS uiqi FROM m GROUP BY 1")
 add("box_mean", "PV", lambda px: N.box_mean(px, 2), "SELECT p.image_id, p.j, p.i, p.c, avg(q.v) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND abs(q.i - p.i) <= 2 AND abs(q.j - p.j) <= 2 GROUP BY 1, 2, 3, 4")
 add("integral", "PL", N.integral, "SELECT p.image_id, p.j, p.i, p.c, sum(q.v) AS v FROM px p JOIN px q ON q.image_id = p.image_id AND q.c = p.c AND q.i <= p.i AND q.j <= p.j GROUP BY 1, 2, 3, 4")
 add("local_extrema", "PV", N.local_extrema, f"SELECT p.image_id, p.j, p.i, p.c, CASE WHEN any_value(p.v) > 0 AND any_value(p.v) > max(q.v) OR any_value(p.v) < 0 AND any_value(p.v) < min(q.v) THEN any_value(p.v) ELSE 0 END AS v {_NEAR} AND (q.i != p.i OR q.j != p.j) GROUP BY 1, 2, 3, 4")

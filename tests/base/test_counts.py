@@ -106,3 +106,36 @@ def test_trapezoid(spark):
     d = {r.bin: r.density for r in H.density_by_jumps(cell(0.0, 10.0, 20.0, 40.0), 41, 0.0, 40.0).collect()}
     assert all(math.isclose(d[k], 2 / 50 * min(1, (k + 1) / 10), abs_tol=1e-12) for k in range(20)) and math.isclose(d[40], 0, abs_tol=1e-12)
     assert {r.density for r in H.density_by_jumps(cell(0.0, 0.0, 20.0, 40.0), 41, 0.0, 40.0).collect()} == {0.0}
+
+
+def test_similarity_and_norms(spark):
+    """Against numpy, with a missing pixel, flat squares, an image like itself and the greatest error."""
+    import numpy as np
+
+    from gridweave.operators import statistics as S
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 256, (2, 7, 9)).astype(float)
+    a[:4, :4] = b[:4, :4] = 50.0
+    a[6, 8] = np.nan
+    table = lambda v: spark.createDataFrame([("p", j, i, 0, None if np.isnan(v[j, i]) else float(v[j, i])) for j in range(7) for i in range(9)], "image_id string, j int, i int, c int, v double")
+    ssim, uiqi = [], []
+    known = ~np.isnan(a)
+    for j in range(7):
+        for i in range(9):
+            if not known[j, i]:
+                continue
+            box = (slice(max(0, j - 1), j + 2), slice(max(0, i - 1), i + 2))
+            x, y = a[box][known[box]], b[box][known[box]]
+            cov = ((x - x.mean()) * (y - y.mean())).mean()
+            ssim.append((2 * x.mean() * y.mean() + 2.55**2) * (2 * cov + 7.65**2) / ((x.mean() ** 2 + y.mean() ** 2 + 2.55**2) * (x.var() + y.var() + 7.65**2)))
+            if x.var() + y.var() > 0:
+                uiqi.append(4 * cov * x.mean() * y.mean() / ((x.mean() ** 2 + y.mean() ** 2) * (x.var() + y.var())))
+    r = S.similarity(table(a), table(b), 1).first()
+    assert np.isclose(r.ssim, np.mean(ssim)) and np.isclose(r.uiqi, np.mean(uiqi))
+    r = S.similarity(table(b), table(b), 1).first()
+    assert np.isclose(r.ssim, 1) and np.isclose(r.uiqi, 1)
+    e = np.abs(a - b)[known]
+    for p, want in ((1, e.mean()), (2.5, (e**2.5).mean() ** 0.4), (float("inf"), e.max())):
+        assert np.isclose(S.error_norm(table(a), p, table(b)).first().error, want)
+    assert np.isclose(S.error_norm(table(b), 2).first().error, np.sqrt((b**2).mean()))
