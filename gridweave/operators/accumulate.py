@@ -30,14 +30,14 @@ def _gini(p: float, q: float) -> Column:
 
 
 def aggregate(op: str, order: str = "image_id") -> Column:
-    """The aggregate of an operator's name: sum mul avg min max cnt first euc geo har lav std, M{p}, L{p}, G{p,q}."""
+    """The aggregate of an operator's name: sum mul avg min max cnt first rnd euc geo har lav std, M{p}, L{p}, G{p,q}. What rnd draws hangs on a hash, so that a task run again draws the same."""
     v = F.col("v")
     plain = {
         "sum": lambda: F.sum("v"), "mul": lambda: F.product("v"), "avg": lambda: F.avg("v"), "min": lambda: F.min("v"), "max": lambda: F.max("v"),
         "cnt": lambda: F.count("v"),
         "first": lambda: F.min_by("v", F.when(v.isNotNull(), F.col(order))), "euc": lambda: F.sqrt(F.avg(v * v)), "geo": log_average,
         "har": lambda: F.when(F.count_if(v == 0) > 0, 0.0).otherwise(F.count("v") / F.sum(F.try_divide(F.lit(1.0), v))), "lav": log_average,
-        "std": lambda: F.stddev_pop("v"),
+        "std": lambda: F.stddev_pop("v"), "rnd": lambda: F.min_by("v", F.struct(F.xxhash64(F.lit(17), order, "j", "i", "v"), F.col(order))),
     }
     if op in plain:
         return plain[op]()

@@ -72,6 +72,30 @@ def segment_raster(segments: DataFrame, w: int, h: int) -> DataFrame:
     return d.select(along("y1", "y2").alias("j"), along("x1", "x2").alias("i")).where(f"i between 0 and {w - 1} and j between 0 and {h - 1}").groupBy("j", "i").agg(F.count("*").alias("n"))
 
 
+def curve_segments(points: DataFrame, closed: bool = False) -> DataFrame:
+    """Segments x1, y1, x2, y2 of curves given by their points id, k (numbered without gaps), x, y; closed ones return to their first point. A curve of any length is joined by point, not gathered."""
+    after = points.select("id", (F.col("k") - 1).alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    if closed:
+        ends = points.groupBy("id").agg(F.max("k").alias("k"), F.min_by(F.struct("x", "y"), "k").alias("p"), F.count("*").alias("n"))
+        after = after.unionByName(ends.where("n > 2").select("id", "k", F.col("p.x").alias("x2"), F.col("p.y").alias("y2")))
+    return points.join(after, ["id", "k"]).select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+
+
+def circle_raster(circles: DataFrame, w: int, h: int) -> DataFrame:
+    """Number of circles x, y, r through each pixel, and the sum of r; centres and radii are rounded, outside is dropped, negative radii draw nothing.
+
+    One octant is stepped along its long side, and mirrored; a pixel counts once for each circle.
+    """
+    x, y, r = (F.floor(F.col(k) + 0.5).cast("int").alias(k) for k in ("x", "y", "r"))
+    d = circles.select(x, y, r).where("r >= 0").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("r"))))
+    d = d.withColumn("b", F.floor(F.sqrt(F.col("r") * F.col("r") - F.col("a") * F.col("a")) + 0.5).cast("int")).where("a <= b")
+    a, b = F.col("a"), F.col("b")
+    ring = [F.struct((p * s).alias("i"), (q * t).alias("j")) for p, q in ((a, b), (b, a)) for s in (1, -1) for t in (1, -1)]
+    d = d.select("x", "y", "r", F.explode(F.array_distinct(F.array(*ring))).alias("o"))
+    d = d.select((F.col("y") + F.col("o.j")).alias("j"), (F.col("x") + F.col("o.i")).alias("i"), "r")
+    return d.where(f"i between 0 and {w - 1} and j between 0 and {h - 1}").groupBy("j", "i").agg(F.count("*").alias("n"), F.sum("r").alias("radii"))
+
+
 def spread(px: DataFrame) -> DataFrame:
     """Second-moment spread of a kernel image around its wrapped origin: sqrt(sum v r^2 / sum v) / 1.4."""
     d = with_dims(px)

@@ -163,6 +163,9 @@ add("match_epipolar", "KP", lambda k: M.match_epipolar(*_sides(k), [0, 0, 0.1, 0
 add("dedup_keypoints", "KP", lambda k: M.dedup_keypoints(k, 6.0, 1.3).select("id", "side", "x", "y"), """, n AS (SELECT p.id, list(q.id) FILTER (WHERE q.id IS NOT NULL) AS near FROM px p LEFT JOIN px q ON q.id > p.id AND sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) < 6 AND list_distance(CAST(p.descr AS DOUBLE[]), CAST(q.descr AS DOUBLE[])) < 1.3 GROUP BY 1),
     o AS (SELECT id, coalesce(near, []) AS near, row_number() OVER (ORDER BY id DESC) AS k FROM n)
     SELECT id, side, x, y FROM px WHERE id IN (WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(o.near, g.kept) THEN g.kept ELSE list_append(g.kept, o.id) END FROM g JOIN o ON o.k = g.k + 1) SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1))""")
+_CIRCLES = "SELECT id, CAST(x * 4 AS INT) AS x, CAST(floor(y / 10) AS INT) AS y, CAST(x AS INT) % 9 AS r FROM px"
+add("circle_raster", "PTS", lambda p: H.circle_raster(p.selectExpr("id", "x * 4 AS x", "floor(y / 10) AS y", "x % 9 AS r"), 190, 150), f", k AS ({_CIRCLES}), o AS (SELECT id, x, y, r, unnest(generate_series(-r, r)) AS a FROM k), b AS (SELECT *, CAST(floor(sqrt(r * r - a * a) + 0.5) AS INT) AS b FROM o), d AS (SELECT id, r, y + b AS j, x + a AS i FROM b WHERE abs(a) <= b UNION SELECT id, r, y - b, x + a FROM b WHERE abs(a) <= b UNION SELECT id, r, y + a, x + b FROM b WHERE abs(a) <= b UNION SELECT id, r, y + a, x - b FROM b WHERE abs(a) <= b) SELECT j, i, count(*) AS n, sum(r) AS radii FROM d WHERE i BETWEEN 0 AND 189 AND j BETWEEN 0 AND 149 GROUP BY 1, 2")
+add("polygon_raster", "PTS", lambda p: H.segment_raster(H.curve_segments(p.selectExpr("(id - 1) div 5 AS id", "(id - 1) % 5 AS k", "x * 4 AS x", "floor(y / 10) AS y"), True), 210, 210), ", p AS (SELECT (id - 1) // 5 AS id, (id - 1) % 5 AS k, CAST(x * 4 AS INT) AS x1, CAST(floor(y / 10) AS INT) AS y1 FROM px), s AS (SELECT x1, y1, coalesce(lead(x1) OVER (PARTITION BY id ORDER BY k), CASE WHEN count(*) OVER (PARTITION BY id) > 2 THEN first_value(x1) OVER (PARTITION BY id ORDER BY k) END) AS x2, coalesce(lead(y1) OVER (PARTITION BY id ORDER BY k), CASE WHEN count(*) OVER (PARTITION BY id) > 2 THEN first_value(y1) OVER (PARTITION BY id ORDER BY k) END) AS y2 FROM p), n AS (SELECT *, greatest(abs(x2 - x1), abs(y2 - y1)) AS n FROM s WHERE x2 IS NOT NULL), t AS (SELECT *, unnest(generate_series(0, n)) AS k FROM n) SELECT CAST(floor(y1 + CASE WHEN n > 0 THEN (y2 - y1) * k / n ELSE 0 END + 0.5) AS INT) AS j, CAST(floor(x1 + CASE WHEN n > 0 THEN (x2 - x1) * k / n ELSE 0 END + 0.5) AS INT) AS i, count(*) AS n FROM t GROUP BY 1, 2 HAVING i BETWEEN 0 AND 209 AND j BETWEEN 0 AND 209")
 add("segments_in_mask", "SEG", lambda s: R.segments_in_mask(s, s.select(F.lit(0).alias("c"), F.floor(F.col("y1") / 7 + 0.5).cast("int").alias("j"), F.col("x1").cast("int").alias("i"), F.lit(1.0).alias("v"))), ", m AS (SELECT DISTINCT CAST(floor(y1 / 7 + 0.5) AS INT) AS j, CAST(x1 AS INT) AS i FROM px) SELECT * FROM px s WHERE EXISTS (SELECT 1 FROM m WHERE (m.j = floor(s.y1 + 0.5) AND m.i = floor(s.x1 + 0.5)) OR (m.j = floor(s.y2 + 0.5) AND m.i = floor(s.x2 + 0.5)))")
 
 

@@ -139,3 +139,12 @@ def test_similarity_and_norms(spark):
     for p, want in ((1, e.mean()), (2.5, (e**2.5).mean() ** 0.4), (float("inf"), e.max())):
         assert np.isclose(S.error_norm(table(a), p, table(b)).first().error, want)
     assert np.isclose(S.error_norm(table(b), 2).first().error, np.sqrt((b**2).mean()))
+
+
+def test_random_sample_of_cells(spark):
+    from gridweave.operators.accumulate import accumulate
+
+    px = spark.createDataFrame([(k, j, 0, 0, float(k)) for k in range(5) for j in range(400)] + [(9, 0, 0, 0, None)], "image_id int, j int, i int, c int, v double")
+    got = {r.j: r.v for r in accumulate(px, "rnd").collect()}
+    assert len(got) == 400 and got == {r.j: r.v for r in accumulate(px.repartition(7), "rnd").collect()}
+    assert all(50 < sum(v == k for v in got.values()) < 115 for k in range(5))
