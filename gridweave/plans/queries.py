@@ -10,6 +10,7 @@ from gridweave.operators import pixels as P
 from gridweave.operators import points as T
 from gridweave.operators import statistics as S
 from gridweave.plans import more, resampling  # noqa: F401 - register their own
+from gridweave.plans.fixtures import load
 from gridweave.plans.registry import NEXT, ORACLE_SQL, QUERIES, add
 
 _CELL = "SELECT j, i, {} AS v FROM px GROUP BY 1, 2"
@@ -27,6 +28,8 @@ _MEANS = {
 }
 for _op, _sql in _MEANS.items():
     add("accumulate_" + _op.replace(",", "_"), "PE", lambda px, op=_op: A.accumulate(px, op), "SELECT j, i, " + _sql + " AS v FROM px GROUP BY 1, 2")
+# drawn by Spark's own hash, which SQL elsewhere lacks: tested by properties
+QUERIES["accumulate_rnd"] = lambda spark, sf_dir: A.accumulate(load(spark, sf_dir, "PS"), "rnd")
 add("accumulate_pmax", "PS", lambda px: A.accumulate(px, "pmax"), "SELECT j, i, CAST(arg_max(k, struct_pack(v := v, k := -k)) AS DOUBLE) AS v FROM (SELECT *, row_number() OVER (PARTITION BY j, i ORDER BY image_id) - 1 AS k FROM px) GROUP BY 1, 2")
 _MODE = "SELECT j, i, CAST(arg_max(b, struct_pack(w := w, m := b = 128, b := -b)) AS DOUBLE) AS v FROM (SELECT j, i, b, sum(w) AS w FROM (SELECT j, i, trunc({}) + d AS b, 2 - abs(d) AS w FROM px, (VALUES (-1), (0), (1)) t(d)) WHERE b BETWEEN 0 AND 255 GROUP BY 1, 2, 3) GROUP BY 1, 2"
 add("accumulate_H5", "PU", lambda px: A.accumulate(px, "H5"), _MODE.format("floor(v / 5) * 5"))
