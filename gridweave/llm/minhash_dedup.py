@@ -15,12 +15,16 @@ most central texts, those with the largest groups over all their keys: one of th
 texts. So a text and its near copies become one class by a few comparisons each, and groups whose texts are in one class
 are done. Of the others, those of at most ``SMALL`` texts are compared in pairs, but for pairs of one class. A larger
 group is split by each second key that is in a large group too; the parts are compared in pairs again or, above ``SMALL``,
-with their ``LEADERS`` most central texts. Before texts are aligned, at least ``AGREE`` of their sketches must be equal,
-which all but 0.0005 of the pairs at 0.8 meet.
+with their ``LEADERS`` most central texts. What these rounds leave of the large groups, all pairs of different classes in
+groups that aren't one class yet, is then compared whole: the group is dealt to cells of two shares of at most about ``SHARE`` texts.
 
-So the work is linear in the number of keys, no group is cut, and no text left out. A link can be missed where two texts
-share no key (0.0002 at a similarity of 0.8), share large groups only but not two of them (0.003), or stand in a large
-part and neither is joined with the other through its leaders.
+Before texts are aligned, bitmaps must allow it: a text's bitmap holds the parities of how many of its shingles fall in
+each place, so two bitmaps differ in no more places than the texts have shingles of their own, and no pair that reaches the
+threshold is turned away.
+
+So no group is cut, no text left out, and each pair with a key in common is joined by others, ruled out by its bitmaps or
+sizes, or aligned. A link can be missed only where two texts share no key (0.0002 at a similarity of 0.8). The work is linear in the number of
+keys, but for texts of large groups that are no near copies of each other: their bitmaps are compared in pairs.
 
 Edge cases: fewer than five words form one shingle; texts without words and rows without doc_id are
 classes of their own (class_id is doc_id) and are kept; repeated rows of one id share their class, different texts of
@@ -45,7 +49,9 @@ from gridweave.llm.substring_dedup import run_hashes, word_hashes, words_of
 from gridweave.operators.graph import connected
 
 SHINGLE, TAKEN, ROWS, KEYS = 5, 2, 2, 16
-SMALL, LEADERS, AGREE = 32, 4, 12
+SMALL, LEADERS, SHARE = 32, 4, 1024
+#: Least and most places of a bitmap.
+NARROW, WIDE = 64, 1 << 15
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, KEYS * ROWS, dtype=np.uint64) | np.uint64(1)
 #: Shingles expected under the bound below which a sketch looks for its smallest ones.
 _TRIED = 10
@@ -158,6 +164,34 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return run / (n + m - run)
 
 
+def bitmaps(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each text (none empty) the parities of its shingles by place; there are as many places as the next power of two above its shingles."""
+    wide = np.clip(1 << np.ceil(np.log2(sizes)).astype(np.int64), NARROW, WIDE)
+    ends = np.cumsum(wide)
+    at = np.repeat(ends - wide, sizes) + (grams & np.repeat(wide - 1, sizes).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(ends[-1])) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip((ends - wide).tolist(), ends.tolist())]
+
+
+def allowed(size: np.ndarray, bits: list[bytes], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For texts of rising sizes: each text's place and the places after it whose texts may reach the threshold with it."""
+    wide = np.array([*map(len, bits)])
+    first, held = len(bits), np.empty((0, 0), np.uint8)
+    for width in np.unique(wide)[::-1].tolist():
+        while held.size and held.shape[1] > width:  # a bitmap folded is that of half as many places
+            held = held[:, : held.shape[1] // 2] ^ held[:, held.shape[1] // 2 :]
+        low = int(np.searchsorted(wide, width))
+        own = np.frombuffer(b"".join(bits[low:first]), np.uint8).reshape(-1, width)
+        held = np.concatenate([own, held]) if held.size else own
+        words = np.ascontiguousarray(held).view(np.uint64)
+        most = np.searchsorted(size, size[low:first] / threshold + 1e-6, "right")
+        for k, hi in zip(range(low, first), most.tolist()):
+            if hi > k + 1:
+                apart = np.bitwise_count(words[k + 1 - low : hi - low] ^ words[k - low]).sum(1, dtype=np.int64)
+                yield k, k + 1 + np.flatnonzero(apart <= (size[k] + size[k + 1 : hi]) * (1 - threshold) / (1 + threshold) + 1e-6)
+        first = low
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
@@ -180,8 +214,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests = [xxhash.xxh3_128_digest(hashes[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
             drawn = sketches(grams, sizes) if len(some) else np.empty((0, len(_SEEDS)), np.uint32)
             packed = [squeeze(t.encode()) for t in part.take(pa.array(some)).to_pylist()]
-            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in (drawn.view(np.int32), keys_of(drawn).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), *lists, pa.array(packed, pa.binary())], names=["doc_id", "digest", "size", "drawn", "keys", "packed"])
+            keys = keys_of(drawn).view(np.int64)
+            keys = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, KEYS, dtype=np.int32), pa.array(keys.ravel()))
+            bits = bitmaps(grams, sizes) if len(some) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), keys, pa.array(bits, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "digest", "size", "keys", "bits", "packed"])
             lo = hi
 
 
@@ -205,11 +241,39 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def _agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` with enough equal sketches."""
-    left, right = (texts.select(F.col("node").alias(x), F.col("drawn").alias(f"d{x}")) for x in "ab")
-    equal = F.size(F.filter(F.zip_with("da", "db", lambda x, y: x == y), lambda x: x))
-    return pairs.join(left, "a").join(right, "b").where(equal >= AGREE).select("a", "b")
+def _possible(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose bitmaps allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "ba", "bb"))):
+                n, m, x, y = (n, m, x, y) if n <= m else (m, n, y, x)
+                good.append(any(len(k) for _, k in allowed(np.array([n, m]), [x, y], threshold)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (texts.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb", "ba", "bb").mapInArrow(tidy(run), "a bigint, b bigint")
+
+
+def _rest(entries: DataFrame, texts: DataFrame, threshold: float, share: int = SHARE) -> DataFrame:
+    """All pairs ``a, b`` of different classes within each group whose bitmaps allow the threshold. A large group is dealt to cells, one for each two of its shares."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by([("size", "ascending"), ("node", "ascending")])
+        node, size, part, own = (cell[c].to_numpy() for c in ("node", "size", "part", "own"))
+        crossed = cell["i"][0].as_py() != cell["j"][0].as_py()  # two different shares: pairs within one are in its own cell
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k, found in allowed(size.astype(np.int64), cell["bits"].to_pylist(), threshold):
+            found = found[(part[found] != part[k]) & ((own[found] != own[k]) | (not crossed))]
+            a.append(np.full(len(found), node[k]))
+            b.append(node[found])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    shares = F.ceil(F.col("n") / share).cast("int")
+    own = entries.join(texts.select("node", "bits"), "node").withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "part", "bits")
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def _pairs(entries: DataFrame, threshold: float) -> DataFrame:
@@ -250,7 +314,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     clash = {"class_id", "kept"} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    signed = materialise(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_sign), "doc_id bigint, digest binary, size int, drawn array<int>, keys array<bigint>, packed binary"))
+    signed = materialise(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_sign), "doc_id bigint, digest binary, size int, keys array<bigint>, bits binary, packed binary"))
     firsts = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
     chosen = signed.join(firsts.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"])
     nodes = materialise(chosen.groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
@@ -259,9 +323,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     active = materialise(active.join(active.groupBy("node").agg(F.sum("n").alias("sum")), "node"))
     # texts of those alone, by one join at every size; their tables grow with the input, so neither is broadcast
     own = nodes.select(F.col("node").alias("doc_id"), "digest").join(active.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = signed.select("doc_id", "digest", "drawn", "packed").hint("merge").join(own, ["doc_id", "digest"], "left_semi")
-    texts = materialise(texts.groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("drawn").alias("drawn"), F.first("packed").alias("packed")).drop("digest"))
-    pairs = materialise(_led(active, threshold).distinct())
+    texts = signed.select("doc_id", "digest", "size", "bits", "packed").hint("merge").join(own, ["doc_id", "digest"], "left_semi")
+    texts = materialise(texts.groupBy(F.col("doc_id").alias("node"), "digest").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("packed").alias("packed")).drop("digest"))
+    pairs = materialise(_possible(_led(active, threshold).distinct(), texts, threshold))
     roots = materialise(connected(_verify(pairs, texts, threshold)))
 
     # what is left of the groups
@@ -272,16 +336,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_
     split = materialise(_open(split.select("node", "size", "sum", "part", (F.col("band") * KEYS + F.col("b2")).alias("band"), F.xxhash64("key", "k2").alias("key"))))
     tried = _pairs(open_.where(F.col("n") <= SMALL), threshold).union(_pairs(split.where(F.col("n") <= SMALL), threshold)).union(_led(split.where(F.col("n") > SMALL), threshold))
     tried = materialise(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    likely = materialise(_agreeing(tried, texts))
+    likely = materialise(_possible(tried, texts, threshold))
     links = materialise(_verify(likely, texts, threshold))
     between = _renamed(_renamed(links, roots, "a", "a"), roots, "b", "b")
     roots2 = materialise(connected(between))
-    discard(active, pairs, open_, large, split, tried, likely, texts)
+    discard(active, pairs, open_, split, tried, likely)
+
+    # all that is left of the large groups
+    rest = materialise(_open(_renamed(large, roots2, "part", "part")))
+    far = materialise(_rest(rest, texts, threshold).distinct())
+    links3 = materialise(_verify(far, texts, threshold))
+    between = _renamed(_renamed(_renamed(_renamed(links3, roots, "a", "a"), roots2, "a", "a"), roots, "b", "b"), roots2, "b", "b")
+    roots3 = materialise(connected(between))
+    discard(large, rest, far, links3, texts)
 
-    to = _renamed(_renamed(firsts, roots, "node", "class_id"), roots2, "class_id", "class_id").where((F.col("copies") > 1) | (F.col("class_id") != F.col("node")))
+    to = _renamed(_renamed(_renamed(firsts, roots, "node", "class_id"), roots2, "class_id", "class_id"), roots3, "class_id", "class_id").where((F.col("copies") > 1) | (F.col("class_id") != F.col("node")))
     to = materialise(to.select("digest", "class_id"))
     classes = materialise(signed.select("doc_id", "digest").join(to, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
-    discard(signed, firsts, nodes, roots, links, roots2, to)
+    discard(signed, firsts, nodes, roots, links, roots2, roots3, to)
     mine = unused_name(docs, "mine")
     joined = docs.join(classes.withColumnRenamed("doc_id", mine), F.col(doc_id).cast("bigint") == F.col(mine), "left").drop(mine)
     joined = joined.withColumn("class_id", F.coalesce("class_id", F.col(doc_id).cast("bigint")))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from gridweave.llm.minhash_dedup import aligned, labelled, near_duplicates, sketch_keys
 from gridweave.operators.graph import connected as components
 
@@ -85,3 +87,52 @@ def test_components(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def crowd(seed=8, size=180, pairs=20):
+    """Texts with most of their words in common, none a near copy of another but for some pairs."""
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(204)]
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(size):
+        tail = fresh(30)
+        rows.append((2 * k, [*common, *tail]))
+        if k < pairs:
+            rows.append((2 * k + 1, [*common, *tail[:6], *fresh(24)]))
+    return rows, pairs
+
+
+def test_large_groups_of_unlike_texts_are_compared_whole(spark):
+    rows, pairs = crowd()
+    shingled = {d: labelled([x.encode() for x in w]) for d, w in rows}
+    linked = {(a, b) for a in shingled for b in shingled if a < b and aligned(shingled[a], shingled[b], 0.8) >= 0.8}
+    assert linked == {(2 * k, 2 * k + 1) for k in range(pairs)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_bitmaps_turn_no_near_copy_away(spark):
+    from gridweave.llm.minhash_dedup import _rest, allowed, bitmaps
+
+    rng = random.Random(4)
+    texts = []
+    for size in (1, 7, 60, 64, 130, 500):
+        base = [f"w{rng.randrange(3 * size)}".encode() for _ in range(size)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randrange(1 + size // 30)):
+                w[rng.randrange(size)] = f"x{rng.randrange(10**6)}".encode()
+            texts.append(labelled(w + [b"new"] * rng.randrange(1 + size // 5)))
+    texts.sort(key=len)
+    bits = [bitmaps(t, np.array([len(t)]))[0] for t in texts]
+    assert bits == bitmaps(np.concatenate(texts), np.array([*map(len, texts)]))
+    alike = {(a, b) for b in range(len(texts)) for a in range(b) if aligned(texts[a], texts[b], 0.8) >= 0.8}
+    found = {(a, int(b)) for a, bs in allowed(np.array([*map(len, texts)]), bits, 0.8) for b in bs}
+    assert alike <= found and len(found) < len(texts) * (len(texts) - 1) // 4
+    entries = spark.createDataFrame([(0, 5, k, len(t), k, len(texts)) for k, t in enumerate(texts)], "band int, key long, node long, size int, part long, n long")
+    held = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(bits)], "node long, bits binary")
+    for share in (7, 1000):  # in many cells or in one, each pair once
+        got = [tuple(sorted((r.a, r.b))) for r in _rest(entries, held, 0.8, share).collect()]
+        assert len(got) == len(set(got)) and set(got) == found
