@@ -33,9 +33,10 @@ class Memo:
 
     def get_all(self, keys: list[str]) -> list[bytes | None]:
         found = [*map(self.new.get, keys)]
-        if self.old:
-            for i, value in enumerate(found):
-                if value is None and (value := self.old.get(keys[i])) is not None:
+        if self.old and None in found:
+            get = self.old.get
+            for i in [i for i, value in enumerate(found) if value is None]:
+                if (value := get(keys[i])) is not None:
                     found[i] = self.new[keys[i]] = value
         return found
 

@@ -17,6 +17,7 @@ one doc_id stay apart, in the order of a hash of their texts; an empty table giv
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from itertools import chain, pairwise
@@ -102,6 +103,8 @@ HELD.append(_LOADED)
 def library_encoder(vocabulary: str, blank_matters: bool) -> ChunkEncoder:
     """The tokenizers library behind the memo; one per Python worker and file."""
     if vocabulary not in _LOADED:
+        # a task has one core; threads that wait for words this short cost more than they do
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(vocabulary)

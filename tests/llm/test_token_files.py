@@ -184,3 +184,22 @@ def test_solver_never_behind_best_fit(seed):
             used[j] += k * m
     assert used.tolist() == counts.tolist()
     assert sum(k for _, k in found) <= sum(k for _, k in K.best_fit(sizes, counts.copy(), capacity))
+
+
+def test_encoder_starts_no_threads():
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import os, public_tokenizers
+from gridweave.llm.token_files import library_encoder
+encoder = library_encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+before = len(os.listdir("/proc/self/task"))
+encoder.encode_many([f"word{i}" for i in range(5000)])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], env=env, capture_output=True, text=True, check=True)
+    assert got.stdout.split() == ["0"]
