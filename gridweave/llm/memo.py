@@ -50,12 +50,13 @@ class ChunkEncoder:
 
     encode_many: encodes a list of chunks, each with its leading blanks, to packed little-endian ids.
     blank_matters: whether a word after a space encodes differently from the word alone.
+    encode_words: the same for chunks of common letters, with a space before them or not; by default encode_many.
     limit: words that are remembered; bounds memory, never results.
     step: bytes of text that are laid out at a time.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, limit: int = 400_000, step: int = 3 << 20):
-        self.encode_many, self.step = encode_many, step
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], *, blank_matters: bool, encode_words: Callable[[list[str]], list[bytes]] | None = None, limit: int = 400_000, step: int = 3 << 20):
+        self.encode_many, self.encode_words, self.step = encode_many, encode_words or encode_many, step
         self.lead = " " if blank_matters else ""
         self.words = Memo(limit)  # without the space before it
         self.pieces = Memo(limit)
@@ -86,12 +87,12 @@ class ChunkEncoder:
             out += [packed[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _look(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of different pieces."""
+    def _look(self, pieces: list[str], letters: bool = False) -> list[bytes]:
+        """Packed ids of different pieces; ``letters``: each is a chunk for encode_words."""
         found = self.pieces.get_all(pieces)
         fresh = [i for i, ids in enumerate(found) if ids is None]
         if fresh:
-            for i, ids in zip(fresh, self.encode_many([pieces[i] for i in fresh])):
+            for i, ids in zip(fresh, (self.encode_words if letters else self.encode_many)([pieces[i] for i in fresh])):
                 found[i] = self.pieces.new[pieces[i]] = ids
         return found
 
@@ -107,10 +108,10 @@ class ChunkEncoder:
         if not self.lead:  # blanks have no ids, and capitals none of their own
             found = [found[0], pc.utf8_ltrim(pc.utf8_lower(found[1]), " "), found[2]]
         parts = []
-        for part in found if self.lead else found[1:]:
+        for part, letters in [*zip(found, (False, True, False))][0 if self.lead else 1 :]:
             coded = part.dictionary_encode()
             names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            ids = dict(zip(some := [n for n in names if n], self._look(some)))
+            ids = dict(zip(some := [n for n in names if n], self._look(some, letters)))
             parts.append(np.array([ids.get(n, b"") for n in names], object)[coded.indices.to_numpy(zero_copy_only=False)].tolist())
         for i, ids in zip(np.flatnonzero(simple).tolist(), map(b"".join, zip(*parts))):
             out[i] = ids

@@ -35,6 +35,8 @@ from gridweave.llm.memo import ChunkEncoder
 BLOCK_IDS = 1 << 18
 #: Bits from one rank directory entry to the next.
 RANK_BITS = 512
+#: Words that the library encodes as one text.
+TOGETHER = 256
 _LENGTH = struct.Struct("<I")
 FILE_SCHEMA = "shard int, place bigint, first_doc bigint, last_doc bigint, doc_ids array<bigint>, starts array<int>, n_ids int, codes binary"
 
@@ -117,7 +119,27 @@ def library_encoder(vocabulary: str, blank_matters: bool) -> ChunkEncoder:
             packed = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
             return [packed[a:b] for a, b in pairwise(ends.tolist())]
 
-        _LOADED[vocabulary] = ChunkEncoder(many, blank_matters=blank_matters)
+        suffix = getattr(lib.model, "end_of_word_suffix", None)
+        edge = np.zeros(lib.get_vocab_size(), bool)  # tokens that a word ends with, or that begin with the space before it
+        for token, i in lib.get_vocab().items():
+            edge[i] = token.endswith(suffix) if suffix else token.startswith("\u0120")
+
+        def words(chunks: list[str]) -> list[bytes]:
+            own = [c for c in chunks if c[0] == " "] if blank_matters else chunks if suffix else []
+            rows = [own[k : k + TOGETHER] for k in range(0, len(own), TOGETHER)]
+            found: dict[str, bytes] = {}
+            for row, e in zip(rows, lib.encode_batch_fast([("" if blank_matters else " ").join(r) for r in rows], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(edge[ids])
+                at = [0, *(4 * at + 4).tolist()] if suffix else [*(4 * at).tolist(), 4 * len(ids)]
+                if len(at) == len(row) + 1 and at[0] == 0 and at[-1] == 4 * len(ids):  # else a word has an unknown letter: all by themselves
+                    packed = ids.tobytes()
+                    found.update(zip(row, [packed[x:y] for x, y in pairwise(at)]))
+            rest = [c for c in chunks if c not in found]
+            found.update(zip(rest, many(rest)))
+            return [*map(found.__getitem__, chunks)]
+
+        _LOADED[vocabulary] = ChunkEncoder(many, blank_matters=blank_matters, encode_words=words)
     return _LOADED[vocabulary]
 
 

@@ -203,3 +203,20 @@ print(len(os.listdir("/proc/self/task")) - before)
     env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
     got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], env=env, capture_output=True, text=True, check=True)
     assert got.stdout.split() == ["0"]
+
+
+def test_words_encoded_together_have_their_own_ids():
+    import random
+
+    import public_tokenizers
+
+    from gridweave.llm.token_files import library_encoder
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeéßñÀüxyzįİ") for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    for vocabulary, blank_matters in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        encoder = library_encoder(public_tokenizers.path(vocabulary), blank_matters)
+        chunks = list({rng.choice(["", " "]) + w if blank_matters else w.lower() for w in words})
+        assert encoder.encode_words is not encoder.encode_many
+        assert encoder.encode_words(chunks) == encoder.encode_many(chunks)
+        assert encoder.encode_words([]) == []
