@@ -126,3 +126,12 @@ def test_empty(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_in_a_large_group_of_unlike_texts_go(spark):
+    from tests.llm.test_minhash_dedup import crowd
+
+    rows, pairs = crowd()
+    docs = spark.createDataFrame([(d, " ".join(w), "aa", "x", 1) for d, w in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(r.doc_id for r in C.one_of_each(spark, docs, "").collect())
+    assert got == sorted(d for d, _ in rows if d % 2 == 0)
