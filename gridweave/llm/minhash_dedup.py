@@ -271,7 +271,9 @@ def _rest(entries: DataFrame, texts: DataFrame, threshold: float, share: int = S
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     shares = F.ceil(F.col("n") / share).cast("int")
-    own = entries.join(texts.select("node", "bits"), "node").withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    of = [c for c in ("node", "size") if c in texts.columns]  # texts of different sizes may have one id
+    held = texts.select(*of, "bits")
+    own = entries.join(held, of).withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "part", "bits")
     return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 

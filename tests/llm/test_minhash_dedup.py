@@ -136,3 +136,19 @@ def test_bitmaps_turn_no_near_copy_away(spark):
     for share in (7, 1000):  # in many cells or in one, each pair once
         got = [tuple(sorted((r.a, r.b))) for r in _rest(entries, held, 0.8, share).collect()]
         assert len(got) == len(set(got)) and set(got) == found
+
+
+def test_ids_of_several_texts_in_large_groups(spark):
+    """Of texts with one id each is compared by its own bitmap."""
+    rng = random.Random(1)
+    rows, pairs = crowd()
+    longer = [(2 * k, [*(f"d{n}" for n in range(900)), *(f"y{rng.randrange(10**9)}" for _ in range(130))]) for k in range(60)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows + longer], "doc_id long, text string").repartition(4)
+    shingled = [(d, labelled([x.encode() for x in w])) for d, w in rows + longer]
+    linked = {(c, d) for k, (c, a) in enumerate(shingled) for d, b in shingled[k + 1 :] if c != d and aligned(a, b, 0.8) >= 0.8}
+    assert len(linked) >= pairs
+    root = {d: d for d, _ in rows}
+    for _ in root:
+        for c, d in linked:
+            root[c] = root[d] = min(root[c], root[d])
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(df).collect()) == sorted((d, root[d]) for d, _ in rows + longer)
