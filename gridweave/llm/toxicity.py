@@ -44,6 +44,10 @@ from gridweave.llm.common import discard, give_back, held_out, materialise, tidy
 
 STEMS, BLOCK, NEIGHBOURS, SOFT, DENSE = (4, 5, 6), 64, 15, 0.05, 1024
 _WORD = re.compile(r"\w+")
+#: A blank for each ASCII byte that isn't in words.
+_SIGNS = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+#: For each place in a term and byte there.
+_RANDOM = np.random.default_rng(20250711).integers(0, 1 << 64, (64, 256), dtype=np.uint64)
 #: Parts of the examples in calibration, examples tried in it, and parts in which the sample comes to the driver.
 FOLDS, TRIED, SLICES = 4, 2000, 16
 #: Different texts that teach, at most, for each labelled id.
@@ -72,9 +76,23 @@ class Counts:
     times: np.ndarray
 
 
-def ids_of(names: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the texts of terms."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
+def ids_of(names: pa.Array | np.ndarray) -> np.ndarray:
+    """64-bit hashes of the texts of terms: sums of a random number for each byte at each place, of long ones another hash."""
+    names = pa.array(names, pa.large_string())
+    data = names.buffers()[2]
+    if data is None or not len(names):
+        return np.zeros(len(names), np.int64)
+    at = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, 8 * names.offset)
+    size = np.diff(at)
+    out, some = np.zeros(len(names), np.uint64), np.flatnonzero((size > 0) & (size <= len(_RANDOM)))
+    n, first = size[some], np.cumsum(size[some]) - size[some]
+    if len(some):
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        held = np.frombuffer(data, np.uint8)[place + np.repeat(at[some], n)]
+        out[some] = np.add.reduceat(_RANDOM.ravel()[(place << 8) + held], first)
+    for k in np.flatnonzero(size > len(_RANDOM)).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(names[k].as_py())
+    return out.view(np.int64)
 
 
 def places_in(known: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -85,35 +103,46 @@ def places_in(known: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(known[at] == ids, at, -1)
 
 
-def tally(texts: pa.Array) -> Counts:
-    """How often each term stands in each text."""
-    words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), r"[^\pL\pN_]+", " "))
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Blanks for all that isn't in words. What isn't ASCII is looked for by itself, as few texts have such signs."""
+    data = texts.buffers()[2]
+    if data is None:
+        return texts
+    plain = pa.Array.from_buffers(texts.type, len(texts), [None, texts.buffers()[1], pa.py_buffer(data.to_pybytes().translate(_SIGNS))], offset=texts.offset)
+    odd = pc.match_substring_regex(plain, r"[^\pL\pN_ ]")
+    return pc.replace_with_mask(plain, odd, pc.replace_substring_regex(plain.filter(odd), r"[^\pL\pN_]+", " ")) if pc.any(odd).as_py() else plain
+
+
+def _levels(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of words, and of their beginnings of each number of letters: ids of the terms; text, term and times of each pair of these, rising."""
+    words = pc.ascii_split_whitespace(_spaced(pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))))
     flat = words.flatten()
     real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
     text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy(zero_copy_only=False))[real]
     coded = flat.filter(pa.array(real)).dictionary_encode()
-    own = coded.dictionary
-    pair = np.sort(text * max(1, len(own)) + coded.indices.to_numpy(zero_copy_only=False))
-    new = np.flatnonzero(np.diff(pair, prepend=-1))
-    times = np.diff(new, append=len(pair))
-    text, word = np.divmod(pair[new], max(1, len(own)))
+    own, word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     letters = pc.utf8_length(own).to_numpy(zero_copy_only=False)
     dash, none = pa.scalar("-", pa.large_string()), pa.scalar("", pa.large_string())
-    stems = [pc.binary_join_element_wise(pc.utf8_slice_codeunits(own.filter(pa.array(letters > n)), 0, n), dash, none) for n in STEMS]
-    terms = pa.concat_arrays([own, *stems]).dictionary_encode()
-    names = ids_of(terms.dictionary.to_numpy(zero_copy_only=False))
-    owner = np.concatenate([np.arange(len(own)), *(np.flatnonzero(letters > n) for n in STEMS)])
-    by_word = np.argsort(owner, kind="stable")
-    of_word, per_word = terms.indices.to_numpy(zero_copy_only=False)[by_word], np.bincount(owner, minlength=len(own))
-    first, per = (np.cumsum(per_word) - per_word)[word], per_word[word]
-    at = of_word[np.repeat(first - np.cumsum(per) + per, per) + np.arange(per.sum())]
-    key = np.repeat(text, per) * max(1, len(names)) + at
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.flatnonzero(np.diff(key, prepend=-1))
-    total = np.add.reduceat(np.repeat(times, per)[order], new) if len(new) else new
-    text, term = np.divmod(key[new], max(1, len(names)))
-    return Counts(len(texts), names, text, term, total)
+    for n in (0, *STEMS):
+        names, at, row = own, word, text
+        if n:
+            long = letters > n
+            coded = pc.binary_join_element_wise(pc.utf8_slice_codeunits(own.filter(pa.array(long)), 0, n), dash, none).dictionary_encode()
+            of_word = np.full(len(own), -1)
+            of_word[long] = coded.indices.to_numpy(zero_copy_only=False)
+            at = of_word[word]
+            names, at, row = coded.dictionary, at[at >= 0], text[at >= 0]
+        pair = np.sort(row * max(1, len(names)) + at)
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        yield ids_of(names), *np.divmod(pair[new], max(1, len(names))), np.diff(new, append=len(pair))
+
+
+def tally(texts: pa.Array) -> Counts:
+    """How often each term stands in each text."""
+    names, text, term, times = zip(*_levels(texts))
+    text, term = np.concatenate(text), np.concatenate([t + n for t, n in zip(term, np.cumsum([0, *map(len, names)]))])
+    order = np.argsort(text.astype(np.uint16) if len(texts) < 1 << 16 else text, kind="stable")
+    return Counts(len(texts), np.concatenate(names), text[order], term[order], np.concatenate(times)[order])
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -161,7 +190,9 @@ class Index:
                 ends = np.cumsum(per)
                 rows = np.repeat(own - ends + per, per)
                 rows += np.arange(len(rows))
-                scores[k] = np.bincount(self.places[rows], self.values[rows] * np.repeat(w[lo:hi], per), width)
+                gain = np.repeat(w[lo:hi], per)
+                gain *= self.values.take(rows, mode="clip")  # no row is out of bounds, and so none is checked
+                scores[k] = np.bincount(self.places.take(rows, mode="clip"), gain, width)
         return scores
 
     def nearest_of(self, size: int, text: np.ndarray, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -368,9 +399,9 @@ def _document_counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarra
         found, size = np.zeros(len(own) + 1, np.int64), 0
         for batch in batches:
             for _, texts in _groups(batch.column(0)):
-                c = tally(texts)
-                place, n = places_in(own, c.ids), np.bincount(c.term, minlength=len(c.ids))
-                np.add.at(found, place[place >= 0], n[place >= 0])
+                for names, _, term, _ in _levels(texts):
+                    place, n = places_in(own, names), np.bincount(term, minlength=len(names))
+                    np.add.at(found, place[place >= 0], n[place >= 0])
                 size += len(texts)
         found[-1] = size
         at = np.flatnonzero(found)

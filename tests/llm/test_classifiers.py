@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridweave.llm import language_id as L
@@ -170,3 +171,17 @@ def test_language_learns_from_any_run(spark):
     assert {"=vexulo", "=ka", "=schü"} <= set(model.at)
     few = L.train(docs, max_runs=2)
     assert len(few.at) < len(model.at)
+
+
+def test_tally_with_signs_of_all_kinds():
+    """Signs within and beyond ASCII part words, in texts that are slices too."""
+    texts = [None, "", "plain_text's end", "«Größe» – naïve—café…", "a\x00b\x7fc\tdé", "x" * 70 + "! " + "x" * 71, " 　ÉCOLE école", "数据 data№5 ½"]
+    held_ = pa.array(["dropped, too", *texts], pa.string()).slice(1)
+    got = T.tally(held_)
+    found = {(k, int(i)): int(n) for k, i, n in zip(got.text, got.ids[got.term], got.times)}
+    want = {}
+    for k, t in enumerate(texts):
+        for term in T.terms_of(t or ""):
+            key = k, int(T.ids_of(np.array([term], object))[0])
+            want[key] = want.get(key, 0) + 1
+    assert found == want and (np.diff(got.text) >= 0).all()
