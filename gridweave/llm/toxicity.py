@@ -54,6 +54,8 @@ FOLDS, TRIED, SLICES = 4, 2000, 16
 MOST_ROWS = 4
 #: Texts, and bytes of text, whose terms are counted at once, and texts whose scores are held at once.
 _GROUP, _STEP, _AT_ONCE = 256, 3 << 18, 64
+#: Terms of examples that are put in an index at a time.
+_TERMS = 1 << 18
 
 
 def terms_of(text: str) -> tuple[str, ...]:
@@ -297,7 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
         parts.append((rows["id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int8), size, pc.list_flatten(lists[0]).to_numpy(zero_copy_only=False), np.log(pc.list_flatten(lists[1]).to_numpy(zero_copy_only=False)).astype(np.float32)))
         del rows, lists
     discard(counted)
-    ids, toxic, per, term, gain = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    ids, toxic, per, gain = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 4))
+    terms = [p[3] for p in parts]
     del parts
     gain += 1
     size, positive = len(ids), int(toxic.sum())
@@ -305,9 +308,12 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 8000) -> Index
     if not 0 < positive < size:
         none = np.empty(0, np.int64)
         return Index(none, none, np.empty(0), none, np.empty(0), np.empty((0, 0, BLOCK)), np.empty((0, 0)), float(rate))
-    known = np.unique(term)
-    at = np.searchsorted(known, term).astype(np.int32)
+    known = np.unique(np.concatenate([*map(np.unique, terms)]))
+    for k, term in enumerate(terms):  # one after another, so that places come where ids go
+        terms[k] = np.searchsorted(known, term).astype(np.int32)
     del term
+    at = np.concatenate(terms)
+    del terms
     give_back()  # the driver's memory is small, and the next step runs on all documents
     every, common_to = _document_counts(docs, known)
     base = np.log((1 + every) / (1 + common_to)) + 1
@@ -360,34 +366,58 @@ class Examples:
 def build(rows: Examples, chosen: np.ndarray, known: np.ndarray, base: np.ndarray, every: int) -> Index:
     """The index of some of the examples; labels of others have no part in it. ``base`` is the idf of the terms in ``known``."""
     size, toxic, per, ids = len(chosen), rows.toxic[chosen], rows.per[chosen], rows.ids[chosen]
-    positive = toxic.sum()
-    held = np.repeat(rows.start[chosen] - np.cumsum(per) + per, per) + np.arange(per.sum())
-    at, row = rows.at[held], np.repeat(np.arange(size, dtype=np.int32), per)
-    have, bad = np.bincount(at, minlength=len(known)).astype(float), np.bincount(at, toxic[row], len(known))
+    positive, ends = toxic.sum(), np.cumsum(per)
+    at, w = np.empty(per.sum(), np.int32), np.empty(per.sum(), np.float32)
+    have, bad = np.zeros(len(known)), np.zeros(len(known))
+    for own, row in _pieces(per):
+        held = np.arange(own.start, own.stop) + (rows.start[chosen] - ends + per)[row]
+        at[own], w[own] = rows.at[held], rows.gain[held]
+        have += np.bincount(at[own], minlength=len(known))
+        bad += np.bincount(at[own], toxic[row], len(known))
     order = np.lexsort((known, -have))[: int((have > 0).sum())]
     codes = np.full(len(known), -1, np.int32)
     codes[order] = np.arange(len(order))
-    have, bad, at = have[order], bad[order], codes[at]
+    have, bad = have[order], bad[order]
     chi2 = size * (bad * (size - positive) - (have - bad) * positive) ** 2 / np.maximum(have * (size - have) * positive * (size - positive), 1)
     idf = base[order] * (1 + np.sqrt(np.where(have < size, chi2, 0)))
-    w = rows.gain[held] * idf[at].astype(np.float32)
-    del held
-    w /= np.sqrt(np.bincount(row, w.astype(float) ** 2, size)).astype(np.float32)[row]
+    for own, row in _pieces(per):
+        at[own] = codes[at[own]]
+        w[own] *= idf[at[own]].astype(np.float32)
+        w[own] /= np.sqrt(np.bincount(row - row[0], w[own].astype(float) ** 2)).astype(np.float32)[row - row[0]]
     # examples whose heaviest terms are the same share blocks
-    some, ends = np.flatnonzero(per), np.cumsum(per)
+    some = np.flatnonzero(per)
     heavy = {int(r): tuple(at[lo:hi][np.lexsort((at[lo:hi], -w[lo:hi]))[:3]].tolist()) for r, lo, hi in zip(some, (ends - per)[some], ends[some])}
     some = np.array(sorted(heavy, key=lambda r: (heavy[r], r)), np.int64)
+    del heavy
     place = np.full(size, -1, np.int32)
     place[some] = np.arange(len(some))
-    place, common, blocks = place[row], min(DENSE, len(order)), max(1, -(-len(some) // BLOCK))
+    common, blocks = min(DENSE, len(order)), max(1, -(-len(some) // BLOCK))
     weights = np.zeros((blocks, common, BLOCK), np.float32)
-    often = at < common
-    weights[place[often] // BLOCK, at[often], place[often] % BLOCK] = w[often]
-    rest = np.flatnonzero(~often)
-    rest = rest[np.argsort(at[rest], kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(at[rest] - common, minlength=len(order) - common))]).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(have[common:])]).astype(np.int64)
+    places, values, free = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.float32), starts[:-1].copy()
+    for own, row in _pieces(per):
+        term, gain, where = at[own], w[own], place[row]
+        often = term < common
+        weights[where[often] // BLOCK, term[often], where[often] % BLOCK] = gain[often]
+        rest = np.flatnonzero(~often)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        code, first, n = np.unique(term[rest] - common, return_index=True, return_counts=True)
+        to = np.arange(len(rest)) + np.repeat(free[code] - first, n)
+        places[to], values[to] = where[rest], gain[rest]
+        free[code] += n
     bare, rate = per == 0, positive / size
-    return Index(known, codes, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + every) + 1, starts, place[rest], w[rest])
+    return Index(known, codes, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + every) + 1, starts, places, values)
+
+
+def _pieces(per: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Terms of consecutive examples, about ``_TERMS`` at a time so that what is worked out for them stays small, and the example of each."""
+    ends, lo = np.cumsum(per), 0
+    while lo < len(per):
+        begin = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + _TERMS, "right")))
+        if ends[hi - 1] > begin:
+            yield slice(begin, int(ends[hi - 1])), np.repeat(np.arange(lo, hi), per[lo:hi])
+        lo = hi
 
 
 def _document_counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:

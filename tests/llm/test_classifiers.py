@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -185,3 +186,16 @@ def test_tally_with_signs_of_all_kinds():
             key = k, int(T.ids_of(np.array([term], object))[0])
             want[key] = want.get(key, 0) + 1
     assert found == want and (np.diff(got.text) >= 0).all()
+
+
+def test_index_is_built_in_little_memory():
+    """What is worked out while examples are put in an index takes little more than the index does."""
+    rng = np.random.default_rng(3)
+    size, terms, per = 4000, 60_000, 400
+    at = np.concatenate([rng.choice(terms, per, False) for _ in range(size)]).astype(np.int32)
+    rows = T.Examples(np.arange(size), (rng.random(size) < 0.1).astype(float), np.arange(size) * per, np.full(size, per), at, np.ones(len(at), np.float32))
+    tracemalloc.start()
+    index = T.build(rows, np.arange(size), np.arange(terms), np.ones(terms), size)
+    held_, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 2.2 * held_ and len(index.places) == len(index.values) == index.starts[-1]
