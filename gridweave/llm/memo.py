@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BLANK = re.compile(r"\s")
+#: What str.isspace() calls blank, for Arrow.
+_BLANK = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 #: Cuts before a certain blank that follows what is certainly visible.
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 #: At most one break, letters that both vocabularies' patterns keep together, with a space before them or not, and signs, which they keep apart from these.
@@ -34,9 +36,9 @@ class Memo:
     def get_all(self, keys: list[str]) -> list[bytes | None]:
         found = [*map(self.new.get, keys)]
         if self.old and None in found:
-            get = self.old.get
-            for i in [i for i, value in enumerate(found) if value is None]:
-                if (value := get(keys[i])) is not None:
+            away = [i for i, value in enumerate(found) if value is None]
+            for i, value in zip(away, map(self.old.get, map(keys.__getitem__, away))):
+                if value is not None:
                     found[i] = self.new[keys[i]] = value
         return found
 
@@ -111,9 +113,11 @@ class ChunkEncoder:
         for part, letters in [*zip(found, (False, True, False))][0 if self.lead else 1 :]:
             coded = part.dictionary_encode()
             names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            if names == [""]:
+                continue
             ids = dict(zip(some := [n for n in names if n], self._look(some, letters)))
             parts.append(np.array([ids.get(n, b"") for n in names], object)[coded.indices.to_numpy(zero_copy_only=False)].tolist())
-        for i, ids in zip(np.flatnonzero(simple).tolist(), map(b"".join, zip(*parts))):
+        for i, ids in zip(np.flatnonzero(simple).tolist(), map(b"".join, zip(*parts)) if len(parts) > 1 else chain(*parts)):
             out[i] = ids
         return out
 
@@ -125,8 +129,8 @@ class ChunkEncoder:
         coded = lists.flatten().dictionary_encode()
         index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.words.get_all(words)
-        fresh = [i for i, ids in enumerate(known) if ids is None]
-        odd = [i for i in fresh if not words[i] or _BLANK.search(words[i])]
+        blank = pc.or_(pc.equal(coded.dictionary, ""), pc.match_substring_regex(coded.dictionary, _BLANK)).to_numpy(zero_copy_only=False)
+        odd = [i for i in np.flatnonzero(blank).tolist() if known[i] is None]
         first = offsets[:-1]
         runs = [i for i in odd if not words[i] or words[i][-1].isspace()]  # a run of blanks belongs together
         whole = np.zeros(len(texts), bool)
@@ -140,8 +144,7 @@ class ChunkEncoder:
         for row in range(len(texts)):
             text = texts[row].as_py() if whole[row] else words[index[first[row]]]
             alone.append(_CUT.split(text) if text else [])
-        odd_set = set(odd)
-        plain = [i for i in fresh if i not in odd_set]
+        plain = [i for i, (ids, parted) in enumerate(zip(known, blank.tolist())) if ids is None and not parted]
         rest = list({c for cs in (*cuts.values(), *alone) for c in cs})
         found = self._resolve([*(self.lead + words[i] for i in plain), *rest])
         for i, ids in zip(plain, found):

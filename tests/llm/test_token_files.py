@@ -4,6 +4,8 @@ from array import array
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -220,3 +222,10 @@ def test_words_encoded_together_have_their_own_ids():
         assert encoder.encode_words is not encoder.encode_many
         assert encoder.encode_words(chunks) == encoder.encode_many(chunks)
         assert encoder.encode_words([]) == []
+
+
+def test_blanks_are_those_of_python():
+    from gridweave.llm.memo import _BLANK
+
+    signs = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    assert pc.match_substring_regex(pa.array(signs), _BLANK).to_pylist() == [c.isspace() for c in signs]
