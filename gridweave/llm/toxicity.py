@@ -463,7 +463,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                 columns = [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()), pa.array([own.ids[f[1]].tolist() if len(f[1]) else [] for f in found], pa.list_(pa.int64())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))]
                 part = batch.slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added])
-            found = columns = part = None
+            found = columns = part = texts = batch = None
             give_back()  # what the texts of one batch took isn't kept beside the next
 
     return docs.mapInArrow(tidy(run), f"{fields}, score double, predicted int, neighbours array<bigint>, cosines array<double>")

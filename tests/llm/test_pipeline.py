@@ -46,6 +46,34 @@ def tables(spark, tmp_path_factory):
     return str(top)
 
 
+def test_batches_are_short(spark, tables):
+    """Workers get a bounded number of rows at a time, and a number of the session's own stays."""
+    from gridweave.llm.common import BATCH, BATCH_ROWS
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").drop("text").limit(1)
+    most = lambda: max(r.n for r in spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long").collect())
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield from (pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"]) for b in batches)
+
+    before = spark.conf.get(BATCH, None)
+    try:
+        spark.conf.unset(BATCH)
+        for _, stage in C.STAGES:
+            spark.conf.unset(BATCH)
+            with pytest.raises(Exception, match="text"):  # no stage does without texts
+                stage(spark, docs, tables)
+            assert most() == BATCH_ROWS
+        spark.conf.set(BATCH, "700")
+        with pytest.raises(Exception, match="text"):
+            C.not_toxic(spark, docs, tables)
+        assert most() == 700
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
 def without_repeats(rows):
     """Rows after every word in a 50-word window that a document of lower id has too is gone."""
     first, out = {}, []
