@@ -37,6 +37,8 @@ BLOCK_IDS = 1 << 18
 RANK_BITS = 512
 #: Words that the library encodes as one text.
 TOGETHER = 256
+#: Words that ``write_tokens`` remembers, also from task to task; it bounds memory, never results.
+REMEMBERED = 1_200_000
 _LENGTH = struct.Struct("<I")
 FILE_SCHEMA = "shard int, place bigint, first_doc bigint, last_doc bigint, doc_ids array<bigint>, starts array<int>, n_ids int, codes binary"
 
@@ -102,8 +104,8 @@ _LOADED: dict[str, ChunkEncoder] = {}
 HELD.append(_LOADED)
 
 
-def library_encoder(vocabulary: str, blank_matters: bool) -> ChunkEncoder:
-    """The tokenizers library behind the memo; one per Python worker and file."""
+def library_encoder(vocabulary: str, blank_matters: bool, limit: int = 400_000) -> ChunkEncoder:
+    """The tokenizers library behind the memo of ``limit`` words; one per Python worker and file."""
     if vocabulary not in _LOADED:
         # a task has one core; threads that wait for words this short cost more than they do
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -140,6 +142,8 @@ def library_encoder(vocabulary: str, blank_matters: bool) -> ChunkEncoder:
             return [*map(found.__getitem__, chunks)]
 
         _LOADED[vocabulary] = ChunkEncoder(many, blank_matters=blank_matters, encode_words=words)
+    for memo in _LOADED[vocabulary].memos:
+        memo.limit = limit
     return _LOADED[vocabulary]
 
 
@@ -149,7 +153,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     One range shuffle of the texts; they are encoded after it, since ids take more room than text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, place = library_encoder(vocabulary, True), TaskContext.get().partitionId(), 0
+        encoder, shard, place = library_encoder(vocabulary, True, REMEMBERED), TaskContext.get().partitionId(), 0
         names: list = []
         parts: list[np.ndarray] = []
         size = 0
@@ -175,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
 
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("nth", F.xxhash64("text"))
     ordered = own.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth").select("doc_id", "text")
-    ordered.mapInArrow(halved(run, lambda: library_encoder(vocabulary, True).memos), FILE_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(halved(run, lambda: []), FILE_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int:

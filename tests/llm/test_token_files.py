@@ -229,3 +229,19 @@ def test_blanks_are_those_of_python():
 
     signs = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
     assert pc.match_substring_regex(pa.array(signs), _BLANK).to_pylist() == [c.isspace() for c in signs]
+
+
+def test_words_are_remembered():
+    """What was encoded once isn't encoded again, be it 250,000 words, and the ids stay the same."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(250_000)]
+    texts = ["x " + " ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+    vocabulary = P.path("byte_bpe_50k.json")
+    T._LOADED.clear()
+    try:
+        large = T.library_encoder(vocabulary, True, T.REMEMBERED)
+        first = large.encode(texts, 2)
+        encoded, large.encode_words = [], lambda chunks, old=large.encode_words: encoded.extend(chunks) or old(chunks)
+        assert large.encode(texts, 2) == first and not encoded
+    finally:
+        T._LOADED.clear()
