@@ -6,7 +6,7 @@ maximising the conditional likelihood of the training words' languages (forward-
 A text's words are labelled by forward-backward as well, so a foreign passage inside a text is seen as such; the text's
 language is the one with the greatest expected number of words, and the score is its share.
 
-Texts of like length run side by side, one step for each place, so the work is in numpy whatever the lengths;
+Texts run side by side in blocks of ``_BLOCK`` words, one step for each place in a block, so the work is in numpy whatever the lengths;
 at most ``_STEP`` characters are held as words at a time, or one text.
 Training takes at most ``max_runs`` runs of words, chosen by hash so that rare languages get more than their share. Every
 text of a known language is cut into runs of about ``RUN`` bytes (one for each ``RUN`` bytes begun, equal in words), and all
@@ -28,7 +28,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -163,44 +164,159 @@ def train(docs: DataFrame, max_runs: int = 1500, steps: int = 40) -> Model:
     return model
 
 
+#: Words that a block of a text has, and places after which products of such blocks are scaled anew.
+_BLOCK, _SCALE = 64, 8
+
+
+def _marginals(table: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, model_moves: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """``_forward_backward`` of the logarithms of ``table[numbers]``, with blocks of all texts side by side, so that no step is for one place of one long text.
+
+    The product of a block's moves and evidence carries what is known before it to its end and what is known after it to its
+    beginning; from these, places inside of all blocks follow at once.
+    """
+    k, move, first = table.shape[1], np.exp(model_moves), np.exp(prior)
+    per = -(-lengths // _BLOCK)
+    number = np.cumsum(per) - per  # of a text's first block
+    text = np.repeat(np.arange(len(lengths)), per)
+    before = (np.arange(len(text)) - number[text]) * _BLOCK
+    size = np.minimum(lengths[text] - before, _BLOCK)
+    order = np.argsort(-size, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    start, size = ((np.cumsum(lengths) - lengths)[text] + before)[order], size[order]
+    alive = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")
+    ends = np.cumsum(alive).tolist()
+    steps = [slice(end - n, end) for n, end in zip(alive.tolist(), ends)]
+    at = np.concatenate([start[:n] + t for t, n in enumerate(alive)] or [start])
+    likely = np.ascontiguousarray(table[numbers[at]].T)  # by place in a block; a row for each language
+    begin, end = np.empty((k, len(order))), np.ones((k, len(order)))
+    begin[:] = first[:, None]
+    by_blocks = np.argsort(-per, kind="stable")
+    going = np.searchsorted(-per[by_blocks], -np.arange(1, int(per.max(initial=0)) + 1), "right")
+    if len(going) > 1:
+        product = np.eye(k)[:, :, None] * likely[:, : len(order)]
+        for t, (n, own) in enumerate(zip(alive.tolist(), steps)):
+            if t:
+                product[:, :, :n] = np.matmul(move.T, product[:, :, :n]) * likely[:, own]
+            if t % _SCALE == _SCALE - 1:
+                product[:, :, :n] /= product[:, :, :n].max((0, 1))
+        for s, n in enumerate(going[1:].tolist()):
+            b = place[number[by_blocks[:n]] + s]
+            x = move.T @ np.einsum("in,ijn->jn", begin[:, b], product[:, :, b])
+            begin[:, place[number[by_blocks[:n]] + s + 1]] = x / x.sum(0)
+        for s in range(len(going) - 1, 0, -1):
+            b = place[number[by_blocks[: going[s]]] + s]
+            x = move @ np.einsum("ijn,jn->in", product[:, :, b], end[:, b])
+            end[:, place[number[by_blocks[: going[s]]] + s - 1]] = x / x.sum(0)
+        del product
+    alpha, x = np.empty_like(likely), begin
+    for n, own in zip(alive.tolist(), steps):
+        a = likely[:, own] * x[:, :n]
+        a /= a.sum(0)
+        alpha[:, own] = a
+        x = move.T @ a
+    for n, own in zip(alive[::-1].tolist(), steps[::-1]):
+        b = end[:, :n]
+        g = alpha[:, own] * b
+        g /= g.sum(0)
+        alpha[:, own] = g
+        b = move @ (likely[:, own] * b)
+        end[:, :n] = b / b.sum(0)
+    gamma = np.empty((len(at), k))
+    gamma[at] = alpha.T
+    return gamma
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Of each code point: whether it is a letter."""
+    out = np.zeros(0x110000, bool)
+    out[[*map(ord, _LETTER.findall("".join(map(chr, range(0x110000)))))]] = True
+    return out
+
+
+#: Above all code points, so that three of them make one number.
+_BASE = 0x110000
+
+
+def _key(feature: str) -> int:
+    """A number for the beginning, end or trigram ``feature``: of its letters, and of which of the two it is if it has four signs."""
+    kind = 0 if len(feature) < 4 else 1 if feature[0] == "^" else 2
+    out = kind
+    for c in (feature if not kind else feature[1:] if kind == 1 else feature[:-1]).rjust(3, "\0"):
+        out = out * _BASE + ord(c)
+    return out
+
+
 class Tagger:
-    """Marginals for batches of texts; the evidence of each word is computed once."""
+    """Marginals for batches of texts; the evidence of each word is computed once, of all new words at once."""
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, {"": 0}
-        self.rows = [np.zeros((1, len(model.languages)))]
+        self.model = model
+        k = len(model.languages)
+        # the last row is for features that weren't learned, the last column counts those that were
+        self.weights = np.concatenate([np.concatenate([model.weights, np.zeros((1, k))]), np.ones((len(model.weights) + 1, 1))], 1)
+        self.weights[-1] = 0
+        self.words = {f[1:]: i for f, i in model.at.items() if f[0] == "="}
+        coded = sorted((_key(f), i) for f, i in model.at.items() if f[0] != "=")
+        self.keys = np.array([c for c, _ in coded] + [np.iinfo(np.int64).max], np.int64)
+        self.places = np.array([i for _, i in coded] + [len(model.weights)], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo, self.size = {"": 0}, 1
+        self.rows = [np.ones((1, len(self.model.languages)))]  # likelihoods, the greatest of each row 1
         self.parts = [np.full(1, np.nan)]  # what part of the features of each row was learned
-        self.weights = np.concatenate([model.weights, self.rows[0]])  # the last is for features that weren't learned
-        self.size = 1
+
+    def _sums(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return self.weights[np.where(self.keys[at] == keys, self.places[at], len(self.weights) - 1)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Rows for new words: the sums over ``features`` of each."""
+        codes = np.frombuffer("\n".join([*fresh, ""]).lower().encode("utf-32-le"), "<u4")
+        cores = codes[_letters()[codes] | (codes == 10)].tobytes().decode("utf-32-le")
+        names = cores.split("\n")[:-1]
+        signs = np.frombuffer(("^" + cores.replace("\n", "$^")).encode("utf-32-le"), "<u4").astype(np.int64)[:-1]
+        n = np.fromiter(map(len, names), np.int64, len(names))
+        some = np.flatnonzero(n)
+        self.memo.update(dict.fromkeys(map(fresh.__getitem__, np.flatnonzero(n == 0).tolist()), 0))
+        if not len(some):
+            return
+        first, n = (np.cumsum(n + 2) - n - 2)[some], n[some]
+        last = first + n + 1
+        three = (signs[:-2] * _BASE + signs[1:-1]) * _BASE + signs[2:]
+        inner = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sums = np.add.reduceat(self._sums(three[inner]), np.cumsum(n) - n)
+        sums += self.weights[np.fromiter(map(self.words.get, map(names.__getitem__, some.tolist()), repeat(len(self.weights) - 1)), np.int64, len(some))]
+        for kind, two, end, inside in ((1, first, first, first + 1), (2, last - 1, last - 2, last - 3)):
+            pair = signs[two] * _BASE + signs[two + 1]
+            triple = np.where(n > 1, three[end], pair)
+            for keys in (pair, triple, np.where(n > 2, kind * _BASE**3 + three[np.clip(inside, 0, len(three) - 1)], triple)):
+                sums += self._sums(keys)
+        self.parts.append(sums[:, -1] / (n + 7))
+        likely = sums[:, :-1]
+        self.rows.append(np.exp(likely - likely.max(1, keepdims=True)))
+        self.memo.update(zip(map(fresh.__getitem__, some.tolist()), range(self.size, self.size + len(some))))
+        self.size += len(some)
 
     def evidence(self, words: list[str]) -> np.ndarray:
-        """Row numbers into ``table`` for the words; 0 for those without evidence."""
-        memo = self.memo
-        fresh = list(set(words).difference(memo))
+        """Row numbers into ``rows`` for the words; 0 for those without evidence."""
+        fresh = list(set(words).difference(self.memo))
         if fresh:
-            cores = [*map(core, fresh)]
-            wanted = list(set(cores).difference(memo))
-            found = [*map(features, wanted)]
-            flat = np.fromiter(map(self.model.at.get, chain.from_iterable(found), repeat(len(self.weights) - 1)), np.int64)
-            owner = np.repeat(np.arange(len(wanted)), np.array([*map(len, found)], np.int64))
-            learned = np.bincount(owner, flat < len(self.weights) - 1, len(wanted))
-            self.parts.append(learned / np.bincount(owner, minlength=len(wanted)))
-            self.rows.append(np.stack([np.bincount(owner, self.weights[flat, c], len(wanted)) for c in range(len(self.model.languages))], 1))
-            memo.update(zip(wanted, range(self.size, self.size + len(wanted))))
-            memo.update(zip(fresh, map(memo.__getitem__, cores)))
-            self.size += len(wanted)
+            self._learn(fresh)
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def tag(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray, float]]:
         """All words of each text, their marginals, and what part of their features is known; marginals of words without a letter follow from the words beside them."""
         if len(self.memo) > _MEMO_LIMIT:
-            self.__init__(self.model)
+            self.forget()
         split = [(t or "").split() for t in texts]
         numbers = self.evidence([w for ws in split for w in ws])
         if len(self.rows) > 1:
             self.rows, self.parts = [np.concatenate(self.rows)], [np.concatenate(self.parts)]
         lengths = np.array([len(ws) for ws in split], np.int64)
-        gamma = _forward_backward(self.rows[0][numbers], lengths, self.model.moves, self.model.prior)
+        gamma = _marginals(self.rows[0], numbers, lengths, self.model.moves, self.model.prior)
         ends = np.cumsum(lengths)
         parts = self.parts[0][numbers]
         worded, owner = ~np.isnan(parts), np.repeat(np.arange(len(split)), lengths)

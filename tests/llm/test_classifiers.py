@@ -92,6 +92,36 @@ def test_forward_backward():
     assert np.allclose(counts, pairs) and np.isclose(z, total)
 
 
+def test_language_works_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    letters = "aéσß中𐐀"
+    cores = ["".join(rng.choice(list(letters), n)) for n in (1, 2, 3, 4, 5, 9, 30) for _ in range(8)]
+    at = {f: i for i, f in enumerate(sorted({f for w in cores[::2] for f in L.features(w)}))}
+    model = L.Model(["aa", "bb", "cc"], at, rng.standard_normal((len(at), 3)) * 2, rng.standard_normal((3, 3)), rng.standard_normal(3))
+    words = [*cores, "ΑΣ", "İa", "a1É,", "A", "12", "xͅΣ", "don't"]
+    counts = [0, 1, 2, L._BLOCK, L._BLOCK + 1, 3 * L._BLOCK, 1000, 0, 7]
+    texts = [" ".join(rng.choice(words, n)) for n in counts]
+    emit, parts = [], []
+    for w in " ".join(texts).split():
+        found = [f for f in L.features(w)]
+        emit.append(sum((model.weights[at[f]] for f in found if f in at), np.zeros(3)))
+        parts.append(np.mean([f in at for f in found]) if found else np.nan)
+    wanted = L._forward_backward(np.array(emit), np.array(counts), model.moves, model.prior)
+
+    def one_by_one(*_):
+        raise AssertionError("a step for each word or for each place of a text")
+
+    monkeypatch.setattr(L, "features", one_by_one)
+    monkeypatch.setattr(L, "_forward_backward", one_by_one)
+    got = L.Tagger(model).tag(texts)
+    assert np.allclose(np.concatenate([g for _, g, _ in got]), wanted, atol=1e-12)
+    ends = np.cumsum(counts)
+    for n, end, (_, _, part) in zip(counts, ends, got):
+        own = np.array(parts[end - n : end])
+        assert np.isclose(part, np.nanmean(own) if (~np.isnan(own)).any() else 0)
+    assert L.Tagger(model).tag([]) == [] and [len(g) for _, g, _ in L.Tagger(model).tag(["", None])] == [0, 0]
+
+
 def test_language(spark):
     rows, _ = corpus(300, 6)
     odd = [(10**6, None, "aa"), (10**6 + 1, "", None), (10**6 + 2, "12 !? 7", "bb"), (10**6 + 3, "ka " * 30000, None), (None, "ng ng", None)]
