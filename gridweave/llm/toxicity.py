@@ -46,6 +46,8 @@ STEMS, BLOCK, NEIGHBOURS, SOFT, DENSE = (4, 5, 6), 64, 15, 0.05, 1024
 _WORD = re.compile(r"\w+")
 #: A blank for each ASCII byte that isn't in words.
 _SIGNS = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+#: Blocks that are scored first, besides those that k neighbours fill.
+FIRST = 8
 #: For each place in a term and byte there.
 _RANDOM = np.random.default_rng(20250711).integers(0, 1 << 64, (64, 256), dtype=np.uint64)
 #: Parts of the examples in calibration, examples tried in it, and parts in which the sample comes to the driver.
@@ -171,11 +173,18 @@ class Index:
     without: float
     unseen: float = 1.0
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of the other terms
-    places: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    values: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+    postings: np.ndarray = field(default_factory=lambda: np.empty((0, 2), np.int32))  # place, and bits of the weight there
     slope: float = 1.0
     shift: float = 0.0
 
+    @property
+    def places(self) -> np.ndarray:
+        return self.postings[:, 0]
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.postings.view(np.float32)[:, 1]
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest of a text with terms ``at`` and weights ``w``, exactly; ``but`` is left out."""
         return self.nearest_of(1, np.zeros(len(at), np.int64), at, w, k, [but])[0]
@@ -184,17 +193,16 @@ class Index:
         """Sums over the terms that aren't held as matrices: a row for each text, a column for each place."""
         width = self.weights.shape[0] * self.weights.shape[2]
         scores = np.zeros((size, width), self.weights.dtype)
-        starts, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        cuts = np.searchsorted(text, np.arange(size + 1))
+        first, last = self.starts[at], self.starts[at + 1]
+        cuts, n = np.searchsorted(text, np.arange(size + 1)).tolist(), last - first
+        held, per = memoryview(self.postings).cast("B") if len(self.postings) else b"", self.postings.itemsize * 2
+        runs = [*map(slice, (first * per).tolist(), (last * per).tolist())]  # a term's postings lie together and are copied as one
         for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):  # one text's rows stay in the processor's cache
             if lo < hi:
-                own, per = starts[lo:hi], n[lo:hi]
-                ends = np.cumsum(per)
-                rows = np.repeat(own - ends + per, per)
-                rows += np.arange(len(rows))
-                gain = np.repeat(w[lo:hi], per)
-                gain *= self.values.take(rows, mode="clip")  # no row is out of bounds, and so none is checked
-                scores[k] = np.bincount(self.places.take(rows, mode="clip"), gain, width)
+                own = np.frombuffer(b"".join([*map(held.__getitem__, runs[lo:hi])]), np.int32)
+                gain = np.repeat(w[lo:hi], n[lo:hi])
+                gain *= own.view(np.float32)[1::2]
+                scores[k] = np.bincount(own[::2], gain, width)
         return scores
 
     def nearest_of(self, size: int, text: np.ndarray, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -213,7 +221,7 @@ class Index:
                 scores[own, b] += q[own] @ self.weights[b]
             done[wanted] = True
 
-        best = np.argsort(-bounds, 1, "stable")[:, : 1 + -(-k // width)]
+        best = np.argsort(-bounds, 1, "stable")[:, : FIRST + -(-k // width)]
         first = np.zeros(bounds.shape, bool)
         np.put_along_axis(first, best, True, 1)
         complete(first & (bounds > 0))
@@ -394,7 +402,8 @@ def build(rows: Examples, chosen: np.ndarray, known: np.ndarray, base: np.ndarra
     common, blocks = min(DENSE, len(order)), max(1, -(-len(some) // BLOCK))
     weights = np.zeros((blocks, common, BLOCK), np.float32)
     starts = np.concatenate([[0], np.cumsum(have[common:])]).astype(np.int64)
-    places, values, free = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.float32), starts[:-1].copy()
+    postings, free = np.empty((starts[-1], 2), np.int32), starts[:-1].copy()
+    places, values = postings[:, 0], postings.view(np.float32)[:, 1]
     for own, row in _pieces(per):
         term, gain, where = at[own], w[own], place[row]
         often = term < common
@@ -406,7 +415,7 @@ def build(rows: Examples, chosen: np.ndarray, known: np.ndarray, base: np.ndarra
         places[to], values[to] = where[rest], gain[rest]
         free[code] += n
     bare, rate = per == 0, positive / size
-    return Index(known, codes, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + every) + 1, starts, places, values)
+    return Index(known, codes, idf, ids[some], toxic[some], weights, weights.max(2), float((toxic[bare].sum() + rate) / (bare.sum() + 1)), math.log(1 + every) + 1, starts, postings)
 
 
 def _pieces(per: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:

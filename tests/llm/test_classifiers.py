@@ -229,3 +229,20 @@ def test_index_is_built_in_little_memory():
     held_, most = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert most < 2.2 * held_ and len(index.places) == len(index.values) == index.starts[-1]
+
+
+def test_postings_of_a_term_lie_together():
+    """Place and weight of a posting are neighbours, so a term's postings are one run of bytes; sums are those of single postings."""
+    rng = np.random.default_rng(8)
+    size, terms, per = 300, 3000, 60
+    at = np.concatenate([rng.choice(terms, per, False) for _ in range(size)]).astype(np.int32)
+    rows = T.Examples(np.arange(size), (rng.random(size) < 0.3).astype(float), np.arange(size) * per, np.full(size, per), at, np.ones(len(at), np.float32))
+    index = T.build(rows, np.arange(size), np.arange(terms), np.ones(terms), size)
+    assert np.may_share_memory(index.places, index.values) and len(index.places) == index.starts[-1] > 0
+    text, asked = np.repeat([0, 2], 40), rng.integers(0, len(index.starts) - 1, 80)
+    w = rng.random(80).astype(np.float32)
+    want = np.zeros((3, index.weights.shape[0] * index.weights.shape[2]))
+    for k, a, x in zip(text, asked, w):
+        for i in range(index.starts[a], index.starts[a + 1]):
+            want[k, index.places[i]] += x * index.values[i]
+    assert np.allclose(index._postings(3, text, asked, w), want, atol=1e-6)
