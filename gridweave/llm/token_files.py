@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridweave.llm.common import HELD, halved
+from gridweave.llm.common import HELD, halved, uncollected
 from gridweave.llm.memo import ChunkEncoder
 
 BLOCK_IDS = 1 << 18
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
 
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("nth", F.xxhash64("text"))
     ordered = own.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth").select("doc_id", "text")
-    ordered.mapInArrow(halved(run, lambda: []), FILE_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(halved(uncollected(run), lambda: []), FILE_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int:

@@ -245,3 +245,20 @@ def test_words_are_remembered():
         assert large.encode(texts, 2) == first and not encoded
     finally:
         T._LOADED.clear()
+
+
+def test_no_search_for_cycles_while_encoding():
+    import gc
+
+    from gridweave.llm.common import uncollected
+
+    def run(batches):
+        for batch in batches:
+            assert not gc.isenabled()
+            yield batch + 1
+
+    assert gc.isenabled() and [*uncollected(run)(iter([1, 2]))] == [2, 3] and gc.isenabled()
+    broken = uncollected(run)(iter([1, "x"]))
+    with pytest.raises(TypeError):
+        [*broken]
+    assert gc.isenabled()
