@@ -5,17 +5,24 @@ Pixels are rows ``image_id, j, i, c, v``; the channels c of one pixel are a vect
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators.accumulate import accumulate
+from gridweave.operators.blocks import PAIRS, distances, matrix, meet
+from gridweave.storage import discard, materialise
+
+#: Samples of a cell up to which pairs are rows of a join.
+FEW = 32
 
 
 def accumulate_vec(px: DataFrame, op: str) -> DataFrame:
     """One vector per cell j, i from those of all images: sum, avg, mul, modc (mode of each channel), cprod (complex product), med (medoid).
 
-    Nulls are left out. The medoid has the least sum of distances to the others, the first image on ties; it compares
-    all pairs of a cell, of which there is one sample for each image.
+    Nulls are left out. The medoid has the least sum of distances to the others, the first image on ties (sums that
+    differ by rounding alone); it compares all pairs of a cell, of which there is one sample for each image.
     """
     px = px.where(F.col("v").isNotNull())
     if op in ("sum", "avg", "mul"):
@@ -29,15 +36,62 @@ def accumulate_vec(px: DataFrame, op: str) -> DataFrame:
         parts = F.array(F.struct(F.lit(0).alias("c"), (F.col("r") * F.cos("t")).alias("v")), F.struct(F.lit(1).alias("c"), (F.col("r") * F.sin("t")).alias("v")))
         return z.select("j", "i", F.explode(parts).alias("s")).select("j", "i", "s.c", "s.v")
     if op == "med":
-        vectors = px.groupBy("image_id", "j", "i").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("x"))  # as many as channels
-        other = vectors.select("j", "i", F.col("image_id").alias("other"), F.col("x").alias("y"))
-        gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a["v"] - b["v"]) * (a["v"] - b["v"])), F.lit(0.0), lambda s, d: s + d))
-        sums = vectors.join(other, ["j", "i"]).groupBy("image_id", "j", "i").agg(F.sum(gap).alias("d"), F.first("x").alias("x"))
-        best = sums.groupBy("j", "i").agg(F.min_by("x", F.struct("d", "image_id")).alias("x"))
-        return best.select("j", "i", F.explode("x").alias("s")).select("j", "i", "s.c", "s.v")
+        return _medoid(px)
     raise ValueError(f"unknown vector accumulator {op}")
 
 
+def _sums(exact: bool):
+    """For ``meet``: of each vector the sum of distances to the other table's, and how far off it may be."""
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        u, v, w = matrix(x["descr"]), matrix(y["descr"]), y["n"].to_numpy().astype(float)
+        with np.errstate(over="ignore", invalid="ignore"):
+            nu, nv = (u * u).sum(1), (v * v).sum(1)
+            off = max(1e-15 * (u.shape[1] + 16) * (nu.max() + nv.max()), 1e-300)
+        plain = exact or not off < np.inf  # no product of what isn't finite, or overflows
+        d, e, step = np.zeros(len(u)), np.zeros(len(u)), max(1, PAIRS // len(v))
+        for k in range(0, len(u), step):
+            part = slice(k, k + step)
+            if plain:
+                with np.errstate(invalid="ignore"):
+                    d[part] = (distances(u[part, None], v) * w).sum(1)
+                continue
+            s = nv - u[part] @ (2 * v.T)
+            s += nu[part, None]
+            np.sqrt(np.maximum(s, off, out=s), out=s)
+            d[part] = s @ w
+            e[part] = np.divide(off, s, out=s) @ w
+        return pa.table({**{k: x[k] for k in ("j", "i", "id")}, "d": d, "e": e + 1e-15 * len(v) * d})
+
+    return run
+
+
+def _medoid(px: DataFrame) -> DataFrame:
+    """Cells of few samples are joined with themselves. In the others equal vectors are one with a weight; sums come from
+    products in blocks, and those of all that may be the least, within the rounding, once more from plain distances."""
+    cell, fields = ["j", "i"], px.schema
+    vectors = materialise(px.groupBy("image_id", "j", "i").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("x")))  # as many as channels
+    sizes = vectors.groupBy(*cell).agg(F.count("*").alias("all"))
+    few = vectors.join(sizes.where(F.col("all") <= FEW), cell, "left_semi")
+    other = few.select("j", "i", F.col("x").alias("y"))
+    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a["v"] - b["v"]) * (a["v"] - b["v"])), F.lit(0.0), lambda s, d: s + d))
+    sums = few.join(other, cell).groupBy("image_id", *cell).agg(F.sum(gap).alias("d")).select(*cell, F.col("image_id").alias("id"), "d")
+    many = vectors.join(sizes.where(F.col("all") > FEW), cell, "left_semi").withColumn("descr", F.transform("x", lambda s: s["v"].cast("double")))
+    many = materialise(many.groupBy(*cell, "descr").agg(F.min("image_id").alias("id"), F.count("*").alias("n")).withColumn("dims", F.size("descr")))
+    key, right = [*cell, "dims"], many.select("j", "i", "dims", "id", "descr", "n")
+    schema = ", ".join(f"{to} {fields[k].dataType.simpleString()}" for k, to in (("j", "j"), ("i", "i"), ("image_id", "id"))) + ", d double, e double"
+    total = lambda d, exact: meet(d, right, key, _sums(exact), schema).groupBy(*cell, "id").agg(F.sum("d").alias("d"), F.sum("e").alias("e"))
+    rough = materialise(total(right, False))
+    low = rough.groupBy(*cell).agg(F.min(F.col("d") + F.col("e")).alias("low"))
+    left = rough.join(low, cell).where((F.col("d") - F.col("e") <= F.col("low")) | (F.col("d") <= F.col("low"))).select(*cell, "id")
+    sums = materialise(sums.unionByName(total(right.join(left, [*cell, "id"], "left_semi"), True).drop("e")))
+    low = sums.groupBy(*cell).agg(F.min("d").alias("low"))
+    first = sums.join(low, cell).where(F.col("d") <= F.col("low") * (1 + 1e-13)).groupBy(*cell).agg(F.min("id").alias("image_id"))
+    best = materialise(vectors.join(first, [*cell, "image_id"]).select(*cell, "x"))
+    discard(vectors, many, rough, sums)
+    return best.select("j", "i", F.explode("x").alias("s")).select("j", "i", "s.c", "s.v")
+
+
 def stack_channels(*images: DataFrame) -> DataFrame:
     """Channels of several tables one after another; an image must be in each."""
     out, ids = None, None

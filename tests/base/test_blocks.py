@@ -6,6 +6,7 @@ import numpy as np
 
 from gridweave.operators import blocks as B
 from gridweave.operators import descriptors as M
+from gridweave.operators import vectors as V
 
 SCHEMA = "id long, x double, y double, descr array<float>"
 
@@ -65,3 +66,35 @@ def test_epipolar(spark, monkeypatch):
     # a wide image and a narrow strip: rows must not be made for each step along a line
     far = [(k, 5e9 * (k % 2), float(k // 2), [0.0]) for k in range(40)]
     assert got(M.match_epipolar(kp(spark, far), kp(spark, far), [0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -1.0, 0.0], 1.0, 1.0)) == {(k, k // 2 * 2, 0.0) for k in range(40)}
+
+
+def test_medoid(spark, monkeypatch):
+    """Of vectors and their negatives two have the same sum, added in another order: the first image wins, as after rounding in SQL."""
+    rng = np.random.default_rng(2)
+    cells = {}
+    for i in range(8):
+        half = rng.normal(0, 1, (45 if i % 2 else 10, 3))
+        cells[i] = rng.permutation(np.vstack([half, -half]))
+    cells[8] = np.repeat(rng.normal(0, 1, (20, 3)), 4, 0)[::-1]  # copies
+    cells[9] = np.ones((90, 3))
+    cells[10] = np.vstack([rng.normal(0, 1, (60, 3)), np.full((2, 3), math.nan)])
+    cells[11] = np.vstack([np.full((1, 3), math.inf), rng.normal(0, 1, (60, 3))])
+    cells[12] = rng.normal(0, 1e200, (70, 3))
+    cells[13] = rng.normal(0, 1e-9, (70, 3)) + 5
+    rows = [(k, 0, i, c, float(v)) for i, x in cells.items() for k, vector in enumerate(x) for c, v in enumerate(vector)]
+    px = spark.createDataFrame(rows, "image_id long, j int, i int, c int, v double").repartition(5)
+    with np.errstate(invalid="ignore", over="ignore"):
+        want = {}
+        for i, x in cells.items():
+            sums = [math.fsum(np.sqrt(((x - v) ** 2).sum(1))) if np.isfinite(x).all() and abs(x).max() < 1e100 else float(np.sqrt(((x - v) ** 2).sum(1)).sum()) for v in x]
+            low = np.nan_to_num(np.array(sums), nan=math.inf, posinf=1e308)
+            want[i] = x[np.flatnonzero(low <= low.min() * (1 + 1e-13))[0]]
+    monkeypatch.setattr(B, "BLOCK", 40)
+    got = {}
+    for r in V.accumulate_vec(px, "med").collect():
+        got.setdefault(r.i, {})[r.c] = r.v
+    assert got.keys() == want.keys()
+    for i, x in want.items():
+        assert [got[i][c] for c in range(3)] == x.tolist() or np.isnan(x).all(), i
+    odd = spark.createDataFrame([(1, 0, 0, 0, 5.0), (2, 0, 0, 0, None), (3, 0, 0, 0, 6.0)], px.schema)
+    assert [tuple(r) for r in V.accumulate_vec(odd, "med").collect()] == [(0, 0, 0, 5.0)] and V.accumulate_vec(odd.limit(0), "med").count() == 0
