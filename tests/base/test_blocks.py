@@ -98,3 +98,31 @@ def test_medoid(spark, monkeypatch):
         assert [got[i][c] for c in range(3)] == x.tolist() or np.isnan(x).all(), i
     odd = spark.createDataFrame([(1, 0, 0, 0, 5.0), (2, 0, 0, 0, None), (3, 0, 0, 0, 6.0)], px.schema)
     assert [tuple(r) for r in V.accumulate_vec(odd, "med").collect()] == [(0, 0, 0, 5.0)] and V.accumulate_vec(odd.limit(0), "med").count() == 0
+
+
+def test_dedup_in_parts(spark, monkeypatch):
+    """Many keypoints in few places: what is near a kept one goes before its pairs are made. Ids in order of place, ids at random, odd rows."""
+    rng = np.random.default_rng(4)
+    rows = points(rng, 300, 12.0)
+    rows += [(2000 + k, *map(float, rng.normal(0, 1, 2)), [float(v) for v in rng.integers(0, 2, 4)]) for k in range(200)]
+    rows += [(3000 + k, 0.1 * k, 0.0, [0.0] * 4) for k in range(200)] + [(None, 0.0, 0.0, [0.0] * 4)]
+    kept, made = [], []
+    for k, x, y, d in sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]):
+        if x is None or not any(gap(d, e) is not None and gap(d, e) < 1.5 and math.hypot(x - u, y - v) < 3 for _, u, v, e in kept if u is not None):
+            kept.append((k, x, y, d))
+    write = M.materialise
+
+    def counted(df):
+        out = write(df)
+        if df.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    whole = M.near_keypoints(kp(spark, rows), 3.0, 1.5).count()
+    monkeypatch.setattr(M, "materialise", counted)
+    monkeypatch.setattr(M, "MOST_PAIRS", 20000)
+    got = [r.id for r in M.dedup_keypoints(kp(spark, rows), 3.0, 1.5).collect()]
+    assert sorted(k for k in got if k is not None) == sorted(k for k, *_ in kept) and got.count(None) == 1
+    assert 0 < max(made) < whole / 2
+    same = [(7, 0.0, 0.0, [0.0])] * 400 + [(6, 1.0, 0.0, [0.0])]
+    assert [r.id for r in M.dedup_keypoints(kp(spark, same), 3.0, 1.5).distinct().collect()] == [7]
