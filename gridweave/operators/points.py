@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridweave.operators.blocks import meet, nearest, numbers, tiled
+
 
 def rasterize(points: DataFrame, x0: float, xf: float, y0: float, yf: float, w: int, h: int, value: str = "z") -> DataFrame:
     """Average, least, greatest value and number of points in each cell of a w x h grid; points beyond the border count at it."""
@@ -25,23 +28,20 @@ def segments_longer(segments: DataFrame, least: float) -> DataFrame:
     return segments.where(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) > least)
 
 
-def _distance2(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def match_window(a: DataFrame, b: DataFrame, rx: float, ry: float, t: float) -> DataFrame:
     """For each keypoint of a the nearest descriptor among those of b within rx, ry, if closer than t.
 
-    Both are binned in cells of rx x ry; a goes to the nine cells around it, so this is an equi join.
+    Keypoints of a in a tile are compared in blocks with those of b in and around it.
     """
-    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    own = a.select(F.col("id").alias("from"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("descr").alias("da"))
-    own = own.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("ci", F.floor(F.col("ax") / rx) + F.col("dx")).withColumn("cj", F.floor(F.col("ay") / ry) + F.col("dy"))
-    other = b.select(F.col("id").alias("to"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("descr").alias("db"), F.floor(F.col("x") / rx).alias("ci"), F.floor(F.col("y") / ry).alias("cj"))
-    near = own.join(other, ["ci", "cj"]).where((F.abs(F.col("ax") - F.col("bx")) <= rx) & (F.abs(F.col("ay") - F.col("by")) <= ry))
-    near = near.withColumn("d", F.sqrt(_distance2("da", "db"))).where(F.col("d") < t)
-    best = near.groupBy("from").agg(F.min(F.struct("d", "to")).alias("m"))
-    return best.select("from", "m.to", "m.d")
+
+    def within(x, y):
+        (ax, ay), (bx, by) = numbers(x, "x", "y"), numbers(y, "x", "y")
+        return lambda part: (np.abs(ax[part, None] - bx) <= rx) & (np.abs(ay[part, None] - by) <= ry)
+
+    own, other, key = tiled(a, b, rx, ry)
+    kind = lambda d: d.schema["id"].dataType.simpleString()
+    found = meet(own, other, key, nearest(within, t), f"`from` {kind(own)}, `to` {kind(other)}, d double")
+    return found.groupBy("from").agg(F.min(F.struct("d", "to")).alias("m")).select("from", "m.to", "m.d")
 
 
 def track_points(a: DataFrame, b: DataFrame, distance: float) -> DataFrame:

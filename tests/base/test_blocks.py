@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridweave.operators import blocks as B
 from gridweave.operators import descriptors as M
+from gridweave.operators import points as T
 from gridweave.operators import vectors as V
 
 SCHEMA = "id long, x double, y double, descr array<float>"
@@ -126,3 +128,19 @@ def test_dedup_in_parts(spark, monkeypatch):
     assert 0 < max(made) < whole / 2
     same = [(7, 0.0, 0.0, [0.0])] * 400 + [(6, 1.0, 0.0, [0.0])]
     assert [r.id for r in M.dedup_keypoints(kp(spark, same), 3.0, 1.5).distinct().collect()] == [7]
+
+
+def test_window(spark, monkeypatch):
+    """Tiles of many windows and of one, blocks of few rows; differences that rounding brings to just the window."""
+    rng = np.random.default_rng(6)
+    a, b = points(rng, 200, 9.0), points(rng, 260, 9.0, 1000)
+    a += [(500, 2.0, 0.0, [9.0]), (501, -3.0, 5.0, [9.0])]
+    b += [(2000, 1.0 - 2.0**-53, 0.0, [9.0]), (2001, -3.0, 6.0, [9.0])]
+    want = nearest(a, b, lambda x, y, u, v: abs(x - u) <= 1 and abs(y - v) <= 2, 3.0)
+    assert (500, 2000, 0.0) in want and (501, 2001, 0.0) in want
+    assert got(T.match_window(kp(spark, a), kp(spark, b), 1.0, 2.0, 3.0)) == want
+    for name, value in (("BLOCK", 6), ("PAIRS", 20), ("FEW", 1)):
+        monkeypatch.setattr(B, name, value)
+    assert got(T.match_window(kp(spark, a), kp(spark, b), 1.0, 2.0, 3.0)) == want
+    named = kp(spark, a).withColumn("id", F.concat(F.lit("k"), "id"))  # ids that are no numbers
+    assert {(r["from"], r["to"], r["d"]) for r in T.match_window(named, kp(spark, b), 1.0, 2.0, 3.0).collect()} == {(f"k{i}", k, d) for i, k, d in want}
