@@ -80,7 +80,7 @@ def _medoid(px: DataFrame) -> DataFrame:
     many = materialise(many.groupBy(*cell, "descr").agg(F.min("image_id").alias("id"), F.count("*").alias("n")).withColumn("dims", F.size("descr")))
     key, right = [*cell, "dims"], many.select("j", "i", "dims", "id", "descr", "n")
     schema = ", ".join(f"{to} {fields[k].dataType.simpleString()}" for k, to in (("j", "j"), ("i", "i"), ("image_id", "id"))) + ", d double, e double"
-    total = lambda d, exact: meet(d, right, key, _sums(exact), schema).groupBy(*cell, "id").agg(F.sum("d").alias("d"), F.sum("e").alias("e"))
+    total = lambda d, exact: meet(d, right, key, _sums(exact), schema, 2).groupBy(*cell, "id").agg(F.sum("d").alias("d"), F.sum("e").alias("e"))
     rough = materialise(total(right, False))
     low = rough.groupBy(*cell).agg(F.min(F.col("d") + F.col("e")).alias("low"))
     left = rough.join(low, cell).where((F.col("d") - F.col("e") <= F.col("low")) | (F.col("d") <= F.col("low"))).select(*cell, "id")
